@@ -318,9 +318,12 @@ def _halves(
 
 
 def row_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents without their ids: copies of a text land on both sides of a random split."""
-    train, test = _halves(spark, sf_dir, "documents", RANDOM_PLAN, "doc_id")
-    counts = shared_counts(train.drop("doc_id"), test.drop("doc_id"), 3)
+    """Whole texts: copies of a document land on both sides of a random split."""
+    train, test = (
+        half.select("text", "lang")
+        for half in _halves(spark, sf_dir, "documents", RANDOM_PLAN, "doc_id")
+    )
+    counts = shared_counts(train, test, 3)
     return spark.createDataFrame([(counts[EXACT],)], "shared_rows bigint")
 
 

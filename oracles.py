@@ -124,7 +124,8 @@ def histogram(table: str, column: str) -> str:
 
 def top(table: str, column: str) -> str:
     return f"""
-        SELECT '{column}' AS "column", row_number() OVER (ORDER BY n DESC, value) AS rank, value,
+        SELECT '{column}' AS "column", (row_number() OVER (ORDER BY n DESC, value))::INTEGER AS rank,
+               value,
                n AS count
         FROM (SELECT {column} AS value, count(*) AS n FROM {table} WHERE {column} IS NOT NULL
               GROUP BY 1 ORDER BY n DESC, value LIMIT 10)"""
@@ -440,7 +441,7 @@ ORACLES = {
     "ranges_by_class": class_ranges(),
     "value_purities": value_purities(),
     "row_overlap": f"""
-        SELECT n AS shared_rows FROM {shared(RANDOM_DOCUMENTS, 'text, lang, source, n_chars')}""",
+        SELECT n AS shared_rows FROM {shared(RANDOM_DOCUMENTS, 'text, lang')}""",
     "near_duplicates": f"""
         SELECT e.n AS exact_duplicates, greatest(a.n - e.n, 0) AS near_duplicates
         FROM {shared(RANDOM_EVENTS, NOISY)} e, {shared(RANDOM_EVENTS, NOISY_ROUNDED)} a""",

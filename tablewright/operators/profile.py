@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import json
 import math
-from dataclasses import dataclass, field as dataclass_field
 from decimal import Decimal
+from functools import cached_property
 
 from pyspark.sql import DataFrame, types as T
 from pyspark.sql import functions as F
@@ -45,17 +45,60 @@ STATS_SCHEMA = T.StructType(
 )
 
 
-@dataclass
 class Profile:
-    """A profiled table. The frames hold aggregates only, never rows of the table."""
+    """A profiled table. The frames hold aggregates only, never rows of the table.
 
-    df: DataFrame
-    options: ProfileOptions
-    row_count: int
-    column_count: int
-    distinct_exact: bool
-    truncated: dict[str, bool]
-    statistics: list[dict] = dataclass_field(repr=False)
+    Each part runs its own jobs when it is first asked for and keeps what it found: the scalars are
+    one scan, the distinct counts one, the quartiles one or, in large tables, a few. Histograms and
+    correlations need the scalars; frequent values need nothing else.
+    """
+
+    def __init__(self, df: DataFrame, options: ProfileOptions = ProfileOptions()):
+        self.df = df
+        self.options = options
+        self.fields = df.schema.fields[: options.max_columns]
+        self.column_count = len(df.columns)
+
+    @cached_property
+    def _scalars(self) -> tuple[int, list[dict]]:
+        return scalar_statistics(self.df, self.fields)
+
+    @property
+    def row_count(self) -> int:
+        return self._scalars[0]
+
+    @property
+    def statistics(self) -> list[dict]:
+        return self._scalars[1]
+
+    @property
+    def distinct_exact(self) -> bool:
+        """Whether the distinct counts are exact and not HyperLogLog estimates."""
+        return self.row_count <= self.options.exact_distinct_max_rows
+
+    @cached_property
+    def _distinct(self) -> dict[int, int]:
+        if not self.row_count:
+            return {}
+        counts = distinct_counts(self.df, self.fields, self.distinct_exact)
+        return {r["position"]: r["distinct_count"] for r in counts.collect()}
+
+    @cached_property
+    def _quartiles(self) -> dict[str, list]:
+        return quantiles(self.df, self.numeric)
+
+    def _names(self, kind: str) -> list[str]:
+        return [f.name for f in self.fields if kind_of(f.dataType) == kind]
+
+    @property
+    def truncated(self) -> dict[str, bool]:
+        numeric, text = len(self._names(NUMERIC)), len(self._names(CATEGORICAL))
+        return {
+            "columns": self.column_count > len(self.fields),
+            "histograms": numeric > self.options.max_histograms,
+            "top_values": text > self.options.max_categorical,
+            "correlations": numeric > self.options.max_correlations,
+        }
 
     @property
     def numeric(self) -> list[dict]:
@@ -63,11 +106,7 @@ class Profile:
 
     @property
     def categorical(self) -> list[str]:
-        return [
-            s["field"].name
-            for s in self.statistics
-            if kind_of(s["field"].dataType) == CATEGORICAL
-        ]
+        return self._names(CATEGORICAL)
 
     def columns(self) -> DataFrame:
         """One row per profiled column, in schema order."""
@@ -79,21 +118,22 @@ class Profile:
         ranged = kind in (NUMERIC, TEMPORAL)
         low, high = (json_value(s[key]) if ranged else None for key in ("min", "max"))
         numeric = kind == NUMERIC
+        name = s["field"].name
         return (
             position,
-            s["field"].name,
+            name,
             s["field"].dataType.simpleString(),
             kind,
             self.row_count,
             s["nulls"],
             s["nulls"] / self.row_count if self.row_count else 0.0,
-            s["distinct"],
+            self._distinct.get(position, 0),
             self.distinct_exact,
             float(low) if numeric and low is not None else None,
             float(high) if numeric and high is not None else None,
             json_value(s["mean"]) if numeric else None,
             json_value(s["stddev"]) if numeric else None,
-            *(json_value(q) for q in s["quantiles"]),
+            *(json_value(q) for q in self._quartiles.get(name, [None, None, None])),
             str(low) if low is not None else None,
             str(high) if high is not None else None,
             s["true_count"] if kind == BOOLEAN else None,
@@ -183,42 +223,8 @@ class Profile:
 
 
 def profile(df: DataFrame, options: ProfileOptions = ProfileOptions()) -> Profile:
-    """Profile a table.
-
-    The per-column statistics are computed at once: one scan for the scalars, one for the distinct
-    counts, which are estimates beyond the row limit, and for the quartiles one scan or, beyond a
-    million rows, a few. Histograms, frequent values and correlations run when their frames are
-    used.
-    """
-    fields = df.schema.fields[: options.max_columns]
-    rows, statistics = scalar_statistics(df, fields)
-    exact = rows <= options.exact_distinct_max_rows
-
-    distinct = {}
-    if rows and fields:
-        counts = distinct_counts(df, fields, exact).collect()
-        distinct = {r["position"]: r["distinct_count"] for r in counts}
-    numeric = [s for s in statistics if kind_of(s["field"].dataType) == NUMERIC]
-    quartiles = quantiles(df, numeric)
-    for position, s in enumerate(statistics):
-        s["distinct"] = distinct.get(position, 0)
-        s["quantiles"] = quartiles.get(s["field"].name, [None, None, None])
-
-    categorical = [f for f in fields if kind_of(f.dataType) == CATEGORICAL]
-    return Profile(
-        df=df,
-        options=options,
-        row_count=rows,
-        column_count=len(df.columns),
-        distinct_exact=exact,
-        truncated={
-            "columns": len(df.columns) > len(fields),
-            "histograms": len(numeric) > options.max_histograms,
-            "top_values": len(categorical) > options.max_categorical,
-            "correlations": len(numeric) > options.max_correlations,
-        },
-        statistics=statistics,
-    )
+    """Profile a table; see Profile for what runs when."""
+    return Profile(df, options)
 
 
 def json_value(value):

@@ -9,9 +9,9 @@ All columns and all ranks share the rounds.
 
 from __future__ import annotations
 
+import json
 from collections import defaultdict
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -76,74 +76,78 @@ def order_statistics(
         extent = extents[name]
         settle(Bracket(name, extent.low, extent.high, 0, extent.rows), set(wanted))
 
-    whole = True
     while open_brackets:
         wide = {b: w for b, w in open_brackets.items() if b.rows > direct_rows}
         brackets = wide or dict(open_brackets)
         for bracket in brackets:
             del open_brackets[bracket]
-        counts = (
-            _bucket_counts(df, values, list(wide), whole)
-            if wide
-            else _value_counts(df, values, list(brackets), whole)
-        )
+        inside = _inside(df, values, list(brackets))
+        counts = _bucket_counts(inside) if wide else _value_counts(inside)
         narrowed: dict[Bracket, set[int]] = defaultdict(set)
         for bracket, rank in _picks(counts, brackets):
             narrowed[bracket].add(rank)
         for bracket, wanted in narrowed.items():
             settle(bracket, wanted)
-        whole = False
     return found
 
 
-def _insides(values: dict[str, Column], brackets: list[Bracket]) -> list[Column]:
-    return [values[b.name].between(F.lit(b.low), F.lit(b.high)) for b in brackets]
+def _inside(df: DataFrame, values: dict[str, Column], brackets: list[Bracket]) -> DataFrame:
+    """Rows (value, bracket), one per value and bracket that holds it.
 
+    The brackets of a column are looked up by its position in one constant, so the generated code
+    is the same for two columns as for two hundred.
+    """
+    names = list(dict.fromkeys(b.name for b in brackets))
+    table = [
+        [
+            {"index": i, "low": b.low, "high": b.high, "width": _width(b)}
+            for i, b in enumerate(brackets)
+            if b.name == name
+        ]
+        for name in names
+    ]
+    kind = "bigint" if isinstance(brackets[0].low, int) else "double"
+    schema = f"array<array<struct<index:int,low:{kind},high:{kind},width:double>>>"
+    lookup = F.from_json(F.lit(json.dumps(table)), schema)
+    return (
+        df.select(F.posexplode(F.array(*[values[n] for n in names])).alias("column", "value"))
+        .filter("value IS NOT NULL")
+        .select("value", F.explode(lookup[F.col("column")]).alias("bracket"))
+        .filter("value BETWEEN bracket.low AND bracket.high")
+    )
 
-def _inside_any(df: DataFrame, insides: list[Column], whole: bool) -> DataFrame:
-    return df if whole else df.filter(reduce(lambda a, b: a | b, insides))
 
+def _width(bracket: Bracket) -> float:
+    if isinstance(bracket.low, int):
+        width = (bracket.high - bracket.low) / BUCKETS
+    else:
+        width = bracket.high / BUCKETS - bracket.low / BUCKETS
+    return max(width, SMALLEST_WIDTH)
 
-def _bucket_counts(
-    df: DataFrame, values: dict[str, Column], brackets: list[Bracket], whole: bool
-) -> DataFrame:
-    """Rows (bracket, rows, low, high), one per bucket that holds anything."""
-    insides = _insides(values, brackets)
-    cells = [
-        F.struct(
-            F.when(inside, F.lit(index * BUCKETS) + _bucket(values[b.name], b)).alias("code"),
-            values[b.name].alias("value"),
-        )
-        for index, (b, inside) in enumerate(zip(brackets, insides, strict=True))
-    ]
+
+def _bucket_counts(inside: DataFrame) -> DataFrame:
+    """Rows (bracket, rows, low, high), one per bucket that holds anything.
+
+    The bucket number grows with the value; the lowest value of a bracket is in the first bucket
+    and the highest in the last.
+    """
+    offset = F.expr("cast(value - bracket.low AS double) / bracket.width")
+    bucket = F.floor(F.least(offset, F.lit(float(BUCKETS - 1)))).cast("int")
     return (
-        _inside_any(df, insides, whole)
-        .select(F.inline(F.array(*cells)))
-        .filter("code IS NOT NULL")
-        .groupBy("code")
+        inside.groupBy((F.col("bracket.index") * BUCKETS + bucket).alias("code"))
         .agg(
             F.count(F.lit(1)).alias("rows"),
             F.min("value").alias("low"),
             F.max("value").alias("high"),
         )
-        .withColumn("bracket", F.expr(f"cast(code div {BUCKETS} as int)"))
+        .withColumn("bracket", F.expr(f"cast(code div {BUCKETS} AS int)"))
     )
 
 
-def _value_counts(
-    df: DataFrame, values: dict[str, Column], brackets: list[Bracket], whole: bool
-) -> DataFrame:
+def _value_counts(inside: DataFrame) -> DataFrame:
     """Rows (bracket, rows, low, high), one per distinct value; low and high are that value."""
-    insides = _insides(values, brackets)
-    cells = [
-        F.struct(F.when(inside, F.lit(index)).alias("bracket"), values[b.name].alias("low"))
-        for index, (b, inside) in enumerate(zip(brackets, insides, strict=True))
-    ]
     return (
-        _inside_any(df, insides, whole)
-        .select(F.inline(F.array(*cells)))
-        .filter("bracket IS NOT NULL")
-        .groupBy("bracket", "low")
+        inside.groupBy(F.col("bracket.index").alias("bracket"), F.col("value").alias("low"))
         .agg(F.count(F.lit(1)).alias("rows"))
         .withColumn("high", F.col("low"))
     )
@@ -188,15 +192,5 @@ def _picks(counts: DataFrame, brackets: dict[Bracket, set[int]]) -> list[tuple[B
     ]
 
 
-def _bucket(value: Column, bracket: Bracket) -> Column:
-    """Monotone bucket number; the lowest value gets the first bucket, the highest the last."""
-    if isinstance(bracket.low, int):
-        width = max((bracket.high - bracket.low) / BUCKETS, SMALLEST_WIDTH)
-    else:
-        width = max(bracket.high / BUCKETS - bracket.low / BUCKETS, SMALLEST_WIDTH)
-    offset = (value - F.lit(bracket.low)).cast("double") / F.lit(width)
-    return F.floor(F.least(offset, F.lit(float(BUCKETS - 1)))).cast("int")
-
-
 def interpolate(fraction: float, lower: float, upper: float) -> float:
     return lower + (upper - lower) * fraction

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pathlib import PurePosixPath
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql import functions as F
@@ -25,10 +26,17 @@ def format_of(path: str) -> str | None:
 
 
 def read(
-    spark: SparkSession, path: str, fmt: str | None = None, sep: str = ",", row_id: str | None = None
+    spark: SparkSession,
+    path: str,
+    fmt: str | None = None,
+    sep: str = ",",
+    row_id: str | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Read a CSV or Parquet dataset; unusable input fails here and not in a later job.
 
+    Line breaks inside quoted CSV fields need `multi_line`, and then a file cannot be read in parts.
+
     With `row_id`, a column of that name holds the place of each row, file and row number within
     it. Only Parquet can tell it.
     """
@@ -43,13 +51,13 @@ def read(
         raise InputError(f"'{path}' is empty")
     try:
         if fmt == "csv":
-            return _read_csv(spark, path, sep)
+            return _read_csv(spark, path, sep, multi_line)
         df = spark.read.parquet(path)
         if row_id:
             place = F.concat_ws(":", "_metadata.file_path", "_metadata.row_index")
             df = df.select("*", place.alias(row_id))
         return df
-    except PySparkException as error:
+    except (PySparkException, Py4JJavaError) as error:
         raise InputError(f"could not read '{path}' as {fmt}: {error}") from error
 
 
@@ -69,9 +77,16 @@ def path_size(spark: SparkSession, path: str) -> int:
     return files.getContentSummary(location).getLength()
 
 
-def _read_csv(spark: SparkSession, path: str, sep: str) -> DataFrame:
+def _read_csv(spark: SparkSession, path: str, sep: str, multi_line: bool) -> DataFrame:
     """Types come from every line of the file; a first guess from a sample could fail later."""
-    options = {"header": True, "sep": sep, "mode": "FAILFAST", "enforceSchema": False}
+    options = {
+        "header": True,
+        "sep": sep,
+        "escape": '"',
+        "multiLine": multi_line,
+        "mode": "FAILFAST",
+        "enforceSchema": False,
+    }
     guessed = spark.read.options(**options, inferSchema=True, samplingRatio=1.0).csv(path)
     if not guessed.columns:
         raise InputError(f"'{path}' has no columns")
