@@ -49,8 +49,6 @@ LINEITEM_NUMBERS = [
     "l_discount",
     "l_tax",
 ]
-CUSTOMER_NUMBERS = ["c_custkey", "c_nationkey", "c_acctbal"]
-PART_NUMBERS = ["p_partkey", "p_size", "p_retailprice"]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

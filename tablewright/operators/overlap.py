@@ -49,9 +49,9 @@ def shared_counts(
         questions[GROUPS] = [comparable(schema[group_column])]
 
     cells = []
-    for question, values in questions.items():
+    for number, values in enumerate(questions.values()):
         h1, h2 = hash128(values)
-        cells.append(F.struct(F.lit(question).alias("question"), h1.alias("h1"), h2.alias("h2")))
+        cells.append(F.struct(F.lit(number).alias("question"), h1.alias("h1"), h2.alias("h2")))
 
     def keys(side: DataFrame, tag: int) -> DataFrame:
         return side.select(F.lit(tag).alias("side"), F.inline(F.array(*cells)))
@@ -65,7 +65,7 @@ def shared_counts(
         .groupBy("question")
         .count()
     )
-    counts = {question: 0 for question in questions}
-    counts |= {r["question"]: r["count"] for r in shared.collect()}
+    found = {r["question"]: r["count"] for r in shared.collect()}
+    counts = {question: found.get(number, 0) for number, question in enumerate(questions)}
     counts.setdefault(ROUNDED, counts[EXACT])
     return counts

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, types as T
 from pyspark.sql import functions as F
 
 from tablewright.functions.kinds import BOOLEAN, CATEGORICAL, NUMERIC, TEMPORAL, kind_of
+from tablewright.functions.staging import stage
 from tablewright.operators.correlation import correlation_pairs
 from tablewright.operators.histograms import histogram_counts
 from tablewright.operators.quantiles import quantiles
@@ -222,9 +223,15 @@ class Profile:
         return json.dumps(self.summary(), allow_nan=False, ensure_ascii=False)
 
 
-def profile(df: DataFrame, options: ProfileOptions = ProfileOptions()) -> Profile:
-    """Profile a table; see Profile for what runs when."""
-    return Profile(df, options)
+def profile(
+    df: DataFrame, options: ProfileOptions = ProfileOptions(), staged: bool = False
+) -> Profile:
+    """Profile a table; see Profile for what runs when.
+
+    `staged` writes the table once and profiles what was written. It pays where reading again is
+    dear, as with CSV or a long plan; Parquet is read column by column as it is.
+    """
+    return Profile(stage(df) if staged else df, options)
 
 
 def json_value(value):

@@ -58,11 +58,11 @@ def purities(train: DataFrame, features: list[T.StructField], target: str) -> Da
     combined before the shuffle, so a value that fills a third of the table is one row per task.
     """
     cells = []
-    for field in features:
+    for position, field in enumerate(features):
         h1, h2 = hash128([comparable(field)])
         cells.append(
             F.struct(
-                F.when(col(field.name).isNotNull(), F.lit(field.name)).alias("column"),
+                F.when(col(field.name).isNotNull(), F.lit(position)).alias("feature"),
                 h1.alias("h1"),
                 h2.alias("h2"),
             )
@@ -73,8 +73,8 @@ def purities(train: DataFrame, features: list[T.StructField], target: str) -> Da
         train.select(
             F.when(known, t1).alias("t1"), F.when(known, t2).alias("t2"), F.inline(F.array(*cells))
         )
-        .filter("column IS NOT NULL")
-        .groupBy("column", "h1", "h2")
+        .filter("feature IS NOT NULL")
+        .groupBy("feature", "h1", "h2")
         .agg(
             F.count(F.lit(1)).alias("rows"),
             F.min("t1").alias("min1"),
@@ -83,10 +83,16 @@ def purities(train: DataFrame, features: list[T.StructField], target: str) -> Da
             F.max("t2").alias("max2"),
         )
     )
-    pure = F.coalesce((F.col("min1") == F.col("max1")) & (F.col("min2") == F.col("max2")), F.lit(False))
-    return values.groupBy("column").agg(
-        F.count(F.lit(1)).alias("values"),
-        (F.sum(F.when(pure, F.col("rows")).otherwise(0)) / F.sum("rows")).alias("purity"),
+    # Null where no row of the value has a target.
+    pure = (F.col("min1") == F.col("max1")) & (F.col("min2") == F.col("max2"))
+    names = F.array(*[F.lit(f.name) for f in features])
+    return (
+        values.groupBy("feature")
+        .agg(
+            F.count(F.lit(1)).alias("values"),
+            (F.sum(F.when(pure, F.col("rows")).otherwise(0)) / F.sum("rows")).alias("purity"),
+        )
+        .select(names[F.col("feature")].alias("column"), "values", "purity")
     )
 
 

@@ -301,9 +301,11 @@ def split_files(
     fmt: str | None = None,
 ) -> dict[str, str]:
     """Split a file or folder into `path`. In Parquet the place of a row, its file and row number,
-    identifies it when no id columns do."""
+    identifies it when no id columns do. CSV is parsed once and staged."""
     fmt = fmt or format_of(source)
-    if id_columns or fmt != "parquet":
+    if fmt != "parquet":
+        return write_split(assign(stage(read(spark, source, fmt)), plan, id_columns), path)
+    if id_columns:
         return write_split(assign(read(spark, source, fmt), plan, id_columns), path)
     placed = read(spark, source, fmt, row_id=ROW_ID)
     return write_split(assign(placed, plan, [ROW_ID]).drop(ROW_ID), path)

@@ -19,15 +19,17 @@ def top_value_counts(df: DataFrame, names: list[str], k: int) -> DataFrame:
         return df.sparkSession.createDataFrame(
             [], "column string, rank int, value string, count bigint"
         )
-    cells = F.array(
-        *[F.struct(F.lit(n).alias("column"), col(n).cast("string").alias("value")) for n in names]
-    )
+    texts = F.array(*[col(n).cast("string") for n in names])
     counts = (
-        df.select(F.inline(cells)).filter("value IS NOT NULL").groupBy("column", "value").count()
+        df.select(F.posexplode(texts).alias("position", "value"))
+        .filter("value IS NOT NULL")
+        .groupBy("position", "value")
+        .count()
     )
-    frequent_first = Window.partitionBy("column").orderBy(F.desc("count"), F.asc("value"))
+    frequent_first = Window.partitionBy("position").orderBy(F.desc("count"), F.asc("value"))
+    labels = F.array(*[F.lit(n) for n in names])
     return (
         counts.withColumn("rank", F.row_number().over(frequent_first))
         .filter(F.col("rank") <= k)
-        .select("column", "rank", "value", "count")
+        .select(labels[F.col("position")].alias("column"), "rank", "value", "count")
     )

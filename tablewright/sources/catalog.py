@@ -40,6 +40,10 @@ class NotFoundError(LookupError):
     """No such dataset, split, profile or report."""
 
 
+def _now() -> datetime:
+    return datetime.now(UTC).replace(tzinfo=None)
+
+
 class Catalog:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -55,7 +59,7 @@ class Catalog:
 
     def _append(self, name: str, **values) -> str:
         row = {"id": str(uuid.uuid4()), **values}
-        row["created_at"] = datetime.now(UTC).replace(tzinfo=None)
+        row["created_at"] = _now()
         self._append_rows(name, [row])
         return row["id"]
 
@@ -76,7 +80,7 @@ class Catalog:
         self, path: str, name: str | None = None, parent_id: str | None = None, sep: str = ","
     ) -> str:
         """Register a file; whatever is wrong with it shows before anything is written."""
-        dataset_id, now = str(uuid.uuid4()), datetime.now(UTC).replace(tzinfo=None)
+        dataset_id, now = str(uuid.uuid4()), _now()
         row = self._described(dataset_id, path, name or path.rsplit("/", 1)[-1], parent_id, now, sep)
         self._append_rows("datasets", [row])
         return dataset_id
@@ -152,7 +156,8 @@ class Catalog:
     # Profiles
 
     def profile(self, dataset_id: str, options: ProfileOptions = ProfileOptions()) -> str:
-        found = profile(self.frame(dataset_id), options)
+        staged = self.dataset(dataset_id)["format"] == "csv"
+        found = profile(self.frame(dataset_id), options, staged)
         return self._append(
             "profiles",
             dataset_id=dataset_id,
@@ -180,7 +185,7 @@ class Catalog:
         folders = split_files(
             self.spark, source["source_uri"], plan, path, id_columns, source["format"]
         )
-        now = datetime.now(UTC).replace(tzinfo=None)
+        now = _now()
         children = {
             name: self._described(
                 str(uuid.uuid4()), folder, f"{source['name']} · {name}", dataset_id, now, fmt="parquet"
