@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, SparkSession, types as T
 from pyspark.sql import functions as F
@@ -113,6 +113,24 @@ def hash128(values: Iterable[Column]) -> tuple[Column, Column]:
     return F.xxhash64(F.lit(1), *parts), F.xxhash64(F.lit(2), *parts)
 
 
+def row_struct(fields: Iterable[T.StructField], value: Callable[[T.StructField], Column]) -> Column:
+    """One struct of all values and their null flags, to be hashed as a whole.
+
+    The hash of a struct is generated in small methods. That of many single columns is one method,
+    soon too large for the JIT compiler.
+    """
+    parts = []
+    for position, field in enumerate(fields):
+        parts.append(col(field.name).isNull().alias(f"n{position}"))
+        parts.append(value(field).alias(f"v{position}"))
+    return F.struct(*parts)
+
+
+def struct_hash128(name: str) -> tuple[Column, Column]:
+    """Two independent 64-bit hashes of a struct column made by `row_struct`."""
+    return F.xxhash64(F.lit(1), F.col(name)), F.xxhash64(F.lit(2), F.col(name))
+
+
 def key_text(field: T.StructField) -> Column:
     """Text of a key column. Nulls get a text of their own, so they hash like any other key."""
     value = comparable(field).cast("string")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.columns import col, ordinal
 from tablewright.functions.kinds import is_floating
-from tablewright.operators.selection import Extent, order_statistics
+from tablewright.operators.selection import Extent, OrderStatistic, order_statistics
 from tablewright.plans.split_plan import SplitError
 
 # Hex digits by which a bucket of keys is divided further: 4096 parts.
@@ -140,41 +140,70 @@ def exact_key_cuts(df: DataFrame, key: Column, edges: set[int]) -> dict[int, str
     return {edge: cut.last for edge, cut in cuts.items()}
 
 
-def value_cut(df: DataFrame, field: T.StructField, key: Column, rank: int, rows: int) -> Column:
-    """True for exactly `rank` of the `rows` rows: the first by value, nulls last, then by key."""
-    if rank <= 0:
-        return F.lit(False)
-    if rank >= rows:
-        return F.lit(True)
+def value_cuts(
+    df: DataFrame, field: T.StructField, key: Column, ranks: tuple[int, ...], rows: int
+) -> list[Column]:
+    """Per rank, a condition true for exactly that many of the `rows` rows: the first by value,
+    nulls last, then by key. All ranks share the scans that find their values."""
     value = col(field.name)
-    filled = df.filter(value.isNotNull()).count()
-    if rank > filled:
-        nulls = df.filter(value.isNull())
-        cut = exact_key_cuts(nulls, key, {rank - filled})[rank - filled]
-        return value.isNotNull() | (key <= F.lit(cut))
-
-    # Level by level, the rows that tie with the cut so far.
-    tied, size, position = df.filter(value.isNotNull()), filled, rank
+    known = df.filter(value.isNotNull())
+    level = next(_levels(field))
+    span = df.agg(
+        F.count(value).alias("filled"), F.min(level).alias("low"), F.max(level).alias("high")
+    ).first()
+    filled = span["filled"]
+    found = order_statistics(
+        known,
+        {"v": level},
+        {"v": Extent(span["low"], span["high"], filled)},
+        {"v": {r for r in ranks if 0 < r <= filled and r < rows}},
+    )
+
+    def condition(rank: int) -> Column:
+        if rank <= 0:
+            return F.lit(False)
+        if rank >= rows:
+            return F.lit(True)
+        if rank > filled:
+            nulls = df.filter(value.isNull())
+            last = exact_key_cuts(nulls, key, {rank - filled})[rank - filled]
+            return value.isNotNull() | (key <= F.lit(last))
+        return value.isNotNull() & _tied_cut(known, field, key, rank, found["v", rank])
+
+    return [F.coalesce(condition(rank), F.lit(False)) for rank in ranks]
+
+
+def _tied_cut(
+    known: DataFrame, field: T.StructField, key: Column, rank: int, at: OrderStatistic
+) -> Column:
+    """The cut among the rows that tie on the first level: by further levels, then by key."""
+    value = col(field.name)
+    levels = _levels(field)
     steps: list[tuple[Column, int | float]] = []
-    for level in _levels(field):
+    level, tied, position = next(levels), known, rank
+    while True:
+        steps.append((level, at.value))
+        tied = tied.filter(level == F.lit(at.value))
+        position, size = position - at.below, at.equal
+        level = next(levels, None)
+        if level is None or position == size:
+            break
         span = tied.agg(
             F.min(level).alias("low"),
             F.max(level).alias("high"),
             (F.min(value) == F.max(value)).alias("single"),
         ).first()
-        if span["single"] or position == size:
+        if span["single"]:
             break
         extent = Extent(span["low"], span["high"], size)
         at = order_statistics(tied, {"v": level}, {"v": extent}, {"v": {position}})["v", position]
-        steps.append((level, at.value))
-        tied = tied.filter(level == F.lit(at.value))
-        position, size = position - at.below, at.equal
+
     inside = F.lit(True)
     if position < size:
         inside = key <= F.lit(exact_key_cuts(tied, key, {position})[position])
     for level, at_value in reversed(steps):
         inside = (level < F.lit(at_value)) | ((level == F.lit(at_value)) & inside)
-    return F.coalesce(value.isNotNull() & inside, F.lit(False))
+    return inside
 
 
 def _levels(field: T.StructField) -> Iterator[Column]:

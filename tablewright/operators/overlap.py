@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, types as T
 from pyspark.sql import functions as F
 
-from tablewright.functions.columns import col, comparable, hash128
+from tablewright.functions.columns import col, comparable, row_struct, struct_hash128
 from tablewright.functions.kinds import is_floating, is_fractional
 
 TRAIN, TEST = 1, 2
@@ -24,9 +24,12 @@ def rounded(field: T.StructField, decimals: int) -> Column:
         return comparable(field)
     double = value.cast("double")
     scale = float(10**decimals)
-    # Beyond this size a double has no fraction left to round.
-    has_fraction = F.abs(double) < F.lit(2.0**53)
-    return F.when(has_fraction, F.round(double * scale, 0) / scale).otherwise(double)
+    scaled = F.abs(double) * scale
+    whole = F.floor(scaled)
+    up = F.when(scaled - whole >= 0.5, 1).otherwise(0)
+    # Beyond this size a double has no fraction left to round. `round` would go through decimals.
+    has_fraction = scaled < F.lit(2.0**53)
+    return F.when(has_fraction, F.signum(double) * ((whole + up) / scale)).otherwise(double)
 
 
 def shared_counts(
@@ -41,20 +44,21 @@ def shared_counts(
     side and combined before the shuffle: copies of a row cost one record per task, and neither
     side is ever shuffled whole, as `intersect` would.
     """
-    schema = train.schema
-    questions = {EXACT: [comparable(f) for f in schema.fields]}
-    if any(is_fractional(f.dataType) for f in schema.fields):
-        questions[ROUNDED] = [rounded(f, decimals) for f in schema.fields]
+    fields = train.schema.fields
+    questions = {EXACT: row_struct(fields, comparable)}
+    if any(is_fractional(f.dataType) for f in fields):
+        questions[ROUNDED] = row_struct(fields, lambda f: rounded(f, decimals))
     if group_column:
-        questions[GROUPS] = [comparable(schema[group_column])]
+        questions[GROUPS] = row_struct([train.schema[group_column]], comparable)
 
     cells = []
-    for number, values in enumerate(questions.values()):
-        h1, h2 = hash128(values)
+    for number, question in enumerate(questions):
+        h1, h2 = struct_hash128(question)
         cells.append(F.struct(F.lit(number).alias("question"), h1.alias("h1"), h2.alias("h2")))
 
     def keys(side: DataFrame, tag: int) -> DataFrame:
-        return side.select(F.lit(tag).alias("side"), F.inline(F.array(*cells)))
+        rows = side.select(*[row.alias(question) for question, row in questions.items()])
+        return rows.select(F.lit(tag).alias("side"), F.inline(F.array(*cells)))
 
     shared = (
         keys(train, TRAIN)

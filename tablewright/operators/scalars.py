@@ -127,21 +127,6 @@ def _other_ranges(df: DataFrame, fields: list[T.StructField]) -> dict[str, tuple
     return {f.name: (row[2 * i], row[2 * i + 1]) for i, f in enumerate(others)}
 
 
-def _keys(fields: list[T.StructField]) -> Column:
-    cells = []
-    for position, field in enumerate(fields):
-        first, second = hash128([comparable(field)])
-        known = col(field.name).isNotNull()
-        cells.append(
-            F.struct(
-                F.when(known, F.lit(position)).alias("position"),
-                first.alias("h1"),
-                second.alias("h2"),
-            )
-        )
-    return F.inline(F.array(*cells))
-
-
 def distinct_counts(df: DataFrame, fields: list[T.StructField], exact: bool) -> DataFrame:
     """Distinct values per field (position, distinct_count), nulls left out.
 
@@ -149,9 +134,30 @@ def distinct_counts(df: DataFrame, fields: list[T.StructField], exact: bool) ->
     `count_distinct` on every column would shuffle rows as wide as the table, once per column.
     Estimated: one HyperLogLog sketch per column and task.
     """
-    keys = df.select(_keys(fields)).filter("position IS NOT NULL")
-    if exact:
-        keys, count = keys.distinct(), F.count(F.lit(1))
-    else:
-        count = F.approx_count_distinct("h1", DISTINCT_ERROR)
-    return keys.groupBy("position").agg(count.alias("distinct_count"))
+    if not exact:
+        hashes = [F.when(col(f.name).isNotNull(), F.xxhash64(comparable(f))) for f in fields]
+        keys = df.select(F.posexplode(F.array(*hashes)).alias("position", "hash"))
+        estimate = F.approx_count_distinct("hash", DISTINCT_ERROR)
+        return (
+            keys.filter("hash IS NOT NULL")
+            .groupBy("position")
+            .agg(estimate.alias("distinct_count"))
+        )
+
+    cells = []
+    for position, field in enumerate(fields):
+        h1, h2 = hash128([comparable(field)])
+        cells.append(
+            F.struct(
+                F.when(col(field.name).isNotNull(), F.lit(position)).alias("position"),
+                h1.alias("h1"),
+                h2.alias("h2"),
+            )
+        )
+    return (
+        df.select(F.inline(F.array(*cells)))
+        .filter("position IS NOT NULL")
+        .distinct()
+        .groupBy("position")
+        .agg(F.count(F.lit(1)).alias("distinct_count"))
+    )

@@ -5,9 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablewright.functions.columns import col, comparable, hash128, key_text
+from tablewright.functions.columns import (
+    col,
+    comparable,
+    hash128,
+    key_text,
+    row_struct,
+    struct_hash128,
+)
 from tablewright.functions.staging import stage
-from tablewright.operators.cuts import exact_key_cuts, key_cuts, value_cut
+from tablewright.operators.cuts import exact_key_cuts, key_cuts, value_cuts
 from tablewright.plans.split_plan import (
     GROUP,
     SPLIT_NAMES,
@@ -26,6 +33,7 @@ HELPERS = (
     "tw_h1",
     "tw_h2",
     "tw_part",
+    "tw_row",
     "tw_before",
     "tw_copy",
     "tw_rank",
@@ -95,11 +103,11 @@ def _number_copies(df: DataFrame) -> DataFrame:
     the task that read them and shifted by the counts of the tasks before, so a content that fills
     a third of the table is still spread over as many groups as there are tasks.
     """
-    h1, h2 = hash128([comparable(f) for f in df.schema.fields])
+    h1, h2 = struct_hash128("tw_row")
     rows = stage(
-        df.select(
-            "*", h1.alias("tw_h1"), h2.alias("tw_h2"), F.spark_partition_id().alias("tw_part")
-        )
+        df.withColumn("tw_row", row_struct(df.schema.fields, comparable))
+        .withColumns({"tw_h1": h1, "tw_h2": h2, "tw_part": F.spark_partition_id()})
+        .drop("tw_row")
     )
     group = ["tw_h1", "tw_h2", "tw_part"]
     earlier = (
@@ -143,7 +151,7 @@ def _by_group(df: DataFrame, plan: SplitPlan) -> DataFrame:
 def _by_time(df: DataFrame, plan: SplitPlan, key: Column) -> DataFrame:
     rows = df.count()
     field = df.schema[plan.time_column]
-    in_train, in_val = (value_cut(df, field, key, edge, rows) for edge in plan.edges(rows))
+    in_train, in_val = value_cuts(df, field, key, plan.edges(rows), rows)
     return df.withColumn(SPLIT_COLUMN, _named(in_train, in_val))
 
 
