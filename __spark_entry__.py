@@ -39,6 +39,12 @@ from tablewright.operators.quantiles import quantiles  # noqa: E402
 from tablewright.operators.scalars import distinct_counts, scalar_statistics  # noqa: E402
 from tablewright.operators.split import split_files, write_split  # noqa: E402
 
+try:  # a subpackage of its own, which nothing else needs
+    import corpus_pipeline
+    from tablewright.llm import queries as llm
+except ImportError:
+    corpus_pipeline = llm = None
+
 LINEITEM_NUMBERS = [
     "l_orderkey",
     "l_partkey",
@@ -449,10 +455,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "audit_report": audit_report,
         "csv_stats": csv_stats,
         "catalog_children": catalog_children,
+        **(llm.QUERIES | {"pipeline": corpus_pipeline.run} if llm else {}),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     from oracles import ORACLES
 
-    return ORACLES
+    if not llm:
+        return ORACLES
+    pipeline = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return ORACLES | llm.ORACLES | pipeline

@@ -2,27 +2,63 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[str] = []
+
 
 def staging_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names. Only a session without one gets a folder of its own."""
+    """The shared folder the cluster names in `spark.checkpoint.dir`.
+
+    Only a session on a local master may do without one: it gets a folder that goes with the
+    process. On a cluster a folder of one machine would be read back incomplete, so it is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "local")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(
+                "spark.checkpoint.dir names no folder; set it to one that all executors share"
+            )
         folder = tempfile.mkdtemp(prefix="tablewright-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """The same rows, read back from a written table.
+def stage(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """The same rows, read back from a table written to the staging folder, or to `folder`.
 
     It cuts the lineage, fixes whatever was not deterministic, survives the loss of executors and,
-    unlike a checkpoint, still lets later jobs read only the columns they need.
+    unlike a checkpoint, still lets later jobs read only the columns they need. The files stay
+    until `drop_staged`.
     """
-    path = f"{staging_folder(df.sparkSession)}/tablewright-{uuid.uuid4().hex}"
+    path = f"{(folder or staging_folder(df.sparkSession)).rstrip('/')}/tablewright-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession, since: int = 0) -> int:
+    """Delete what this process has staged, but for the first `since` tables; return how many.
+
+    Frames that still read those tables fail afterwards, so call it when their results are out.
+    """
+    context = spark.sparkContext
+    configuration = context._jsc.hadoopConfiguration()
+    gone = _written[since:]
+    for path in gone:
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(configuration).delete(target, True)
+    del _written[since:]
+    return len(gone)
+
+
+def staged_count() -> int:
+    """How many tables are staged now; a mark for `drop_staged`."""
+    return len(_written)
