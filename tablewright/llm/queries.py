@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm.mixing import mix
+from tablewright.llm.secret_scan import find_secrets, span_text
 from tablewright.llm.simhash_cover import near_duplicates
 from tablewright.llm.token_counts import count_tokens
+from tablewright.llm.toxicity import score_toxicity
 from tablewright.llm.url_filter import RULE_SCHEMA, judge_urls
 
 RULES = [
@@ -32,6 +34,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     judged = judge_urls(pages, spark.createDataFrame(RULES, RULE_SCHEMA))
@@ -42,6 +50,21 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    base = F.filter("secrets", lambda s: s["kind"] != "random")
+    return find_secrets(docs).select(
+        "doc_id",
+        *[_count_of(k).cast("bigint").alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(span_text(base), 256).alias("base_sha256"),
+        span_text(F.col("secrets")).alias("spans"),
+    )
+
+
+def _count_of(kind: str) -> Column:
+    return F.size(F.filter("secrets", lambda s: s["kind"] == kind))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = count_tokens(docs, tokenizer_path("byte_bpe_50k.json"))
@@ -54,8 +77,10 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_url_filter": op2_url_filter,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op6_secret_scan": op6_secret_scan,
     "op7_token_counts": op7_token_counts,
     "op9_source_mixing": op9_source_mixing,
 }
