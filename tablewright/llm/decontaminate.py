@@ -94,22 +94,22 @@ def _slot(seeds: np.ndarray) -> np.ndarray:
 
 
 def _benchmark_words(items: DataFrame, item_column: str, text_column: str) -> DataFrame:
-    """item, words, seeds and number of seeds of each item that has words; its row is its key."""
+    """which (a key), item, words and seeds of each distinct item that has words."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            words = [word_hashes(t) for t in batch["text"]]
-            yield pd.DataFrame(
-                {
-                    "item": batch["item"],
-                    "words": [w.astype(np.uint32).view(np.int32) for w in words],
-                    "seeds": [seed_hashes(w).view(np.int64) for w in words],
-                }
-            )
+    @F.pandas_udf("array<int>")
+    def short_words(text: pd.Series) -> pd.Series:
+        return pd.Series([word_hashes(t).astype(np.uint32).view(np.int32) for t in text])
+
+    @F.pandas_udf("array<bigint>")
+    def seeds(text: pd.Series) -> pd.Series:
+        return pd.Series([seed_hashes(word_hashes(t)).view(np.int64) for t in text])
 
-    named = items.select(F.col(f"`{item_column}`").alias("item"), F.col(f"`{text_column}`").alias("text"))
-    kind = named.schema["item"].dataType.simpleString()
-    return stage(named.mapInPandas(cut, f"item {kind}, words array<int>, seeds array<bigint>").filter("size(words) > 0"))
+    text = F.col(f"`{text_column}`")
+    cut = items.select(
+        F.col(f"`{item_column}`").alias("item"), short_words(text).alias("words"), seeds(text).alias("seeds")
+    )
+    keyed = cut.filter("size(words) > 0").withColumn("which", F.xxhash64(F.col("item").isNull(), "item", "words"))
+    return stage(keyed.dropDuplicates(["which"]))
 
 
 def _slot_table(known: DataFrame) -> np.ndarray:
@@ -201,7 +201,7 @@ def _aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(
             {
                 "key": batch["key"],
-                "item": batch["item"],
+                "which": batch["which"],
                 "similarity": scores / (MATCH * sizes),
                 "end": batch["first"].to_numpy() + ends,
             }
@@ -224,7 +224,7 @@ def contaminations(
     item_column: str = "item_id",
     item_text_column: str = "text",
 ) -> DataFrame:
-    """key, id, item, similarity and `end` (number of the document's word after the aligned part),
+    """key (see `row_key`), item, similarity and `end` (number of the document's word after the aligned part),
     for each document and item with an alignment of at least that similarity.
 
     Similarity is the Smith-Waterman score of the item in the document over that of an exact copy,
@@ -248,10 +248,8 @@ def contaminations(
 
     quoted = clusters.select("cluster", F.explode("seeds").alias("seed"))
     spread = quoted.groupBy("seed").agg(F.count(F.lit(1)).alias("spread"))
-    # Every row of the benchmark is its own item here; the seeds of an item are one window.
-    asked = known.select(
-        F.xxhash64("item", "words").alias("which"), "item", F.posexplode("seeds").alias("place", "seed"), F.size("seeds").alias("of")
-    )
+    # The seeds of an item are one window: as long as the item, whatever the corpus holds.
+    asked = known.select("which", F.posexplode("seeds").alias("place", "seed"), F.size("seeds").alias("of"))
     near = Window.partitionBy("which").orderBy("place").rowsBetween(-NEIGHBOURS, NEIGHBOURS)
     asked = (
         asked.join(spread, "seed")  # seeds in no document lead nowhere
@@ -266,18 +264,16 @@ def contaminations(
         .filter(F.col("rare") & (F.col("n") >= SEED_SHARE * F.col("of")))
         .select("cluster", "which")
     )
-    texts = known.select(F.xxhash64("item", "words").alias("which"), "item", F.col("words").alias("item_words"))
-    texts = texts.dropDuplicates(["which"])
+    texts = known.select("which", F.col("words").alias("item_words"))
     met = pairs.join(clusters.select("cluster", "key", "first", "words"), "cluster").join(texts, "which")
-    kind = known.schema["item"].dataType.simpleString()
     scored = (
-        met.select("key", "first", "words", "item", "item_words")
-        .mapInPandas(_aligned, f"key bigint, item {kind}, similarity double, end int")
+        met.select("key", "first", "words", "which", "item_words")
+        .mapInPandas(_aligned, "key bigint, which bigint, similarity double, end int")
         .filter(F.col("similarity") >= similarity)
+        .join(known.select("which", "item"), "which")
     )
     best = F.max(F.struct("similarity", "end"))
-    found = scored.groupBy("key", "item").agg(best.alias("best")).select("key", "item", "best.*")
-    return found
+    return scored.groupBy("key", "item").agg(best.alias("best")).select("key", "item", "best.*")
 
 
 def contaminated_documents(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
