@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tablewright.llm.chat import format_conversations, read_back
 from tablewright.llm.decontaminate import contaminated_documents
 from tablewright.llm.mixing import mix
+from tablewright.llm.paragraph_sketch import fingerprint_documents
+from tablewright.llm.repeats import remove_repeats
 from tablewright.llm.secret_scan import find_secrets, span_text
 from tablewright.llm.simhash_cover import near_duplicates
 from tablewright.llm.token_counts import count_tokens
@@ -58,6 +60,20 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    removed = F.aggregate(
+        "spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"]
+    )
+    return remove_repeats(docs, keep="none").select(
+        "doc_id",
+        F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_bytes"),
+        removed.alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     base = F.filter("secrets", lambda s: s["kind"] != "random")
@@ -94,15 +110,21 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_url_filter": op2_url_filter,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_repeat_removal": op5_repeat_removal,
     "op6_secret_scan": op6_secret_scan,
     "op7_token_counts": op7_token_counts,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_source_mixing": op9_source_mixing,
+    "op10_document_fingerprints": op10_document_fingerprints,
 }
 
 _VALUES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
