@@ -5,9 +5,40 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tablewright.functions.staging import stage
+from tablewright.llm.decontaminate import remove_contaminated
 from tablewright.llm.mixing import mix
+from tablewright.llm.secret_scan import find_secrets, redact
+from tablewright.llm.simhash_cover import drop_near_copies
+from tablewright.llm.toxicity import score_toxicity
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.7 or more go. The labels that are not held out teach the models."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return score_toxicity(docs, labels).filter("predicted = 0").select(*docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies, the document of the least id stays."""
+    return drop_near_copies(docs)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, or most of one, go."""
+    return remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mask, and n_chars follows; every document stays."""
+    text = redact(F.col("text"), F.col("secrets"))
+    found = find_secrets(docs).withColumn("text", text)
+    length = F.when(F.size("secrets") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
+    return found.withColumn("n_chars", length).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,18 +46,24 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("near_copies", drop_copies),
+    ("decontamination", drop_benchmark),
+    ("secrets", redact_secrets),
     ("mixing", mix_sources),
 ]
 
-#: SQL has neither the language models nor the alignments of the stages before the last.
+#: SQL has neither the language models nor the alignments of these stages; tests compare the
+#: stages with brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the documents, each written and read again before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, apply in STAGES:
+    for i, (_, apply) in enumerate(STAGES):
         docs = apply(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
+        if i + 1 < len(STAGES):
             docs = stage(docs)
     return docs

@@ -77,11 +77,11 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def seed_hashes(words: np.ndarray) -> np.ndarray:
-    """The hash of each run of SEED words; a text of fewer words has one, of all of them."""
+def seed_hashes(words: np.ndarray, run: int = SEED) -> np.ndarray:
+    """The hash of each run of so many words; a text of fewer words has one, of all of them."""
     if not len(words):
         return words
-    size = min(SEED, len(words))
+    size = min(run, len(words))
     found = np.zeros(len(words) - size + 1, np.uint64)
     with np.errstate(over="ignore"):
         for i in range(size):

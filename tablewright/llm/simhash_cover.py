@@ -9,6 +9,7 @@ even product with all of them, for they are fewer equations than unknowns.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.staging import stage
+from tablewright.llm.decontaminate import row_key, seed_hashes, word_hashes
 from tablewright.llm.graph import components
 
 BITS = 64
@@ -149,3 +151,161 @@ def near_duplicates(
     return each.join(nodes, "fp").select(
         F.col("id").alias(id_column), as_hex(F.col("fp")).alias("fingerprint"), "component_id"
     )
+
+
+# Near copies by similarity: more and wider fingerprints, then the texts themselves.
+
+#: Fingerprints of a text's distinct words. Texts that share four fifths of their five-word
+#: shingles differ in about five of 64 bits in each; six chances at four bits catch nearly all.
+VOTES, RADIUS = 6, 4
+SHINGLE, SIMILARITY = 5, 0.8
+#: A bucket of up to this many texts is compared pair by pair, a larger one with its leaders.
+PAIRED = 8
+#: Slots of the table that tells tasks which texts to cut into shingles.
+SLOTS = 1 << 24
+
+
+def word_fingerprints(words: np.ndarray) -> np.ndarray:
+    """VOTES fingerprints of the distinct words, each from other bits of a mix of their hashes."""
+    words = np.unique(words)
+    if not len(words):
+        return np.zeros(VOTES, np.int64)
+    out = np.empty(VOTES, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(VOTES):
+            mixed = (words ^ np.uint64(0x9E3779B97F4A7C15 * (i + 1) & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+            mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+            mixed ^= mixed >> np.uint64(29)
+            bits = np.unpackbits(mixed.view(np.uint8), bitorder="little").reshape(-1, BITS)
+            out[i] = np.packbits(bits.sum(0) * 2 > len(words), bitorder="little").view("<u8")[0]
+    return out.view(np.int64)
+
+
+def _shingles(words: np.ndarray) -> np.ndarray:
+    """Distinct shingles, as hashes of 32 bits."""
+    return np.unique(seed_hashes(words, SHINGLE).astype(np.uint32)).view(np.int32)
+
+
+def _sketched(rows: DataFrame) -> DataFrame:
+    """key, content (a hash of the words in order) and fps of rows (key, text)."""
+
+    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            words = [word_hashes(t) for t in batch["text"]]
+            yield pd.DataFrame(
+                {
+                    "key": batch["key"],
+                    "content": [xxhash.xxh3_128_hexdigest(w.tobytes()) for w in words],
+                    "fps": [word_fingerprints(w) for w in words],
+                }
+            )
+
+    return rows.mapInPandas(sketch, "key bigint, content string, fps array<bigint>")
+
+
+def _candidates(texts: DataFrame) -> DataFrame:
+    """Pairs a < b of rows (key, fps) that share a bucket and are within RADIUS bits there.
+
+    Small buckets give all pairs. In a larger one every text meets the leader, the first by an
+    order that differs from table to table: near copies share many buckets, so each text meets
+    many leaders, and links of links join the rest. No bucket is gathered anywhere.
+    """
+    masks = covering_masks(RADIUS)
+    table = F.explode(
+        F.flatten(
+            F.array(
+                *[
+                    F.array(
+                        *[
+                            F.struct(
+                                F.lit(i * len(masks) + j).alias("t"),
+                                F.lit(i).alias("i"),
+                                F.col("fps")[i].bitwiseAND(F.lit(m)).alias("bits"),
+                            )
+                            for j, m in enumerate(masks)
+                        ]
+                    )
+                    for i in range(VOTES)
+                ]
+            )
+        )
+    )
+    dealt = texts.select("key", table.alias("e")).select("key", "e.t", "e.bits")
+    lead = F.min(F.struct(F.xxhash64("key", "t").alias("order"), F.col("key").alias("leader")))
+    crowded = dealt.groupBy("t", "bits").agg(F.count(F.lit(1)).alias("n"), lead.alias("lead")).filter("n > 1")
+    met = stage(dealt.join(crowded, ["t", "bits"]).select("t", "bits", "n", "key", F.col("lead.leader").alias("leader")))
+    starred = met.filter("n = 2 or n > %d" % PAIRED).select("key", "leader")
+    small = (
+        met.filter("n > 2 and n <= %d" % PAIRED)
+        .groupBy("t", "bits")
+        .agg(F.array_sort(F.collect_list("key")).alias("keys"))
+        .select("keys")
+        .distinct()
+    )
+    paired = small.select(F.explode("keys").alias("key"), "keys").select("key", F.explode("keys").alias("leader"))
+    pairs = starred.union(paired).filter("key <> leader")
+    pairs = pairs.select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct()
+    left = texts.select(F.col("key").alias("a"), F.col("fps").alias("x"))
+    right = texts.select(F.col("key").alias("b"), F.col("fps").alias("y"))
+    apart = [F.bit_count(F.col("x")[i].bitwiseXOR(F.col("y")[i])) for i in range(VOTES)]
+    near = F.least(*apart) <= RADIUS
+    # Over all fingerprints four fifths of the shingles leave few bits apart.
+    near &= reduce(lambda p, q: p + q, apart) <= VOTES * BITS // 4
+    return pairs.join(left, "a").join(right, "b").filter(near).select("a", "b")
+
+
+def _verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose shingles have a Jaccard similarity of SIMILARITY or more."""
+    pairs = stage(pairs)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    slot = F.shiftrightunsigned("key", 40).bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot")
+    slots = np.zeros(SLOTS, bool)
+    slots[wanted.select(slot).distinct().toPandas()["slot"].to_numpy()] = True
+    table = rows.sparkSession.sparkContext.broadcast(slots)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keys = batch["key"].to_numpy()
+            chosen = table.value[(keys.view(np.uint64) >> np.uint64(40)).astype(np.int64) & (SLOTS - 1)]
+            some = batch[chosen]
+            yield pd.DataFrame(
+                {"key": some["key"], "shingles": [_shingles(word_hashes(t)) for t in some["text"]]}
+            )
+
+    sets = rows.mapInPandas(cut, "key bigint, shingles array<int>").dropDuplicates(["key"])
+    sets = stage(sets.join(wanted, "key", "left_semi"))
+    a = sets.select(F.col("key").alias("a"), F.col("shingles").alias("x"))
+    b = sets.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
+    shared = F.size(F.array_intersect("x", "y"))
+    alike = shared / (F.size("x") + F.size("y") - shared)
+    both_empty = (F.size("x") == 0) & (F.size("y") == 0)
+    return pairs.join(a, "a").join(b, "b").filter(both_empty | (alike >= SIMILARITY)).select("a", "b")
+
+
+def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One document of each group of near copies; columns as before.
+
+    Texts are the same if their words are: letters and digits, lower-cased. Others are near copies
+    if their sets of five-word shingles have a Jaccard similarity of 0.8 or more; SimHash
+    fingerprints of their words propose the pairs, by covering tables. Groups are what links reach.
+    Of a group the row of the least id stays, nulls last, and among equal ids one of its texts; of
+    repeated rows one stays. Texts without words, and null, are one group.
+    """
+    key = row_key(docs, id_column, text_column)
+    own = F.col(f"`{id_column}`")
+    rows = docs.select(key.alias("key"), F.col(f"`{text_column}`").alias("text"))
+    ids = docs.select(key.alias("key"), F.struct(own.isNull().alias("absent"), own.alias("id")).alias("rank"))
+    sketched = stage(_sketched(rows))
+    ranked = sketched.select("key", "content").join(ids, "key").distinct()
+    first = F.min(F.struct("rank", "key")).alias("first")
+    contents = stage(ranked.groupBy("content").agg(first))
+    leads = contents.select(F.col("first.key").alias("key"), "first")
+    texts = stage(sketched.join(leads, "key", "left_semi").select("key", "fps").dropDuplicates(["key"]))
+    linked = components(_verified(rows, _candidates(texts)))
+    groups = leads.join(linked, leads["key"] == linked["node"], "left").select(
+        "first", F.coalesce("component", "key").alias("component")
+    )
+    kept = stage(groups.groupBy("component").agg(F.min("first").alias("first")).select("first.key"))
+    name = "_key_" + "_".join(c for c in docs.columns if c.startswith("_key_"))
+    keyed = docs.withColumn(name, key)
+    return keyed.join(kept, keyed[name] == kept["key"], "left_semi").dropDuplicates([name]).drop(name)
