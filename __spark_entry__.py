@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
@@ -31,13 +31,17 @@ from tablewright import (  # noqa: E402
     target_proxies,
 )
 from tablewright.functions.staging import staging_folder  # noqa: E402
+from tablewright.functions.columns import json_scalar  # noqa: E402
+from tablewright.operators.charts import temporal_ranges  # noqa: E402
 from tablewright.operators.correlation import correlations_with  # noqa: E402
-from tablewright.operators.leakage import check_temporal  # noqa: E402
+from tablewright.operators.leakage import check_temporal, highest_severity  # noqa: E402
 from tablewright.operators.overlap import EXACT, GROUPS, ROUNDED, shared_counts  # noqa: E402
 from tablewright.operators.proxies import class_ranges, purities  # noqa: E402
 from tablewright.operators.quantiles import quantiles  # noqa: E402
 from tablewright.operators.scalars import distinct_counts, scalar_statistics  # noqa: E402
 from tablewright.operators.split import split_files, write_split  # noqa: E402
+from tablewright.plans.split_plan import SplitError  # noqa: E402
+from tablewright.sources.tables import InputError, format_of  # noqa: E402
 
 try:  # a subpackage of its own, which nothing else needs
     import corpus_pipeline
@@ -78,7 +82,8 @@ def schema_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def column_stats_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = profile(_table(spark, sf_dir, "lineitem").select(*LINEITEM_NUMBERS)).columns()
+    found = profile(_table(spark, sf_dir, "lineitem").select(*LINEITEM_NUMBERS))
+    columns = found.columns(statistics=["distinct"])
     return columns.select(
         "name",
         "row_count",
@@ -93,7 +98,7 @@ def column_stats_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def column_stats_of_every_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = profile(_table(spark, sf_dir, "events")).columns()
+    columns = profile(_table(spark, sf_dir, "events")).columns(statistics=["distinct"])
     return columns.select("position", "name", "dtype", "kind", "null_count", "distinct_count")
 
 
@@ -124,7 +129,7 @@ def distinct_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = [
-        five_numbers(profile(_table(spark, sf_dir, name)).columns()) for name in ("lineitem", "part")
+        five_numbers(profile(_table(spark, sf_dir, name))) for name in ("lineitem", "part")
     ]
     return found[0].unionByName(found[1]).select(
         "name", *[_rounded(c, 6) for c in ("min", "p25", "p50", "p75", "max")]
@@ -143,11 +148,8 @@ def quartiles_by_narrowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def temporal_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = [
-        profile(_table(spark, sf_dir, name)).columns().filter("kind = 'temporal'")
-        for name in ("orders", "events")
-    ]
-    return found[0].unionByName(found[1]).select("name", "min_text", "max_text")
+    found = [temporal_ranges(profile(_table(spark, sf_dir, name))) for name in ("orders", "events")]
+    return found[0].unionByName(found[1])
 
 
 def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +159,7 @@ def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def boolean_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boolean_distribution(profile(_flags(spark, sf_dir)).columns())
+    return boolean_distribution(profile(_flags(spark, sf_dir)))
 
 
 def histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,7 +187,7 @@ def _with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def missing_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars = missing_bars(profile(_with_gaps(spark, sf_dir)).columns())
+    bars = missing_bars(profile(_with_gaps(spark, sf_dir)))
     return bars.select("name", "null_count", _rounded("percent", 6))
 
 
@@ -232,13 +234,27 @@ def split_sizes_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows told apart by their place in the file, written, and counted in the files."""
     folder = _new_folder(spark)
     split_files(spark, f"{sf_dir}/lineitem.parquet", SplitPlan(), folder)
-    return split_counts(spark.read.parquet(folder))
+    return _sizes_and_sums(spark.read.parquet(folder), LINEITEM_NUMBERS)
 
 
 def split_sizes_of_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table that is nearly all copies, without a column that identifies a row."""
     df = _table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_discount")
-    return split_counts(assign(df, SplitPlan()))
+    df = df.withColumn("l_discount", F.round(F.col("l_discount") * 100).cast("int"))
+    return _sizes_and_sums(assign(df, SplitPlan()), ["l_discount"])
+
+
+def _sizes_and_sums(assigned: DataFrame, numbers: list[str]) -> DataFrame:
+    """Rows per part, and over all parts a digest of sums that each row has a share in: what is
+    lost, doubled or changed by a split shows in it."""
+    total = Window.partitionBy(F.lit(0))
+    cents = [F.sum(F.round(F.col(n) * 100).cast("bigint")) for n in numbers]
+    sums = assigned.groupBy(F.col(SPLIT_COLUMN).alias("split")).agg(
+        F.count(F.lit(1)).alias("rows"), *[c.alias(f"sum{i}") for i, c in enumerate(cents)]
+    )
+    return sums.select(
+        "split", "rows", *[F.sum(f"sum{i}").over(total).alias(f"all_{n}") for i, n in enumerate(numbers)]
+    )
 
 
 def split_written(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -310,7 +326,7 @@ def ranges_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def value_purities(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _table(spark, sf_dir, "lineitem")
-    features = [f for f in df.schema if f.name not in ("l_returnflag", "l_shipdate")]
+    features = [f for f in df.schema if f.name != "l_returnflag"]
     return purities(df, features, "l_returnflag").select("column", "values", _rounded("purity", 6))
 
 
@@ -391,7 +407,7 @@ def csv_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _new_folder(spark) + "/orders.csv"
     orders = _table(spark, sf_dir, "orders").withColumn("o_orderdate", F.to_date("o_orderdate"))
     orders.write.option("header", True).csv(folder)
-    columns = profile(read(spark, folder)).columns()
+    columns = profile(read(spark, folder), staged=True).columns(statistics=["distinct"])
     return columns.select(
         "position", "name", "dtype", "kind", "row_count", "null_count", "distinct_count", _rounded("mean")
     )
@@ -411,6 +427,254 @@ def catalog_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     return children.withColumn("split", F.substring_index("name", " ", -1)).join(sizes, "split")
 
 
+def csv_semicolon_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as CSV with semicolons: registered, profiled and split through the catalog."""
+    folder = _new_folder(spark)
+    orders = _table(spark, sf_dir, "orders").withColumn("o_orderdate", F.to_date("o_orderdate"))
+    orders.write.options(header=True, sep=";").csv(f"{folder}/orders.csv")
+    catalog = Catalog(spark, f"{folder}/catalog")
+    dataset = catalog.register(f"{folder}/orders.csv", "orders", sep=";")
+    catalog.profile(dataset)
+    found = catalog.latest_profile(dataset)
+    split_id = catalog.split(dataset, RANDOM_PLAN, f"{folder}/split", ["o_orderkey"])
+    keys = [
+        catalog.frame(row["id"]).agg(F.sum("o_orderkey").alias("keys")).withColumn("name", F.lit(row["name"]))
+        for row in catalog.children(dataset).collect()
+    ]
+    recorded = catalog.split_config(split_id)["row_counts"]
+    sums = keys[0].union(keys[1]).union(keys[2])
+    counts = F.create_map(*[F.lit(x) for pair in recorded.items() for x in pair])
+    split = F.substring_index("name", " ", -1)
+    return sums.select(
+        split.alias("split"),
+        counts[split].alias("rows"),
+        F.col("keys").alias("sum_keys"),
+        F.lit(found["column_count"]).alias("columns"),
+        F.lit(found["row_count"]).alias("profiled_rows"),
+    )
+
+
+def catalog_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two datasets, three profiles, two splits and their audits, as the catalog lists them."""
+    folder = _new_folder(spark)
+    catalog = Catalog(spark, f"{folder}/catalog")
+    events = catalog.register(f"{sf_dir}/events.parquet", "events")
+    orders = catalog.register(f"{sf_dir}/orders.parquet", "orders")
+    small = ProfileOptions(max_columns=1, max_histograms=0, max_categorical=0)
+    profiles = [catalog.profile(d, small) for d in (events, orders, events)]
+    plans = (SplitPlan("random", 0.6, 0.2, 0.2, group_column="user_id"), GROUP_PLAN)
+    splits = [catalog.split(events, p, f"{folder}/{i}", ["event_id"]) for i, p in enumerate(plans)]
+    reports = [catalog.audit(s, "event_type") for s in splits]
+    datasets = catalog.datasets().collect()
+    rows = [("dataset", f"{i} {d['name']}", d["row_count_estimate"]) for i, d in enumerate(datasets) if not d["parent_dataset_id"]]
+    rows += [("profile", "profiles of events", catalog.profiles(events).count())]
+    rows += [("profile", "latest is the last", int(catalog.latest_profile(events)["id"] == profiles[2]))]
+    rows += [("profile", "rows of orders", catalog.latest_profile(orders)["row_count"])]
+    rows += [("split", s["strategy"], s["row_counts"]["train"]) for s in catalog.splits(events).collect() if s["strategy"] == "random"]
+    rows += [("split", "newest first", int([s["id"] for s in catalog.splits(events).collect()] == splits[::-1]))]
+    for split_id, report_id in zip(splits, reports):
+        latest, config = catalog.latest_report(split_id), catalog.split_config(split_id)
+        rows.append(("report", f"{config['strategy']} {latest['highest_severity']}", int(latest["id"] == report_id)))
+    child = catalog.split_config(splits[0])["test_dataset_id"]
+    rows += [("lineage", r["name"], r["depth"]) for r in catalog.lineage(child).collect()]
+    return spark.createDataFrame(rows, "part string, name string, value bigint")
+
+
+def formats_and_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders under several names: read by extension, or refused with a reason."""
+    folder = _new_folder(spark)
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    orders.write.parquet(f"{folder}/a.PQ")
+    orders.write.parquet(f"{folder}/b.xlsx")
+    orders.write.option("header", True).csv(f"{folder}/c.Csv")
+    orders.write.option("header", True).csv(f"{folder}/d.parquet")
+    rows = []
+    for name in ("a.PQ", "b.xlsx", "c.Csv", "d.parquet", "missing.csv"):
+        try:
+            read_rows = read(spark, f"{folder}/{name}").count()
+        except InputError:
+            read_rows = None
+        rows.append((name, format_of(name), read_rows))
+    return spark.createDataFrame(rows, "name string, format string, rows bigint")
+
+
+def json_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values as JSON can carry them: no NaN or infinity, dates and times as ISO text."""
+    orders = _table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        "o_orderdate",
+        F.to_date("o_orderdate").alias("day"),
+        F.when(F.col("o_orderkey") % 3 == 0, float("nan"))
+        .when(F.col("o_orderkey") % 3 == 1, float("-inf"))
+        .otherwise(F.col("o_totalprice"))
+        .alias("price"),
+        F.encode("o_orderpriority", "utf-8").alias("raw"),
+    )
+    return orders.select(*[json_scalar(F.col(f.name), f.dataType).alias(f.name) for f in orders.schema])
+
+
+def summary_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON document of a profile of events, taken apart."""
+    summary = profile(_table(spark, sf_dir, "events")).summary()
+    rows = [
+        (
+            c["name"],
+            c["kind"],
+            summary["row_count"],
+            c["null_count"],
+            c["distinct_count"],
+            sum(b["count"] for b in c["histogram"]) if "histogram" in c else None,
+            c["top_values"][0]["count"] if "top_values" in c else None,
+        )
+        for c in summary["columns"]
+    ]
+    return spark.createDataFrame(
+        rows,
+        "name string, kind string, row_count bigint, null_count bigint, distinct_count bigint, "
+        "in_histogram bigint, top_count bigint",
+    )
+
+
+def profile_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """250 derived columns, none of them left out."""
+    line = _table(spark, sf_dir, "lineitem")
+    wide = line.select(*[(F.col("l_quantity") * (i % 50 + 1) + F.col("l_linenumber") * i).alias(f"v{i:03d}") for i in range(250)])
+    columns = profile(wide).columns(statistics=())
+    return columns.select("name", "row_count", "null_count", "min", "max", _rounded("mean", 6))
+
+
+def distinct_exact_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct counts of over a million rows are counted, not estimated."""
+    line = _table(spark, sf_dir, "lineitem").select(
+        F.explode(F.sequence(F.lit(0), F.lit(19))).alias("copy"), "l_orderkey", "l_partkey", "l_extendedprice"
+    )
+    large = line.select(
+        (F.col("l_orderkey") * 20 + F.col("copy")).alias("order_copy"),
+        (F.col("l_partkey") + F.col("copy")).alias("shifted"),
+        (F.col("l_extendedprice") * (F.col("copy") % 3)).alias("price"),
+    )
+    return profile(large).columns(statistics=["distinct"]).select("name", "distinct_count", "distinct_exact")
+
+
+def correlation_clustered_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where y is known x lies in a small cluster far from its mean."""
+    far = F.col("l_linenumber") > 4
+    df = _table(spark, sf_dir, "lineitem").select(
+        F.when(far, F.col("l_quantity") + 1e7).otherwise(F.col("l_tax")).alias("x"),
+        F.when(far, F.col("l_quantity") * 3 - 2).alias("y"),
+        F.when(far, F.col("l_quantity") + F.col("l_discount") * 100).alias("z"),
+    )
+    return profile(df).correlations().select("row_name", "column_name", _rounded("r", 6))
+
+
+def _timed(column: Callable[[], Column]) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = _table(spark, sf_dir, "events").select("event_id", column().alias("at"))
+        plan = SplitPlan("time_based", 0.6, 0.2, 0.2, time_column="at")
+        return assign(df, plan, ["event_id"]).select("event_id", F.col(SPLIT_COLUMN).alias("split"))
+
+    return query
+
+
+def _times() -> dict[str, Callable[[], Column]]:
+    """Columns of events that order rows in another way than time stamps do."""
+    mixed = "event_id * 7919 % 4001"
+    largest = (1 << 63) - 1
+    return {
+        "decimal": lambda: F.expr(f"cast(({mixed} - 2000) as decimal(20,0)) * cast('0.000000000000000001' as decimal(18,18))"),
+        "text": lambda: F.concat(F.lit("a"), F.repeat(F.lit("\0"), F.expr(f"cast({mixed} % 40 as int)"))),
+        "bigint": lambda: F.expr(f"if({mixed} % 2 = 0, {largest} - {mixed}, {mixed} - {largest})"),
+        "interval": lambda: F.expr(f"make_dt_interval(0, 0, 0, {mixed} - 2000.25)"),
+    }
+
+
+def split_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same seed twice and another one: how many orders are in the same part."""
+    orders = _table(spark, sf_dir, "orders")
+    parts = [
+        assign(orders, SplitPlan(seed=seed), ["o_orderkey"]).select("o_orderkey", F.col(SPLIT_COLUMN).alias(f"s{i}"))
+        for i, seed in enumerate((7, 7, 8))
+    ]
+    joined = parts[0].join(parts[1], "o_orderkey").join(parts[2], "o_orderkey")
+    return joined.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.col("s0") == F.col("s1")).alias("same_seed"),
+        F.count_if(F.col("s0") == F.col("s2")).alias("other_seed"),
+    )
+
+
+def split_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of the files of a split: those of the table and no others."""
+    folder = _new_folder(spark)
+    folders = write_split(assign(_table(spark, sf_dir, "orders"), RANDOM_PLAN, ["o_orderkey"]), folder)
+    rows = [(name, c) for name, path in folders.items() for c in spark.read.parquet(path).columns]
+    return spark.createDataFrame(rows, "split string, column string")
+
+
+def split_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans that orders can't be split by, and the number of their faults; rows of the one that works."""
+    orders = _table(spark, sf_dir, "orders")
+    plans = {
+        "shares": SplitPlan(train=0.5, val=0.2, test=0.2),
+        "empty train": SplitPlan(train=0.0, val=0.2, test=0.8),
+        "no column": SplitPlan("group"),
+        "unknown column": SplitPlan("time_based", time_column="shipped"),
+        "everything": SplitPlan("other", train=0.0, val=-0.5, test=1.0, target_column="nope"),
+        "fine": RANDOM_PLAN,
+    }
+    rows = []
+    for name, plan in plans.items():
+        try:
+            rows.append((name, 0, assign(orders, plan, ["o_orderkey"]).count()))
+        except SplitError:
+            rows.append((name, len(plan.problems(orders.columns)), None))
+    return spark.createDataFrame(rows, "plan string, faults int, rows bigint")
+
+
+def audit_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """130 columns, of which the last is the target and another one ends in a telling name."""
+    orders = _table(spark, sf_dir, "orders")
+    hashes = [F.pmod(F.col("o_orderkey") * (2 * i + 3), F.lit(97)).alias(f"c{i:03d}") for i in range(128)]
+    wide = orders.select(F.col("o_totalprice").alias("target"), *hashes, (F.col("o_custkey") % 89).alias("score_final"), F.col("o_totalprice").alias("again"))
+    report = audit(wide.filter("c000 < 60"), wide.filter("c000 >= 60"), "target")
+    return report.filter("check IN ('target_proxy', 'post_outcome_names')").select(
+        "check", "severity", F.concat_ws(",", "columns").alias("columns")
+    )
+
+
+def row_overlap_widened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test has a third of the rows of train, with wider types and other column order."""
+    orders = _table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("int").alias("o_orderkey"),
+        F.col("o_custkey").cast("int").alias("o_custkey"),
+        F.to_date("o_orderdate").alias("day"),
+        "o_orderstatus",
+    )
+    test = orders.filter("o_orderkey % 3 = 0").select(
+        "o_orderstatus",
+        F.col("day").cast("timestamp_ntz").alias("day"),
+        F.col("o_custkey").cast("decimal(20,0)").alias("o_custkey"),
+        F.col("o_orderkey").cast("bigint").alias("o_orderkey"),
+    )
+    counts = shared_counts(orders, test, 3, "o_custkey")
+    return spark.createDataFrame([(counts[EXACT], counts[GROUPS])], "shared_rows bigint, shared_groups bigint")
+
+
+def audit_severities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The worst severity of the audits of three splits of events."""
+    rows = []
+    for plan in (TIME_PLAN, RANDOM_PLAN, GROUP_PLAN):
+        train, test = (
+            half.select("ts", "user_id", "value", "event_type")
+            for half in _halves(spark, sf_dir, "events", plan, "event_id")
+        )
+        report = audit(
+            train, test, "value", strategy=plan.strategy, time_column=plan.time_column, group_column=plan.group_column
+        )
+        rows.append((plan.strategy, highest_severity(report)))
+    return spark.createDataFrame(rows, "strategy string, severity string")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Per-column statistics of lineitem."""
     return profile(_table(spark, "/root/testdata/sf0.001", "lineitem")).columns()
@@ -454,6 +718,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "group_leak": group_leak,
         "audit_report": audit_report,
         "csv_stats": csv_stats,
+        "csv_semicolon_cycle": csv_semicolon_cycle,
+        "catalog_walk": catalog_walk,
+        "formats_and_refusals": formats_and_refusals,
+        "json_scalars": json_scalars,
+        "summary_document": summary_document,
+        "profile_wide": profile_wide,
+        "distinct_exact_large": distinct_exact_large,
+        "correlation_clustered_gaps": correlation_clustered_gaps,
+        **{f"split_time_by_{name}": _timed(column) for name, column in _times().items()},
+        "split_seeds": split_seeds,
+        "split_columns": split_columns,
+        "split_refusals": split_refusals,
+        "audit_wide": audit_wide,
+        "row_overlap_widened": row_overlap_widened,
+        "audit_severities": audit_severities,
         "catalog_children": catalog_children,
         **(llm.QUERIES | {"pipeline": corpus_pipeline.run} if llm else {}),
     }

@@ -198,15 +198,106 @@ GROUPED_EVENTS = f"""
      ) assigned ON events.user_id IS NOT DISTINCT FROM assigned.user_id)"""
 
 
-def exact_sizes(table: str, train: str, val: str) -> str:
-    total = f"(SELECT count(*) AS n FROM {table})"
+def exact_sizes(table: str, train: str, val: str, sums: dict[str, str]) -> str:
+    """Sizes of the parts, and what the parts together must add up to."""
+    cents = ", ".join(f"sum(round({e} * 100)::BIGINT)::BIGINT AS all_{name}" for name, e in sums.items())
+    names = ", ".join(f"all_{name}" for name in sums)
+    total = f"(SELECT count(*) AS n, {cents} FROM {table})"
     return (
-        f"SELECT 'train' AS split, floor(n * {train})::BIGINT AS rows FROM {total} "
-        f"UNION ALL SELECT 'val', (floor(n * {val}) - floor(n * {train}))::BIGINT FROM {total} "
-        f"UNION ALL SELECT 'test', (n - floor(n * {val}))::BIGINT FROM {total}"
+        f"SELECT 'train' AS split, floor(n * {train})::BIGINT AS rows, {names} FROM {total} "
+        f"UNION ALL SELECT 'val', (floor(n * {val}) - floor(n * {train}))::BIGINT, {names} FROM {total} "
+        f"UNION ALL SELECT 'test', (n - floor(n * {val}))::BIGINT, {names} FROM {total}"
     )
 
 
+MIXED = "(event_id * 7919 % 4001)"
+LARGEST = str((1 << 63) - 1)
+TIMES = {
+    "decimal": MIXED,
+    "text": f"{MIXED} % 40",
+    "bigint": f"CASE WHEN {MIXED} % 2 = 0 THEN {LARGEST}::HUGEINT - {MIXED} ELSE {MIXED} - {LARGEST}::HUGEINT END",
+    "interval": MIXED,
+}
+
+
+def split_by(seed: str) -> str:
+    return ranked("orders", digest("o_orderkey", seed), "", "0.7", "0.85")
+
+
+def wide_profile() -> str:
+    return union(
+        f"SELECT 'v{i:03d}' AS name, count(*) AS row_count, 0::BIGINT AS null_count, min(v) AS min, max(v) AS max, "
+        f"{r('avg(v)', 6)} AS mean FROM (SELECT l_quantity * {i % 50 + 1} + l_linenumber * {i} AS v FROM lineitem)"
+        for i in range(250)
+    )
+
+
+def wide_audit() -> str:
+    """The target's copy is linear in it; whether another column is, is worked out here, too."""
+    hashes = {f"c{i:03d}": f"(o_orderkey * {2 * i + 3} % 97)" for i in range(128)}
+    hashes |= {"score_final": "(o_custkey % 89)", "again": "o_totalprice"}
+    train = f"(SELECT * FROM orders WHERE {hashes['c000']} < 60)"
+    signals = union(
+        f"SELECT {i} AS place, '{name}' AS name, "
+        f"abs(corr({e}::DOUBLE, o_totalprice)) >= 0.98 AS linear FROM {train}"
+        for i, (name, e) in enumerate(hashes.items())
+    )
+    pure = union(
+        f"SELECT {i} AS place, '{name}' AS name, count(*) AS vals, "
+        f"sum(CASE WHEN low = high THEN n ELSE 0 END) / sum(n) AS purity, sum(n) AS n "
+        f"FROM (SELECT {e} AS v, count(*) AS n, min(o_totalprice) AS low, max(o_totalprice) AS high FROM {train} GROUP BY 1)"
+        for i, (name, e) in enumerate(hashes.items())
+    )
+    return f"""
+        SELECT 'target_proxy' AS "check", CASE WHEN count(*) > 0 THEN 'critical' ELSE 'info' END AS severity,
+               coalesce(string_agg(name, ',' ORDER BY place), '') AS columns
+        FROM ({signals}) JOIN ({pure}) USING (place, name)
+        WHERE linear OR (vals <= 0.5 * n AND purity >= 0.99)
+        UNION ALL SELECT 'post_outcome_names', 'warning', 'score_final'"""
+
+
+def summary_rows() -> str:
+    parts = []
+    for name, (_, kind) in EVENTS.items():
+        histogram = f"count({name})" if kind == "numeric" else "NULL::BIGINT"
+        tops = (
+            f"(SELECT max(n) FROM (SELECT count(*) AS n FROM events WHERE {name} IS NOT NULL GROUP BY {name}))"
+            if kind == "categorical"
+            else "NULL::BIGINT"
+        )
+        parts.append(
+            f"SELECT '{name}' AS name, '{kind}' AS kind, count(*) AS row_count, "
+            f"count(*) - count({name}) AS null_count, count(DISTINCT {name}) AS distinct_count, "
+            f"{histogram} AS in_histogram, {tops} AS top_count FROM events"
+        )
+    return union(parts)
+
+
+CLUSTERED = """
+    (SELECT CASE WHEN l_linenumber > 4 THEN l_quantity + 1e7 ELSE l_tax END AS x,
+            CASE WHEN l_linenumber > 4 THEN l_quantity * 3 - 2 END AS y,
+            CASE WHEN l_linenumber > 4 THEN l_quantity + l_discount * 100 END AS z FROM lineitem)"""
+
+
+def clustered() -> str:
+    """Pearson's r about the means of the common rows, from its definition."""
+    pairs = union(
+        f"SELECT '{a}' AS row_name, '{b}' AS column_name, "
+        f"{r('sum((p - mp) * (q - mq)) / sqrt(sum((p - mp) ** 2) * sum((q - mq) ** 2))', 6)} AS r "
+        f"FROM (SELECT {a} AS p, {b} AS q, avg({a}) OVER () AS mp, avg({b}) OVER () AS mq "
+        f"FROM {CLUSTERED} WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"
+        for a in "xyz"
+        for b in "xyz"
+        if a != b
+    )
+    ones = union(f"SELECT '{c}' AS row_name, '{c}' AS column_name, 1.0::DOUBLE AS r" for c in "xyz")
+    return union([pairs, ones])
+
+
+ORDER_COLUMNS = list(ORDERS)
+RANDOM_6 = ranked("events", digest("event_id"), "", "0.6", "0.8")
+
+
 # Audit
 
 
@@ -289,7 +380,7 @@ def value_purities() -> str:
             FROM (SELECT count(*) AS n, count(DISTINCT l_returnflag) AS targets FROM lineitem
                   WHERE {c} IS NOT NULL GROUP BY {c})"""
         for c in LINEITEM
-        if c not in ("l_returnflag", "l_shipdate")
+        if c != "l_returnflag"
     )
 
 
@@ -366,7 +457,7 @@ ORACLES = {
     ),
     "profile_overview": f"""
         SELECT count(*) AS row_count, {len(LINEITEM)} AS column_count,
-               count(*) <= 1000000 AS distinct_exact, FALSE AS truncated_columns,
+               TRUE AS distinct_exact, FALSE AS truncated_columns,
                TRUE AS truncated_histograms, FALSE AS truncated_top_values,
                FALSE AS truncated_correlations FROM lineitem""",
     "distinct_estimates": union(
@@ -412,8 +503,70 @@ ORACLES = {
         SELECT split, count(*) AS rows,
                {r('count(*) / (SELECT count(*) FROM orders)::DOUBLE', 6)} AS share
         FROM {RANDOM_ORDERS} GROUP BY split""",
-    "split_sizes_of_files": exact_sizes("lineitem", "0.7", "0.85"),
-    "split_sizes_of_copies": exact_sizes("lineitem", "0.7", "0.85"),
+    "split_sizes_of_files": exact_sizes("lineitem", "0.7", "0.85", {c: c for c in LINEITEM_NUMBERS}),
+    "split_sizes_of_copies": exact_sizes(
+        "lineitem", "0.7", "0.85", {"l_discount": "round(l_discount * 100)::INTEGER"}
+    ),
+    **{
+        f"split_time_by_{name}": "SELECT event_id, split FROM "
+        + ranked("events", f"{order}, {digest('event_id', '')}", "", "0.6", "0.8")
+        for name, order in TIMES.items()
+    },
+    "split_seeds": f"""
+        SELECT count(*) AS rows, count(*) AS same_seed, count(*) FILTER (WHERE a.split = b.split) AS other_seed
+        FROM {split_by("7")} a JOIN {split_by("8")} b USING (o_orderkey)""",
+    "split_columns": union(
+        f"SELECT '{split}' AS split, '{c}' AS \"column\"" for split in ("train", "val", "test") for c in ORDER_COLUMNS
+    ),
+    "split_refusals": """
+        SELECT * FROM (VALUES ('shares', 1::INTEGER, NULL::BIGINT), ('empty train', 1, NULL), ('no column', 1, NULL),
+                              ('unknown column', 1, NULL), ('everything', 5, NULL)) refused(plan, faults, rows)
+        UNION ALL SELECT 'fine', 0, count(*) FROM orders""",
+    "audit_wide": wide_audit(),
+    "row_overlap_widened": """
+        SELECT count(DISTINCT (o_orderkey, o_custkey, o_orderdate::DATE, o_orderstatus)) AS shared_rows,
+               count(DISTINCT o_custkey) AS shared_groups
+        FROM orders WHERE o_orderkey % 3 = 0""",
+    "audit_severities": "SELECT * FROM (VALUES ('time_based', 'info'), ('random', 'warning'), ('group', 'warning')) t(strategy, severity)",
+    "csv_semicolon_cycle": f"""
+        SELECT split, count(*) AS rows, sum(o_orderkey)::BIGINT AS sum_keys, 6 AS columns,
+               (SELECT count(*) FROM orders) AS profiled_rows
+        FROM {RANDOM_ORDERS} GROUP BY split""",
+    "catalog_walk": """
+        SELECT 'dataset' AS part, '6 orders' AS name, count(*) AS value FROM orders
+        UNION ALL SELECT 'dataset', '7 events', count(*) FROM events
+        UNION ALL SELECT 'profile', 'profiles of events', 2
+        UNION ALL SELECT 'profile', 'latest is the last', 1
+        UNION ALL SELECT 'profile', 'rows of orders', count(*) FROM orders
+        UNION ALL SELECT 'split', 'random', floor(count(*) * 0.6)::BIGINT FROM events
+        UNION ALL SELECT 'split', 'newest first', 1
+        UNION ALL SELECT 'report', 'random critical', 1
+        UNION ALL SELECT 'report', 'group warning', 1
+        UNION ALL SELECT 'lineage', 'events · test', 0
+        UNION ALL SELECT 'lineage', 'events', 1""",
+    "formats_and_refusals": """
+        SELECT 'a.PQ' AS name, 'parquet' AS format, count(*) AS rows FROM orders
+        UNION ALL SELECT 'b.xlsx', NULL, NULL
+        UNION ALL SELECT 'c.Csv', 'csv', count(*) FROM orders
+        UNION ALL SELECT 'd.parquet', 'parquet', NULL
+        UNION ALL SELECT 'missing.csv', 'csv', NULL""",
+    "json_scalars": f"""
+        SELECT o_orderkey, {iso("o_orderdate")} AS o_orderdate, strftime(o_orderdate::DATE, '%Y-%m-%d') AS day,
+               CASE WHEN o_orderkey % 3 = 2 THEN o_totalprice END AS price,
+               lower(hex(encode(o_orderpriority))) AS raw
+        FROM orders""",
+    "summary_document": summary_rows(),
+    "profile_wide": wide_profile(),
+    "distinct_exact_large": union(
+        f"SELECT '{name}' AS name, count(DISTINCT {e}) AS distinct_count, TRUE AS distinct_exact "
+        "FROM lineitem CROSS JOIN range(20) c(copy)"
+        for name, e in (
+            ("order_copy", "l_orderkey * 20 + copy"),
+            ("shifted", "l_partkey + copy"),
+            ("price", "l_extendedprice * (copy % 3)"),
+        )
+    ),
+    "correlation_clustered_gaps": clustered(),
     "split_written": f"""
         SELECT split, o_orderstatus, count(*) AS rows, sum(o_orderkey)::BIGINT AS sum_keys
         FROM {STRATIFIED_ORDERS} GROUP BY ALL""",

@@ -209,8 +209,8 @@ def _tied_cut(
 def _levels(field: T.StructField) -> Iterator[Column]:
     """Numbers that order like the column, most significant first.
 
-    One is enough for whole numbers and points in time. Text is read seven bytes at a time, for as
-    long as the cut falls among texts that agree so far.
+    One is enough for whole numbers, points in time and intervals. Text, and decimals written as
+    text, are read seven bytes at a time, as long as the cut falls among texts that agree so far.
     """
     data_type = field.dataType
     value = col(field.name)
@@ -225,19 +225,43 @@ def _levels(field: T.StructField) -> Iterator[Column]:
         )
         yield value.cast("double")
     elif isinstance(data_type, T.DecimalType):
-        yield F.floor(value).cast("bigint")
-        yield ((value - F.floor(value)) * F.lit(10**15)).cast("bigint")
+        yield from _text_levels(_decimal_text(value, data_type))
     elif isinstance(data_type, T.StringType):
-        raw = F.encode(value, "utf-8")
-        start = 1
-        while True:
-            # A shorter text is padded with zeros and sorts first, as it does in Spark.
-            piece = F.rpad(F.hex(F.substring(raw, start, TEXT_STEP)), 2 * TEXT_STEP, "0")
-            yield F.conv(piece, 16, 10).cast("bigint")
-            start += TEXT_STEP
+        yield from _text_levels(value)
+    elif isinstance(data_type, T.DayTimeIntervalType):
+        whole = value.cast("interval day to second")
+        day, hour, minute, second = (F.extract(F.lit(p), whole) for p in ("DAY", "HOUR", "MINUTE", "SECOND"))
+        minutes = (day.cast("bigint") * 24 + hour) * 60 + minute
+        yield minutes * 60_000_000 + (second * 1_000_000).cast("bigint")
+    elif isinstance(data_type, T.YearMonthIntervalType):
+        whole = value.cast("interval year to month")
+        yield F.extract(F.lit("YEAR"), whole).cast("bigint") * 12 + F.extract(F.lit("MONTH"), whole)
     elif isinstance(data_type, (T.IntegralType, T.DateType, T.TimestampType, T.TimestampNTZType)):
         yield ordinal(field).cast("bigint")
     elif isinstance(data_type, T.BooleanType):
         yield value.cast("int").cast("bigint")
     else:
         raise SplitError(f"'{field.name}' of type {data_type.simpleString()} cannot order rows")
+
+
+def _text_levels(value: Column) -> Iterator[Column]:
+    """Seven bytes of a text at a time, then how many of them it has: a text that ends comes before
+    one that goes on, even with bytes of zero."""
+    raw = F.encode(value, "utf-8")
+    start = 1
+    while True:
+        piece = F.substring(raw, start, TEXT_STEP)
+        number = F.conv(F.rpad(F.hex(piece), 2 * TEXT_STEP, "0"), 16, 10).cast("bigint")
+        yield number * (TEXT_STEP + 1) + F.octet_length(piece)
+        start += TEXT_STEP
+
+
+def _decimal_text(value: Column, data_type: T.DecimalType) -> Column:
+    """A text that sorts as the decimals do: all digits, those of negative numbers complemented."""
+    whole, scale = data_type.precision - data_type.scale, data_type.scale
+    plain = F.abs(value).cast("string")
+    parts = F.split(plain, r"\.")
+    fraction = F.coalesce(F.get(parts, 1), F.lit(""))
+    digits = F.concat(F.lpad(parts[0], max(1, whole), "0"), F.rpad(fraction, max(1, scale), "0"))
+    complement = F.translate(digits, "0123456789", "9876543210")
+    return F.when(value < 0, F.concat(F.lit("-"), complement)).otherwise(F.concat(F.lit("0"), digits))

@@ -1,8 +1,14 @@
-"""Audit of a split: does the training part hold what it must not know?"""
+"""Audit of a split: does the training part hold what it must not know?
+
+Measuring and judging are apart. `audit` measures everything in a few jobs; `VERDICTS` says, for
+each check, which measurements are how severe and in which words. The first rule that holds decides.
+"""
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, types as T
 from pyspark.sql import functions as F
@@ -10,10 +16,11 @@ from pyspark.sql import functions as F
 from tablewright.functions.columns import col
 from tablewright.functions.kinds import is_point_in_time
 from tablewright.operators.overlap import EXACT, GROUPS, ROUNDED, shared_counts
-from tablewright.operators.proxies import target_proxies
+from tablewright.operators.proxies import audited_features, separable, target_proxies
 from tablewright.plans.options import POST_OUTCOME_PATTERNS, AuditOptions
 from tablewright.plans.split_plan import RANDOM, TIME_BASED
 
+# Severities, check ids and detail keys.
 INFO, WARNING, CRITICAL = "info", "warning", "critical"
 SEVERITY_RANK = {INFO: 0, WARNING: 1, CRITICAL: 2}
 
@@ -29,27 +36,183 @@ REPORT_SCHEMA = T.StructType(
     ]
 )
 
-TITLES = {
-    "target_proxy": "Columns that stand in for the target",
-    "row_overlap": "Rows repeated in train and test",
-    "near_duplicates": "Near duplicates across train and test",
-    "temporal_leak": "Leak through time",
-    "group_leak": "Leak through groups",
-    "pipeline_contamination": "Contamination of the feature pipeline",
-    "post_outcome_names": "Column names that suggest a later outcome",
+
+@dataclass
+class Measured:
+    """What the audit found out, before anything is judged."""
+
+    proxies: list = field(default_factory=list)
+    unaudited: list[str] = field(default_factory=list)
+    unseparated: bool = False
+    shared: dict[str, int] = field(default_factory=dict)
+    decimals: int = 0
+    group: str | None = None
+    time: str | None = None
+    by_time: bool = False
+    dates: list[str] = field(default_factory=list)
+    train_end: str | None = None
+    test_start: str | None = None
+    in_order: bool | None = None
+    late_names: list[str] = field(default_factory=list)
+
+    @property
+    def nearly_shared(self) -> int:
+        return max(0, self.shared[ROUNDED] - self.shared[EXACT])
+
+    @property
+    def limits(self) -> dict:
+        """What the checks of single columns did not look at."""
+        skipped = {"not_audited": ", ".join(self.unaudited)} if self.unaudited else {}
+        return skipped | ({"threshold_separation": "not applicable"} if self.unseparated else {})
+
+
+@dataclass(frozen=True)
+class Rule:
+    applies: Callable[[Measured], bool]
+    severity: str | Callable[[Measured], str]
+    says: Callable[[Measured], str]
+    columns: Callable[[Measured], list[str]] = lambda m: []
+    details: Callable[[Measured], dict] = lambda m: {}
+
+
+def _always(m: Measured) -> bool:
+    return True
+
+
+def _edges(m: Measured) -> dict:
+    return {"max_train": m.train_end, "min_test": m.test_start}
+
+
+VERDICTS: dict[str, tuple[str, tuple[Rule, ...]]] = {
+    "target_proxy": (
+        "Target in disguise",
+        (
+            Rule(
+                lambda m: m.proxies,
+                CRITICAL,
+                lambda m: f"Knowing {len(m.proxies)} of the columns is as good as knowing the target. Find out "
+                "where they come from before training on them.",
+                lambda m: [p["column"] for p in m.proxies],
+                lambda m: {
+                    p["column"]: json.dumps({"signal": p["signal"], "value": p["value"]}) for p in m.proxies
+                }
+                | m.limits,
+            ),
+            Rule(_always, INFO, lambda m: "None of the audited columns gives the target away.", details=lambda m: m.limits),
+        ),
+    ),
+    "row_overlap": (
+        "Rows on both sides",
+        (
+            Rule(
+                lambda m: m.shared[EXACT],
+                CRITICAL,
+                lambda m: f"{m.shared[EXACT]} different rows of test were there in training too; a score "
+                "on them measures memory.",
+                details=lambda m: {"shared_rows": m.shared[EXACT]},
+            ),
+            Rule(_always, INFO, lambda m: "The sides have no row in common."),
+        ),
+    ),
+    "near_duplicates": (
+        "Rows that rounding makes equal",
+        (
+            Rule(
+                lambda m: m.nearly_shared,
+                WARNING,
+                lambda m: f"With {m.decimals} decimals, {m.nearly_shared} more rows are on both sides. Check "
+                "whether something was recorded twice.",
+                details=lambda m: {"near_duplicates": m.nearly_shared, "exact_duplicates": m.shared[EXACT]},
+            ),
+            Rule(_always, INFO, lambda m: "Rounding brings no further rows together."),
+        ),
+    ),
+    "temporal_leak": (
+        "Order in time",
+        (
+            Rule(
+                lambda m: m.time is None and m.dates,
+                WARNING,
+                lambda m: "The table has times, the split was made without them. Forecasts would be "
+                "trained on days after those they are tested on.",
+                lambda m: m.dates,
+            ),
+            Rule(lambda m: m.time is None, INFO, lambda m: "No column holds points in time: nothing to check."),
+            Rule(
+                lambda m: m.in_order is None,
+                INFO,
+                lambda m: "One of the sides has no times to compare.",
+                lambda m: [m.time],
+            ),
+            Rule(
+                lambda m: m.in_order,
+                INFO,
+                lambda m: f"Training stops at {m.train_end}, before test begins at {m.test_start}.",
+                lambda m: [m.time],
+                _edges,
+            ),
+            Rule(
+                _always,
+                lambda m: CRITICAL if m.by_time else WARNING,
+                lambda m: f"Training runs on to {m.train_end} although test begins at {m.test_start}.",
+                lambda m: [m.time],
+                _edges,
+            ),
+        ),
+    ),
+    "group_leak": (
+        "Groups on both sides",
+        (
+            Rule(lambda m: m.group is None, INFO, lambda m: "No column was named that groups rows: nothing to check."),
+            Rule(
+                lambda m: m.shared[GROUPS],
+                CRITICAL,
+                lambda m: f"'{m.group}' has {m.shared[GROUPS]} groups with rows on both sides, so test asks "
+                "about old acquaintances.",
+                lambda m: [m.group],
+                lambda m: {"shared_groups": m.shared[GROUPS]},
+            ),
+            Rule(_always, INFO, lambda m: f"Each group of '{m.group}' is on one side.", lambda m: [m.group]),
+        ),
+    ),
+    "pipeline_contamination": (
+        "Steps fitted on more than train",
+        (Rule(_always, INFO, lambda m: "Not applicable: there are no fitted feature steps to look into."),),
+    ),
+    "post_outcome_names": (
+        "Names of things known later",
+        (
+            Rule(
+                lambda m: m.late_names,
+                WARNING,
+                lambda m: "Going by their names, these columns get their values once the outcome is there. "
+                "Someone who knows the data should confirm or deny it.",
+                lambda m: m.late_names,
+                lambda m: {k: v for k, v in m.limits.items() if k == "not_audited"},
+            ),
+            Rule(
+                _always,
+                INFO,
+                lambda m: "No name of an audited column points to a later moment.",
+                details=lambda m: {k: v for k, v in m.limits.items() if k == "not_audited"},
+            ),
+        ),
+    ),
 }
 
 
-def _check(
-    check: str, severity: str, message: str, columns: tuple | list = (), details: dict | None = None
-) -> dict:
+def judge(check: str, m: Measured) -> dict:
+    """The row of a check: the first of its rules that applies."""
+    title, rules = VERDICTS[check]
+    rule = next(r for r in rules if r.applies(m))
+    severity = rule.severity if isinstance(rule.severity, str) else rule.severity(m)
     return {
         "check": check,
-        "title": TITLES[check],
+        "title": title,
         "severity": severity,
-        "message": message,
-        "columns": list(columns),
-        "details": {k: str(v) for k, v in (details or {}).items()},
+        "message": rule.says(m),
+        "columns": list(rule.columns(m)),
+        "details": {k: str(v) for k, v in rule.details(m).items()},
     }
 
 
@@ -66,148 +229,59 @@ def audit(
     """The seven checks, one row each, also for those that passed or do not apply.
 
     It looks at the two frames it is given, not at how they were meant to be split. `strategy`,
-    `time_column` and `group_column` say what was declared about them.
+    `time_column` and `group_column` say what was declared about them. Each measurement reads the
+    frames anew: hand over written partitions rather than the plan of a split.
     """
     for name in filter(None, (target, time_column, group_column)):
         if name not in train.columns:
             raise ValueError(f"column '{name}' is not in the split")
-    shared = shared_counts(train, test, options.decimals, group_column)
-    checks = [
-        check_target_proxy(target_proxies(train, target, options)),
-        check_row_overlap(shared[EXACT]),
-        check_near_duplicates(shared[ROUNDED], shared[EXACT], options.decimals),
-        check_temporal(train, test, time_column, strategy),
-        check_group(group_column, shared.get(GROUPS)),
-        check_pipeline_contamination(),
-        check_post_outcome_names(train, target, options),
-    ]
+    m = Measured(decimals=options.decimals, group=group_column)
+    m.shared = shared_counts(train, test, options.decimals, group_column)
+    features, m.unaudited = audited_features(train, target, options)
+    m.unseparated = not separable(train, target, options)
+    m.proxies = target_proxies(train, target, options).orderBy("position").collect()
+    m.late_names = late_names(train, [f.name for f in features])
+    measure_times(m, train, test, time_column, strategy)
     rows = [
-        tuple({"position": position, **check}[name] for name in REPORT_SCHEMA.names)
-        for position, check in enumerate(checks)
+        tuple({"position": position, **judge(check, m)}[name] for name in REPORT_SCHEMA.names)
+        for position, check in enumerate(VERDICTS)
     ]
     return train.sparkSession.createDataFrame(rows, REPORT_SCHEMA)
 
 
-def check_target_proxy(proxies: DataFrame) -> dict:
-    found = proxies.orderBy("position").collect()  # at most one row per audited feature
-    if not found:
-        return _check("target_proxy", INFO, "No column predicts the target suspiciously well.")
-    details = {
-        p["column"]: json.dumps({"signal": p["signal"], "value": p["value"]}) for p in found
-    }
-    return _check(
-        "target_proxy",
-        CRITICAL,
-        f"{len(found)} column(s) all but determine the target. They tend to be the answer in "
-        "another form, or computed after it was known, and will not exist at prediction time.",
-        [p["column"] for p in found],
-        details,
-    )
-
-
-def check_row_overlap(shared_rows: int) -> dict:
-    if not shared_rows:
-        return _check("row_overlap", INFO, "No row is in both train and test.")
-    return _check(
-        "row_overlap",
-        CRITICAL,
-        f"{shared_rows} distinct row(s) are in both train and test. The model will know them by "
-        "heart and the test metric will be too good.",
-        details={"shared_rows": shared_rows},
-    )
-
-
-def check_near_duplicates(shared_rounded: int, shared_rows: int, decimals: int) -> dict:
-    only_near = max(0, shared_rounded - shared_rows)
-    if not only_near:
-        return _check("near_duplicates", INFO, "No nearly equal rows across train and test.")
-    return _check(
-        "near_duplicates",
-        WARNING,
-        f"{only_near} row(s) of train and test are equal once numbers are rounded to {decimals} "
-        "decimals. They may be one observation loaded twice.",
-        details={"near_duplicates": only_near, "exact_duplicates": shared_rows},
-    )
-
-
 def time_ranges(train: DataFrame, test: DataFrame, time_column: str) -> DataFrame:
-    """One row: max_train, min_test, and their texts."""
+    """One row: max_train and min_test."""
     sides = train.select(col(time_column).alias("train"), F.lit(None).alias("test")).unionByName(
         test.select(F.lit(None).alias("train"), col(time_column).alias("test"))
     )
     return sides.agg(F.max("train").alias("max_train"), F.min("test").alias("min_test"))
 
 
-def check_temporal(
-    train: DataFrame, test: DataFrame, time_column: str | None, strategy: str
-) -> dict:
+def measure_times(
+    m: Measured, train: DataFrame, test: DataFrame, time_column: str | None, strategy: str
+) -> None:
+    m.time, m.by_time = time_column, strategy == TIME_BASED
     if time_column is None:
-        candidates = [f.name for f in train.schema.fields if is_point_in_time(f.dataType)]
-        if candidates:
-            return _check(
-                "temporal_leak",
-                WARNING,
-                "There are date columns but the split did not follow time. If the model is to "
-                "predict the future, rows later than those of test tell it what it could not know.",
-                candidates,
-            )
-        return _check("temporal_leak", INFO, "There is no date column; not applicable.")
-
+        m.dates = [f.name for f in train.schema.fields if is_point_in_time(f.dataType)]
+        return
     edge = (
         time_ranges(train, test, time_column)
         .select(
             F.col("max_train").cast("string").alias("max_train"),
             F.col("min_test").cast("string").alias("min_test"),
-            (F.col("max_train") <= F.col("min_test")).alias("clean"),
+            (F.col("max_train") <= F.col("min_test")).alias("in_order"),
         )
         .first()
     )
-    if edge["clean"] is None:
-        return _check("temporal_leak", INFO, "Not enough dates to compare.", [time_column])
-    details = {"max_train": edge["max_train"], "min_test": edge["min_test"]}
-    if edge["clean"]:
-        return _check(
-            "temporal_leak",
-            INFO,
-            f"The cut is clean: train ends at {edge['max_train']}, test starts at "
-            f"{edge['min_test']}.",
-            [time_column],
-            details,
-        )
-    return _check(
-        "temporal_leak",
-        CRITICAL if strategy == TIME_BASED else WARNING,
-        f"Some rows of train are later than the start of test (train reaches "
-        f"{edge['max_train']}, test starts at {edge['min_test']}): the model sees the future.",
-        [time_column],
-        details,
-    )
-
+    m.train_end, m.test_start, m.in_order = edge["max_train"], edge["min_test"], edge["in_order"]
 
-def check_group(group_column: str | None, shared_groups: int | None) -> dict:
-    if group_column is None:
-        return _check("group_leak", INFO, "No group column was declared; not applicable.")
-    if not shared_groups:
-        return _check(
-            "group_leak", INFO, f"No value of '{group_column}' is in both parts.", [group_column]
-        )
-    return _check(
-        "group_leak",
-        CRITICAL,
-        f"{shared_groups} value(s) of '{group_column}' are in both train and test. The model can "
-        "learn to recognise the entity instead of the phenomenon.",
-        [group_column],
-        {"shared_groups": shared_groups},
-    )
 
-
-def check_pipeline_contamination() -> dict:
-    return _check(
-        "pipeline_contamination",
-        INFO,
-        "Not applicable yet: it would check that every step of a feature pipeline was fitted on "
-        "train alone, and there is no feature pipeline to check.",
-    )
+def check_temporal(
+    train: DataFrame, test: DataFrame, time_column: str | None, strategy: str
+) -> dict:
+    m = Measured()
+    measure_times(m, train, test, time_column, strategy)
+    return judge("temporal_leak", m)
 
 
 def post_outcome_names(features: DataFrame) -> DataFrame:
@@ -216,26 +290,11 @@ def post_outcome_names(features: DataFrame) -> DataFrame:
     return features.filter(F.col("name").rlike(pattern))
 
 
-def check_post_outcome_names(train: DataFrame, target: str, options: AuditOptions) -> dict:
-    features = [c for c in train.columns if c != target][: options.max_features]
-    if features:
-        names = train.sparkSession.createDataFrame(
-            list(enumerate(features)), "position int, name string"
-        )
-        suspicious = [r["name"] for r in post_outcome_names(names).orderBy("position").collect()]
-    else:
-        suspicious = []
-    if not suspicious:
-        return _check(
-            "post_outcome_names", INFO, "No column name suggests information from afterwards."
-        )
-    return _check(
-        "post_outcome_names",
-        WARNING,
-        "The names of these columns suggest that they are filled in after the event to predict. "
-        "Ask someone who knows the domain: if so, they will be missing at prediction time.",
-        suspicious,
-    )
+def late_names(train: DataFrame, features: list[str]) -> list[str]:
+    if not features:
+        return []
+    names = train.sparkSession.createDataFrame(list(enumerate(features)), "position int, name string")
+    return [r["name"] for r in post_outcome_names(names).orderBy("position").collect()]
 
 
 def highest_severity(report: DataFrame) -> str:

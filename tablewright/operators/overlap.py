@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, types as T
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import col, comparable, row_struct, struct_hash128
-from tablewright.functions.kinds import is_floating, is_fractional
+from tablewright.functions.kinds import OTHER, is_floating, is_fractional, kind_of
 
 TRAIN, TEST = 1, 2
 
@@ -32,6 +32,35 @@ def rounded(field: T.StructField, decimals: int) -> Column:
     return F.when(has_fraction, F.signum(double) * ((whole + up) / scale)).otherwise(double)
 
 
+def aligned(train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the columns of train, in types that hold the values of both.
+
+    The same number hashes differently as an int and as a bigint, so equal rows of re-read or
+    widened tables would look different. Columns of which only one side has, or of which the types
+    are of different families, make the sides incomparable.
+    """
+    if set(train.columns) != set(test.columns):
+        apart = sorted(set(train.columns) ^ set(test.columns))
+        raise ValueError(f"train and test do not have the same columns: {', '.join(apart)}")
+    if all(f.dataType == test.schema[f.name].dataType for f in train.schema):
+        return train, test.select(*[col(c) for c in train.columns])
+    common = []
+    for field in train.schema:
+        ours, theirs = field.dataType, test.schema[field.name].dataType
+        if ours == theirs:
+            common.append(col(field.name))
+            continue
+        if kind_of(ours) != kind_of(theirs) or kind_of(ours) == OTHER:
+            raise ValueError(
+                f"column '{field.name}' is {ours.simpleString()} in train and "
+                f"{theirs.simpleString()} in test"
+            )
+        nothing = F.coalesce(F.lit(None).cast(ours), F.lit(None).cast(theirs))
+        wide = train.sparkSession.range(0).select(nothing.alias("v")).schema["v"].dataType
+        common.append(col(field.name).cast(wide).alias(field.name))
+    return train.select(*common), test.select(*common)
+
+
 def shared_counts(
     train: DataFrame,
     test: DataFrame,
@@ -42,8 +71,9 @@ def shared_counts(
 
     One job reads both sides once. Each row sends a 16-byte hash per question, tagged with its
     side and combined before the shuffle: copies of a row cost one record per task, and neither
-    side is ever shuffled whole, as `intersect` would.
+    side is ever shuffled whole, as `intersect` would. Columns of different types are widened.
     """
+    train, test = aligned(train, test)
     fields = train.schema.fields
     questions = {EXACT: row_struct(fields, comparable)}
     if any(is_fractional(f.dataType) for f in fields):

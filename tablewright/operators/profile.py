@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterable
 from decimal import Decimal
 from functools import cached_property
 
@@ -46,6 +47,9 @@ STATS_SCHEMA = T.StructType(
 )
 
 
+OPTIONAL_STATISTICS = ("distinct", "quartiles")
+
+
 class Profile:
     """A profiled table. The frames hold aggregates only, never rows of the table.
 
@@ -75,7 +79,7 @@ class Profile:
     @property
     def distinct_exact(self) -> bool:
         """Whether the distinct counts are exact and not HyperLogLog estimates."""
-        return self.row_count <= self.options.exact_distinct_max_rows
+        return not self.options.approximate_distinct
 
     @cached_property
     def _distinct(self) -> dict[int, int]:
@@ -94,11 +98,16 @@ class Profile:
     @property
     def truncated(self) -> dict[str, bool]:
         numeric, text = len(self._names(NUMERIC)), len(self._names(CATEGORICAL))
+        limits = self.options
+
+        def beyond(count: int, limit: int | None) -> bool:
+            return limit is not None and count > limit
+
         return {
-            "columns": self.column_count > len(self.fields),
-            "histograms": numeric > self.options.max_histograms,
-            "top_values": text > self.options.max_categorical,
-            "correlations": numeric > self.options.max_correlations,
+            "columns": beyond(self.column_count, limits.max_columns),
+            "histograms": beyond(numeric, limits.max_histograms),
+            "top_values": beyond(text, limits.max_categorical),
+            "correlations": beyond(numeric, limits.max_correlations),
         }
 
     @property
@@ -109,12 +118,19 @@ class Profile:
     def categorical(self) -> list[str]:
         return self._names(CATEGORICAL)
 
-    def columns(self) -> DataFrame:
-        """One row per profiled column, in schema order."""
-        rows = [self._column_row(position, s) for position, s in enumerate(self.statistics)]
+    def columns(self, statistics: Iterable[str] = OPTIONAL_STATISTICS) -> DataFrame:
+        """One row per profiled column, in schema order.
+
+        Counts, ranges, mean and deviation are one scan and always there. Of the `statistics` that
+        take jobs of their own, "distinct" and "quartiles", those not asked for are null.
+        """
+        wanted = set(statistics)
+        if not wanted <= set(OPTIONAL_STATISTICS):
+            raise ValueError(f"statistics are {OPTIONAL_STATISTICS}, not {sorted(wanted)}")
+        rows = [self._column_row(position, s, wanted) for position, s in enumerate(self.statistics)]
         return self.df.sparkSession.createDataFrame(rows, STATS_SCHEMA)
 
-    def _column_row(self, position: int, s: dict) -> tuple:
+    def _column_row(self, position: int, s: dict, wanted: Iterable[str] = OPTIONAL_STATISTICS) -> tuple:
         kind = kind_of(s["field"].dataType)
         ranged = kind in (NUMERIC, TEMPORAL)
         low, high = (json_value(s[key]) if ranged else None for key in ("min", "max"))
@@ -128,13 +144,13 @@ class Profile:
             self.row_count,
             s["nulls"],
             s["nulls"] / self.row_count if self.row_count else 0.0,
-            self._distinct.get(position, 0),
-            self.distinct_exact,
+            self._distinct.get(position, 0) if "distinct" in wanted else None,
+            self.distinct_exact if "distinct" in wanted else None,
             float(low) if numeric and low is not None else None,
             float(high) if numeric and high is not None else None,
             json_value(s["mean"]) if numeric else None,
             json_value(s["stddev"]) if numeric else None,
-            *(json_value(q) for q in self._quartiles.get(name, [None, None, None])),
+            *(json_value(q) for q in (self._quartiles if "quartiles" in wanted else {}).get(name, [None] * 3)),
             str(low) if low is not None else None,
             str(high) if high is not None else None,
             s["true_count"] if kind == BOOLEAN else None,
@@ -173,7 +189,7 @@ class Profile:
         return upper.select(F.inline(both)).unionByName(diagonal)
 
     def summary(self) -> dict:
-        """The whole profile as one JSON-ready document, of a size the caps bound."""
+        """The whole profile as one JSON-ready document, of a size that columns and bins bound."""
         histograms: dict[str, list] = {}
         for h in self.histograms().orderBy("column", "bin").collect():
             histograms.setdefault(h["column"], []).append(

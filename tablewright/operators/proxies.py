@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, types as T
+from pyspark.sql import DataFrame, Window, types as T
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import as_double, col, comparable, hash128
 from tablewright.functions.kinds import NUMERIC, kind_of
 from tablewright.operators.correlation import correlations_with
-from tablewright.operators.scalars import DISTINCT_ERROR, distinct_counts
 from tablewright.plans.options import AuditOptions
 
 CORRELATION = "correlation"
 SEPARATION = "threshold_separation"
 DEPENDENCY = "functional_dependency"
 
-# How far an estimate of distinct values is trusted; within it the exact count decides.
-MARGIN = 1 + 5 * DISTINCT_ERROR
-
 
 def class_ranges(train: DataFrame, features: list[T.StructField], target: str) -> DataFrame:
     """Rows (column, class, low, high): the range of each numeric feature in each target class."""
@@ -51,13 +47,14 @@ def separations(train: DataFrame, features: list[T.StructField], target: str) ->
 
 
 def purities(train: DataFrame, features: list[T.StructField], target: str) -> DataFrame:
-    """Rows (column, values, purity): the share of rows whose feature value has a single target.
+    """Rows (column, values, purity, all_rows): the share of rows whose feature value has a single
+    target, and the number of rows of the table.
 
     Rows without a feature value are left out; missing targets do not count as a target. Values
     and targets travel as 16-byte hashes, whatever their type and length, and the counts are
     combined before the shuffle, so a value that fills a third of the table is one row per task.
     """
-    cells = []
+    cells = [F.struct(F.lit(-1).alias("feature"), F.lit(0).cast("bigint").alias("h1"), F.lit(0).cast("bigint").alias("h2"))]
     for position, field in enumerate(features):
         h1, h2 = hash128([comparable(field)])
         cells.append(
@@ -86,16 +83,35 @@ def purities(train: DataFrame, features: list[T.StructField], target: str) -> Da
     # Null where no row of the value has a target.
     pure = (F.col("min1") == F.col("max1")) & (F.col("min2") == F.col("max2"))
     names = F.array(*[F.lit(f.name) for f in features])
+    by_feature = values.groupBy("feature").agg(
+        F.count(F.lit(1)).alias("values"),
+        (F.sum(F.when(pure, F.col("rows")).otherwise(0)) / F.sum("rows")).alias("purity"),
+        F.sum("rows").alias("rows"),
+    )
+    # One row per feature and one, numbered -1, that counts the rows of the table.
+    all_rows = F.max(F.when(F.col("feature") == -1, F.col("rows"))).over(Window.partitionBy(F.lit(0)))
     return (
-        values.groupBy("feature")
-        .agg(
-            F.count(F.lit(1)).alias("values"),
-            (F.sum(F.when(pure, F.col("rows")).otherwise(0)) / F.sum("rows")).alias("purity"),
-        )
-        .select(names[F.col("feature")].alias("column"), "values", "purity")
+        by_feature.withColumn("all_rows", all_rows)
+        .filter("feature >= 0")
+        .select(names[F.col("feature")].alias("column"), "values", "purity", "all_rows")
     )
 
 
+def audited_features(
+    train: DataFrame, target: str, options: AuditOptions
+) -> tuple[list[T.StructField], list[str]]:
+    """The columns to look at, and the names of those that the caller's limit leaves out."""
+    features = [f for f in train.schema.fields if f.name != target]
+    limit = len(features) if options.max_features is None else options.max_features
+    return features[:limit], [f.name for f in features[limit:]]
+
+
+def separable(train: DataFrame, target: str, options: AuditOptions) -> bool:
+    """Whether the target has so few classes that thresholds could tell them apart."""
+    classes = train.select(comparable(train.schema[target]).alias("class")).filter("class IS NOT NULL")
+    return 2 <= classes.distinct().limit(options.max_classes + 1).count() <= options.max_classes
+
+
 def target_proxies(
     train: DataFrame,
     target: str,
@@ -104,57 +120,30 @@ def target_proxies(
     """Rows (position, column, signal, value), one per suspicious column.
 
     The first signal that fires names the column: linear correlation with the target, perfect
-    separation of its classes by thresholds, or the target being a function of the column.
+    separation of its classes by thresholds, or the target being a function of the column. The
+    first two are cheap; grouping by values is for the columns that they leave open.
     """
-    spark = train.sparkSession
-    features = [f for f in train.schema.fields if f.name != target][: options.max_features]
+    features, _ = audited_features(train, target, options)
+    place = {f.name: i for i, f in enumerate(features)}
     numeric = [f for f in features if kind_of(f.dataType) == NUMERIC]
-    target_field = train.schema[target]
-    rows = train.count()
-    sketches = distinct_counts(train, [*features, target_field], exact=False)
-    estimates = {r["position"]: r["distinct_count"] for r in sketches.collect()}
-
-    found = spark.createDataFrame(
-        [(p, f.name) for p, f in enumerate(features)], "position int, column string"
-    )
-    # Every frame joined below has at most one row per feature.
-    if numeric and kind_of(target_field.dataType) == NUMERIC:
-        found = _with(found, correlations_with(train, numeric, target))
-    if numeric and _is_categorical(train, target_field, estimates.get(len(features), 0), options):
-        found = _with(found, separations(train, numeric, target))
-    grouping = [
-        f
-        for p, f in enumerate(features)
-        if 0 < estimates.get(p, 0) <= options.max_distinct_ratio * rows * MARGIN
-    ]
-    if grouping:
-        found = _with(found, purities(train, grouping, target))
-
-    def column(name: str, type_name: str) -> Column:
-        return F.col(name) if name in found.columns else F.lit(None).cast(type_name)
-
-    r = F.abs(column("r", "double"))
-    purity = column("purity", "double")
-    linear = r >= options.proxy_correlation
-    separated = column("separates", "boolean")
-    dependent = (column("values", "bigint") <= options.max_distinct_ratio * rows) & (
-        purity >= options.dependency_purity
+    named: dict[str, tuple[str, float]] = {}
+    # Each of these results has at most one row per feature.
+    if numeric and kind_of(train.schema[target].dataType) == NUMERIC:
+        linear = F.abs(F.col("r")) >= options.proxy_correlation
+        for row in correlations_with(train, numeric, target).filter(linear).collect():
+            named[row["column"]] = CORRELATION, round(abs(row["r"]), 4)
+    numeric = [f for f in numeric if f.name not in named]
+    if numeric and separable(train, target, options):
+        for row in separations(train, numeric, target).filter("separates").collect():
+            named[row["column"]] = SEPARATION, 1.0
+    rest = [f for f in features if f.name not in named]
+    if rest:
+        dependent = (F.col("values") <= options.max_distinct_ratio * F.col("all_rows")) & (
+            F.col("purity") >= options.dependency_purity
+        )
+        for row in purities(train, rest, target).filter(dependent).collect():
+            named[row["column"]] = DEPENDENCY, round(row["purity"], 4)
+    rows = sorted((place[name], name, *found) for name, found in named.items())
+    return train.sparkSession.createDataFrame(
+        rows, "position int, column string, signal string, value double"
     )
-    signal = F.when(linear, CORRELATION).when(separated, SEPARATION).when(dependent, DEPENDENCY)
-    value = F.when(linear, F.round(r, 4)).when(separated, 1.0).when(dependent, F.round(purity, 4))
-    return found.select(
-        "position", "column", signal.alias("signal"), value.alias("value")
-    ).filter("signal IS NOT NULL")
-
-
-def _with(found: DataFrame, measured: DataFrame) -> DataFrame:
-    return found.join(F.broadcast(measured), "column", "left")
-
-
-def _is_categorical(
-    train: DataFrame, target: T.StructField, estimate: int, options: AuditOptions
-) -> bool:
-    if estimate > 2 * options.max_classes:
-        return False
-    classes = train.select(comparable(target).alias("class")).filter("class IS NOT NULL")
-    return 2 <= classes.distinct().count() <= options.max_classes

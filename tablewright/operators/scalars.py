@@ -1,9 +1,10 @@
 """Scalar statistics of all columns.
 
-The work is laid out in long form, one row per cell, keyed by the position of the column and
-combined before the shuffle. It costs the same per cell at any width, in one scan. A single
-aggregate with some expressions per column looks simpler, but past a dozen columns its generated
-method is too large for the JIT compiler and runs interpreted.
+The columns are laid out in blocks of BLOCK, one row per block and row of the table, keyed by the
+number of the block and combined before the shuffle: one scan at any width, and generated code of
+one size. One aggregate with some expressions per column is as fast for a dozen columns, but beyond
+that its generated method is too large for the JIT compiler; one row per cell costs three times as
+much per cell.
 """
 
 from __future__ import annotations
@@ -27,10 +28,26 @@ from tablewright.functions.kinds import BOOLEAN, NUMERIC, TEMPORAL, kind_of
 # Relative standard deviation of the HyperLogLog estimates.
 DISTINCT_ERROR = 0.02
 
+# Columns of a block.
+BLOCK = 4
+CELL_TYPE = "struct<filled:boolean,number:double,whole:bigint,truth:boolean>"
+MEASURES = (
+    "filled",
+    "true_count",
+    "first",
+    "last",
+    "mean",
+    "stddev",
+    "finite",
+    "low",
+    "high",
+    "below_finite",
+)
+
 ORDINAL_TYPES = (T.IntegralType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
-def _cell(position: int, field: T.StructField) -> Column:
+def _cell(field: T.StructField) -> Column:
     kind = kind_of(field.dataType)
     number = as_double(field.name) if kind == NUMERIC else F.lit(None).cast("double")
     whole = (
@@ -40,7 +57,6 @@ def _cell(position: int, field: T.StructField) -> Column:
     )
     truth = col(field.name) if kind == BOOLEAN else F.lit(None).cast("boolean")
     return F.struct(
-        F.lit(position).alias("position"),
         col(field.name).isNotNull().alias("filled"),
         number.alias("number"),
         whole.cast("bigint").alias("whole"),
@@ -48,32 +64,49 @@ def _cell(position: int, field: T.StructField) -> Column:
     )
 
 
+def _aggregates(i: int) -> list[Column]:
+    """The MEASURES of the cell at place i of a block."""
+    number, whole = F.col(f"c{i}.number"), F.col(f"c{i}.whole")
+    finite = finite_or_null(number)
+    measures = (
+        F.count_if(F.col(f"c{i}.filled")),
+        F.count_if(F.col(f"c{i}.truth")),
+        F.min(whole),
+        F.max(whole),
+        F.avg(number),
+        F.stddev_samp(number),
+        F.count(finite),
+        F.min(finite),
+        F.max(finite),
+        F.count_if(number == F.lit(float("-inf"))),
+    )
+    return [m.alias(f"{name}{i}") for name, m in zip(MEASURES, measures, strict=True)]
+
+
 def scalar_statistics(df: DataFrame, fields: list[T.StructField]) -> tuple[int, list[dict]]:
-    """Row count and, per field, its scalar statistics; one row per field reaches the driver."""
+    """Row count and, per field, its scalar statistics; one row per block reaches the driver."""
     if not fields:
         return df.count(), []
-    number = F.col("number")
-    finite = finite_or_null(number)
-    found = (
-        df.select(F.inline(F.array(*[_cell(p, f) for p, f in enumerate(fields)])))
-        .groupBy("position")
-        .agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.count_if("filled").alias("filled"),
-            F.count_if("truth").alias("true_count"),
-            F.min("whole").alias("first"),
-            F.max("whole").alias("last"),
-            F.avg(number).alias("mean"),
-            F.stddev_samp(number).alias("stddev"),
-            F.count(finite).alias("finite"),
-            F.min(finite).alias("low"),
-            F.max(finite).alias("high"),
-            F.count_if(number == F.lit(float("-inf"))).alias("below_finite"),
+    cells = [_cell(f) for f in fields]
+    nothing = F.lit(None).cast(CELL_TYPE)
+    cells += [nothing] * (-len(cells) % BLOCK)
+    blocks = [
+        F.struct(
+            F.lit(low).alias("block"), *[cells[low + i].cast(CELL_TYPE).alias(f"c{i}") for i in range(BLOCK)]
         )
+        for low in range(0, len(cells), BLOCK)
+    ]
+    found = df.select(F.inline(F.array(*blocks))).groupBy("block").agg(
+        F.count(F.lit(1)).alias("rows"), *[a for i in range(BLOCK) for a in _aggregates(i)]
     )
-    by_position = {r["position"]: r.asDict() for r in found.collect()}
+    by_place = {}
+    for row in found.collect():
+        for i in range(BLOCK):
+            place = {name: row[f"{name}{i}"] for name in MEASURES}
+            by_place[row["block"] + i] = place | {"rows": row["rows"]}
+    by_position = {p: s for p, s in by_place.items() if p < len(fields)}
     rows = next(iter(by_position.values()))["rows"] if by_position else 0
-    empty = dict.fromkeys(found.columns) | dict.fromkeys(
+    empty = dict.fromkeys(("rows", *MEASURES)) | dict.fromkeys(
         ("rows", "filled", "true_count", "finite", "below_finite"), 0
     )
     other_ranges = _other_ranges(df, fields)

@@ -109,11 +109,13 @@ def _inside(df: DataFrame, values: dict[str, Column], brackets: list[Bracket]) -
     kind = "bigint" if isinstance(brackets[0].low, int) else "double"
     schema = f"array<array<struct<index:int,low:{kind},high:{kind},width:double>>>"
     lookup = F.from_json(F.lit(json.dumps(table)), schema)
+    held = F.filter(
+        lookup[F.col("column")], lambda b: F.col("value").between(b["low"], b["high"])
+    )
     return (
         df.select(F.posexplode(F.array(*[values[n] for n in names])).alias("column", "value"))
         .filter("value IS NOT NULL")
-        .select("value", F.explode(lookup[F.col("column")]).alias("bracket"))
-        .filter("value BETWEEN bracket.low AND bracket.high")
+        .select("value", F.explode(held).alias("bracket"))
     )
 
 
@@ -131,7 +133,11 @@ def _bucket_counts(inside: DataFrame) -> DataFrame:
     The bucket number grows with the value; the lowest value of a bracket is in the first bucket
     and the highest in the last.
     """
-    offset = F.expr("cast(value - bracket.low AS double) / bracket.width")
+    # Of two values with one sign the difference is exact; that of others may overflow, but is large.
+    offset = F.expr(
+        "CASE WHEN (value < 0) = (bracket.low < 0) THEN cast(value - bracket.low AS double) "
+        "ELSE cast(value AS double) - cast(bracket.low AS double) END / bracket.width"
+    )
     bucket = F.floor(F.least(offset, F.lit(float(BUCKETS - 1)))).cast("int")
     return (
         inside.groupBy((F.col("bracket.index") * BUCKETS + bucket).alias("code"))

@@ -46,6 +46,8 @@ SEPARATOR = "\u001f"
 # At most this many strata can each hold more than one part in HEAVY_STRATA of the rows. They get
 # their cut from a table of that size; a stratum below it is small enough for one window group.
 HEAVY_STRATA = 100_000
+# Up to so many contents of 16 bytes are sent to every executor.
+BROADCAST_CONTENTS = 500_000
 
 
 def assign(df: DataFrame, plan: SplitPlan, id_columns: list[str] | None = None) -> DataFrame:
@@ -91,24 +93,34 @@ def _row_key(
     if id_columns:
         texts = [key_text(df.schema[name]) for name in id_columns]
         return df, F.md5(F.concat(F.concat_ws(SEPARATOR, *texts), F.lit(seed)))
-    numbered = _number_copies(df)
     text = F.concat_ws(SEPARATOR, "tw_h1", "tw_h2", "tw_copy")
-    return stage(numbered.withColumn(KEY, F.md5(F.concat(text, F.lit(seed))))), F.col(KEY)
-
-
-def _number_copies(df: DataFrame) -> DataFrame:
+    key = F.md5(F.concat(text, F.lit(seed)))
+    h1, h2 = struct_hash128("tw_row")
+    hashed = (
+        df.withColumn("tw_row", row_struct(df.schema.fields, comparable))
+        .withColumns({"tw_h1": h1, "tw_h2": h2})
+        .drop("tw_row")
+    )
+    # Only 16 bytes of a row are shuffled to find out which contents are there more than once.
+    contents = hashed.groupBy("tw_h1", "tw_h2").agg(F.count(F.lit(1)).alias("tw_n"))
+    repeated = stage(contents.filter("tw_n > 1").select("tw_h1", "tw_h2"))
+    if repeated.isEmpty():
+        return hashed.withColumn("tw_copy", F.lit(1)).withColumn(KEY, key), F.col(KEY)
+    if repeated.count() <= BROADCAST_CONTENTS:
+        repeated = F.broadcast(repeated)
+    single = hashed.join(repeated, ["tw_h1", "tw_h2"], "left_anti").withColumn("tw_copy", F.lit(1).cast("bigint"))
+    copies = stage(_number_copies(hashed.join(repeated, ["tw_h1", "tw_h2"], "left_semi")))
+    return single.unionByName(copies).withColumn(KEY, key), F.col(KEY)
+
+
+def _number_copies(hashed: DataFrame) -> DataFrame:
     """Number rows of equal content 1, 2, ... in `tw_copy`, whichever of them gets which number.
 
     Without it copies would share a key and all land in one partition. Copies are numbered within
     the task that read them and shifted by the counts of the tasks before, so a content that fills
     a third of the table is still spread over as many groups as there are tasks.
     """
-    h1, h2 = struct_hash128("tw_row")
-    rows = stage(
-        df.withColumn("tw_row", row_struct(df.schema.fields, comparable))
-        .withColumns({"tw_h1": h1, "tw_h2": h2, "tw_part": F.spark_partition_id()})
-        .drop("tw_row")
-    )
+    rows = stage(hashed.withColumn("tw_part", F.spark_partition_id()))
     group = ["tw_h1", "tw_h2", "tw_part"]
     earlier = (
         Window.partitionBy("tw_h1", "tw_h2")
@@ -212,7 +224,6 @@ def _heavy_cuts(keyed: DataFrame, plan: SplitPlan, heavy: list) -> DataFrame:
     the rows of those buckets are sorted.
     """
     spark = keyed.sparkSession
-    digits = _prefix_digits(max(h["count"] for h in heavy))
     edges = spark.createDataFrame(
         [
             (h["tw_h1"], h["tw_h2"], part, edge)
@@ -222,13 +233,19 @@ def _heavy_cuts(keyed: DataFrame, plan: SplitPlan, heavy: list) -> DataFrame:
         "tw_h1 bigint, tw_h2 bigint, part int, edge bigint",
     )
     stratum = ["tw_h1", "tw_h2"]
-    rows = keyed.select(*stratum, F.col(KEY).alias("key")).withColumn(
-        "prefix", F.substring("key", 1, digits)
+    # As many prefixes as the size of the stratum asks for.
+    digits = spark.createDataFrame(
+        [(h["tw_h1"], h["tw_h2"], _prefix_digits(h["count"])) for h in heavy],
+        "tw_h1 bigint, tw_h2 bigint, digits int",
+    )
+    rows = (
+        keyed.select(*stratum, F.col(KEY).alias("key"))
+        .join(F.broadcast(digits), stratum)
+        .withColumn("prefix", F.expr("substring(key, 1, digits)"))
     )
     in_order = Window.partitionBy(*stratum).orderBy("prefix")
     crossed = (
-        rows.join(F.broadcast(_strata_frame(keyed, heavy)), stratum, "left_semi")
-        .groupBy(*stratum, "prefix")
+        rows.groupBy(*stratum, "prefix")
         .count()
         .withColumn("upto", F.sum("count").over(in_order))
         .join(F.broadcast(edges), stratum)
@@ -307,12 +324,14 @@ def split_files(
     path: str,
     id_columns: list[str] | None = None,
     fmt: str | None = None,
+    **reader_options,
 ) -> dict[str, str]:
     """Split a file or folder into `path`. In Parquet the place of a row, its file and row number,
     identifies it when no id columns do. CSV is parsed once and staged."""
     fmt = fmt or format_of(source)
     if fmt != "parquet":
-        return write_split(assign(stage(read(spark, source, fmt)), plan, id_columns), path)
+        table = stage(read(spark, source, fmt, **reader_options))
+        return write_split(assign(table, plan, id_columns), path)
     if id_columns:
         return write_split(assign(read(spark, source, fmt), plan, id_columns), path)
     placed = read(spark, source, fmt, row_id=ROW_ID)

@@ -20,11 +20,12 @@ def top_value_counts(df: DataFrame, names: list[str], k: int) -> DataFrame:
             [], "column string, rank int, value string, count bigint"
         )
     texts = F.array(*[col(n).cast("string") for n in names])
+    cells = df.select(F.posexplode(texts).alias("position", "value")).filter("value IS NOT NULL")
+    # Two hashes stand for a text in the shuffle; of each group only one copy of it travels along.
     counts = (
-        df.select(F.posexplode(texts).alias("position", "value"))
-        .filter("value IS NOT NULL")
-        .groupBy("position", "value")
-        .count()
+        cells.groupBy("position", F.xxhash64("value").alias("h1"), F.xxhash64(F.lit(1), "value").alias("h2"))
+        .agg(F.count(F.lit(1)).alias("count"), F.min("value").alias("value"))
+        .drop("h1", "h2")
     )
     frequent_first = Window.partitionBy("position").orderBy(F.desc("count"), F.asc("value"))
     labels = F.array(*[F.lit(n) for n in names])

@@ -4,19 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-# The limits of the profile, the audit and the schema report.
-MAX_PROFILED_COLUMNS = 200
-MAX_HISTOGRAM_COLUMNS = 50
-MAX_CATEGORICAL_COLUMNS = 60
-MAX_CORRELATION_COLUMNS = 25
+# Thresholds, sizes and name patterns that results depend on.
 TOP_VALUES = 10
 HISTOGRAM_BINS = 20
-EXACT_DISTINCT_MAX_ROWS = 1_000_000
-MAX_NULL_COUNT_COLUMNS = 500
 PROXY_CORRELATION = 0.98
 DEPENDENCY_PURITY = 0.99
 MAX_DISTINCT_RATIO = 0.5
-MAX_AUDITED_FEATURES = 120
 MAX_SEPARATION_CLASSES = 10
 NEAR_DUPLICATE_DECIMALS = 3
 POST_OUTCOME_PATTERNS = (
@@ -33,25 +26,36 @@ POST_OUTCOME_PATTERNS = (
 
 @dataclass(frozen=True)
 class ProfileOptions:
-    """Widths are capped because a profile must stay small; every cap is reported when it bites."""
+    """What a profile covers. Nothing is left out unless the caller sets a limit, and then
+    `Profile.truncated` says which limits left something out."""
 
-    max_columns: int = MAX_PROFILED_COLUMNS
-    max_histograms: int = MAX_HISTOGRAM_COLUMNS
-    max_categorical: int = MAX_CATEGORICAL_COLUMNS
-    max_correlations: int = MAX_CORRELATION_COLUMNS
+    max_columns: int | None = None
+    max_histograms: int | None = None
+    max_categorical: int | None = None
+    max_correlations: int | None = None
     top_k: int = TOP_VALUES
     bins: int = HISTOGRAM_BINS
-    # Distinct counts are exact up to this many rows and HyperLogLog estimates beyond.
-    exact_distinct_max_rows: int = EXACT_DISTINCT_MAX_ROWS
+    # Estimate distinct counts with sketches instead of counting them.
+    approximate_distinct: bool = False
+
+
+# The limits of a profile that has to fit a dashboard.
+DASHBOARD = ProfileOptions(
+    max_columns=200, max_histograms=50, max_categorical=60, max_correlations=25
+)
 
 
 @dataclass(frozen=True)
 class AuditOptions:
-    """Thresholds of the audit. They are heuristics, meant to be discussed."""
+    """From which value on a measure counts as a leak, and which columns are looked at.
+
+    With `max_features`, the columns beyond it are named in the report as not audited.
+    """
 
     proxy_correlation: float = PROXY_CORRELATION
     dependency_purity: float = DEPENDENCY_PURITY
     max_distinct_ratio: float = MAX_DISTINCT_RATIO
-    max_features: int = MAX_AUDITED_FEATURES
+    max_features: int | None = None
+    # Thresholds can only separate a target of two classes up to this many.
     max_classes: int = MAX_SEPARATION_CLASSES
     decimals: int = NEAR_DUPLICATE_DECIMALS

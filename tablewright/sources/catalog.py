@@ -23,7 +23,7 @@ from tablewright.sources.tables import format_of, path_exists, path_size, read,
 SCHEMAS = {
     "datasets": "id string, name string, source_uri string, format string, size_bytes bigint, "
     "row_count_estimate bigint, inferred_schema string, version int, parent_dataset_id string, "
-    "created_at timestamp_ntz",
+    "created_at timestamp_ntz, reader_options map<string,string>",
     "profiles": "id string, dataset_id string, row_count bigint, column_count int, "
     "summary string, created_at timestamp_ntz",
     "split_configs": "id string, dataset_id string, strategy string, params map<string,string>, "
@@ -44,6 +44,15 @@ def _now() -> datetime:
     return datetime.now(UTC).replace(tzinfo=None)
 
 
+def _reader_options(recorded: dict[str, str] | None) -> dict:
+    """Arguments of `read` from what the catalog has recorded."""
+    recorded = recorded or {}
+    options: dict = {"sep": recorded["sep"]} if "sep" in recorded else {}
+    if "multi_line" in recorded:
+        options["multi_line"] = recorded["multi_line"] == "true"
+    return options
+
+
 class Catalog:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -77,20 +86,35 @@ class Catalog:
     # Datasets
 
     def register(
-        self, path: str, name: str | None = None, parent_id: str | None = None, sep: str = ","
+        self,
+        path: str,
+        name: str | None = None,
+        parent_id: str | None = None,
+        sep: str = ",",
+        multi_line: bool = False,
     ) -> str:
-        """Register a file; whatever is wrong with it shows before anything is written."""
+        """Register a file; whatever is wrong with it shows before anything is written. How it has
+        to be read is recorded, and every later step reads it so."""
         dataset_id, now = str(uuid.uuid4()), _now()
-        row = self._described(dataset_id, path, name or path.rsplit("/", 1)[-1], parent_id, now, sep)
+        fmt = format_of(path)
+        options = {"sep": sep, "multi_line": str(multi_line).lower()} if fmt == "csv" else {}
+        row = self._described(
+            dataset_id, path, name or path.rsplit("/", 1)[-1], parent_id, now, options, fmt
+        )
         self._append_rows("datasets", [row])
         return dataset_id
 
     def _described(
-        self, dataset_id: str, path: str, name: str, parent_id: str | None, now: datetime, sep: str = ",",
-        fmt: str | None = None,
+        self,
+        dataset_id: str,
+        path: str,
+        name: str,
+        parent_id: str | None,
+        now: datetime,
+        options: dict[str, str],
+        fmt: str | None,
     ) -> dict:
-        fmt = fmt or format_of(path)
-        df = read(self.spark, path, fmt, sep)
+        df = read(self.spark, path, fmt, **_reader_options(options))
         report = schema_report(df).orderBy("position").collect()  # one row per column
         return {
             "id": dataset_id,
@@ -108,6 +132,7 @@ class Catalog:
             "version": 1,
             "parent_dataset_id": parent_id,
             "created_at": now,
+            "reader_options": options,
         }
 
     def datasets(self) -> DataFrame:
@@ -130,28 +155,26 @@ class Catalog:
 
     def frame(self, dataset_id: str) -> DataFrame:
         row = self.dataset(dataset_id)
-        return read(self.spark, row["source_uri"], row["format"])
+        return read(
+            self.spark, row["source_uri"], row["format"], **_reader_options(row["reader_options"])
+        )
 
     def children(self, dataset_id: str) -> DataFrame:
         return self.datasets().filter(F.col("parent_dataset_id") == dataset_id)
 
     def lineage(self, dataset_id: str) -> DataFrame:
         """Rows (depth, id, name): the dataset and its ancestors, nearest first."""
-        self.table("datasets").select("id", "name", "parent_dataset_id").createOrReplaceTempView(
-            "tw_datasets"
-        )
-        return self.spark.sql(
-            """
-            WITH RECURSIVE up (depth, id, name, parent_dataset_id) AS (
-                SELECT 0, id, name, parent_dataset_id FROM tw_datasets WHERE id = :id
-                UNION ALL
-                SELECT up.depth + 1, d.id, d.name, d.parent_dataset_id
-                FROM up JOIN tw_datasets d ON d.id = up.parent_dataset_id
-            )
-            SELECT depth, id, name FROM up ORDER BY depth
-            """,
-            args={"id": dataset_id},
-        )
+        known = self.table("datasets").select("id", "name", "parent_dataset_id")
+        found, next_id, seen = [], dataset_id, set()
+        # One small lookup per generation, of any number of them.
+        while next_id is not None and next_id not in seen:
+            seen.add(next_id)
+            row = known.filter(F.col("id") == next_id).first()
+            if row is None:
+                break
+            found.append((len(found), row["id"], row["name"]))
+            next_id = row["parent_dataset_id"]
+        return self.spark.createDataFrame(found, "depth int, id string, name string")
 
     # Profiles
 
@@ -183,12 +206,18 @@ class Catalog:
         """Split a dataset into `path`, register the partitions as its children, record the plan."""
         source = self.dataset(dataset_id)
         folders = split_files(
-            self.spark, source["source_uri"], plan, path, id_columns, source["format"]
+            self.spark,
+            source["source_uri"],
+            plan,
+            path,
+            id_columns,
+            source["format"],
+            **_reader_options(source["reader_options"]),
         )
         now = _now()
         children = {
             name: self._described(
-                str(uuid.uuid4()), folder, f"{source['name']} · {name}", dataset_id, now, fmt="parquet"
+                str(uuid.uuid4()), folder, f"{source['name']} · {name}", dataset_id, now, {}, "parquet"
             )
             for name, folder in folders.items()
         }

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.columns import col
 from tablewright.functions.kinds import kind_of
-from tablewright.plans.options import MAX_NULL_COUNT_COLUMNS
 
 FORMATS = {".csv": "csv", ".parquet": "parquet", ".pq": "parquet"}
 
@@ -103,14 +102,14 @@ def _widened(data_type: T.DataType) -> T.DataType:
     return data_type
 
 
-def schema_report(df: DataFrame, max_counted: int = MAX_NULL_COUNT_COLUMNS) -> DataFrame:
+def schema_report(df: DataFrame, max_counted: int | None = None) -> DataFrame:
     """Rows (position, name, dtype, kind, row_count, null_count), one per column.
 
-    Nulls are counted in one scan, for the first `max_counted` columns; beyond them the count is
-    null while name and type are always there.
+    Nulls are counted in one scan, for all columns or the first `max_counted`; beyond those the
+    count is null while name and type are always there.
     """
     fields = df.schema.fields
-    counted = fields[:max_counted]
+    counted = fields if max_counted is None else fields[:max_counted]
     # The count of a column is never null, so nulls mark the columns left out.
     totals = df.agg(
         F.count(F.lit(1)).alias("row_count"),

@@ -8,9 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright import Catalog, InputError, SplitPlan, format_of, profile, read, schema_report
-from tablewright.sources.catalog import NotFoundError
+from tablewright.functions.staging import drop_staged, stage, staged_count
+from tablewright.sources.catalog import SCHEMAS, NotFoundError, _now
 
-CASAS = "id,barrio,metros,precio,fecha\n1,Sol,80,1.5,2024-01-02\n2,Latina,70,2,2024-02-03\n3,Sol,,3,2024-03-04\n"
+# Ferries: the second has no length.
+FERRIES = "hull,route,length,knots,launched\n11,Corfu,95,17.5,1991-04-30\n12,Islay,,14,2011-09-01\n14,Corfu,120,21,2004-02-29\n"
 
 
 @pytest.mark.parametrize(
@@ -29,14 +31,14 @@ def test_format_by_extension(path, expected):
 
 
 def test_csv_schema(spark, csv):
-    df = read(spark, csv(CASAS))
+    df = read(spark, csv(FERRIES))
     found = [(r["name"], r["dtype"], r["null_count"]) for r in schema_report(df).orderBy("position").collect()]
     assert found == [
-        ("id", "bigint", 0),
-        ("barrio", "string", 0),
-        ("metros", "bigint", 1),
-        ("precio", "double", 0),
-        ("fecha", "date", 0),
+        ("hull", "bigint", 0),
+        ("route", "string", 0),
+        ("length", "bigint", 1),
+        ("knots", "double", 0),
+        ("launched", "date", 0),
     ]
     assert schema_report(df).first()["row_count"] == 3
 
@@ -92,28 +94,26 @@ def test_missing_file(spark):
 
 def test_row_place_needs_parquet(spark, csv):
     with pytest.raises(InputError, match="Parquet"):
-        read(spark, csv(CASAS), row_id="row")
+        read(spark, csv(FERRIES), row_id="row")
 
 
-def sales() -> str:
-    rows = ["id,cliente,monto,fecha,compro"]
-    rows += [
-        f"{i},cliente{i % 25},{100 + i * 7 % 900},2024-{i % 12 + 1:02d}-15,{i % 2}"
-        for i in range(1, 201)
-    ]
+def trips() -> str:
+    """Two hundred crossings by 16 captains, the delay falling over the year."""
+    rows = ["trip,captain,delay,sailed,full"]
+    rows += [f"{t},c{t * t % 17},{(900 - 4 * t) / 8},2023-{t // 17 + 1:02d}-{t % 17 + 9:02d},{int(t % 3 > 0)}" for t in range(200)]
     return "\n".join(rows) + "\n"
 
 
 def test_the_whole_cycle(spark, csv, tmp_path):
     catalog = Catalog(spark, str(tmp_path / "catalog"))
-    first = catalog.register(csv(CASAS, "casas.csv"))
-    dataset = catalog.register(csv(sales(), "ventas.csv"), "ventas")
-    assert [r["name"] for r in catalog.datasets().collect()] == ["ventas", "casas.csv"]
+    first = catalog.register(csv(FERRIES, "ferries.csv"))
+    dataset = catalog.register(csv(trips(), "trips.csv"), "trips")
+    assert [r["name"] for r in catalog.datasets().collect()] == ["trips", "ferries.csv"]
     row = catalog.dataset(dataset)
     assert (row["format"], row["row_count_estimate"], row["version"]) == ("csv", 200, 1)
     assert row["size_bytes"] > 1000
     assert json.loads(row["inferred_schema"])["columns"][0] == {
-        "name": "id",
+        "name": "trip",
         "dtype": "bigint",
         "null_count": 0,
     }
@@ -122,7 +122,7 @@ def test_the_whole_cycle(spark, csv, tmp_path):
     with pytest.raises(NotFoundError):
         catalog.latest_profile(first)
     catalog.profile(first)
-    csv(CASAS + "4,Sol,1,1,2024-01-01\n", "casas.csv")
+    csv(FERRIES + "15,Skye,61,12,1987-07-08\n", "ferries.csv")
     second_profile = catalog.profile(first)
     assert catalog.profiles(first).count() == 2
     latest = catalog.latest_profile(first)
@@ -131,38 +131,38 @@ def test_the_whole_cycle(spark, csv, tmp_path):
     assert catalog.dataset(first)["row_count_estimate"] == 4
 
     # Splits: children with lineage, and an audit that looks at the files.
-    plan = SplitPlan("random", group_column="cliente")
-    by_chance = catalog.split(dataset, plan, str(tmp_path / "random"), ["id"])
+    plan = SplitPlan("random", group_column="captain")
+    by_chance = catalog.split(dataset, plan, str(tmp_path / "random"), ["trip"])
     config = catalog.split_config(by_chance)
     assert config["row_counts"] == {"train": 140, "val": 30, "test": 30}
-    assert config["params"]["group_column"] == "cliente" and config["params"]["seed"] == "42"
+    assert config["params"]["group_column"] == "captain" and config["params"]["seed"] == "42"
     children = {r["name"]: r for r in catalog.children(dataset).collect()}
-    assert set(children) == {"ventas · train", "ventas · val", "ventas · test"}
+    assert set(children) == {"trips · train", "trips · val", "trips · test"}
     train = catalog.frame(config["train_dataset_id"])
-    assert train.columns == ["id", "cliente", "monto", "fecha", "compro"] and train.count() == 140
+    assert train.columns == ["trip", "captain", "delay", "sailed", "full"] and train.count() == 140
     lineage = catalog.lineage(config["test_dataset_id"]).collect()
-    assert [(r["depth"], r["name"]) for r in lineage] == [(0, "ventas · test"), (1, "ventas")]
+    assert [(r["depth"], r["name"]) for r in lineage] == [(0, "trips · test"), (1, "trips")]
 
     by_group = catalog.split(
-        dataset, SplitPlan("group", group_column="cliente"), str(tmp_path / "group")
+        dataset, SplitPlan("group", group_column="captain"), str(tmp_path / "group")
     )
     assert [r["id"] for r in catalog.splits(dataset).collect()] == [by_group, by_chance]
 
     with pytest.raises(NotFoundError):
         catalog.latest_report(by_group)
     for split_id, severity in ((by_chance, "critical"), (by_group, "info")):
-        report_id = catalog.audit(split_id, "compro")
+        report_id = catalog.audit(split_id, "full")
         report = catalog.latest_report(split_id)
         assert report["id"] == report_id and report == catalog.report(report_id)
-        assert (report["target_column"], len(report["checks"])) == ("compro", 7)
+        assert (report["target_column"], len(report["checks"])) == ("full", 7)
         found = {c["check"]: c["severity"] for c in report["checks"]}
         assert found["group_leak"] == severity
 
 
 def test_empty_val_has_no_child(spark, csv, tmp_path):
     catalog = Catalog(spark, str(tmp_path / "catalog"))
-    dataset = catalog.register(csv(sales(), "ventas.csv"))
-    split_id = catalog.split(dataset, SplitPlan(train=0.8, val=0.0, test=0.2), str(tmp_path / "s"), ["id"])
+    dataset = catalog.register(csv(trips(), "trips.csv"))
+    split_id = catalog.split(dataset, SplitPlan(train=0.8, val=0.0, test=0.2), str(tmp_path / "s"), ["trip"])
     config = catalog.split_config(split_id)
     assert config["val_dataset_id"] is None and set(config["row_counts"]) == {"train", "test"}
 
@@ -180,3 +180,35 @@ def test_unknown_ids(spark, tmp_path):
     for lookup in (catalog.dataset, catalog.split_config, catalog.report, catalog.latest_report):
         with pytest.raises(NotFoundError):
             lookup("nope")
+
+
+def test_semicolons_all_the_way(spark, csv, tmp_path):
+    catalog = Catalog(spark, str(tmp_path / "catalog"))
+    dataset = catalog.register(csv(trips().replace(",", ";"), "trips.csv"), sep=";")
+    assert catalog.frame(dataset).columns == ["trip", "captain", "delay", "sailed", "full"]
+    catalog.profile(dataset)
+    assert catalog.latest_profile(dataset)["column_count"] == 5
+    split_id = catalog.split(dataset, SplitPlan(), str(tmp_path / "s"), ["trip"])
+    assert catalog.split_config(split_id)["row_counts"] == {"train": 140, "val": 30, "test": 30}
+
+
+def test_staged_tables_are_dropped(spark, tmp_path):
+    before = staged_count()
+    folder = tmp_path / "staging"
+    frame = stage(spark.range(10).toDF("n"), str(folder))
+    assert frame.count() == 10 and len(list(folder.iterdir())) == 1
+    assert drop_staged(spark, before) == 1
+    assert list(folder.iterdir()) == [] and staged_count() == before
+
+
+def test_deep_lineage(spark, tmp_path):
+    catalog = Catalog(spark, str(tmp_path / "catalog"))
+    now = _now()
+    rows = [
+        {c.split()[0]: None for c in SCHEMAS["datasets"].split(", ")}
+        | {"id": str(i), "name": f"v{i}", "parent_dataset_id": str(i - 1) if i else None, "created_at": now}
+        for i in range(130)
+    ]
+    catalog._append_rows("datasets", rows)
+    found = catalog.lineage("129").collect()
+    assert [(r["depth"], r["name"]) for r in found] == [(d, f"v{129 - d}") for d in range(130)]
