@@ -129,9 +129,9 @@ def format_conversations(
     turns at its start are `repeated`, n_tokens, and `loss`, the spans that training learns from.
 
     `turns` has the conversation, turn, role and text. Prefix sums of the tokens of turns choose
-    the windows: each holds whole turns of at most `budget` tokens, or one longer turn. Windows
-    after the first open with the system turn, if the conversation begins with one, and with the
-    latest turns before that sum to at most `history` tokens. What is repeated is never learnt
+    the windows: each holds whole turns of at most `budget` tokens, or the system turn and one turn
+    that is too long. Windows after the first open with the system turn, if the conversation begins
+    with one, and with the latest turns before that sum to at most `history` tokens. What is repeated is never learnt
     again: each text of an assistant lies in exactly one span.
 
     Turns go by turn number, equal ones by role and text; repeated rows are separate turns. Null

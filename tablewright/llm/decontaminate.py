@@ -23,8 +23,9 @@ SLOTS = 1 << 24
 FEW = 4
 #: A seed is rare if no other of its item within this many places is in fewer documents.
 NEIGHBOURS = 4
-#: Share of an item's seeds that must be in a cluster before it is aligned.
-SEED_SHARE = 0.1
+#: Share of an item's seeds that must be in a cluster before it is aligned: with a rare one among
+#: them, and without (copies that are all edited in one place make the seeds beside it look common).
+SEED_SHARE, COMMON_SHARE = 0.1, 0.3
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Alignment score of the item, as a share of what an exact copy scores.
 SIMILARITY = 0.6
@@ -231,10 +232,11 @@ def contaminations(
     so it is 1 for copies up to case and punctuation, and falls by about 1.5 times the share of
     words that are changed. Documents are searched whole; a task looks for seeds through a table
     of fixed size, so the benchmark may have any size. A cluster of seeds goes on to alignment
-    with an item if a rare one of its seeds, and a tenth of all, are there. A seed is rare if its
-    neighbours in the item are in no fewer documents, so that every part of every item has one,
-    even one that a third of the documents quotes. Items or documents that are null or without
-    words match nothing. Equal rows count once; extra columns are not looked at.
+    with an item if a tenth of its seeds are there and a rare one among them, or three tenths. A
+    seed is rare if its neighbours in the item are in no fewer documents, so that every part of
+    every item has one, even one that a third of the documents quotes. Items or documents that are
+    null or without words match nothing, items of fewer words than a seed only texts of the same
+    words. Equal rows count once; extra columns are not looked at.
     """
     known = _benchmark_words(items, item_column, item_text_column)
     table = docs.sparkSession.sparkContext.broadcast(_slot_table(known))
@@ -261,7 +263,7 @@ def contaminations(
         quoted.join(asked, "seed")
         .groupBy("cluster", "which")
         .agg(F.count(F.lit(1)).alias("n"), F.max("rare").alias("rare"), F.max("of").alias("of"))
-        .filter(F.col("rare") & (F.col("n") >= SEED_SHARE * F.col("of")))
+        .filter(F.col("n") >= F.when(F.col("rare"), SEED_SHARE).otherwise(COMMON_SHARE) * F.col("of"))
         .select("cluster", "which")
     )
     texts = known.select("which", F.col("words").alias("item_words"))

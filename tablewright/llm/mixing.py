@@ -12,6 +12,8 @@ LARGEST_MEAN = 256.0
 #: Distribution values kept beyond the mean, in standard deviations, and at least; what is left
 #: is below the resolution of the draws.
 DEVIATIONS, LEAST = 12, 40
+#: Tables of up to so many sources, of at most some 4 kB each, are sent to every executor.
+BROADCAST_SOURCES = 2_000
 #: Hex digits of a digest that make a draw: 52 bits, all exact in a double.
 DRAW_DIGITS = 13
 
@@ -116,6 +118,8 @@ def mix(
         F.md5(F.coalesce(F.col(f"`{text_column}`"), F.lit(""))).alias("content"),
     )
     tables = tables.select(F.struct("source").alias("held"), "parts", "cdf")
+    if sizes.count() <= BROADCAST_SOURCES:
+        tables = F.broadcast(tables)
     met = row.join(tables, F.struct(F.col("of").alias("source")) == F.col("held"))
     draws = F.transform(
         F.sequence(F.lit(1), F.col("parts")),

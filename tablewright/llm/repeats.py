@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.staging import stage
+from tablewright.llm.decontaminate import row_key
 
 LENGTH, GRAM = 400, 64
 #: Anchors are chosen among this many neighbouring places.
@@ -95,11 +96,11 @@ def _slot(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(40)).astype(np.int64) & (SLOTS - 1)
 
 
-def _slot_table(buckets: DataFrame) -> np.ndarray:
-    """Which slots a bucket `h` falls in; at most SLOTS numbers are collected."""
-    slot = F.shiftrightunsigned("h", 40).bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot")
+def _slot_table(rows: DataFrame, number: Column) -> np.ndarray:
+    """Which slots a number falls in; at most SLOTS of them are collected."""
+    slot = F.shiftrightunsigned(number, 40).bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot")
     table = np.zeros(SLOTS, bool)
-    table[buckets.select(slot).distinct().toPandas()["slot"].to_numpy()] = True
+    table[rows.select(slot).distinct().toPandas()["slot"].to_numpy()] = True
     return table
 
 
@@ -120,36 +121,52 @@ def _repeated_buckets(texts: DataFrame) -> DataFrame:
     return counted.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
 
 
-def _contexts(texts: DataFrame, table, with_bytes: bool) -> DataFrame:
-    """The contexts in the buckets of the table: where (key, at), bucket h, class c, and how many
-    bytes of it are before the anchor (first and last suffix). With their bytes instead of the
-    place, one of each class and task."""
+def _spots(texts: DataFrame, table) -> DataFrame:
+    """The contexts in the buckets of the table: of which row (rank, key) and place they are, their
+    bucket h and class c, and how many suffixes they have beside the first."""
 
     def seek(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wanted, seen = table.value, set()
         for batch in batches:
-            rows: list[tuple] = []
+            rows = [
+                (rank, key, *spot[:4])
+                for rank, key, text in zip(batch["rank"], batch["key"], batch["text"])
+                for spot in _wanted(text, table.value)
+            ]
+            yield pd.DataFrame(rows, columns=["rank", "key", "at", "h", "c", "more"])
+
+    return texts.mapInPandas(seek, "rank string, key bigint, at bigint, h bigint, c bigint, more int")
+
+
+def _wanted(text: str | None, table: np.ndarray) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """at, h, c, more and the bytes of the contexts of a text in the buckets of the table."""
+    for low, h, place, first, last, part in anchors(_bytes(text)):
+        for i in np.flatnonzero(table[_slot(h)]).tolist():
+            a, b, p = int(first[i]), int(last[i]), int(place[i])
+            context = part[a : b + LENGTH]
+            c = xxhash.xxh3_64_intdigest(context, (p - a) << 10 | (p - b))
+            yield low + a, int(h[i].view(np.int64)), c - (1 << 64) if c >> 63 else c, b - a, context
+
+
+def _place_hash(key: int, at: int) -> int:
+    """What xxhash64(key, at) gives in Spark, without the sign."""
+    inner = xxhash.xxh64_intdigest((key & (1 << 64) - 1).to_bytes(8, "little"), 42)
+    return xxhash.xxh64_intdigest(at.to_bytes(8, "little"), inner)
+
+
+def _class_bytes(texts: DataFrame, buckets, places) -> DataFrame:
+    """key, at and context of those spots that the table of places names: the first of each class,
+    and a few others that share a slot with one."""
+
+    def seek(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
             for key, text in zip(batch["key"], batch["text"]):
-                for low, h, place, first, last, part in anchors(_bytes(text)):
-                    for i in np.flatnonzero(wanted[_slot(h)]).tolist():
-                        a, b, p = int(first[i]), int(last[i]), int(place[i])
-                        context = part[a : b + LENGTH]
-                        c = xxhash.xxh3_64_intdigest(context, (p - a) << 10 | (p - b))
-                        own, c = int(h[i].view(np.int64)), c - (1 << 64) if c >> 63 else c
-                        if not with_bytes:
-                            rows.append((key, low + a, own, c, b - a))
-                        elif (own, c) not in seen:
-                            seen.add((own, c))
-                            rows.append((context, p - a, own, c, b - a))
-            if with_bytes:
-                if len(seen) > 1 << 20:
-                    seen.clear()
-                yield pd.DataFrame(rows, columns=["context", "before", "h", "c", "more"])
-            else:
-                yield pd.DataFrame(rows, columns=["key", "at", "h", "c", "more"])
-
-    schema = "context binary, before int" if with_bytes else "key string, at bigint"
-    return texts.mapInPandas(seek, f"{schema}, h bigint, c bigint, more int")
+                for at, h, c, _, context in _wanted(text, buckets.value):
+                    if places.value[_place_hash(key, at) >> 40 & SLOTS - 1]:
+                        rows.append((key, at, h, c, context))
+            yield pd.DataFrame(rows, columns=["key", "at", "h", "c", "context"])
+
+    return texts.select("key", "text").mapInPandas(seek, "key bigint, at bigint, h bigint, c bigint, context binary")
 
 
 def suffix_ranks(data: np.ndarray) -> np.ndarray:
@@ -244,11 +261,12 @@ def _window_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             )
 
 
-def _found_in_classes(classes: DataFrame, sizes: DataFrame, contexts: DataFrame) -> DataFrame:
-    """h, c, and the first and last suffix of the class that others of its bucket have."""
-    apart = classes.join(sizes, "h").select("h", "c", "size", "first")
-    bare = contexts.dropDuplicates(["h", "c"]).select("h", "c", "context", "more").join(apart, ["h", "c"])
-    bare = stage(bare)
+def _found_in_classes(mixed: DataFrame, contexts: DataFrame) -> DataFrame:
+    """h, c, and the first and last suffix of the class that others of its bucket have. `mixed` are
+    the classes that share a bucket with others."""
+    first = mixed.select("h", "c", "size", "more", "first", F.col("first.key").alias("key"), F.col("first.at").alias("at"))
+    bare = contexts.join(first, ["h", "c", "key", "at"]).dropDuplicates(["h", "c"])
+    bare = stage(bare.select("h", "c", "context", "more", "size", "first"))
     schema = "h bigint, c bigint, any_low int, any_high int, earlier_low int, earlier_high int"
 
     few = bare.filter(F.col("size") <= SORTED)
@@ -276,37 +294,39 @@ def _found_in_classes(classes: DataFrame, sizes: DataFrame, contexts: DataFrame)
     return few.union(many)
 
 
-def _row_key(docs: DataFrame, id_column: str, text_column: str) -> Column:
-    """A text that sorts as the ids do, whole numbers by value, and tells texts of one id apart."""
+def _rank(docs: DataFrame, id_column: str) -> Column:
+    """A text that sorts as the ids do, whole numbers by value; nulls first."""
     own = F.col(f"`{id_column}`")
     if docs.schema[id_column].dataType.typeName() in ("byte", "short", "integer", "long"):
         own = F.lpad((own.cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), 20, "0")
-    return F.concat_ws("|", own.cast("string"), F.md5(F.coalesce(F.col(f"`{text_column}`"), F.lit(""))))
+    return own.cast("string")
 
 
 def repeated_spans(rows: DataFrame, keep: str = "first") -> DataFrame:
-    """key and `spans`, an array of (start, end) in bytes, for the rows (key, text) that have any.
+    """key and `spans`, an array of (start, end) in bytes, for the rows (rank, key, text) that have any.
 
     A byte is in a span if it lies in LENGTH bytes that also start at another place, of this or
-    another row (keep="none"), or at an earlier one by key and place (keep="first").
+    another row (keep="none"), or at an earlier one by rank, key and place (keep="first").
     """
     context = rows.sparkSession.sparkContext
-    repeated = context.broadcast(_slot_table(stage(_repeated_buckets(rows))))
-    spots = stage(_contexts(rows, repeated, False))
+    repeated = context.broadcast(_slot_table(stage(_repeated_buckets(rows)), F.col("h")))
+    spots = stage(_spots(rows, repeated))
+    place = F.struct("rank", "key", "at")
     classes = stage(
-        spots.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "at")).alias("first"))
+        spots.groupBy("h", "c", "more").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
     )
-    sizes = stage(classes.groupBy("h").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
-    mixed = context.broadcast(_slot_table(sizes))
-    contexts = _contexts(rows, mixed, True)
-    found = stage(_found_in_classes(classes, sizes, contexts))
-    known = classes.join(found, ["h", "c"], "left").filter(
+    sizes = classes.groupBy("h").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    mixed = stage(classes.join(sizes, "h"))
+    buckets = context.broadcast(_slot_table(mixed, F.col("h")))
+    places = context.broadcast(_slot_table(mixed, F.xxhash64("first.key", "first.at")))
+    found = stage(_found_in_classes(mixed, _class_bytes(rows, buckets, places)))
+    known = classes.drop("more").join(found, ["h", "c"], "left").filter(
         (F.col("n") > 1) | (F.col("any_high") >= 0)
     )
     met = spots.join(known, ["h", "c"])
     copied = F.col("n") > 1
     if keep == "first":  # all but the first of a class lie in an earlier one
-        copied &= F.struct("key", "at") > F.col("first")
+        copied &= place > F.col("first")
     by = "earlier" if keep == "first" else "any"
     low = F.when(copied, F.lit(0)).otherwise(F.col(f"{by}_low"))
     high = F.when(copied, F.col("more")).otherwise(F.col(f"{by}_high"))
@@ -355,8 +375,10 @@ def remove_repeats(
     """
     if keep not in ("first", "none"):
         raise ValueError(f"keep must be first or none, not {keep!r}")
-    key = _row_key(docs, id_column, text_column)
-    rows = docs.select(key.alias("key"), F.col(f"`{text_column}`").alias("text"))
+    key = row_key(docs, id_column, text_column)
+    # Only "first" asks for an order.
+    rank = _rank(docs, id_column) if keep == "first" else F.lit(None).cast("string")
+    rows = docs.select(rank.alias("rank"), key.alias("key"), F.col(f"`{text_column}`").alias("text"))
     found = repeated_spans(rows, keep)
     own = [c for c in docs.columns if c not in ("spans", "kept")]
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), key.alias("key"))

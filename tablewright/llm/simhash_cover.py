@@ -156,8 +156,8 @@ def near_duplicates(
 # Near copies by similarity: more and wider fingerprints, then the texts themselves.
 
 #: Fingerprints of a text's distinct words. Texts that share four fifths of their five-word
-#: shingles differ in about five of 64 bits in each; six chances at four bits catch nearly all.
-VOTES, RADIUS = 6, 4
+#: shingles differ in about five of 64 bits in each; ten chances at three bits catch nearly all.
+VOTES, RADIUS = 10, 3
 SHINGLE, SIMILARITY = 5, 0.8
 #: A bucket of up to this many texts is compared pair by pair, a larger one with its leaders.
 PAIRED = 8
@@ -203,41 +203,67 @@ def _sketched(rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(sketch, "key bigint, content string, fps array<bigint>")
 
 
+def bucket_keys(fps: np.ndarray) -> np.ndarray:
+    """For rows of VOTES fingerprints a 64-bit number of each bucket of each covering table."""
+    masks = np.array(covering_masks(RADIUS), np.int64).view(np.uint64)
+    kept = fps.view(np.uint64)[:, :, None] & masks[None, None, :]
+    tables = np.arange(1, VOTES * len(masks) + 1, dtype=np.uint64).reshape(1, VOTES, -1)
+    with np.errstate(over="ignore"):
+        mixed = (kept ^ (tables * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return (mixed ^ (mixed >> np.uint64(29))).reshape(len(fps), -1)
+
+
+def _slot(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(40)).astype(np.int64) & (SLOTS - 1)
+
+
+def _slot_table(rows: DataFrame, column: str) -> np.ndarray:
+    """Which slots the numbers of a column fall in; at most SLOTS numbers are collected."""
+    slot = F.shiftrightunsigned(column, 40).bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot")
+    table = np.zeros(SLOTS, bool)
+    table[rows.select(slot).distinct().toPandas()["slot"].to_numpy()] = True
+    return table
+
+
 def _candidates(texts: DataFrame) -> DataFrame:
     """Pairs a < b of rows (key, fps) that share a bucket and are within RADIUS bits there.
 
-    Small buckets give all pairs. In a larger one every text meets the leader, the first by an
-    order that differs from table to table: near copies share many buckets, so each text meets
-    many leaders, and links of links join the rest. No bucket is gathered anywhere.
+    Buckets are first counted by number alone; only texts in crowded ones go on. Small buckets
+    give all pairs. In a larger one every text meets the leader, the first by an order that differs
+    from table to table: near copies share many buckets, so each text meets many leaders, and links
+    of links join the rest. No bucket is gathered anywhere.
     """
-    masks = covering_masks(RADIUS)
-    table = F.explode(
-        F.flatten(
-            F.array(
-                *[
-                    F.array(
-                        *[
-                            F.struct(
-                                F.lit(i * len(masks) + j).alias("t"),
-                                F.lit(i).alias("i"),
-                                F.col("fps")[i].bitwiseAND(F.lit(m)).alias("bits"),
-                            )
-                            for j, m in enumerate(masks)
-                        ]
-                    )
-                    for i in range(VOTES)
-                ]
-            )
-        )
-    )
-    dealt = texts.select("key", table.alias("e")).select("key", "e.t", "e.bits")
-    lead = F.min(F.struct(F.xxhash64("key", "t").alias("order"), F.col("key").alias("leader")))
-    crowded = dealt.groupBy("t", "bits").agg(F.count(F.lit(1)).alias("n"), lead.alias("lead")).filter("n > 1")
-    met = stage(dealt.join(crowded, ["t", "bits"]).select("t", "bits", "n", "key", F.col("lead.leader").alias("leader")))
-    starred = met.filter("n = 2 or n > %d" % PAIRED).select("key", "leader")
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for low in range(0, len(batch), 1000):
+                fps = np.stack(batch["fps"].iloc[low : low + 1000].to_list())
+                yield pd.DataFrame({"bucket": bucket_keys(fps).reshape(-1).view(np.int64)})
+
+    buckets = texts.select("fps").mapInPandas(count, "bucket bigint").groupBy("bucket").count()
+    crowded = stage(buckets.filter("count > 1"))
+    table = texts.sparkSession.sparkContext.broadcast(_slot_table(crowded, "bucket"))
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for low in range(0, len(batch), 1000):
+                part = batch.iloc[low : low + 1000]
+                keys = bucket_keys(np.stack(part["fps"].to_list()))
+                row, place = np.nonzero(table.value[_slot(keys)])
+                yield pd.DataFrame(
+                    {"bucket": keys[row, place].view(np.int64), "key": part["key"].to_numpy()[row]}
+                )
+
+    dealt = texts.select("key", "fps").mapInPandas(deal, "bucket bigint, key bigint")
+    lead = F.min(F.struct(F.xxhash64("key", "bucket").alias("order"), F.col("key").alias("leader")))
+    dealt = stage(dealt)
+    leads = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), lead.alias("lead")).filter("n > 1")
+    met = stage(dealt.join(leads, "bucket").select("bucket", "n", "key", F.col("lead.leader").alias("leader")))
+    starred = met.filter(f"n = 2 or n > {PAIRED}").select("key", "leader")
     small = (
-        met.filter("n > 2 and n <= %d" % PAIRED)
-        .groupBy("t", "bits")
+        met.filter(f"n > 2 and n <= {PAIRED}")
+        .groupBy("bucket")
         .agg(F.array_sort(F.collect_list("key")).alias("keys"))
         .select("keys")
         .distinct()
@@ -258,16 +284,11 @@ def _verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose shingles have a Jaccard similarity of SIMILARITY or more."""
     pairs = stage(pairs)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    slot = F.shiftrightunsigned("key", 40).bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot")
-    slots = np.zeros(SLOTS, bool)
-    slots[wanted.select(slot).distinct().toPandas()["slot"].to_numpy()] = True
-    table = rows.sparkSession.sparkContext.broadcast(slots)
+    table = rows.sparkSession.sparkContext.broadcast(_slot_table(wanted, "key"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys = batch["key"].to_numpy()
-            chosen = table.value[(keys.view(np.uint64) >> np.uint64(40)).astype(np.int64) & (SLOTS - 1)]
-            some = batch[chosen]
+            some = batch[table.value[_slot(batch["key"].to_numpy().view(np.uint64))]]
             yield pd.DataFrame(
                 {"key": some["key"], "shingles": [_shingles(word_hashes(t)) for t in some["text"]]}
             )

@@ -24,8 +24,8 @@ SYMBOLS = 28
 DISCOUNT = 0.75
 #: Characters that are looked at together, to bound memory for long texts.
 CHARACTERS = 1 << 20
-#: Labelled documents that fit the few numbers of the calibration, at most, first by a hash of the
-#: text. All labelled documents count in the language models.
+#: Labelled documents that fit the few numbers of the calibration, about and at most by
+#: expectation, chosen by a hash of the text. All labelled documents count in the language models.
 CALIBRATED = 20_000
 #: Label tables of up to this many rows are sent to every executor.
 BROADCAST_ROWS = 1_000_000
@@ -76,12 +76,14 @@ def grams(piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return number[inside], np.flatnonzero(first[inside])
 
 
-def log_ratios(toxic: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
+def log_ratios(gram: np.ndarray, label: np.ndarray, n: np.ndarray) -> np.ndarray:
     """log P(symbol | context) in toxic minus in ordinary text, for every ORDER-gram.
 
-    Both arguments are dense tables of SYMBOLS ** ORDER counts, the first symbol of a gram major.
+    The arguments are counts: which ORDER-gram, of which label, how often. The first symbol of a
+    gram is major. Only the result and the shared counts are dense.
     """
-    seen = (toxic > 0) | (ordinary > 0)
+    seen = np.zeros(SYMBOLS**ORDER, bool)
+    seen[gram] = True
     continued = []  # for each shorter length, after how many symbols a sequence was seen
     for _ in range(ORDER - 1):
         continued.append(seen.reshape(SYMBOLS, -1).sum(0, dtype=np.int32))
@@ -94,8 +96,13 @@ def log_ratios(toxic: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
     result = np.empty(SYMBOLS**ORDER, np.float16)
     size = SYMBOLS ** (ORDER - 1)
     for low in range(0, len(result), size):
-        pair = [_interpolate(t[low : low + size].reshape(-1, SYMBOLS), shared) for t in (toxic, ordinary)]
-        result[low : low + size] = (np.log(pair[0]) - np.log(pair[1])).reshape(-1)
+        inside = (gram >= low) & (gram < low + size)
+        logs = []
+        for wanted in (1, 0):
+            chosen = inside & (label == wanted)
+            dense = np.bincount(gram[chosen] - low, n[chosen], size).reshape(-1, SYMBOLS)
+            logs.append(np.log(_interpolate(dense, shared)))
+        result[low : low + size] = (logs[0] - logs[1]).reshape(-1)
     return result
 
 
@@ -138,10 +145,13 @@ def features(text: str | None, table: np.ndarray) -> list[float]:
 @dataclass
 class ToxicityModel:
     """`table`: log ratios of ORDER-grams. `weights`: calibration, the constant last; None if the
-    labels have one class only, and then every score is 0."""
+    labels have one class only, and then every score is 0. `low` and `high`: the range of each
+    feature in the calibration, beyond which it counts as at the end of the range."""
 
     table: np.ndarray
     weights: np.ndarray | None
+    low: np.ndarray | None = None
+    high: np.ndarray | None = None
 
 
 def _gram_counts(labelled: DataFrame) -> DataFrame:
@@ -210,22 +220,24 @@ def fit(labelled: DataFrame) -> ToxicityModel:
     ).withColumn("fold", F.pmod("key", F.lit(2)).cast("int"))
     found = _gram_counts(rows).toPandas()
 
-    def table_of(fold: list[int]) -> np.ndarray:
-        dense = [np.zeros(SYMBOLS**ORDER, np.int32) for _ in (0, 1)]
-        for (label, _), part in found[found["fold"].isin(fold)].groupby(["label", "fold"]):
-            dense[label][part["gram"].to_numpy()] += part["n"].to_numpy().astype(np.int32)
-        return log_ratios(dense[1], dense[0])
+    def table_of(folds: list[int]) -> np.ndarray:
+        part = found[found["fold"].isin(folds)]
+        return log_ratios(*[part[c].to_numpy() for c in ("gram", "label", "n")])
 
     halves = [table_of([1]), table_of([0])]
     table = table_of([0, 1])
+    del found
     shared = spark.sparkContext.broadcast(halves)
-    sample = rows.orderBy("key").limit(CALIBRATED)
+    # A share of all hash values: no sort, and as many rows as wanted if the hashes are even.
+    share = min(1.0, CALIBRATED / max(1, rows.count()))
+    sample = rows.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 31)) < int(share * (1 << 31)))
     known = sample.select(_scored_features(F.col("text"), shared, F.col("fold")).alias("x"), "label").toPandas()
     shared.destroy()
     y = known["label"].to_numpy(int)
     if len(set(y.tolist())) < 2:
         return ToxicityModel(table, None)
-    return ToxicityModel(table, _fit(np.array(known["x"].tolist(), float), y))
+    x = np.array(known["x"].tolist(), float)
+    return ToxicityModel(table, _fit(x, y), x.min(0), x.max(0))
 
 
 def toxicity_score(docs: DataFrame, model: ToxicityModel, text_column: str = "text") -> Column:
@@ -235,10 +247,11 @@ def toxicity_score(docs: DataFrame, model: ToxicityModel, text_column: str = "te
     shared = docs.sparkSession.sparkContext.broadcast([model.table])
     *weights, constant = model.weights.tolist()
     x = _scored_features(F.col(f"`{text_column}`"), shared)
+    sides = {"w": weights, "low": model.low.tolist(), "high": model.high.tolist()}
     return F.aggregate(
-        F.arrays_zip(x.alias("x"), F.array(*map(F.lit, weights)).alias("w")),
+        F.arrays_zip(x.alias("x"), *[F.array(*map(F.lit, v)).alias(k) for k, v in sides.items()]),
         F.lit(constant),
-        lambda s, p: s + p["x"] * p["w"],
+        lambda s, p: s + F.least(F.greatest(p["x"], p["low"]), p["high"]) * p["w"],
         lambda s: 1 / (1 + F.exp(-s)),
     )
 
