@@ -581,7 +581,7 @@ def _times() -> dict[str, Callable[[], Column]]:
     mixed = "event_id * 7919 % 4001"
     largest = (1 << 63) - 1
     return {
-        "decimal": lambda: F.expr(f"cast(({mixed} - 2000) as decimal(20,0)) * cast('0.000000000000000001' as decimal(18,18))"),
+        "decimal": lambda: F.expr(f"cast(concat({mixed} - 2000, 'e-18') as decimal(38,18))"),
         "text": lambda: F.concat(F.lit("a"), F.repeat(F.lit("\0"), F.expr(f"cast({mixed} % 40 as int)"))),
         "bigint": lambda: F.expr(f"if({mixed} % 2 = 0, {largest} - {mixed}, {mixed} - {largest})"),
         "interval": lambda: F.expr(f"make_dt_interval(0, 0, 0, {mixed} - 2000.25)"),

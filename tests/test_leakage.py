@@ -197,7 +197,7 @@ def test_missing_dates_cannot_be_compared(spark):
     rows = [(i, 30, "c", None, i % 2) for i in range(5)]
     found = checks(audit(*frames(spark, rows, rows), "objetivo", time_column="fecha"))
     assert found["temporal_leak"]["severity"] == "info"
-    assert "Not enough" in found["temporal_leak"]["message"]
+    assert "no times to compare" in found["temporal_leak"]["message"]
 
 
 def test_groups(spark, clean):
@@ -238,3 +238,33 @@ def test_highest_severity(spark):
     assert highest_severity(report("info", "warning")) == "warning"
     assert highest_severity(report("critical", "warning")) == "critical"
     assert highest_severity(report()) == "info"
+
+
+def test_rows_of_other_widths_are_the_same_rows(spark):
+    rows = [(i, float(i), dt.date(2020, 1, 1 + i % 28)) for i in range(50)]
+    train = spark.createDataFrame(rows, "a int, b float, c date")
+    test = spark.createDataFrame(rows[:20], "a bigint, b double, c date").selectExpr(
+        "cast(c as timestamp_ntz) c", "cast(a as decimal(20,0)) a", "b"
+    )
+    counts = shared_counts(train, test, 3, "a")
+    assert counts == {"exact": 20, "rounded": 20, "groups": 20}
+
+
+@pytest.mark.parametrize("changed", ["a", "a, b, 1 as d", "cast(a as string) as a, b", "a, array(b) as b"])
+def test_sides_that_cannot_be_compared(spark, changed):
+    train = spark.createDataFrame([(1, 2.0)], "a int, b double")
+    with pytest.raises(ValueError):
+        shared_counts(train, train.selectExpr(*changed.split(", ")), 3)
+
+
+def test_columns_beyond_a_limit_are_named(spark):
+    rows = [(i % 7, i, i * 31 % 50, i) for i in range(60)]
+    frame = spark.createDataFrame(rows, "harmless int, y int, other int, y_final int")
+    whole = checks(audit(frame, frame, "y"))
+    assert whole["target_proxy"]["columns"] == ["y_final"]
+    assert whole["post_outcome_names"]["columns"] == ["y_final"]
+    assert "not_audited" not in whole["target_proxy"]["details"]
+    cut = checks(audit(frame, frame, "y", options=AuditOptions(max_features=2)))
+    for check in ("target_proxy", "post_outcome_names"):
+        assert cut[check]["severity"] == "info" and cut[check]["details"]["not_audited"] == "y_final"
+    assert cut["target_proxy"]["details"]["threshold_separation"] == "not applicable"
