@@ -239,7 +239,7 @@ def wide_audit() -> str:
     train = f"(SELECT * FROM orders WHERE {hashes['c000']} < 60)"
     signals = union(
         f"SELECT {i} AS place, '{name}' AS name, "
-        f"abs(corr({e}::DOUBLE, o_totalprice)) >= 0.98 AS linear FROM {train}"
+        f"abs(corr({e}::DOUBLE, o_totalprice)) BETWEEN 0.98 AND 1.01 AS linear FROM {train}"
         for i, (name, e) in enumerate(hashes.items())
     )
     pure = union(
