@@ -231,8 +231,9 @@ def _candidates(texts: DataFrame) -> DataFrame:
 
     Buckets are first counted by number alone; only texts in crowded ones go on. Small buckets
     give all pairs. In a larger one every text meets the leader, the first by an order that differs
-    from table to table: near copies share many buckets, so each text meets many leaders, and links
-    of links join the rest. No bucket is gathered anywhere.
+    from fingerprint to fingerprint: near copies share buckets of many tables, so each text meets
+    several leaders, and links of links join the rest. No bucket is gathered anywhere, and a text
+    has at most as many pairs from large buckets as there are tables.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -252,11 +253,15 @@ def _candidates(texts: DataFrame) -> DataFrame:
                 keys = bucket_keys(np.stack(part["fps"].to_list()))
                 row, place = np.nonzero(table.value[_slot(keys)])
                 yield pd.DataFrame(
-                    {"bucket": keys[row, place].view(np.int64), "key": part["key"].to_numpy()[row]}
+                    {
+                        "bucket": keys[row, place].view(np.int64),
+                        "vote": (place // (keys.shape[1] // VOTES)).astype(np.int32),
+                        "key": part["key"].to_numpy()[row],
+                    }
                 )
 
-    dealt = texts.select("key", "fps").mapInPandas(deal, "bucket bigint, key bigint")
-    lead = F.min(F.struct(F.xxhash64("key", "bucket").alias("order"), F.col("key").alias("leader")))
+    dealt = texts.select("key", "fps").mapInPandas(deal, "bucket bigint, vote int, key bigint")
+    lead = F.min(F.struct(F.xxhash64("key", "vote").alias("order"), F.col("key").alias("leader")))
     dealt = stage(dealt)
     leads = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), lead.alias("lead")).filter("n > 1")
     met = stage(dealt.join(leads, "bucket").select("bucket", "n", "key", F.col("lead.leader").alias("leader")))
