@@ -36,9 +36,9 @@ PIECE, PLACE_BITS = 1 << 18, 20
 #: Slots of the tables that tell tasks which buckets matter. Their size does not depend on the data.
 SLOTS = 1 << 24
 #: Classes of a bucket that are sorted in one task.
-SORTED = 256
+SORTED = 8192
 #: Bytes of contexts that are sorted together.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
