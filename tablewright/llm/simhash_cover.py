@@ -294,9 +294,9 @@ def _verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             some = batch[table.value[_slot(batch["key"].to_numpy().view(np.uint64))]]
-            yield pd.DataFrame(
-                {"key": some["key"], "shingles": [_shingles(word_hashes(t)) for t in some["text"]]}
-            )
+            if len(some):
+                sets_ = [_shingles(word_hashes(t)) for t in some["text"]]
+                yield pd.DataFrame({"key": some["key"], "shingles": sets_})
 
     sets = rows.mapInPandas(cut, "key bigint, shingles array<int>").dropDuplicates(["key"])
     sets = stage(sets.join(wanted, "key", "left_semi"))
