@@ -155,14 +155,17 @@ def near_duplicates(
 
 # Near copies by similarity: more and wider fingerprints, then the texts themselves.
 
-#: Fingerprints of a text's distinct words. Texts that share four fifths of their five-word
-#: shingles differ in about five of 64 bits in each; ten chances at three bits catch nearly all.
+#: Fingerprints of a text's distinct words. With scattered edits, texts that share four fifths of
+#: their five-word shingles differ in about five of 64 bits in each, and ten chances at three bits
+#: link nearly all; cut or extended copies differ in more. What they miss, `_missed` finds.
 VOTES, RADIUS = 10, 3
 SHINGLE, SIMILARITY = 5, 0.8
 #: A bucket of up to this many texts is compared pair by pair, a larger one with its leaders.
 PAIRED = 8
 #: Slots of the table that tells tasks which texts to cut into shingles.
 SLOTS = 1 << 24
+#: About so many texts tell which shingles are common, which are those in at least COMMON of them.
+SAMPLED, COMMON = 20_000, 4
 
 
 def word_fingerprints(words: np.ndarray) -> np.ndarray:
@@ -308,12 +311,101 @@ def _verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").filter(both_empty | (alike >= SIMILARITY)).select("a", "b")
 
 
+def rare_first(words: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, int]:
+    """The first distinct shingles by (rank of the slot, hash), and how many there are in all.
+
+    Texts with a similarity of SIMILARITY or more share that part of the larger one's shingles, so
+    they have one in common among as many of the first as may be missing, and one.
+    """
+    found = np.unique(seed_hashes(words, SHINGLE))
+    spare = len(found) - int(np.ceil(SIMILARITY * len(found) - 1e-9))
+    return found[np.lexsort((found, ranks[_slot(found)]))][: spare + 1], len(found)
+
+
+def _common(shingles: DataFrame) -> np.ndarray:
+    """For each slot how common its shingles are: 0, or the length in bits of their number among
+    `shingles`, those of a sample. It sets the order only, and pairs are whole by any order."""
+    slot = F.shiftrightunsigned("shingle", 40).bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot")
+    counted = shingles.groupBy("shingle").count().filter(f"count >= {COMMON}")
+    found = counted.groupBy(slot).agg(F.max("count").alias("n")).toPandas()  # at most SLOTS rows
+    ranks = np.zeros(SLOTS, np.uint8)
+    ranks[found["slot"].to_numpy()] = np.ceil(np.log2(found["n"].to_numpy(np.float64) + 1)).astype(np.uint8)
+    return ranks
+
+
+def _missed(rows: DataFrame, texts: DataFrame, linked: DataFrame) -> DataFrame:
+    """All pairs of texts that may be alike and are not in one component of `linked` yet.
+
+    A prefix filter, which leaves none out: alike texts share one of their first shingles by an
+    order of all shingles. Common ones come last in it, so that a passage that many texts have
+    leads to no pairs unless a fifth of the text is nothing else. Shingles of one component go;
+    for the others, no pair within the largest component of a shingle is looked at. Pairs must fit
+    by their numbers of shingles and by the places of the shared one.
+    """
+    context = rows.sparkSession.sparkContext
+    own = context.broadcast(_slot_table(texts, "key"))
+
+    def cut(emit, schema: str, source: DataFrame = rows) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                mine = batch[own.value[_slot(batch["key"].to_numpy().view(np.uint64))]]
+                for low in range(0, len(mine), 500):
+                    part = mine.iloc[low : low + 500]
+                    yield emit(part["key"].to_numpy(), [word_hashes(t) for t in part["text"]])
+
+        return source.mapInPandas(run, schema)
+
+    def every(keys: np.ndarray, words: list[np.ndarray]) -> pd.DataFrame:
+        return pd.DataFrame({"shingle": np.concatenate([np.unique(seed_hashes(w, SHINGLE)) for w in words]).view(np.int64)})
+
+    some = rows.filter(F.expr(f"pmod(key, {max(1, texts.count() // SAMPLED)}) = 0"))
+    ranks = context.broadcast(_common(cut(every, "shingle bigint", some)))
+
+    def first(keys: np.ndarray, words: list[np.ndarray]) -> pd.DataFrame:
+        return pd.DataFrame({"shingle": np.concatenate([rare_first(w, ranks.value)[0] for w in words]).view(np.int64)})
+
+    crowded = stage(cut(first, "shingle bigint").groupBy("shingle").count().filter("count > 1").select("shingle"))
+    table = context.broadcast(_slot_table(crowded, "shingle"))
+
+    def deal(keys: np.ndarray, words: list[np.ndarray]) -> pd.DataFrame:
+        found = [rare_first(w, ranks.value) for w in words]
+        sizes = [len(f) for f, _ in found]
+        shingles = np.concatenate([f for f, _ in found])
+        met = table.value[_slot(shingles)]
+        return pd.DataFrame(
+            {
+                "shingle": shingles.view(np.int64),
+                "key": np.repeat(keys, sizes),
+                "n": np.repeat(np.array([k for _, k in found], np.int32), sizes),
+                "place": np.concatenate([np.arange(k, dtype=np.int32) for k in sizes]),
+            }
+        )[met]
+
+    dealt = cut(deal, "shingle bigint, key bigint, n int, place int").join(crowded, "shingle", "left_semi")
+    dealt = dealt.join(texts, "key", "left_semi").dropDuplicates(["shingle", "key"])
+    group = F.coalesce("component", "key").alias("group")
+    dealt = dealt.join(linked, dealt["key"] == linked["node"], "left").select("shingle", "key", "n", "place", group)
+    dealt = stage(dealt)
+    most = F.max(F.struct("count", "group"))["group"].alias("most")
+    groups = dealt.groupBy("shingle", "group").count().groupBy("shingle")
+    several = groups.agg(F.count(F.lit(1)).alias("groups"), most).filter("groups > 1").select("shingle", "most")
+    met = stage(dealt.join(several, "shingle"))
+    x, y = met.filter("group <> most").alias("x"), met.alias("y")
+    once = "x.shingle = y.shingle and x.group <> y.group and (y.group = y.most or x.key < y.key)"
+    fits = f"least(x.n, y.n) + 1e-6 >= {SIMILARITY} * greatest(x.n, y.n)"
+    placed = f"least(x.n - x.place, y.n - y.place) * {1 + SIMILARITY} + 1e-6 >= {SIMILARITY} * (x.n + y.n)"
+    pairs = x.join(y, F.expr(f"{once} and {fits} and {placed}"))
+    return pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+
+
 def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One document of each group of near copies; columns as before.
 
     Texts are the same if their words are: letters and digits, lower-cased. Others are near copies
-    if their sets of five-word shingles have a Jaccard similarity of 0.8 or more; SimHash
-    fingerprints of their words propose the pairs, by covering tables. Groups are what links reach.
+    if their sets of five-word shingles have a Jaccard similarity of 0.8 or more. SimHash
+    fingerprints of their words propose first pairs, by covering tables; a prefix filter over the
+    shingles proposes all pairs between what these link, so none is left out. Groups are what links
+    reach.
     Of a group the row of the least id stays, nulls last, and among equal ids one of its texts; of
     repeated rows one stays. Texts without words, and null, are one group.
     """
@@ -327,7 +419,9 @@ def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: st
     contents = stage(ranked.groupBy("content").agg(first))
     leads = contents.select(F.col("first.key").alias("key"), "first")
     texts = stage(sketched.join(leads, "key", "left_semi").select("key", "fps").dropDuplicates(["key"]))
-    linked = components(_verified(rows, _candidates(texts)))
+    close = stage(_verified(rows, _candidates(texts)))
+    rest = _verified(rows, _missed(rows, texts.select("key"), components(close)))
+    linked = components(close.union(rest))
     groups = leads.join(linked, leads["key"] == linked["node"], "left").select(
         "first", F.coalesce("component", "key").alias("component")
     )

@@ -117,3 +117,44 @@ def test_one_near_copy_stays(spark):
     assert sorted(x for x in ids if x is not None) == sorted([*range(0, 32, 4), 32, 33])
     assert ids.count(None) == 1
     assert drop_near_copies(docs.limit(0)).count() == 0
+
+
+def brute_kept(texts):
+    """The least number of each group of texts whose five-word shingles are alike by 0.8."""
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    group = list(range(len(texts)))
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for a in range(len(texts)):
+        for b in range(a):
+            shared = len(sets[a] & sets[b])
+            if shared / (len(sets[a]) + len(sets[b]) - shared) >= 0.8:
+                x, y = sorted((root(a), root(b)))
+                group[y] = x
+    return [i for i in range(len(texts)) if root(i) == i]
+
+
+def test_truncated_extended_and_edited_copies_against_all_pairs(spark):
+    rng = np.random.default_rng(7)
+    words = [f"word{i}" for i in range(4000)]
+    texts = []
+    for _ in range(60):
+        base = list(rng.choice(words, int(rng.integers(40, 300))))
+        size = len(base)
+        edited = list(base)
+        for at in rng.choice(size, max(1, size // 60), replace=False):
+            edited[at] = "edited"
+        longer = list(rng.choice(words, size // 5))
+        cuts = [base[: int(size * share)] for share in (0.9, 0.84, 0.82, 0.75)]
+        texts += [" ".join(t) for t in (base, *cuts, base[size // 6 :], base + longer, longer + base, edited)]
+    order = rng.permutation(len(texts))
+    texts = [texts[i] for i in order]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in drop_near_copies(docs).collect()) == brute_kept(texts)
