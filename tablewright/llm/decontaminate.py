@@ -1,4 +1,4 @@
-"""Benchmark items in documents: rare word n-grams as seeds, Smith-Waterman alignment as judge."""
+"""Benchmark items in documents: word n-grams as seeds, Smith-Waterman alignment as judge."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.staging import stage
@@ -19,13 +19,12 @@ REACH = 64
 #: Slots of the table that tells a task which seeds to look for: its size does not depend on the
 #: benchmark. Seeds of several items may share a slot; the join on whole hashes tells them apart.
 SLOTS = 1 << 24
-#: Items of up to this many seeds count from one seed on, others need two in a cluster.
+#: Items of up to this many seeds count from one seed on, others need two in a cluster, or one if
+#: replaced words can leave so few.
 FEW = 4
-#: A seed is rare if no other of its item within this many places is in fewer documents.
-NEIGHBOURS = 4
-#: Share of an item's seeds that must be in a cluster before it is aligned: with a rare one among
-#: them, and without (copies that are all edited in one place make the seeds beside it look common).
-SEED_SHARE, COMMON_SHARE = 0.1, 0.3
+#: Share of an item's seeds that must be in a cluster before it is aligned, or fewer if replaced
+#: words can leave fewer. It does not depend on other documents.
+SEED_SHARE = 0.1
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Alignment score of the item, as a share of what an exact copy scores.
 SIMILARITY = 0.6
@@ -94,8 +93,12 @@ def _slot(seeds: np.ndarray) -> np.ndarray:
     return (seeds >> np.uint64(40)).astype(np.int64) & (SLOTS - 1)
 
 
-def _benchmark_words(items: DataFrame, item_column: str, text_column: str) -> DataFrame:
-    """which (a key), item, words and seeds of each distinct item that has words."""
+def _benchmark_words(items: DataFrame, item_column: str, text_column: str, similarity: float) -> DataFrame:
+    """which (a key), item, words, seeds and `need` of each distinct item that has words.
+
+    `need` is the number of its seeds that must be in a cluster. A replaced or missing word costs
+    at least the score of a match and a gap, and up to SEED seeds.
+    """
 
     @F.pandas_udf("array<int>")
     def short_words(text: pd.Series) -> pd.Series:
@@ -110,13 +113,17 @@ def _benchmark_words(items: DataFrame, item_column: str, text_column: str) -> Da
         F.col(f"`{item_column}`").alias("item"), short_words(text).alias("words"), seeds(text).alias("seeds")
     )
     keyed = cut.filter("size(words) > 0").withColumn("which", F.xxhash64(F.col("item").isNull(), "item", "words"))
-    return stage(keyed.dropDuplicates(["which"]))
+    distinct = F.size(F.array_distinct("seeds"))
+    lost = F.floor(F.size("words") * (MATCH * (1 - similarity)) / (MATCH - GAP) + 1e-9)
+    usual = F.greatest(F.lit(2), F.ceil(SEED_SHARE * distinct))
+    need = F.when(F.size("seeds") <= FEW, 1).otherwise(F.greatest(F.lit(1), F.least(usual, distinct - SEED * lost)))
+    return stage(keyed.dropDuplicates(["which"]).withColumn("need", need.cast("int")))
 
 
 def _slot_table(known: DataFrame) -> np.ndarray:
-    """For each slot 0, 1 if a seed falls there, 2 if it is one of an item of few seeds."""
+    """For each slot 0, 1 if a seed falls there, 2 if it is one of an item that needs one only."""
     found = (
-        known.select(F.explode("seeds").alias("seed"), F.when(F.size("seeds") <= FEW, 2).otherwise(1).alias("kind"))
+        known.select(F.explode("seeds").alias("seed"), F.when(F.col("need") == 1, 2).otherwise(1).alias("kind"))
         .groupBy(F.shiftrightunsigned("seed", 40).bitwiseAND(F.lit(SLOTS - 1)).alias("slot"))
         .agg(F.max("kind").alias("kind"))
         .select(F.col("slot").cast("int"), F.col("kind").cast("byte"))
@@ -232,13 +239,12 @@ def contaminations(
     so it is 1 for copies up to case and punctuation, and falls by about 1.5 times the share of
     words that are changed. Documents are searched whole; a task looks for seeds through a table
     of fixed size, so the benchmark may have any size. A cluster of seeds goes on to alignment
-    with an item if a tenth of its seeds are there and a rare one among them, or three tenths. A
-    seed is rare if its neighbours in the item are in no fewer documents, so that every part of
-    every item has one, even one that a third of the documents quotes. Items or documents that are
+    with an item if a tenth of its seeds are there, or what replaced words must leave of a short
+    one; which other documents hold the item does not matter. Items or documents that are
     null or without words match nothing, items of fewer words than a seed only texts of the same
     words. Equal rows count once; extra columns are not looked at.
     """
-    known = _benchmark_words(items, item_column, item_text_column)
+    known = _benchmark_words(items, item_column, item_text_column, similarity)
     table = docs.sparkSession.sparkContext.broadcast(_slot_table(known))
     rows = docs.select(
         F.col(f"`{id_column}`").alias("id"),
@@ -249,21 +255,12 @@ def contaminations(
     clusters = stage(clusters.withColumn("cluster", F.monotonically_increasing_id()))
 
     quoted = clusters.select("cluster", F.explode("seeds").alias("seed"))
-    spread = quoted.groupBy("seed").agg(F.count(F.lit(1)).alias("spread"))
-    # The seeds of an item are one window: as long as the item, whatever the corpus holds.
-    asked = known.select("which", F.posexplode("seeds").alias("place", "seed"), F.size("seeds").alias("of"))
-    near = Window.partitionBy("which").orderBy("place").rowsBetween(-NEIGHBOURS, NEIGHBOURS)
-    asked = (
-        asked.join(spread, "seed")  # seeds in no document lead nowhere
-        .withColumn("rare", F.col("spread") <= F.min("spread").over(near))
-        .groupBy("which", "seed")
-        .agg(F.max("rare").alias("rare"), F.first("of").alias("of"))
-    )
+    asked = known.select("which", "need", F.explode(F.array_distinct("seeds")).alias("seed"))
     pairs = (
         quoted.join(asked, "seed")
         .groupBy("cluster", "which")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("rare").alias("rare"), F.max("of").alias("of"))
-        .filter(F.col("n") >= F.when(F.col("rare"), SEED_SHARE).otherwise(COMMON_SHARE) * F.col("of"))
+        .agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need"))
+        .filter("n >= need")
         .select("cluster", "which")
     )
     texts = known.select("which", F.col("words").alias("item_words"))

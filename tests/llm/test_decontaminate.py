@@ -107,3 +107,29 @@ def test_odd_tables(spark):
     assert contaminated_documents(docs.limit(0), items).count() == 0
     assert contaminated_documents(docs, items.limit(0)).count() == 0
     assert remove_contaminated(docs, items.limit(0)).count() == docs.count()
+
+
+def test_edited_copies_beside_exact_ones(spark):
+    """Every third and fourth word replaced, or random ones: the verdict is that of the alignment."""
+    rng = random.Random(23)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randrange(3, 9))) for _ in range(2000)]
+    items = [(i, rng.choices(vocabulary, k=size)) for i, size in enumerate((40, 15, 12, 60, 25))]
+    docs = []
+    for _, words in items:
+        docs += [list(words) for _ in range(3)]
+        for step in (3, 4):
+            docs.append([f"new{at}" if at % step == step - 1 else w for at, w in enumerate(words)])
+        for share in (0.1, 0.2, 0.25):
+            gone = set(rng.sample(range(len(words)), int(share * len(words))))
+            docs.append([f"new{at}" if at in gone else w for at, w in enumerate(words)])
+    texts = [" ".join(rng.choices(vocabulary, k=20) + d + rng.choices(vocabulary, k=20)) for d in docs]
+    wanted = {
+        (d, i)
+        for d, text in enumerate(texts)
+        for i, words in items
+        if brute_align(text.split(), words) >= 0.6 * 2 * len(words)
+    }
+    assert (4, 0) in wanted  # every fourth word of forty, beside exact copies
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in contaminated_documents(docs, table).collect()} == wanted
