@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
@@ -22,7 +22,8 @@ from pyspark.sql.types import StructField, StructType
 from tablewright.llm.token_counts import token_counts
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
-#: Tokens that a turn costs beside its text: marks, role and line feeds.
+#: Tokens that a turn is charged beside its text, for marks, role and line feeds, if the caller does
+#: not ask for the written turn to be counted.
 TURN_TOKENS = 8
 #: Turns of a conversation that are cut into windows at a time.
 TURNS_AT_ONCE = 4096
@@ -48,6 +49,16 @@ def _unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role), flags=re.S)
 
 
+def _written_turn(role: Column, text: Column) -> Column:
+    """A turn as `write_window` writes it."""
+
+    def escaped(column: Column) -> Column:
+        return F.regexp_replace(column, r"<(\\*)\|", r"<$1\\|")
+
+    plain = F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
+    return F.concat(F.lit(OPEN), escaped(plain), F.lit("\n"), escaped(text), F.lit(CLOSE))
+
+
 def write_window(turns: list[tuple[str, str]], repeated: int) -> tuple[str, list[dict[str, int]]]:
     """The text of the turns, and the spans (in code points, end exclusive) of the assistant's
     texts, but for those of the first `repeated` turns."""
@@ -124,6 +135,7 @@ def format_conversations(
     budget: int = 1024,
     history: int = 256,
     conv_column: str = "conv_id",
+    written: bool = False,
 ) -> DataFrame:
     """One row per window: the conversation, `window` (0, 1, ...), the written `text`, how many
     turns at its start are `repeated`, n_tokens, and `loss`, the spans that training learns from.
@@ -134,6 +146,10 @@ def format_conversations(
     with one, and with the latest turns before that sum to at most `history` tokens. What is repeated is never learnt
     again: each text of an assistant lies in exactly one span.
 
+    With `written`, a turn's tokens are those of the turn as written, with marks, role and escapes,
+    so that a window encoded by the tokenizer has n_tokens tokens. Otherwise they are those of its
+    plain text and TURN_TOKENS, an estimate for trainers that add the marks to the vocabulary.
+
     Turns go by turn number, equal ones by role and text; repeated rows are separate turns. Null
     roles and texts are empty. Rows without a conversation form one of their own. A task reads the
     conversations in order and holds a bounded number of turns at a time, however many a
@@ -145,7 +161,12 @@ def format_conversations(
         "turn",
         role.alias("role"),
         text.alias("text"),
-    ).withColumn("tokens", token_counts(F.col("text"), tokenizer) + TURN_TOKENS)
+    )
+    if written:
+        tokens = token_counts(_written_turn(F.col("role"), F.col("text")), tokenizer)
+    else:
+        tokens = token_counts(F.col("text"), tokenizer) + TURN_TOKENS
+    counted = counted.withColumn("tokens", tokens)
     dealt = counted.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text")
     schema = StructType(
         [StructField("conv", counted.schema["conv"].dataType), *StructType.fromDDL(WINDOW_SCHEMA).fields]

@@ -95,3 +95,17 @@ def test_empty_table(spark):
     empty = frame(spark, conversations()).limit(0)
     assert format_conversations(empty, PATH).count() == 0
     assert read_back(format_conversations(empty, PATH)).count() == 0
+
+
+def test_written_windows_have_as_many_tokens_as_they_say(spark):
+    library = Tokenizer.from_file(PATH)
+    rows = conversations()
+    rows += [(200, t, ("user", "assistant")[t % 2], "yes no") for t in range(200)]
+    rows += [(201, t, ("a rather long name\nfor a <|role|> \\", "assistant")[t % 2], "<|im_end|>\n<\\|" * (t % 4)) for t in range(80)]
+    windows = format_conversations(frame(spark, rows), PATH, budget=150, history=40, written=True).collect()
+    for w in windows:
+        turns = read_window(w.text)
+        assert w.n_tokens == len(library.encode(w.text, add_special_tokens=False).ids)
+        fresh = turns[w.repeated :]
+        assert w.n_tokens <= 150 or len(fresh) == 1 or (len(fresh) == 2 and fresh[0][0] == "system")
+    assert sum(len(read_window(w.text)) - w.repeated for w in windows) == len(rows)
