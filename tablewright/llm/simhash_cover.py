@@ -222,11 +222,13 @@ def _slot(keys: np.ndarray) -> np.ndarray:
 
 
 def _slot_table(rows: DataFrame, column: str) -> np.ndarray:
-    """Which slots the numbers of a column fall in; at most SLOTS numbers are collected."""
+    """Which slots the numbers of a column fall in; SLOTS bits are collected, as columns."""
     slot = F.shiftrightunsigned(column, 40).bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot")
-    table = np.zeros(SLOTS, bool)
-    table[rows.select(slot).distinct().toPandas()["slot"].to_numpy()] = True
-    return table
+    bit = F.expr("shiftleft(1L, slot & 63)")
+    bits = rows.select(slot).groupBy(F.expr("slot >> 6").alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    words = np.zeros(SLOTS // 64, np.int64)
+    words[bits["word"].to_numpy()] = bits["bits"].to_numpy()
+    return np.unpackbits(words.view(np.uint8), bitorder="little").view(bool)
 
 
 def _candidates(texts: DataFrame) -> DataFrame:
@@ -235,8 +237,9 @@ def _candidates(texts: DataFrame) -> DataFrame:
     Buckets are first counted by number alone; only texts in crowded ones go on. Small buckets
     give all pairs. In a larger one every text meets the leader, the first by an order that differs
     from fingerprint to fingerprint: near copies share buckets of many tables, so each text meets
-    several leaders, and links of links join the rest. No bucket is gathered anywhere, and a text
-    has at most as many pairs from large buckets as there are tables.
+    several leaders, and links of links join many of the rest. No bucket is gathered anywhere, and a
+    text has at most as many pairs from large buckets as there are tables. Copies that are near no
+    leader, and those in no common bucket, are left to `_missed`.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -327,9 +330,9 @@ def _common(shingles: DataFrame) -> np.ndarray:
     `shingles`, those of a sample. It sets the order only, and pairs are whole by any order."""
     slot = F.shiftrightunsigned("shingle", 40).bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot")
     counted = shingles.groupBy("shingle").count().filter(f"count >= {COMMON}")
-    found = counted.groupBy(slot).agg(F.max("count").alias("n")).toPandas()  # at most SLOTS rows
+    found = counted.groupBy(slot).agg(F.max("count").alias("n")).toArrow()  # at most SLOTS rows
     ranks = np.zeros(SLOTS, np.uint8)
-    ranks[found["slot"].to_numpy()] = np.ceil(np.log2(found["n"].to_numpy(np.float64) + 1)).astype(np.uint8)
+    ranks[found["slot"].to_numpy()] = np.ceil(np.log2(found["n"].to_numpy().astype(np.float64) + 1)).astype(np.uint8)
     return ranks
 
 
@@ -386,6 +389,8 @@ def _missed(rows: DataFrame, texts: DataFrame, linked: DataFrame) -> DataFrame:
     group = F.coalesce("component", "key").alias("group")
     dealt = dealt.join(linked, dealt["key"] == linked["node"], "left").select("shingle", "key", "n", "place", group)
     dealt = stage(dealt)
+    for sent in (own, ranks, table):
+        sent.destroy()
     most = F.max(F.struct("count", "group"))["group"].alias("most")
     groups = dealt.groupBy("shingle", "group").count().groupBy("shingle")
     several = groups.agg(F.count(F.lit(1)).alias("groups"), most).filter("groups > 1").select("shingle", "most")

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import xxhash
 
+from tablewright.llm import simhash_cover
 from tablewright.llm.simhash_cover import (
     covering_masks,
     drop_near_copies,
@@ -158,3 +159,28 @@ def test_truncated_extended_and_edited_copies_against_all_pairs(spark):
     texts = [texts[i] for i in order]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     assert sorted(r.doc_id for r in drop_near_copies(docs).collect()) == brute_kept(texts)
+
+
+def test_groups_of_near_copies_that_share_boilerplate(spark, monkeypatch):
+    """Pairs in one full bucket, whose leader is like neither of them."""
+
+    def starred(texts):
+        lead = texts.selectExpr("min(key) a")
+        return lead.crossJoin(texts.selectExpr("key b")).filter("a < b")
+
+    monkeypatch.setattr(simhash_cover, "_candidates", starred)
+    rng = np.random.default_rng(8)
+    words = [f"word{i}" for i in range(4000)]
+    shared = list(rng.choice(words, 210))
+    texts = []
+    for _ in range(60):
+        own = list(rng.choice(words, 90))
+        texts.append(" ".join(shared + own))
+        edited = list(shared)
+        for at in (15, 60, 110, 160):
+            edited[at + int(rng.integers(20))] = str(rng.choice(words))
+        texts.append(" ".join(edited + own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    wanted = brute_kept(texts)
+    assert wanted == list(range(0, 120, 2))
+    assert sorted(r.doc_id for r in drop_near_copies(docs).collect()) == wanted
