@@ -44,18 +44,18 @@ def stage(df: DataFrame, folder: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(spark: SparkSession, since: int = 0) -> int:
-    """Delete what this process has staged, but for the first `since` tables; return how many.
+def drop_staged(spark: SparkSession, since: int = 0, until: int | None = None) -> int:
+    """Delete what this process has staged, from the table `since` up to `until`; return how many.
 
     Frames that still read those tables fail afterwards, so call it when their results are out.
     """
     context = spark.sparkContext
     configuration = context._jsc.hadoopConfiguration()
-    gone = _written[since:]
+    gone = _written[since:until]
     for path in gone:
         target = context._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(configuration).delete(target, True)
-    del _written[since:]
+    del _written[since:until]
     return len(gone)
 
 
