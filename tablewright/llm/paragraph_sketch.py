@@ -10,8 +10,11 @@ the same form that each is likely to hold few.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
 from tablewright.functions.staging import stage
 
@@ -184,7 +187,8 @@ def differing_paragraphs(pairs: DataFrame) -> DataFrame:
             return done
         open_ = open_.join(failed, "pair")
     exact = F.concat(_only("a", "b", 1), _only("b", "a", -1))
-    return done.union(open_.select("pair", exact.alias("differing")))
+    rest = open_.select("pair", exact.alias("differing"))
+    return rest if done is None else done.union(rest)
 
 
 def _both() -> Column:
@@ -204,9 +208,23 @@ def _only(name: str, other: str, n: int) -> Column:
     return F.transform(keys, lambda k: F.struct(k.alias("k"), F.lit(n).alias("n")))
 
 
+def _range_key(docs: DataFrame) -> Column:
+    """What the ids are cut into ranges by: a text by the seven bytes behind what all have in common."""
+    kind = docs.schema["id"].dataType
+    if isinstance(kind, (NumericType, DateType, TimestampType, TimestampNTZType)):
+        return F.col("id")
+    if not isinstance(kind, StringType):
+        raise TypeError(f"documents can't be put in order by ids of type {kind.simpleString()}")
+    raw = F.encode("id", "utf-8")
+    ends = docs.agg(F.min(raw), F.max(raw)).first()
+    common = len(os.path.commonprefix([bytes(e) for e in ends])) if ends[0] is not None else 0
+    digits = F.rpad(F.hex(F.substring(raw, common + 1, 7)), 14, "0")
+    return F.conv(digits, 16, 10).cast("bigint")
+
+
 def with_successor(docs: DataFrame) -> DataFrame:
     """`docs`, rows (id, text), with `next`: the text of the next row by id and text, after the
-    last of the first. Ids must be numbers or times.
+    last of the first. Ids are numbers, dates, times or texts; other types are an error.
 
     The ids are cut into ranges of about equally many rows, by approximate quantiles; each range
     is sorted in a task of its own, together with a copy of the first row of the next range. Null
@@ -215,17 +233,18 @@ def with_successor(docs: DataFrame) -> DataFrame:
     n = docs.count()
     parts = min(RANGES, n // TOGETHER)
     bounds: list = []
+    key = _range_key(docs)
     if parts > 1:
         shares = [i / parts for i in range(1, parts)]
-        bounds = docs.agg(F.percentile_approx("id", shares, max(10_000, 4 * parts))).first()[0] or []
+        bounds = docs.agg(F.percentile_approx(key, shares, max(10_000, 4 * parts))).first()[0] or []
         bounds = sorted(set(bounds))
-    kind = docs.schema["id"].dataType.simpleString()
+    kind = docs.select(key.alias("key")).schema["key"].dataType.simpleString()
     if bounds:
         rough = F.array(*[F.lit(b) for b in bounds[::STEP]]).cast(f"array<{kind}>")
         fine = [bounds[i : i + STEP] for i in range(0, len(bounds), STEP)]
         inner = F.array(*[F.array(*map(F.lit, part)).cast(f"array<{kind}>") for part in fine])
-        coarse = F.size(F.filter(rough, lambda b: b <= F.col("id")))
-        within = F.size(F.filter(inner[F.greatest(coarse - 1, F.lit(0))], lambda b: b <= F.col("id")))
+        coarse = F.size(F.filter(rough, lambda b: b <= key))
+        within = F.size(F.filter(inner[F.greatest(coarse - 1, F.lit(0))], lambda b: b <= key))
         place = F.when(coarse > 0, (coarse - 1) * STEP + within).otherwise(F.lit(0))
     else:
         place = F.lit(0)
@@ -238,7 +257,7 @@ def with_successor(docs: DataFrame) -> DataFrame:
     previous = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])[F.col("range")]
     # Of the rows with the least id of a range the one of the least text is copied.
     first_ids = docs.sparkSession.createDataFrame(
-        [(r["range"], r["least"]["id"]) for r in heads], f"at int, first_id {kind}"
+        [(r["range"], r["least"]["id"]) for r in heads], f"at int, first_id {docs.schema['id'].dataType.simpleString()}"
     )
     copies = (
         ranged.join(

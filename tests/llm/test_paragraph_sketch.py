@@ -97,6 +97,12 @@ def test_successors_and_small_tables(spark, monkeypatch):
     rows = [(i * 10, f"t{i}") for i in range(50)]
     got = with_successor(spark.createDataFrame(rows, "id bigint, text string").repartition(7)).collect()
     assert {r.id: r.next for r in got} == {i * 10: f"t{(i + 1) % 50}" for i in range(50)}
+    for names in ([f"doc{i:05d}" for i in range(50)], ["", "a", "a\0", "b", "zz", "z" * 30, "ä"]):
+        named = [(n, f"t{i}") for i, n in enumerate(names)]
+        got = with_successor(spark.createDataFrame(named, "id string, text string").repartition(5)).collect()
+        assert {r.id: r.next for r in got} == {n: f"t{(i + 1) % len(names)}" for i, n in enumerate(names)}
+    with pytest.raises(TypeError):
+        with_successor(spark.createDataFrame([(b"a", "t")], "id binary, text string"))
     docs = spark.createDataFrame([(1, "alone"), (2, "b")], "doc_id bigint, text string")
     assert fingerprint_documents(docs.limit(0)).count() == 0
     [r] = fingerprint_documents(docs.filter("doc_id = 1")).collect()
