@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewright.llm.ball_codes import learn_codes, with_label_error
 from tablewright.llm.chat import format_conversations, read_back
 from tablewright.llm.decontaminate import contaminated_documents
 from tablewright.llm.mixing import mix
@@ -114,6 +115,18 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(_table(spark, sf_dir, "documents"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of 8 bytes and their errors; the codebooks as one digest."""
+    coded, books = learn_codes(_table(spark, sf_dir, "embeddings"))
+    return with_label_error(coded).select(
+        F.col("id").alias("vec_id"),
+        F.lower(F.hex("code")).alias("code"),
+        "error",
+        "label_error",
+        F.lit(books.digest()).alias("codebooks_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_url_filter": op2_url_filter,
@@ -125,11 +138,60 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_source_mixing": op9_source_mixing,
     "op10_document_fingerprints": op10_document_fingerprints,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 _VALUES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
 
+def _codes_sql(rounds: int = 6) -> str:
+    """Lloyd's algorithm round by round, with all distances."""
+    steps = [
+        """kept AS MATERIALIZED (
+  SELECT vec_id, label, embedding AS v, len(embedding) // 8 AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+parts AS MATERIALIZED (
+  SELECT vec_id, label, p, list_transform(v[p * w + 1 : (p + 1) * w], lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS x
+  FROM kept, range(8) t(p)
+),
+book0 AS MATERIALIZED (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS j, x AS e
+  FROM parts WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 16)
+)"""
+    ]
+    for i in range(rounds + 1):
+        steps.append(
+            f"""near{i} AS MATERIALIZED (
+  SELECT vec_id, label, p, x, best.d AS d, best.j AS j FROM (
+    SELECT vec_id, any_value(label) AS label, q.p, any_value(x) AS x,
+           min(struct_pack(d := list_sum(list_transform(list_zip(x, e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT,
+                           j := j)) AS best
+    FROM parts q JOIN book{i} b ON q.p = b.p GROUP BY vec_id, q.p)
+)"""
+        )
+        if i < rounds:
+            steps.append(
+                f"""book{i + 1} AS MATERIALIZED (
+  SELECT b.p, b.j, coalesce(m.e, b.e) AS e FROM book{i} b LEFT JOIN (
+    SELECT p, j, list(m ORDER BY k) AS e FROM (
+      SELECT p, j, k, (sum(x[k]) - ((sum(x[k]) % count(*)) + count(*)) % count(*)) // count(*) AS m
+      FROM near{i}, range(1, 4097) r(k) WHERE k <= len(x) GROUP BY p, j, k)
+    GROUP BY p, j) m ON b.p = m.p AND b.j = m.j
+)"""
+            )
+    return f"""WITH {", ".join(steps)},
+coded AS (
+  SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', j), '' ORDER BY p) AS code, sum(d)::BIGINT AS error
+  FROM near{rounds} GROUP BY vec_id
+),
+numbers AS (SELECT p, j, unnest(e) AS x, generate_subscripts(e, 1) AS k FROM book{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY p, j, k)) FROM numbers) AS codebooks_sha256
+FROM coded"""
+
+
 ORACLES: dict[str, str] = {
+    "op13_vector_codes": _codes_sql(),
     "op2_url_filter": f"""
 WITH rules(h, p, v) AS (VALUES {_VALUES}),
 cut AS (
