@@ -31,8 +31,9 @@ def staging_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stage(df: DataFrame, folder: str | None = None) -> DataFrame:
-    """The same rows, read back from a table written to the staging folder, or to `folder`.
+def stage(df: DataFrame, folder: str | None = None, partition_by: str | None = None) -> DataFrame:
+    """The same rows, read back from a table written to the staging folder, or to `folder`; in a
+    folder for each value of `partition_by`, if given, which then is the last column.
 
     It cuts the lineage, fixes whatever was not deterministic, survives the loss of executors and,
     unlike a checkpoint, still lets later jobs read only the columns they need. The files stay
@@ -40,7 +41,7 @@ def stage(df: DataFrame, folder: str | None = None) -> DataFrame:
     """
     path = f"{(folder or staging_folder(df.sparkSession)).rstrip('/')}/tablewright-{uuid.uuid4().hex}"
     _written.append(path)
-    df.write.parquet(path)
+    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
