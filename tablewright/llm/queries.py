@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tablewright.llm.ball_codes import learn_codes, with_label_error
 from tablewright.llm.chat import format_conversations, read_back
+from tablewright.llm.collocations import collocations
 from tablewright.llm.decontaminate import contaminated_documents
 from tablewright.llm.mixing import mix
 from tablewright.llm.paragraph_sketch import fingerprint_documents
@@ -115,6 +116,10 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(_table(spark, sf_dir, "documents"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of 8 bytes and their errors; the codebooks as one digest."""
     coded, books = learn_codes(_table(spark, sf_dir, "embeddings"))
@@ -138,6 +143,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_source_mixing": op9_source_mixing,
     "op10_document_fingerprints": op10_document_fingerprints,
+    "op12_phrase_collocations": op12_phrase_collocations,
     "op13_vector_codes": op13_vector_codes,
 }
 
@@ -191,6 +197,44 @@ FROM coded"""
 
 
 ORACLES: dict[str, str] = {
+    "op12_phrase_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+),
+lists AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w)) AS n FROM lists GROUP BY lang),
+found AS MATERIALIZED (
+  SELECT lang, phrase, k, count(*) AS f FROM (
+    SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase
+    FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM lists) p, range(1, 6) t(k) WHERE i + k - 1 <= len(w))
+  GROUP BY lang, phrase, k HAVING count(*) >= 100
+),
+cuts AS (
+  SELECT lang, phrase, f, k, j, array_to_string(string_split(phrase, ' ')[1 : j], ' ') AS head,
+         array_to_string(string_split(phrase, ' ')[j + 1 : k], ' ') AS tail
+  FROM found, range(1, 5) t(j) WHERE j < k
+),
+scores AS (
+  SELECT c.lang, c.phrase, c.k, c.f AS a, h.f AS l, r.f AS r, t.n,
+         (1000 * c.f::HUGEINT * t.n) // (h.f::HUGEINT * r.f) AS score,
+         row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY (1000 * c.f::HUGEINT * t.n) // (h.f::HUGEINT * r.f), j) AS nth
+  FROM cuts c JOIN found h ON h.lang = c.lang AND h.phrase = c.head JOIN found r ON r.lang = c.lang AND r.phrase = c.tail
+  JOIN totals t ON t.lang = c.lang
+),
+inner_parts AS (
+  SELECT lang, array_to_string(string_split(phrase, ' ')[i : i + s - 1], ' ') AS phrase, max(f) AS most
+  FROM found, range(2, 5) u(s), range(1, 5) t(i) WHERE s < k AND i + s - 1 <= k GROUP BY ALL
+),
+ranked AS (
+  SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank, s.phrase, a, l, r, n, score
+  FROM scores s LEFT JOIN inner_parts i ON i.lang = s.lang AND i.phrase = s.phrase
+  WHERE nth = 1 AND coalesce(most, 0) < a
+)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n,
+       score::BIGINT AS score
+FROM ranked WHERE rank <= 2000""",
     "op13_vector_codes": _codes_sql(),
     "op2_url_filter": f"""
 WITH rules(h, p, v) AS (VALUES {_VALUES}),
