@@ -6,10 +6,12 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[str] = []
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def staging_folder(spark: SparkSession) -> str:
@@ -33,33 +35,45 @@ def staging_folder(spark: SparkSession) -> str:
 
 def stage(df: DataFrame, folder: str | None = None, partition_by: str | None = None) -> DataFrame:
     """The same rows, read back from a table written to the staging folder, or to `folder`; in a
-    folder for each value of `partition_by`, if given, which then is the last column.
+    folder for each value of `partition_by`, if given, which has to be the last column.
 
     It cuts the lineage, fixes whatever was not deterministic, survives the loss of executors and,
     unlike a checkpoint, still lets later jobs read only the columns they need. The files stay
-    until `drop_staged`.
+    until `drop_table` or `drop_staged`.
     """
     path = f"{(folder or staging_folder(df.sparkSession)).rstrip('/')}/tablewright-{uuid.uuid4().hex}"
     _written.append(path)
     (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    staged = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[staged] = path
+    return staged
 
 
-def drop_staged(spark: SparkSession, since: int = 0, until: int | None = None) -> int:
-    """Delete what this process has staged, from the table `since` up to `until`; return how many.
+def drop_table(staged: DataFrame) -> None:
+    """Delete the table that `stage` has returned this frame for. Frames that read it fail afterwards."""
+    path = _paths.pop(staged)
+    _written.remove(path)
+    _delete(staged.sparkSession, path)
+
+
+def drop_staged(spark: SparkSession, since: int = 0) -> int:
+    """Delete what this process has staged, but for the first `since` tables; return how many.
 
     Frames that still read those tables fail afterwards, so call it when their results are out.
     """
-    context = spark.sparkContext
-    configuration = context._jsc.hadoopConfiguration()
-    gone = _written[since:until]
+    gone = _written[since:]
     for path in gone:
-        target = context._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(configuration).delete(target, True)
-    del _written[since:until]
+        _delete(spark, path)
+    del _written[since:]
     return len(gone)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def staged_count() -> int:
     """How many tables are staged now; a mark for `drop_staged`."""
     return len(_written)
