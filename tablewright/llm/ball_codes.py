@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions.staging import drop_staged, stage, staged_count
+from tablewright.functions.staging import drop_table, stage
 
 #: Components below this keep all sums of a batch within 64 bits; larger ones are Python's integers.
 SAFE = 1 << 24
@@ -256,7 +256,6 @@ def learn_codes(
     """
     if not 1 <= entries <= 256:
         raise ValueError("a code has one byte for each part: 1 to 256 entries")
-    spark = vectors.sparkSession
     kept = _kept(vectors, id_column, vector_column, label_column)
     start = _first_books(kept, parts, entries, scale)
     if start is None:
@@ -266,14 +265,16 @@ def learn_codes(
     rows = _assigned(
         kept.filter(F.size("vector") == size).withColumn("code", F.lit(bytes(parts))), books, size, scale
     )
-    first = staged_count()
+    held = None
     for _ in range(rounds):
-        held = stage(rows)
-        drop_staged(spark, first, staged_count() - 1)  # this round is written, the one before goes
+        before, held = held, stage(rows)
+        if before is not None:
+            drop_table(before)
         books = _next_books(books, _sums(held, books, size, scale))
         rows = _assigned(held, books, size, scale)
     coded = stage(_assigned(held if rounds else rows, books, size, scale, measured=True))
-    drop_staged(spark, first, staged_count() - 1)
+    if held is not None:
+        drop_table(held)
     return coded, books
 
 

@@ -4,7 +4,8 @@ Rows are dealt to shards, which are scanned in turn, round and round. Words are
 first scan on. A longer phrase becomes active once both phrases of one word less, its first and its
 last words, have reached the threshold; that may be in the middle of a round, while they are still
 counted. It is counted for one full cycle from the next scan on, wherever that starts, so every
-shard counts once. Lengths are thus interleaved, and a cycle or two often do for all of them.
+shard counts once. Lengths are thus interleaved. After each cycle but the first the shards are
+written anew without the words that no phrase still to be counted needs.
 
 What has reached the threshold, and when, is told to the tasks by a table of SLOTS bytes for each
 length. A phrase is judged by the slots of its parts. Phrases that share a slot can make it active
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.functions.staging import drop_staged, stage, staged_count
+from tablewright.functions.staging import drop_table, stage
 
 #: Slots of the tables sent to the tasks, a byte each. Their size does not depend on the data.
 SLOTS = 1 << 24
@@ -76,49 +78,101 @@ def _slots(h: np.ndarray, slots: int) -> np.ndarray:
     return ((mixed >> np.uint64(32)) % np.uint64(slots)).astype(np.int64)
 
 
-def count_block(
-    lang: str, block: str, ahead: str, step: int, shards: int, longest: int, tables: dict[int, np.ndarray], slots: int
-) -> Iterator[pd.DataFrame]:
-    """The active phrases that start in a block, with the step each has been active since."""
-    tokens = block.replace("\n", " \n ").split(" ")
-    inside = len(tokens)
-    codes, words = pd.factorize(np.array(tokens + ahead.split(" "), dtype=object))
-    blank, end = (next(iter(np.flatnonzero(words == mark)), -1) for mark in ("", "\n"))
-    inside = int(np.count_nonzero(codes[:inside] != blank))
-    codes = codes[codes != blank]
-    seed = xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"))
-    hashed = (xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), seed) for w in words)
-    hash_of = np.fromiter(hashed, np.uint64, len(words))
-    first = hash_of[codes]
-    if step < shards:
-        counts = np.bincount(codes[:inside], minlength=len(words))
-        counts[[i for i in (blank, end) if i >= 0]] = 0
-        used = np.flatnonzero(counts)
-        if len(used):
-            yield _frame(lang, [""], 0, 0, np.zeros(1, np.int64), counts[used].sum()[None])
-            yield _frame(lang, words[used], 1, 0, _slots(hash_of[used], slots), counts[used])
-    reach, h = None, first
+@dataclass(frozen=True)
+class Block:
+    """Words and line feeds as codes, and what they stand for; the first `inside` are the block's own."""
+
+    codes: np.ndarray
+    inside: int
+    words: np.ndarray
+    hash_of: np.ndarray
+    end: int
+
+    @classmethod
+    def of(cls, lang: str, block: str, ahead: str) -> Block:
+        tokens = block.replace("\n", " \n ").split(" ")
+        codes, words = pd.factorize(np.array(tokens + ahead.split(" "), dtype=object))
+        blank, end = (next(iter(np.flatnonzero(words == mark)), -1) for mark in ("", "\n"))
+        inside = int(np.count_nonzero(codes[: len(tokens)] != blank))
+        codes = codes[codes != blank]
+        seed = xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"))
+        hashed = (xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), seed) for w in words)
+        return cls(codes, inside, words, np.fromiter(hashed, np.uint64, len(words)), end)
+
+
+def known_parts(
+    block: Block, longest: int, tables: dict[int, np.ndarray], slots: int
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For lengths k from 2 on: k, the step in which the last part of the k words from each place
+    got known (NEVER if one is not; an end never is), and the hash of their first k - 1 words where
+    all parts are known. The arrays are reused."""
+    first = block.hash_of[block.codes]
+    reach = h = None
     for k in range(2, longest + 1):
         if k - 1 not in tables:
             return
-        # Since when all parts of the k - 1 words from each place on are known; an end never is.
         if reach is None:
-            reach = tables[1][_slots(hash_of, slots)][codes]
-            reach[codes == end] = NEVER
+            reach, h = tables[1][_slots(block.hash_of, slots)][block.codes], first.copy()
+            reach[block.codes == block.end] = NEVER
         else:
             at = np.flatnonzero(reach < NEVER)
-            with np.errstate(over="ignore"):
-                h[at] = h[at] * _P + first[at + k - 2]
+            h[at] = _extended(h[at], first[at + k - 2])
             reach[at] = np.maximum(reach[at], tables[k - 1][_slots(h[at], slots)])
         reach = np.maximum(reach[:-1], reach[1:])
-        h = first.copy() if k == 2 else h
+        yield k, reach, h
+
+
+def _extended(h: np.ndarray, word: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return h * _P + word
+
+
+def count_block(
+    lang: str, block: Block, step: int, shards: int, longest: int, tables: dict[int, np.ndarray], slots: int
+) -> Iterator[pd.DataFrame]:
+    """The active phrases that start in a block, with the step each has been active since."""
+    codes, inside, words = block.codes, block.inside, block.words
+    if step < shards:
+        counts = np.bincount(codes[:inside], minlength=len(words))
+        counts[(words == "\n") | (words == "")] = 0
+        used = np.flatnonzero(counts)
+        if len(used):
+            yield _frame(lang, [""], 0, 0, np.zeros(1, np.int64), counts[used].sum()[None])
+            yield _frame(lang, words[used], 1, 0, _slots(block.hash_of[used], slots), counts[used])
+    for k, reach, h in known_parts(block, longest, tables, slots):
         since = reach[:inside].astype(np.int64) + 1
         places = np.flatnonzero((since <= step) & (since + shards > step))
-        if not len(places):
+        if len(places):
+            own = _extended(h[places], block.hash_of[codes[places + k - 1]])
+            yield from _phrases(lang, words, codes, places, k, own, since, slots)
+
+
+def trim_block(
+    block: Block, follows: bool, k: int, step: int, shards: int, tables: dict[int, np.ndarray], slots: int
+) -> str:
+    """The words of a block inside `k` words that are frequent or may become so, cut elsewhere.
+
+    `follows` tells that the block goes on with the piece of the one before; its first words stay."""
+    n = len(block.codes)
+    live = np.zeros(n + 1, np.int64)
+    for length, reach, h in known_parts(block, k, tables, slots):
+        if length < k:
             continue
-        with np.errstate(over="ignore"):
-            own = h[places] * _P + first[places + k - 1]
-        yield from _phrases(lang, words, codes, places, k, own, since, slots)
+        at = np.flatnonzero(reach < NEVER)
+        good = reach[at].astype(np.int64) + 1 + shards > step
+        if k in tables:
+            good |= tables[k][_slots(_extended(h[at], block.hash_of[block.codes[at + k - 1]]), slots)] < NEVER
+        live[at[good]] = 1
+    before = np.r_[0, np.cumsum(live[:n])]
+    here = np.arange(block.inside)
+    kept = before[here + 1] > before[np.maximum(here - k + 1, 0)]
+    tied = before[here + 1] > before[np.maximum(here - k + 2, 0)]
+    if follows:
+        kept[: k - 1] = tied[: k - 1] = True
+    is_end = np.r_[block.codes, block.end][: block.inside + 1] == block.end
+    kept &= ~is_end[:-1]
+    tied &= ~is_end[1:]
+    return "".join((block.words[block.codes[: block.inside]] + np.where(tied, " ", "\n").astype(object))[kept])
 
 
 def _phrases(lang, words, codes, places, k, hashes, since, slots) -> Iterator[pd.DataFrame]:
@@ -147,18 +201,47 @@ def _frame(lang, phrase, words, start, slot, n) -> pd.DataFrame:
 
 def _scan(shard: DataFrame, step: int, shards: int, longest: int, sparse: Tables, slots: int) -> DataFrame:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables = {}
-        for k, (at, steps) in sparse.items():
-            tables[k] = np.full(slots, NEVER, np.uint8)
-            tables[k][at] = steps
+        tables = _dense(sparse, slots)
         for batch in batches:
             for lang, texts in batch.groupby("lang", sort=False)["text"]:
-                for block, ahead in blocks(iter(texts), longest):
-                    yield from count_block(lang, block, ahead, step, shards, longest, tables, slots)
+                for text, ahead in blocks(iter(texts), longest):
+                    block = Block.of(lang, text, ahead)
+                    yield from count_block(lang, block, step, shards, longest, tables, slots)
 
     return shard.select("lang", "text").mapInPandas(count, _SCHEMA)
 
 
+def _dense(sparse: Tables, slots: int) -> dict[int, np.ndarray]:
+    tables = {}
+    for k, (at, steps) in sparse.items():
+        tables[k] = np.full(slots, NEVER, np.uint8)
+        tables[k][at] = steps
+    return tables
+
+
+def _trimmed(dealt: DataFrame, step: int, shards: int, longest: int, sparse: Tables, slots: int) -> DataFrame:
+    """The shards without the words that no phrase needs any more: phrases of step / shards words and
+    fewer are counted, so what matters is inside phrases of one word more. A row is a block."""
+    k = step // shards + 1
+
+    def trim(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tables = _dense(sparse, slots)
+        for batch in batches:
+            for (lang, shard), texts in batch.groupby(["lang", "shard"], sort=False)["text"]:
+                parts, follows, out = [], False, []
+                for text, ahead in blocks(iter(texts), longest):
+                    parts.append(trim_block(Block.of(lang, text, ahead), follows, k, step, shards, tables, slots))
+                    follows = bool(ahead)
+                    if not follows:
+                        out.append("".join(parts))
+                        parts = []
+                out = [t for t in [*out, "".join(parts)] if t]
+                if out:
+                    yield pd.DataFrame({"lang": lang, "text": out, "shard": shard})
+
+    return dealt.mapInPandas(trim, dealt.schema)
+
+
 def _reached(live: DataFrame, step: int, longest: int) -> dict[int, np.ndarray]:
     """By length, the slots of what has reached the threshold in this step; SLOTS / 64 rows each at most."""
     new = live.filter((F.col("reach") == step) & F.col("words").between(1, longest - 1))
@@ -172,21 +255,21 @@ def _reached(live: DataFrame, step: int, longest: int) -> dict[int, np.ndarray]:
     return found
 
 
-def frequent_phrases(rows: DataFrame, threshold: int, longest: int = 5, shards: int = 4, slots: int = SLOTS) -> DataFrame:
-    """lang, phrase, words, n for all phrases of up to `longest` words found `threshold` times or
+def frequent_phrases(rows: DataFrame, threshold: int, longest: int = 5, shards: int = 2, slots: int = SLOTS) -> DataFrame:
+    """A staged table with lang, phrase, words, n for all phrases of up to `longest` words found `threshold` times or
     more in `rows` (lang, text as `prepared`), and with the phrase '' the number of all words.
 
     After each step the counts so far are written; two of these tables are kept at a time."""
-    spark = rows.sparkSession
-    first = staged_count()
-    dealt = stage(
-        rows.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int")), partition_by="shard"
-    )
+    shard = F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int")
+    dealt = stage(rows.withColumn("shard", shard), partition_by="shard")
     tables: Tables = {}
     live, step = None, 0
     while step < shards or any((steps >= step - shards).any() for _, steps in tables.values()):
         if step >= NEVER:
             raise ValueError(f"{shards} shards and {longest} words need more than {NEVER} steps")
+        if step % shards == 0 and step >= 2 * shards:  # not after the first round, which leaves most
+            whole, dealt = dealt, stage(_trimmed(dealt, step, shards, longest, tables, slots), partition_by="shard")
+            drop_table(whole)
         counted = _scan(dealt.filter(F.col("shard") == step % shards), step, shards, longest, tables, slots)
         counted = counted.withColumn("reach", F.lit(None).cast("int"))
         so_far = counted if live is None else live.unionByName(counted)
@@ -195,15 +278,16 @@ def frequent_phrases(rows: DataFrame, threshold: int, longest: int = 5, shards:
         )
         enough = (F.col("n") >= threshold) & (F.col("words") > 0)
         summed = summed.withColumn("reach", F.coalesce("reach", F.when(enough, F.lit(step))))
-        live = stage(summed.filter(enough | (F.col("words") == 0) | (F.col("start") + shards > step + 1)))
-        drop_staged(spark, first + 1, staged_count() - 1)
+        before, live = live, stage(summed.filter(enough | (F.col("words") == 0) | (F.col("start") + shards > step + 1)))
+        if before is not None:
+            drop_table(before)
         for k, at in _reached(live, step, longest).items():
             old, steps = tables.get(k, (np.zeros(0, np.int64), np.zeros(0, np.uint8)))
             new = np.setdiff1d(at, old)
             tables[k] = np.r_[old, new], np.r_[steps, np.full(len(new), step, np.uint8)]
         step += 1
-    drop_staged(spark, first, first + 1)
-    return live.select("lang", "phrase", "words", "n")
+    drop_table(dealt)
+    return live
 
 
 def _joined(words: Column, start: Column | int, size: Column | int) -> Column:
@@ -263,7 +347,7 @@ def collocations(
     percent: int = 100,
     first: int = 2000,
     factor: int = 1000,
-    shards: int = 4,
+    shards: int = 2,
 ) -> DataFrame:
     """The `first` phrases of each language by score: lang, rank, phrase, a, l, r, n, score.
 
@@ -280,9 +364,9 @@ def collocations(
         F.coalesce(F.col(f"`{lang_column}`").cast("string"), F.lit("und")).alias("lang"),
         prepared(F.col(f"`{text_column}`")).alias("text"),
     )
-    first_table = staged_count()
-    phrases = stage(scored(frequent_phrases(rows, threshold, longest, shards), factor))
-    drop_staged(docs.sparkSession, first_table, staged_count() - 1)
+    found = frequent_phrases(rows, threshold, longest, shards)
+    phrases = stage(scored(found, factor))
+    drop_table(found)
     kept = without_parts(phrases, percent).withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
     best = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order)))

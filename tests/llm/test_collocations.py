@@ -105,11 +105,33 @@ def test_long_texts_are_cut_without_loss(monkeypatch):
         found.clear()
         for block, ahead in blocks(iter(texts), 5):
             # Step 1 of 2 shards: words still count, and phrases whose parts were reached in step 0.
-            for part in module.count_block("en", block, ahead, 1, 2, 5, tables, 256):
+            for part in module.count_block("en", module.Block.of("en", block, ahead), 1, 2, 5, tables, 256):
                 found.update(dict(zip(part["phrase"], part["n"])) if part["phrase"].is_unique else {None: 1})
         assert found == counted([(t, "en") for t in texts], 5)["en"]
 
 
+def test_trimming_keeps_what_lies_inside_known_phrases(monkeypatch):
+    monkeypatch.setattr(module, "CHUNK", 21)
+    slots = 1 << 20
+    text = " ".join(["a b c", "x1", "a b c d", "x2 x3", "a b", "x4", "c a b c\na b c"] * 6)
+    pairs = ["a b", "b c", "c a"]
+    tables = {k: np.full(slots, module.NEVER, np.uint8) for k in (1, 2)}
+    for k, known in ((1, "abcd"), (2, pairs)):
+        for phrase in known:
+            block = module.Block.of("en", phrase, "")
+            h = block.hash_of[block.codes]
+            h = h[:1] if k == 1 else module._extended(h[:1], h[1:2])
+            tables[k][module._slots(h, slots)] = 2
+    parts, follows = [], False
+    for body, ahead in blocks(iter([text]), 5):
+        parts.append(module.trim_block(module.Block.of("en", body, ahead), follows, 3, 4, 2, tables, slots))
+        follows = bool(ahead)
+    kept = "".join(parts)
+    f, g = (counted([(t, "en")], 3)["en"] for t in (text, kept))
+    assert [g[p] for p in ("a b c", "c a b")] == [f[p] for p in ("a b c", "c a b")] and f["a b c"] == 24
+    assert g[""] < f[""] and all(g[p] <= n for p, n in f.items()) and set(g) <= set(f)
+
+
 def test_equal_hashes_of_different_phrases(monkeypatch):
     codes = np.array([0, 1, 0, 1, 2, 1])
     words = np.array(["a", "b", "c"], dtype=object)
