@@ -172,6 +172,7 @@ def trim_block(
     is_end = np.r_[block.codes, block.end][: block.inside + 1] == block.end
     kept &= ~is_end[:-1]
     tied &= ~is_end[1:]
+    tied[:-1] &= kept[1:]
     return "".join((block.words[block.codes[: block.inside]] + np.where(tied, " ", "\n").astype(object))[kept])
 
 
