@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewright.llm import line_cleaning
 from tablewright.llm.ball_codes import learn_codes, with_label_error
 from tablewright.llm.chat import format_conversations, read_back
 from tablewright.llm.collocations import collocations
 from tablewright.llm.decontaminate import contaminated_documents
+from tablewright.llm.line_cleaning import clean_lines
 from tablewright.llm.mixing import mix
 from tablewright.llm.paragraph_sketch import fingerprint_documents
 from tablewright.llm.repeats import remove_repeats
@@ -116,6 +118,22 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = clean_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+        "lost_words",
+        F.sha2("cleaned", 256).alias("cleaned_sha256"),
+    )
+
+
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_table(spark, sf_dir, "documents").select("text", "lang"))
 
@@ -143,6 +161,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_source_mixing": op9_source_mixing,
     "op10_document_fingerprints": op10_document_fingerprints,
+    "op11_quality_rules": op11_quality_rules,
     "op12_phrase_collocations": op12_phrase_collocations,
     "op13_vector_codes": op13_vector_codes,
 }
@@ -196,7 +215,54 @@ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS la
 FROM coded"""
 
 
+def _marks(text: str, characters: str) -> str:
+    quoted = characters.replace("'", "''")
+    return f"(length({text}) - length(translate({text}, '{quoted}', '')))"
+
+
+_CLOSING = line_cleaning.CLOSING.replace("'", "''")
+_NOTICES = " OR ".join(f"contains(lowered, '{p}')" for p in line_cleaning.NOTICES)
+_LOWERED = f"translate(line, '{line_cleaning.UPPER}', '{line_cleaning.LOWER}')"
+
 ORACLES: dict[str, str] = {
+    "op11_quality_rules": rf"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+cut AS (SELECT doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM docs),
+places AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+           FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM cut)),
+again AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM places),
+repeated AS (SELECT doc_id, count(DISTINCT j) AS n FROM again, range(0, 3) r(k), LATERAL (SELECT i + k AS j) WHERE c > 1
+             GROUP BY doc_id),
+split AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM docs),
+lines AS (
+  SELECT doc_id, i, line, list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
+         row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS copy, {_LOWERED} AS lowered
+  FROM split
+),
+judged AS (
+  SELECT doc_id, i, line, copy, len(w) AS n, len(w) > 0 AND (
+    10 * {_marks("line", line_cleaning.SYMBOLS + "!")} > 3 * len(w)
+    OR (len(w) >= 5 AND {_marks("line", line_cleaning.UPPER)} > 4 * {_marks("line", line_cleaning.LOWER)})
+    OR ({_marks("line", line_cleaning.BARS)} >= 3 AND 4 * {_marks("line", line_cleaning.BARS)} > len(w))
+    OR (len(w) < 5 AND NOT contains('{_CLOSING}', right(w[-1], 1)))
+    OR {_NOTICES}
+    OR (len(w) >= 20 AND 5 * len(list_distinct(w)) < len(w))
+    OR copy) AS gone
+  FROM lines
+),
+sums AS (
+  SELECT doc_id, count(*) FILTER (copy AND n > 0) AS copies, coalesce(sum(n) FILTER (gone), 0) AS lost,
+         coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS cleaned
+  FROM judged GROUP BY doc_id
+),
+joined AS (SELECT c.doc_id, c.t, len(c.w) AS n, coalesce(r.n, 0) AS rep, s.copies, s.lost, s.cleaned
+           FROM cut c JOIN sums s USING (doc_id) LEFT JOIN repeated r USING (doc_id))
+SELECT doc_id, n AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+       {_marks("t", line_cleaning.SYMBOLS)} AS n_symbols, copies AS n_dup_lines, rep AS n_repeat_words,
+       n < 50 OR 100 * rep > 50 * n AS base_failed,
+       NOT (n < 50 OR 100 * rep > 50 * n) AND 100 * lost <= 30 * n AS kept,
+       lost::BIGINT AS lost_words, sha256(cleaned) AS cleaned_sha256
+FROM joined""",
     "op12_phrase_collocations": r"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
