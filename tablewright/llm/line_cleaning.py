@@ -16,13 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "[ \\x09-\\x0D]+"
-SPACES = " \t\n\x0b\x0c\r"
+SPACES = " \\x09-\\x0D"
 SYMBOLS = "#*$%&|<>"
 #: Marks that set the links of a menu apart.
 BARS = "|•·»›"
 #: A line that ends so is a sentence, or quotes one.
 CLOSING = ".!?…\"')]:;。！？”’»"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Phrases of notices that come with a page and not with its text.
 NOTICES = (
     "licensed under",
@@ -37,6 +36,8 @@ NOTICES = (
 )
 #: Words in a window that counts as repeated.
 WINDOW = 3
+#: Bits for a place beside the bits of a hash in one number.
+PLACE_BITS = 24
 #: Least words of a document, and most percent of its words in repeated windows.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Most percent of the words that lines may take with them.
@@ -49,63 +50,116 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, SPACE), lambda w: w != "")
+    return F.array_remove(F.split(text, SPACE), "")
 
 
 def count_of(text: Column, characters: str) -> Column:
-    """How many of some characters a text has."""
-    return F.length(text) - F.length(F.translate(text, characters, ""))
+    """How many of some characters, a regular expression, a text has."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"[{characters}]+", ""))
+
+
+def _hash(words: list[Column]) -> Column:
+    return F.xxhash64(*words)
 
 
 def repeated_words(words: Column) -> Column:
-    """Words in windows of three that are found twice or more, the first included."""
+    """Words in windows of three that are found twice or more, the first included.
+
+    Windows are sorted as numbers, hash before place. Where windows of different words share a hash,
+    or there are too many, they are sorted by their words."""
+
+    def inside(w: Column, i: Column) -> list[Column]:
+        return [F.get(w, i + k) for k in range(WINDOW)]
+
+    def place(p: Column) -> Column:
+        return p.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
+
+    def key(p: Column) -> Column:
+        return F.shiftright(p, PLACE_BITS)
+
+    def hashes(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: _hash(inside(w, i)))
+
+    def by_number(w: Column, s: Column) -> Column:
+        found = F.filter(
+            s,
+            lambda p, j: F.coalesce(key(p) == key(F.get(s, j - 1)), F.lit(False))
+            | F.coalesce(key(p) == key(F.get(s, j + 1)), F.lit(False)),
+        )
 
-    def windows(w: Column) -> Column:
+        def checked(r: Column) -> Column:
+            def differs(p: Column, j: Column) -> Column:
+                before = F.get(r, j - 1)
+                pairs = zip(inside(w, place(p)), inside(w, place(before)))
+                other = F.lit(False)
+                for x, y in pairs:
+                    other = other | (x != y)
+                return F.coalesce((key(p) == key(before)) & other, F.lit(False))
+
+            alike = ~F.array_contains(F.transform(r, differs), True)
+            return F.when(alike, _covered(F.transform(r, place))).otherwise(by_words(w))
+
+        return _let(found, checked)
+
+    def by_words(w: Column) -> Column:
         def window(i: Column) -> Column:
-            inside = [F.get(w, i + k) for k in range(WINDOW)]
-            # The hash makes comparing cheap, the words make equal windows neighbours whatever it is.
-            return F.struct(F.xxhash64(*inside).alias("h"), *[x.alias(f"w{k}") for k, x in enumerate(inside)], i.alias("i"))
-
-        return F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), window))
-
-    def same(x: Column, y: Column) -> Column:
-        equal = x["h"] == y["h"]
-        for k in range(WINDOW):
-            equal = equal & (x[f"w{k}"] == y[f"w{k}"])
-        return F.coalesce(equal, F.lit(False))
-
-    def covered(s: Column) -> Column:
-        places = F.transform(s, lambda x, j: F.when(same(x, F.get(s, j - 1)) | same(x, F.get(s, j + 1)), x["i"]))
-        start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
-        return F.aggregate(
-            F.sort_array(F.filter(places, lambda i: i.isNotNull())),
-            start,
-            lambda a, i: F.struct((i + WINDOW).alias("end"), (a["n"] + i + WINDOW - F.greatest(a["end"], i)).alias("n")),
-            lambda a: a["n"],
+            return F.struct(*[x.alias(f"w{k}") for k, x in enumerate(inside(w, i))], i.alias("i"))
+
+        def same(x: Column, y: Column) -> Column:
+            equal = F.lit(True)
+            for k in range(WINDOW):
+                equal = equal & (x[f"w{k}"] == y[f"w{k}"])
+            return F.coalesce(equal, F.lit(False))
+
+        def places(s: Column) -> Column:
+            found = F.transform(s, lambda x, j: F.when(same(x, F.get(s, j - 1)) | same(x, F.get(s, j + 1)), x["i"]))
+            return _covered(F.filter(found, lambda i: i.isNotNull()))
+
+        return _let(F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), window)), places)
+
+    def compared(w: Column, h: Column) -> Column:
+        packed = F.sort_array(F.transform(h, lambda x, i: F.shiftleft(x, PLACE_BITS).bitwiseOR(i.cast("bigint"))))
+        return (
+            F.when(F.size(F.array_distinct(h)) == F.size(h), 0)
+            .when(F.size(h) <= F.lit(1 << PLACE_BITS), _let(packed, lambda s: by_number(w, s)))
+            .otherwise(by_words(w))
         )
 
     def counted(w: Column) -> Column:
-        return F.when(F.size(w) >= WINDOW, _let(windows(w), covered)).otherwise(0)
+        return F.when(F.size(w) >= WINDOW, _let(hashes(w), lambda h: compared(w, h))).otherwise(0)
 
     return _let(words, counted)
 
 
+def _covered(places: Column) -> Column:
+    """How many words the windows at some places cover."""
+    start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
+    return F.aggregate(
+        F.sort_array(places),
+        start,
+        lambda a, i: F.struct((i + WINDOW).alias("end"), (a["n"] + i + WINDOW - F.greatest(a["end"], i)).alias("n")),
+        lambda a: a["n"],
+    )
+
+
 def failed_rule(line: Column, words: Column, copy: Column) -> Column:
     """The first rule that a line with words fails, or null."""
     n = F.size(words)
-    upper = count_of(line, UPPER) > 4 * count_of(line, LOWER)
-    bars = count_of(line, BARS)
+    capitals = ~line.rlike("[a-z]") & line.rlike("[A-Z]{2}")
     closed = F.lit(CLOSING).contains(F.right(F.element_at(words, -1), F.lit(1)))
-    lowered = F.translate(line, UPPER, LOWER)
-    notice = F.lit(False)
-    for phrase in NOTICES:
-        notice = notice | lowered.contains(phrase)
+
+    def noticed(lowered: Column) -> Column:
+        found = F.lit(False)
+        for phrase in NOTICES:
+            found = found | lowered.contains(phrase)
+        return found
+
     return (
         F.when(10 * count_of(line, SYMBOLS + "!") > 3 * n, "symbols")
-        .when((n >= 5) & upper, "shouting")
-        .when((bars >= 3) & (4 * bars > n), "navigation")
+        .when((n >= 5) & capitals, "shouting")
+        .when(_let(count_of(line, BARS), lambda bars: (bars >= 3) & (4 * bars > n)), "navigation")
         .when((n < 5) & ~closed, "fragment")
-        .when(notice, "boilerplate")
+        .when(_let(F.lower(line), noticed), "boilerplate")
         .when((n >= 20) & (5 * F.size(F.array_distinct(words)) < n), "repetition")
         .when(copy, "copy")
     )

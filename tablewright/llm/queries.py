@@ -216,13 +216,11 @@ FROM coded"""
 
 
 def _marks(text: str, characters: str) -> str:
-    quoted = characters.replace("'", "''")
-    return f"(length({text}) - length(translate({text}, '{quoted}', '')))"
+    return f"(length({text}) - length(regexp_replace({text}, '[{characters}]', '', 'g')))"
 
 
 _CLOSING = line_cleaning.CLOSING.replace("'", "''")
 _NOTICES = " OR ".join(f"contains(lowered, '{p}')" for p in line_cleaning.NOTICES)
-_LOWERED = f"translate(line, '{line_cleaning.UPPER}', '{line_cleaning.LOWER}')"
 
 ORACLES: dict[str, str] = {
     "op11_quality_rules": rf"""
@@ -236,13 +234,13 @@ repeated AS (SELECT doc_id, count(DISTINCT j) AS n FROM again, range(0, 3) r(k),
 split AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM docs),
 lines AS (
   SELECT doc_id, i, line, list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
-         row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS copy, {_LOWERED} AS lowered
+         row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS copy, lower(line) AS lowered
   FROM split
 ),
 judged AS (
   SELECT doc_id, i, line, copy, len(w) AS n, len(w) > 0 AND (
     10 * {_marks("line", line_cleaning.SYMBOLS + "!")} > 3 * len(w)
-    OR (len(w) >= 5 AND {_marks("line", line_cleaning.UPPER)} > 4 * {_marks("line", line_cleaning.LOWER)})
+    OR (len(w) >= 5 AND NOT regexp_matches(line, '[a-z]') AND regexp_matches(line, '[A-Z]{{2}}'))
     OR ({_marks("line", line_cleaning.BARS)} >= 3 AND 4 * {_marks("line", line_cleaning.BARS)} > len(w))
     OR (len(w) < 5 AND NOT contains('{_CLOSING}', right(w[-1], 1)))
     OR {_NOTICES}

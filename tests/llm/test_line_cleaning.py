@@ -23,10 +23,10 @@ def rule_of(line, copy):
     n, bars = len(w), marks(line, rules.BARS)
     if not n:
         return None
-    lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in line)
+    lowered = line.lower()
     if 10 * marks(line, rules.SYMBOLS + "!") > 3 * n:
         return "symbols"
-    if n >= 5 and marks(line, rules.UPPER) > 4 * marks(line, rules.LOWER):
+    if n >= 5 and not re.search("[a-z]", line) and re.search("[A-Z]{2}", line):
         return "shouting"
     if bars >= 3 and 4 * bars > n:
         return "navigation"
@@ -67,7 +67,7 @@ def prose(rng, n, tail="."):
 
 def texts():
     rng = random.Random(4)
-    junk = ["A B C D E F", "HOME | NEWS | MORE | ABOUT", "x*** y$$$ z###", "WOW!! SO!! GOOD!!", "Contact", "Ok.",
+    junk = ["AB C D E F É", "HOME | NEWS | MORE | ABOUT", "x*** y$$$ z###", "WOW!! SO!! GOOD!!", "Contact", "Ok.",
             "We use Cookies on this page of ours.", "so " * 30, "", "  \t", "a\x0bb\x0cc\rd e.", "|•·»› a b c d e f g h"]
     out = [None, "", " ", "\n\n", "one", "one two three one two three", "a b c " * 40, "x\n" * 60, "a\nb\na\nb", "\U0001f600 é|" * 20]
     for i in range(120):
@@ -91,6 +91,16 @@ def test_equals_brute_force(spark):
     assert {g["kept"] for g in got.values()} == {True, False}
 
 
+@pytest.mark.parametrize("bits,modulus", [(24, 3), (24, 1), (4, 1 << 40)])
+def test_windows_that_share_a_hash_or_are_too_many(spark, monkeypatch, bits, modulus):
+    monkeypatch.setattr(rules, "PLACE_BITS", bits)
+    real = rules._hash
+    monkeypatch.setattr(rules, "_hash", lambda words: real(words) % modulus)
+    rows = list(enumerate(t for t in texts() if t))
+    got = clean_lines(spark.createDataFrame(rows, "doc_id int, text string")).select("doc_id", "n_repeat_words").collect()
+    assert dict(got) == {i: brute(t)["n_repeat_words"] for i, t in rows}
+
+
 def test_long_texts_take_no_square_of_their_length(spark):
     rng = random.Random(1)
     lines = [prose(rng, 8) for _ in range(30_000)]
