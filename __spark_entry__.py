@@ -15,11 +15,17 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from tablewright import (  # noqa: E402
     SPLIT_COLUMN,
     Catalog,
+    Impute,
+    OneHot,
+    Ordinal,
     ProfileOptions,
+    Scale,
     SplitPlan,
+    TargetMean,
     assign,
     audit,
     boolean_distribution,
+    fit_features,
     five_numbers,
     missing_bars,
     part,
@@ -675,6 +681,82 @@ def audit_severities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "strategy string, severity string")
 
 
+def _events_with_gaps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Events split by time, with values and types missing here and there."""
+    df = _table(spark, sf_dir, "events").withColumns(
+        {
+            "value": F.when(F.col("event_id") % 7 == 0, F.lit(None)).when(F.col("event_id") % 11 == 0, float("nan")).otherwise(F.col("value")),
+            "age": F.when(F.col("event_id") % 5 != 0, F.col("user_id") % 97),
+            "kind": F.when(F.col("event_id") % 6 != 0, F.col("event_type")),
+        }
+    )
+    assigned = assign(df, TIME_PLAN, ["event_id"])
+    return part(assigned, "train"), part(assigned, "test")
+
+
+def features_imputed_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps of test filled and its numbers scaled with what train says."""
+    train, test = _events_with_gaps(spark, sf_dir)
+    copies = {"value2": F.col("value"), "age2": F.col("age"), "age3": F.col("age")}
+    steps = [
+        Impute(("value", "age"), "mean"),
+        Impute(("value2", "age2"), "median"),
+        Impute(("kind",), "mode"),
+        Scale(("value", "age"), "standard"),
+        Scale(("age2",), "robust"),
+        Scale(("age3",), "min_max"),
+    ]
+    fitted = fit_features(train.withColumns(copies), steps)
+    numbers = [_rounded(c, 6) for c in ("value", "age", "value2", "age2", "age3")]
+    return fitted.transform(test.withColumns(copies)).select("event_id", "kind", *numbers)
+
+
+def features_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Categories of both parts as places, as columns of 0 and 1, and as mean values out of fold."""
+    train, test = _events_with_gaps(spark, sf_dir)
+    copies = {"place": F.col("kind"), "user": F.col("user_id"), "mean_kind": F.col("kind"), "mean_user": F.col("user_id")}
+    train, test = (p.filter("NOT isnan(value) OR value IS NULL").withColumns(copies) for p in (train, test.filter("event_id % 2 = 0")))
+    steps = [
+        Ordinal(("place", "user")),
+        OneHot(("kind",), limit=3),
+        TargetMean(("mean_kind", "mean_user"), "value", ("event_id",)),
+    ]
+    fitted = fit_features(train, steps)
+    both = fitted.transform(train, training=True).withColumn("part", F.lit("train")).unionByName(
+        fitted.transform(test).withColumn("part", F.lit("test"))
+    )
+    hot = sorted(c for c in both.columns if c.startswith("kind="))
+    hot_text = F.concat_ws(",", *[F.when(F.col(f"`{c}`") == 1, F.lit(c)) for c in hot])
+    return both.select("part", "event_id", "place", "user", hot_text.alias("hot"), _rounded("mean_kind", 6), _rounded("mean_user", 6))
+
+
+def pipeline_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature steps fitted on train, on test and on all events, and what the audit says of each."""
+    folder = _new_folder(spark)
+    catalog = Catalog(spark, f"{folder}/catalog")
+    events = catalog.register(f"{sf_dir}/events.parquet", "events")
+    split_id = catalog.split(events, GROUP_PLAN, f"{folder}/split", ["event_id"])
+    config = catalog.split_config(split_id)
+    steps = [Impute(("value",), "median"), Scale(("value",)), Ordinal(("event_type",))]
+    rows = []
+
+    def judged(state: str) -> None:
+        checks = catalog.report(catalog.audit(split_id, "value"))["checks"]
+        [check] = [c for c in checks if c["check"] == "pipeline_contamination"]
+        versions = catalog.feature_pipelines(split_id).count()
+        rows.append((state, versions, check["severity"], ",".join(check["columns"]), len(check["details"])))
+
+    judged("none")
+    for state, dataset in (("train", config["train_dataset_id"]), ("all", events), ("test", config["test_dataset_id"])):
+        pipeline = catalog.fit_features(dataset, steps, f"{folder}/features", split_id=split_id)
+        judged(state)
+    fine = catalog.features(catalog.fit_features(config["train_dataset_id"], steps, f"{folder}/features"))
+    judged("train again")
+    out = fine.transform(catalog.frame(config["test_dataset_id"])).filter("value IS NOT NULL").count()
+    rows.append(("rows of test", out, catalog.feature_pipeline(pipeline)["name"], "", 0))
+    return spark.createDataFrame(rows, "state string, versions bigint, severity string, columns string, steps int")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Per-column statistics of lineitem."""
     return profile(_table(spark, "/root/testdata/sf0.001", "lineitem")).columns()
@@ -734,6 +816,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "row_overlap_widened": row_overlap_widened,
         "audit_severities": audit_severities,
         "catalog_children": catalog_children,
+        "features_imputed_scaled": features_imputed_scaled,
+        "features_encoded": features_encoded,
+        "pipeline_contamination": pipeline_contamination,
         **(llm.QUERIES | {"pipeline": corpus_pipeline.run} if llm else {}),
     }
 

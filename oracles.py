@@ -224,6 +224,75 @@ def split_by(seed: str) -> str:
     return ranked("orders", digest("o_orderkey", seed), "", "0.7", "0.85")
 
 
+GAPPY_EVENTS = f"""
+    gappy AS MATERIALIZED (
+        SELECT event_id, user_id, split,
+               CASE WHEN event_id % 7 = 0 OR event_id % 11 = 0 THEN NULL ELSE value END AS value,
+               event_id % 7 <> 0 AND event_id % 11 = 0 AS not_a_number,
+               CASE WHEN event_id % 5 <> 0 THEN user_id % 97 END AS age,
+               CASE WHEN event_id % 6 <> 0 THEN event_type END AS kind
+        FROM {TIMED_EVENTS}),
+    train AS (SELECT * FROM gappy WHERE split = 'train')"""
+
+
+def filled_and_scaled() -> str:
+    learned = """
+        learned AS (
+            SELECT avg(value) AS vm, avg(age) AS am, quantile_cont(value, 0.5) AS vq, quantile_cont(age, 0.5) AS aq,
+                   min(age) AS lo, max(age) AS hi,
+                   (SELECT kind FROM train WHERE kind IS NOT NULL GROUP BY kind ORDER BY count(*) DESC, kind LIMIT 1) AS top
+            FROM train),
+        spread AS (
+            SELECT stddev_samp(coalesce(value, vm)) AS vs, avg(coalesce(value, vm)) AS vc,
+                   stddev_samp(coalesce(age, am)) AS sa, avg(coalesce(age, am)) AS ac,
+                   quantile_cont(coalesce(age, aq), 0.5) AS q2,
+                   quantile_cont(coalesce(age, aq), 0.75) - quantile_cont(coalesce(age, aq), 0.25) AS iqr
+            FROM train, learned)"""
+    return f"""
+        WITH {GAPPY_EVENTS}, {learned}
+        SELECT event_id, coalesce(kind, top) AS kind, {r('(coalesce(value, vm) - vc) / vs', 6)} AS value,
+               {r('(coalesce(age, am) - ac) / sa', 6)} AS age, {r('coalesce(value, vq)', 6)} AS value2,
+               {r('(coalesce(age, aq) - q2) / iqr', 6)} AS age2, {r('(age - lo) / (hi - lo)', 6)} AS age3
+        FROM gappy, learned, spread WHERE split = 'test'"""
+
+
+def encoded() -> str:
+    """Out-of-fold means as leave-one-fold-out sums, for each row on its own."""
+    def mean(column: str, taught: str) -> str:
+        return f"""(SELECT (coalesce(sum(t.value) FILTER (t.{column} IS NOT DISTINCT FROM p.{column}), 0)
+                            + 10 * avg(t.value)) / (count(t.value) FILTER (t.{column} IS NOT DISTINCT FROM p.{column}) + 10)
+                    FROM taught t WHERE {taught})"""
+
+    fold = "(('0x' || substr(md5('42|' || event_id::VARCHAR), 1, 13))::BIGINT % 5)"
+    # One mean per category and fold, since that is all it depends on.
+    means = union(
+        f"""SELECT '{column}' AS c, p.{column}::VARCHAR AS k, f.fold,
+                   {mean(column, 'f.fold < 0 OR t.fold <> f.fold')} AS m
+            FROM (SELECT DISTINCT {column} FROM rows_) p, range(-1, 5) f(fold)"""
+        for column in ("kind", "user_id")
+    )
+    return f"""
+        WITH {GAPPY_EVENTS},
+        rows_ AS MATERIALIZED (
+            SELECT *, CASE WHEN split = 'train' THEN {fold} ELSE -1 END AS fold FROM gappy
+            WHERE NOT not_a_number AND (split = 'train' OR split = 'test' AND event_id % 2 = 0)),
+        taught AS MATERIALIZED (SELECT * FROM rows_ WHERE split = 'train' AND value IS NOT NULL),
+        means AS MATERIALIZED ({means}),
+        kinds AS (SELECT kind, row_number() OVER (ORDER BY kind) - 1 AS code,
+                         row_number() OVER (ORDER BY count(*) DESC, kind) AS nth
+                  FROM rows_ WHERE split = 'train' AND kind IS NOT NULL GROUP BY kind),
+        users AS (SELECT user_id, row_number() OVER (ORDER BY user_id::VARCHAR) - 1 AS code
+                  FROM (SELECT DISTINCT user_id FROM rows_ WHERE split = 'train'))
+        SELECT split AS part, event_id,
+               CASE WHEN rows_.kind IS NOT NULL THEN coalesce(kinds.code, -1) END AS place,
+               coalesce(users.code, -1) AS "user",
+               CASE WHEN rows_.kind IS NULL THEN '' WHEN nth <= 3 THEN 'kind=' || rows_.kind ELSE 'kind=*' END AS hot,
+               {r('a.m', 6)} AS mean_kind, {r('b.m', 6)} AS mean_user
+        FROM rows_ LEFT JOIN kinds USING (kind) LEFT JOIN users USING (user_id)
+        JOIN means a ON a.c = 'kind' AND a.k IS NOT DISTINCT FROM rows_.kind AND a.fold = rows_.fold
+        JOIN means b ON b.c = 'user_id' AND b.k = rows_.user_id::VARCHAR AND b.fold = rows_.fold"""
+
+
 def wide_profile() -> str:
     return union(
         f"SELECT 'v{i:03d}' AS name, count(*) AS row_count, 0::BIGINT AS null_count, min(v) AS min, max(v) AS max, "
@@ -544,6 +613,15 @@ ORACLES = {
         UNION ALL SELECT 'report', 'group warning', 1
         UNION ALL SELECT 'lineage', 'events · test', 0
         UNION ALL SELECT 'lineage', 'events', 1""",
+    "features_imputed_scaled": filled_and_scaled(),
+    "features_encoded": encoded(),
+    "pipeline_contamination": f"""
+        SELECT 'none' AS state, 0 AS versions, 'info' AS severity, '' AS columns, 0 AS steps
+        UNION ALL SELECT 'train', 1, 'info', '', 0
+        UNION ALL SELECT 'all', 2, 'critical', 'value,event_type', 3
+        UNION ALL SELECT 'test', 3, 'critical', 'value,event_type', 3
+        UNION ALL SELECT 'train again', 4, 'info', '', 0
+        UNION ALL SELECT 'rows of test', count(*), 'features', '', 0 FROM {GROUPED_EVENTS} WHERE split = 'test'""",
     "formats_and_refusals": """
         SELECT 'a.PQ' AS name, 'parquet' AS format, count(*) AS rows FROM orders
         UNION ALL SELECT 'b.xlsx', NULL, NULL

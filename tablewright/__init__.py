@@ -6,6 +6,16 @@ from tablewright.operators.charts import (
     five_numbers,
     missing_bars,
 )
+from tablewright.operators.features import (
+    FeatureError,
+    FeaturePipeline,
+    Impute,
+    OneHot,
+    Ordinal,
+    Scale,
+    TargetMean,
+    fit_features,
+)
 from tablewright.operators.leakage import audit, highest_severity
 from tablewright.operators.profile import Profile, profile
 from tablewright.operators.proxies import target_proxies
@@ -25,16 +35,24 @@ from tablewright.sources.tables import InputError, format_of, read, schema_repor
 __all__ = [
     "AuditOptions",
     "Catalog",
+    "FeatureError",
+    "FeaturePipeline",
+    "Impute",
     "InputError",
+    "OneHot",
+    "Ordinal",
     "Profile",
     "ProfileOptions",
     "SPLIT_COLUMN",
+    "Scale",
     "SplitError",
     "SplitPlan",
+    "TargetMean",
     "assign",
     "audit",
     "boolean_distribution",
     "columns_with_gaps",
+    "fit_features",
     "five_numbers",
     "format_of",
     "highest_severity",

@@ -37,6 +37,16 @@ REPORT_SCHEMA = T.StructType(
 )
 
 
+@dataclass(frozen=True)
+class FittedOn:
+    """A step of a feature pipeline, its columns, and the dataset it was fitted on."""
+
+    pipeline: str
+    step: str
+    columns: tuple[str, ...]
+    dataset_id: str | None
+
+
 @dataclass
 class Measured:
     """What the audit found out, before anything is judged."""
@@ -54,6 +64,12 @@ class Measured:
     test_start: str | None = None
     in_order: bool | None = None
     late_names: list[str] = field(default_factory=list)
+    fitted: list[FittedOn] = field(default_factory=list)
+    train_id: str | None = None
+
+    @property
+    def contaminated(self) -> list[FittedOn]:
+        return [f for f in self.fitted if f.dataset_id != self.train_id]
 
     @property
     def nearly_shared(self) -> int:
@@ -177,7 +193,18 @@ VERDICTS: dict[str, tuple[str, tuple[Rule, ...]]] = {
     ),
     "pipeline_contamination": (
         "Steps fitted on more than train",
-        (Rule(_always, INFO, lambda m: "Not applicable: there are no fitted feature steps to look into."),),
+        (
+            Rule(lambda m: not m.fitted, INFO, lambda m: "Not applicable: there are no fitted feature steps to look into."),
+            Rule(
+                lambda m: m.contaminated,
+                CRITICAL,
+                lambda m: f"{len(m.contaminated)} of {len(m.fitted)} feature steps learned from rows outside train. "
+                "Fit them again on train alone.",
+                lambda m: list(dict.fromkeys(c for f in m.contaminated for c in f.columns)),
+                lambda m: {f"{f.pipeline}: {f.step}": f"fitted on {f.dataset_id}" for f in m.contaminated},
+            ),
+            Rule(_always, INFO, lambda m: f"All {len(m.fitted)} feature steps were fitted on train."),
+        ),
     ),
     "post_outcome_names": (
         "Names of things known later",
@@ -225,17 +252,20 @@ def audit(
     time_column: str | None = None,
     group_column: str | None = None,
     options: AuditOptions = AuditOptions(),
+    fitted: list[FittedOn] | None = None,
+    train_id: str | None = None,
 ) -> DataFrame:
     """The seven checks, one row each, also for those that passed or do not apply.
 
     It looks at the two frames it is given, not at how they were meant to be split. `strategy`,
-    `time_column` and `group_column` say what was declared about them. Each measurement reads the
+    `time_column` and `group_column` say what was declared about them; `fitted` are the feature steps
+    that are used with the split, of which each should have the id of train as its dataset. Each measurement reads the
     frames anew: hand over written partitions rather than the plan of a split.
     """
     for name in filter(None, (target, time_column, group_column)):
         if name not in train.columns:
             raise ValueError(f"column '{name}' is not in the split")
-    m = Measured(decimals=options.decimals, group=group_column)
+    m = Measured(decimals=options.decimals, group=group_column, fitted=fitted or [], train_id=train_id)
     m.shared = shared_counts(train, test, options.decimals, group_column)
     features, m.unaudited = audited_features(train, target, options)
     m.unseparated = not separable(train, target, options)

@@ -13,7 +13,8 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.operators.leakage import audit, highest_severity
+from tablewright.operators.features import FeaturePipeline, Step, fit_features
+from tablewright.operators.leakage import FittedOn, audit, highest_severity
 from tablewright.operators.profile import profile
 from tablewright.operators.split import split_files
 from tablewright.plans.options import AuditOptions, ProfileOptions
@@ -29,6 +30,8 @@ SCHEMAS = {
     "split_configs": "id string, dataset_id string, strategy string, params map<string,string>, "
     "row_counts map<string,bigint>, train_dataset_id string, val_dataset_id string, "
     "test_dataset_id string, created_at timestamp_ntz",
+    "feature_pipelines": "id string, name string, version int, dataset_id string, split_config_id string, "
+    "steps string, folder string, created_at timestamp_ntz",
     "leakage_reports": "id string, split_config_id string, target_column string, "
     "checks array<struct<position:int,check:string,title:string,severity:string,message:string,"
     "columns:array<string>,details:map<string,string>>>, highest_severity string, "
@@ -66,10 +69,10 @@ class Catalog:
             return self.spark.createDataFrame([], SCHEMAS[name])
         return self.spark.read.schema(SCHEMAS[name]).parquet(path)
 
-    def _append(self, name: str, **values) -> str:
+    def _append(self, table: str, /, **values) -> str:
         row = {"id": str(uuid.uuid4()), **values}
         row["created_at"] = _now()
-        self._append_rows(name, [row])
+        self._append_rows(table, [row])
         return row["id"]
 
     def _append_rows(self, name: str, rows: list[dict]) -> None:
@@ -244,10 +247,67 @@ class Catalog:
             self.table("split_configs").filter(F.col("id") == split_id), f"split {split_id}"
         )
 
+    # Feature pipelines
+
+    def fit_features(
+        self, dataset_id: str, steps: list[Step], path: str, name: str = "features", split_id: str | None = None
+    ) -> str:
+        """Fit steps on a dataset and record them as the next version of `name` for a split.
+
+        The dataset should be the train part of the split; then the split needs not be named. What is
+        recorded is where the steps really learned from, for the audit to judge.
+        """
+        self.dataset(dataset_id)
+        if split_id is None:
+            parts = [F.col(f"{part}_dataset_id") == dataset_id for part in SPLIT_NAMES]
+            split = self.table("split_configs").filter(parts[0] | parts[1] | parts[2]).first()
+            split_id = split["id"] if split else None
+        else:
+            self.split_config(split_id)
+        fitted = fit_features(self.frame(dataset_id), steps, dataset_id)
+        folder = f"{path.rstrip('/')}/{uuid.uuid4().hex}"
+        fitted.save_tables(folder)
+        last = self.feature_pipelines(split_id).filter(F.col("name") == name).agg(F.max("version")).first()[0]
+        return self._append(
+            "feature_pipelines",
+            name=name,
+            version=(last or 0) + 1,
+            dataset_id=dataset_id,
+            split_config_id=split_id,
+            steps=fitted.to_json(),
+            folder=folder,
+        )
+
+    def feature_pipelines(self, split_id: str | None) -> DataFrame:
+        """All versions recorded for a split, newest first; for no split, those that have none."""
+        rows = self.table("feature_pipelines").filter(F.col("split_config_id").eqNullSafe(F.lit(split_id)))
+        return rows.orderBy(F.desc("created_at"))
+
+    def feature_pipeline(self, pipeline_id: str) -> Row:
+        found = self.table("feature_pipelines").filter(F.col("id") == pipeline_id)
+        return self._one(found, f"feature pipeline {pipeline_id}")
+
+    def features(self, pipeline_id: str) -> FeaturePipeline:
+        row = self.feature_pipeline(pipeline_id)
+        return FeaturePipeline.from_json(self.spark, row["steps"], row["folder"])
+
+    def _fitted_steps(self, split_id: str) -> list[FittedOn]:
+        """The steps of the latest version of each pipeline of a split."""
+        latest: dict[str, Row] = {}
+        for row in self.feature_pipelines(split_id).collect():  # one row per version
+            if row["name"] not in latest or latest[row["name"]]["version"] < row["version"]:
+                latest[row["name"]] = row
+        return [
+            FittedOn(f"{row['name']} {row['version']}", f"{i} {s['kind']}", tuple(s["step"]["columns"]), s["fitted_on"])
+            for row in latest.values()
+            for i, s in enumerate(json.loads(row["steps"]))
+        ]
+
     # Audits
 
     def audit(self, split_id: str, target: str, options: AuditOptions = AuditOptions()) -> str:
-        """Audit the files of a split. Time and group columns are those its plan declared."""
+        """Audit the files of a split. Time and group columns are those its plan declared; feature
+        steps are those of the latest version of each pipeline recorded for the split."""
         config = self.split_config(split_id)
         if not config["train_dataset_id"] or not config["test_dataset_id"]:
             raise ValueError("the split has no train and test; there is nothing to compare")
@@ -259,6 +319,8 @@ class Catalog:
             time_column=config["params"].get("time_column"),
             group_column=config["params"].get("group_column"),
             options=options,
+            fitted=self._fitted_steps(split_id),
+            train_id=config["train_dataset_id"],
         )
         checks = [tuple(r) for r in report.orderBy("position").collect()]  # seven rows
         return self._append(
