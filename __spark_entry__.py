@@ -23,6 +23,7 @@ from tablewright import (  # noqa: E402
     SplitPlan,
     TargetMean,
     assign,
+    associations,
     audit,
     boolean_distribution,
     fit_features,
@@ -32,6 +33,7 @@ from tablewright import (  # noqa: E402
     profile,
     read,
     schema_report,
+    spearman,
     split_counts,
     split_summary,
     target_proxies,
@@ -213,6 +215,32 @@ def correlation_with_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlations_with(df, features, "l_quantity").select("column", _rounded("r", 8))
 
 
+def spearman_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank correlations of lineitem, which is full of ties."""
+    found = spearman(_table(spark, sf_dir, "lineitem").select(*LINEITEM_NUMBERS))
+    return found.select("row_name", "column_name", _rounded("r", 8))
+
+
+def spearman_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns with gaps of their own: each pair is ranked within the rows that it has in common."""
+    found = spearman(_with_gaps(spark, sf_dir).drop("l_returnflag"))
+    return found.select("row_name", "column_name", _rounded("r", 8))
+
+
+def associations_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Categories, whole numbers and fractions of orders, some with gaps."""
+    df = _table(spark, sf_dir, "orders").select(
+        "o_orderstatus",
+        F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderpriority")).alias("o_orderpriority"),
+        F.year("o_orderdate").alias("year"),
+        "o_totalprice",
+        (F.col("o_custkey") % 10 == 3).alias("third"),
+        "o_custkey",
+    )
+    found = associations(df)
+    return found.select("row_name", "column_name", "rows", _rounded("cramers_v", 8), _rounded("mutual_information", 8))
+
+
 # Split
 
 RANDOM_PLAN = SplitPlan("random", 0.7, 0.2, 0.1)
@@ -779,6 +807,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "correlation_long": correlation_long,
         "correlation_with_gaps": correlation_with_gaps,
         "correlation_with_target": correlation_with_target,
+        "spearman_long": spearman_long,
+        "spearman_with_gaps": spearman_with_gaps,
+        "associations_mixed": associations_mixed,
         "split_random": _assigned("orders", RANDOM_PLAN, "o_orderkey"),
         "split_stratified": _assigned("orders", STRATIFIED_PLAN, "o_orderkey"),
         "split_many_strata": _assigned("orders", MANY_STRATA_PLAN, "o_orderkey"),

@@ -293,6 +293,50 @@ def encoded() -> str:
         JOIN means b ON b.c = 'user_id' AND b.k = rows_.user_id::VARCHAR AND b.fold = rows_.fold"""
 
 
+def spearman(table: str, columns: list[str]) -> str:
+    """Average ranks within the common rows of each pair: those below, and half of those equal."""
+    def pair(a: str, b: str) -> str:
+        def rank(c: str) -> str:
+            return f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}"
+
+        common = f"(SELECT {a}, {b} FROM {table} WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"
+        return f"SELECT '{a}' AS row_name, '{b}' AS column_name, corr({a}, {b}) AS v FROM (SELECT {rank(a)}, {rank(b)} FROM {common})"
+
+    upper = union(pair(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :])
+    ones = union(f"SELECT '{c}' AS row_name, '{c}' AS column_name, 1.0 AS v" for c in columns)
+    return f"""
+        WITH upper_ AS ({upper})
+        SELECT row_name, column_name, {r('v', 8)} AS r FROM (
+            SELECT * FROM upper_ UNION ALL SELECT column_name, row_name, v FROM upper_ UNION ALL {ones})"""
+
+
+def mixed_associations() -> str:
+    quarter = " + ".join(f"(o_totalprice > (SELECT quantile_cont(o_totalprice, {q}) FROM orders))::INTEGER" for q in (0.25, 0.5, 0.75))
+    columns = {
+        "o_orderstatus": "o_orderstatus",
+        "o_orderpriority": "CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority END",
+        "year": "year(o_orderdate)",
+        "o_totalprice": quarter,
+        "third": "o_custkey % 10 = 3",
+        "o_custkey": "o_custkey",
+    }
+    names = list(columns)
+    chosen = ", ".join(f"({e})::VARCHAR AS {c}" for c, e in columns.items())
+
+    def pair(a: str, b: str) -> str:
+        return f"""
+            SELECT '{a}' AS row_name, '{b}' AS column_name, sum(n)::BIGINT AS rows,
+                   {r('sqrt(greatest(sum(n * n / (na * nb)) - 1, 0) / (least(count(DISTINCT a), count(DISTINCT b)) - 1))', 8)} AS cramers_v,
+                   {r('greatest(sum(n / t * ln(n * t / (na * nb))), 0)', 8)} AS mutual_information
+            FROM (SELECT *, sum(n) OVER (PARTITION BY a)::DOUBLE AS na, sum(n) OVER (PARTITION BY b)::DOUBLE AS nb,
+                         sum(n) OVER ()::DOUBLE AS t
+                  FROM (SELECT {a} AS a, {b} AS b, count(*)::DOUBLE AS n FROM coded
+                        WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY 1, 2))"""
+
+    pairs = union(f"({pair(a, b)})" for i, a in enumerate(names) for b in names[i + 1 :])
+    return f"WITH coded AS MATERIALIZED (SELECT {chosen} FROM orders) {pairs}"
+
+
 def wide_profile() -> str:
     return union(
         f"SELECT 'v{i:03d}' AS name, count(*) AS row_count, 0::BIGINT AS null_count, min(v) AS min, max(v) AS max, "
@@ -613,6 +657,9 @@ ORACLES = {
         UNION ALL SELECT 'report', 'group warning', 1
         UNION ALL SELECT 'lineage', 'events · test', 0
         UNION ALL SELECT 'lineage', 'events', 1""",
+    "spearman_long": spearman("lineitem", list(LINEITEM_NUMBERS)),
+    "spearman_with_gaps": spearman(GAPS, ["l_orderkey", "l_quantity", "l_tax"]),
+    "associations_mixed": mixed_associations(),
     "features_imputed_scaled": filled_and_scaled(),
     "features_encoded": encoded(),
     "pipeline_contamination": f"""

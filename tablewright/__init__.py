@@ -1,5 +1,6 @@
 """Tabular data preparation on Spark: profile a table, split it, audit the split."""
 
+from tablewright.operators.association import associations, spearman
 from tablewright.operators.charts import (
     boolean_distribution,
     columns_with_gaps,
@@ -49,6 +50,7 @@ __all__ = [
     "SplitPlan",
     "TargetMean",
     "assign",
+    "associations",
     "audit",
     "boolean_distribution",
     "columns_with_gaps",
@@ -61,6 +63,7 @@ __all__ = [
     "profile",
     "read",
     "schema_report",
+    "spearman",
     "split_counts",
     "split_summary",
     "target_proxies",
