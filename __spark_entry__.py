@@ -14,21 +14,34 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from tablewright import (  # noqa: E402
     SPLIT_COLUMN,
+    Between,
     Catalog,
+    Holds,
     Impute,
+    Matches,
+    NotNull,
     OneHot,
+    OneOf,
     Ordinal,
     ProfileOptions,
+    References,
     Scale,
     SplitPlan,
     TargetMean,
+    Unique,
     assign,
     associations,
     audit,
     boolean_distribution,
+    calibration,
+    check_rules,
+    classification_quality,
     fit_features,
     five_numbers,
+    linear_regression,
+    logistic_regression,
     missing_bars,
+    outliers,
     part,
     profile,
     read,
@@ -241,6 +254,79 @@ def associations_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row_name", "column_name", "rows", _rounded("cramers_v", 8), _rounded("mutual_information", 8))
 
 
+def outlier_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fences and median deviations of lineitem, with prices that are far off now and then."""
+    far = F.when(F.col("l_orderkey") % 53 == 0, F.col("l_extendedprice") * 9).otherwise(F.col("l_extendedprice"))
+    df = _table(spark, sf_dir, "lineitem").select(
+        "l_quantity",
+        far.alias("price"),
+        F.when(F.col("l_linenumber") != 7, F.col("l_tax") * F.col("l_tax")).alias("tax"),
+        (F.col("l_discount") * 100).cast("int").alias("discount"),
+    )
+    numbers = [_rounded(c, 6) for c in ("p25", "p50", "p75", "low_fence", "high_fence", "mad")]
+    return outliers(df).select("name", "filled", *numbers, "below", "above", "far")
+
+
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules on rows, keys and references of lineitem, some of which its rows break."""
+    orders = _table(spark, sf_dir, "orders").filter("o_orderstatus <> 'P'")
+    rules = [
+        NotNull("l_shipdate"),
+        Between("l_discount", 0.02, 0.08),
+        Between("l_quantity", 1),
+        OneOf("l_returnflag", ("A", "N")),
+        Matches("l_linestatus", "^[O]$"),
+        Holds("l_extendedprice >= 1000 * l_tax * l_quantity"),
+        Unique(("l_orderkey", "l_linenumber")),
+        Unique(("l_orderkey", "l_partkey", "l_suppkey")),
+        References(("l_orderkey",), "orders", ("o_orderkey",)),
+        References(("l_suppkey",), "supplier", ("s_suppkey",)),
+    ]
+    tables = {"orders": orders, "supplier": _table(spark, sf_dir, "supplier")}
+    return check_rules(_table(spark, sf_dir, "lineitem"), rules, tables).select("position", "rows", "failing", "passed")
+
+
+def baseline_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices of lineitem by quantity and tax, where both are known."""
+    model = linear_regression(_with_prices(spark, sf_dir), "l_extendedprice", ["l_quantity", "l_tax"])
+    return model.table(spark).select("position", "feature", _rounded("coefficient", 3))
+
+
+def _with_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tax = F.when(F.col("l_linenumber") != 7, F.col("l_tax"))
+    return _table(spark, sf_dir, "lineitem").select("l_extendedprice", "l_quantity", tax.alias("l_tax"))
+
+
+def _returned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Whether a line was returned, and what a model of odd orders says of even ones."""
+    df = _table(spark, sf_dir, "lineitem").select(
+        (F.col("l_returnflag") == "R").alias("returned"),
+        (F.col("l_linenumber") <= 3).cast("int").alias("early"),
+        (F.col("l_quantity") > 20).cast("int").alias("large"),
+        "l_orderkey",
+    )
+    df = df.withColumn("both", F.col("early") * F.col("large"))
+    model = logistic_regression(df.filter("l_orderkey % 2 = 1"), "returned", ["early", "large", "both"])
+    return model.table(spark), model.predict(df.filter("l_orderkey % 2 = 0"))
+
+
+def baseline_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _returned(spark, sf_dir)[0].select("position", "feature", _rounded("coefficient", 6))
+
+
+def baseline_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = classification_quality(_returned(spark, sf_dir)[1], "prediction", "returned")
+    return found.select("rows", "positives", *[_rounded(c, 8) for c in ("auc", "brier", "log_loss")])
+
+
+def baseline_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often lines are returned, by a score made of their discount and tax."""
+    df = _table(spark, sf_dir, "lineitem").select(
+        ((F.col("l_discount") * 700 + F.col("l_tax") * 300) / 97).alias("score"), (F.col("l_returnflag") == "R").alias("returned")
+    )
+    return calibration(df, "score", "returned", 7).select("bin", "rows", _rounded("mean_score", 6), _rounded("positive_rate", 6))
+
+
 # Split
 
 RANDOM_PLAN = SplitPlan("random", 0.7, 0.2, 0.1)
@@ -810,6 +896,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "spearman_long": spearman_long,
         "spearman_with_gaps": spearman_with_gaps,
         "associations_mixed": associations_mixed,
+        "outlier_fences": outlier_fences,
+        "quality_rules": quality_rules,
+        "baseline_linear": baseline_linear,
+        "baseline_logistic": baseline_logistic,
+        "baseline_quality": baseline_quality,
+        "baseline_calibration": baseline_calibration,
         "split_random": _assigned("orders", RANDOM_PLAN, "o_orderkey"),
         "split_stratified": _assigned("orders", STRATIFIED_PLAN, "o_orderkey"),
         "split_many_strata": _assigned("orders", MANY_STRATA_PLAN, "o_orderkey"),

@@ -337,6 +337,79 @@ def mixed_associations() -> str:
     return f"WITH coded AS MATERIALIZED (SELECT {chosen} FROM orders) {pairs}"
 
 
+def fences() -> str:
+    columns = {
+        "l_quantity": "l_quantity",
+        "price": "CASE WHEN l_orderkey % 53 = 0 THEN l_extendedprice * 9 ELSE l_extendedprice END",
+        "tax": "CASE WHEN l_linenumber <> 7 THEN l_tax * l_tax END",
+        "discount": "trunc(l_discount * 100)",
+    }
+    return union(
+        f"""
+        (WITH v AS (SELECT ({e})::DOUBLE AS x FROM lineitem),
+              q AS (SELECT quantile_cont(x, 0.25) AS a, quantile_cont(x, 0.5) AS b, quantile_cont(x, 0.75) AS c FROM v),
+              m AS (SELECT quantile_cont(abs(x - b), 0.5) AS mad FROM v, q WHERE x IS NOT NULL)
+         SELECT '{name}' AS name, count(x) AS filled, {r('any_value(a)', 6)} AS p25, {r('any_value(b)', 6)} AS p50,
+                {r('any_value(c)', 6)} AS p75, {r('any_value(a - 1.5 * (c - a))', 6)} AS low_fence,
+                {r('any_value(c + 1.5 * (c - a))', 6)} AS high_fence, {r('any_value(mad)', 6)} AS mad,
+                count(*) FILTER (x < a - 1.5 * (c - a)) AS below, count(*) FILTER (x > c + 1.5 * (c - a)) AS above,
+                count(*) FILTER (abs(x - b) > 3.5 * 1.4826 * mad) AS far
+         FROM v, q, m)"""
+        for name, e in columns.items()
+    )
+
+
+def rules() -> str:
+    conditions = [
+        "l_shipdate IS NULL",
+        "l_discount < 0.02 OR l_discount > 0.08",
+        "l_quantity < 1",
+        "l_returnflag NOT IN ('A', 'N')",
+        "l_linestatus <> 'O'",
+        "NOT l_extendedprice >= 1000 * l_tax * l_quantity",
+        "(l_orderkey, l_linenumber) IN (SELECT (l_orderkey, l_linenumber) FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)",
+        "(l_orderkey, l_partkey, l_suppkey) IN (SELECT (l_orderkey, l_partkey, l_suppkey) FROM lineitem "
+        "GROUP BY l_orderkey, l_partkey, l_suppkey HAVING count(*) > 1)",
+        "l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')",
+        "l_suppkey NOT IN (SELECT s_suppkey FROM supplier)",
+    ]
+    return union(
+        f"SELECT {i} AS position, count(*) AS rows, count(*) FILTER ({c}) AS failing, count(*) FILTER ({c}) = 0 AS passed FROM lineitem"
+        for i, c in enumerate(conditions)
+    )
+
+
+def two_slopes() -> str:
+    """Least squares of two features in closed form, from variances and covariances."""
+    return f"""
+        WITH d AS (SELECT l_extendedprice AS y, l_quantity AS a, l_tax AS b FROM lineitem WHERE l_linenumber <> 7),
+        s AS (SELECT var_samp(a) AS va, var_samp(b) AS vb, covar_samp(a, b) AS ab, covar_samp(a, y) AS ay, covar_samp(b, y) AS yb,
+                     avg(a) AS ma, avg(b) AS mb, avg(y) AS my FROM d),
+        w AS (SELECT *, (ay * vb - yb * ab) / (va * vb - ab * ab) AS wa, (yb * va - ay * ab) / (va * vb - ab * ab) AS wb FROM s)
+        SELECT 0 AS position, NULL AS feature, {r('my - wa * ma - wb * mb', 3)} AS coefficient FROM w
+        UNION ALL SELECT 1, 'l_quantity', {r('wa', 3)} FROM w UNION ALL SELECT 2, 'l_tax', {r('wb', 3)} FROM w"""
+
+
+# Two features of 0 and 1 and their product: the likeliest odds are those found in the four cells.
+CELLS = """
+    d AS (SELECT (l_returnflag = 'R')::INTEGER AS y, l_linenumber <= 3 AS e, l_quantity > 20 AS g, l_orderkey % 2 AS odd FROM lineitem),
+    p AS (SELECT e, g, avg(y) AS p, ln(avg(y) / (1 - avg(y))) AS z FROM d WHERE odd = 1 GROUP BY e, g),
+    z AS (SELECT max(z) FILTER (NOT e AND NOT g) AS z00, max(z) FILTER (e AND NOT g) AS z10,
+                 max(z) FILTER (NOT e AND g) AS z01, max(z) FILTER (e AND g) AS z11 FROM p)"""
+
+
+def quality() -> str:
+    return f"""
+        WITH {CELLS},
+        s AS (SELECT y, p AS v FROM d JOIN p USING (e, g) WHERE odd = 0),
+        k AS (SELECT y, v, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS rk FROM s),
+        t AS (SELECT count(*) AS n, sum(y)::DOUBLE AS pos, sum(rk) FILTER (y = 1) AS ranks FROM k)
+        SELECT n AS rows, pos::BIGINT AS positives, {r('(ranks - pos * (pos + 1) / 2) / pos / (n - pos)', 8)} AS auc,
+               {r('(SELECT avg((v - y) * (v - y)) FROM s)', 8)} AS brier,
+               {r('(SELECT -avg(CASE WHEN y = 1 THEN ln(v) ELSE ln(1 - v) END) FROM s)', 8)} AS log_loss
+        FROM t"""
+
+
 def wide_profile() -> str:
     return union(
         f"SELECT 'v{i:03d}' AS name, count(*) AS row_count, 0::BIGINT AS null_count, min(v) AS min, max(v) AS max, "
@@ -657,6 +730,19 @@ ORACLES = {
         UNION ALL SELECT 'report', 'group warning', 1
         UNION ALL SELECT 'lineage', 'events · test', 0
         UNION ALL SELECT 'lineage', 'events', 1""",
+    "outlier_fences": fences(),
+    "quality_rules": rules(),
+    "baseline_linear": two_slopes(),
+    "baseline_logistic": f"""
+        WITH {CELLS}
+        SELECT 0 AS position, NULL AS feature, {r('z00', 6)} AS coefficient FROM z
+        UNION ALL SELECT 1, 'early', {r('z10 - z00', 6)} FROM z UNION ALL SELECT 2, 'large', {r('z01 - z00', 6)} FROM z
+        UNION ALL SELECT 3, 'both', {r('z11 - z10 - z01 + z00', 6)} FROM z""",
+    "baseline_quality": quality(),
+    "baseline_calibration": f"""
+        SELECT least(floor(v * 7), 6)::INTEGER AS bin, count(*) AS rows, {r('avg(v)', 6)} AS mean_score, {r('avg(y)', 6)} AS positive_rate
+        FROM (SELECT (l_discount * 700 + l_tax * 300) / 97 AS v, (l_returnflag = 'R')::INTEGER AS y FROM lineitem)
+        WHERE v BETWEEN 0 AND 1 GROUP BY 1""",
     "spearman_long": spearman("lineitem", list(LINEITEM_NUMBERS)),
     "spearman_with_gaps": spearman(GAPS, ["l_orderkey", "l_quantity", "l_tax"]),
     "associations_mixed": mixed_associations(),

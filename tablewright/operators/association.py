@@ -70,7 +70,7 @@ def spearman(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         *[F.when(F.col(shown[k]).isNotNull(), F.col(n)) for n in names for k in range(count)]
     )  # column i among the rows of class k at i * count + k
     long = rows.select("id", F.posexplode(keyed).alias("key", "v")).filter("v IS NOT NULL")
-    ranks = stage(_ranks(long.groupBy("key", "v").agg(F.count(F.lit(1)).alias("n"))))
+    ranks = stage(average_ranks(long.groupBy("key", "v").agg(F.count(F.lit(1)).alias("n"))))
     sizes = {r.key: r.n for r in ranks.groupBy("key").agg(F.sum("n").alias("n")).collect()}
     centre = F.lit([(sizes.get(k, 0) + 1) / 2 for k in range(len(names) * count)])
     centred = ranks.select("key", "v", "n", (F.col("rank") - F.get(centre, F.col("key"))).alias("d"))
@@ -104,8 +104,8 @@ def _gap_classes(rows: DataFrame, names: list[str]) -> list[int]:
     return [numbers.setdefault(found.get(i), len(numbers)) for i in range(len(names))]
 
 
-def _ranks(counts: DataFrame) -> DataFrame:
-    """key, v, n and the average rank of each value of a key, from a table of distinct values."""
+def average_ranks(counts: DataFrame) -> DataFrame:
+    """`counts`, rows (int key, v, n, ...) of distinct values v of each key, with their average `rank`."""
     ranged = counts.repartitionByRange("key", "v").sortWithinPartitions("key", "v")
     placed = stage(ranged.withColumn("place", F.monotonically_increasing_id()))
     placed = placed.withColumn("part", F.shiftright("place", 33).cast("int"))
@@ -118,7 +118,7 @@ def _ranks(counts: DataFrame) -> DataFrame:
     inside = Window.partitionBy("part", "key").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     running = F.coalesce(F.sum("n").over(inside), F.lit(0))
     found = placed.withColumn("running", running).join(F.broadcast(before), ["part", "key"])
-    return found.select("key", "v", "n", (F.col("before") + F.col("running") + (F.col("n") + 1) / 2).alias("rank"))
+    return found.select(*counts.columns, (F.col("before") + F.col("running") + (F.col("n") + 1) / 2).alias("rank"))
 
 
 def _rank_products(classes: list[int]):
