@@ -314,7 +314,10 @@ def scored(found: DataFrame, factor: int) -> DataFrame:
     )
     wide = {c: F.col(c).cast("decimal(19,0)") for c in ("a", "n", "l", "r")}
     upper = (wide["a"] * wide["n"] * F.lit(factor).cast("decimal(10,0)")).cast("decimal(38,0)")
-    each = each.join(total, "lang").withColumns({"upper": upper, "lower": wide["l"] * wide["r"]})
+    # A language may hold most of the phrases: its total is handed to SALTS tasks.
+    total = total.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    each = each.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)).cast("int")).join(total, ["lang", "salt"])
+    each = each.withColumns({"upper": upper, "lower": wide["l"] * wide["r"]})
     each = each.withColumn("score", F.expr("upper div lower"))
     weakest = F.min(F.struct("score", "k", "l", "r", "n")).alias("cut")
     best = each.groupBy("lang", "phrase", "words", "a").agg(weakest)
