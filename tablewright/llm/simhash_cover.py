@@ -9,7 +9,6 @@ even product with all of them, for they are fewer equations than unknowns.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -157,11 +156,11 @@ def near_duplicates(
 
 #: Fingerprints of a text's distinct words. With scattered edits, texts that share four fifths of
 #: their five-word shingles differ in about five of 64 bits in each, and ten chances at three bits
-#: link nearly all; cut or extended copies differ in more. What they miss, `_missed` finds.
+#: link nearly all; cut or extended copies differ in more. What they miss, first shingles find.
 VOTES, RADIUS = 10, 3
 SHINGLE, SIMILARITY = 5, 0.8
-#: A bucket of up to this many texts is compared pair by pair, a larger one with its leaders.
-PAIRED = 8
+#: 64-bit words of a text's parities, see `parities`.
+PARITIES = 16
 #: Slots of the table that tells tasks which texts to cut into shingles.
 SLOTS = 1 << 24
 #: About so many texts tell which shingles are common, which are those in at least COMMON of them.
@@ -189,21 +188,46 @@ def _shingles(words: np.ndarray) -> np.ndarray:
     return np.unique(seed_hashes(words, SHINGLE).astype(np.uint32)).view(np.int32)
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """64 * PARITIES bits: whether the number of distinct shingles that hash to a bit is odd.
+
+    A shingle that only one of two sets has turns one bit, so the bits in which the sets' parities
+    differ are at most as many as the shingles that only one of them has.
+    """
+    count = 64 * PARITIES
+    odd = np.bincount((shingles >> np.uint64(24)).astype(np.int64) & (count - 1), minlength=count) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _may_be_alike(x: str, y: str) -> Column:
+    """Whether texts x and y (each with n and parities) can have a similarity of SIMILARITY: sets of
+    n and m shingles have when at most (n + m)(1 - s) / (1 + s) are in one of them only."""
+    turned = " + ".join(f"bit_count({x}.parities.p{i} ^ {y}.parities.p{i})" for i in range(PARITIES))
+    sized = f"least({x}.n, {y}.n) + 1e-6 >= {SIMILARITY} * greatest({x}.n, {y}.n)"
+    return F.expr(f"{sized} and ({turned}) * {1 + SIMILARITY} <= ({x}.n + {y}.n) * {1 - SIMILARITY} + 1e-6")
+
+
 def _sketched(rows: DataFrame) -> DataFrame:
-    """key, content (a hash of the words in order) and fps of rows (key, text)."""
+    """key, content (a hash of the words in order), fps, and n (number of distinct shingles) and
+    parities of rows (key, text)."""
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             words = [word_hashes(t) for t in batch["text"]]
+            shingles = [np.unique(seed_hashes(w, SHINGLE)) for w in words]
             yield pd.DataFrame(
                 {
                     "key": batch["key"],
                     "content": [xxhash.xxh3_128_hexdigest(w.tobytes()) for w in words],
                     "fps": [word_fingerprints(w) for w in words],
+                    "n": [len(found) for found in shingles],
+                    "bits": [parities(found) for found in shingles],
                 }
             )
 
-    return rows.mapInPandas(sketch, "key bigint, content string, fps array<bigint>")
+    sketched = rows.mapInPandas(sketch, "key bigint, content string, fps array<bigint>, n int, bits array<bigint>")
+    fields = F.struct(*[F.col("bits")[i].alias(f"p{i}") for i in range(PARITIES)])
+    return sketched.select("key", "content", "fps", "n", fields.alias("parities"))
 
 
 def bucket_keys(fps: np.ndarray) -> np.ndarray:
@@ -232,14 +256,13 @@ def _slot_table(rows: DataFrame, column: str) -> np.ndarray:
 
 
 def _candidates(texts: DataFrame) -> DataFrame:
-    """Pairs a < b of rows (key, fps) that share a bucket and are within RADIUS bits there.
-
-    Buckets are first counted by number alone; only texts in crowded ones go on. Small buckets
-    give all pairs. In a larger one every text meets the leader, the first by an order that differs
-    from fingerprint to fingerprint: near copies share buckets of many tables, so each text meets
-    several leaders, and links of links join many of the rest. No bucket is gathered anywhere, and a
-    text has at most as many pairs from large buckets as there are tables. Copies that are near no
-    leader, and those in no common bucket, are left to `_missed`.
+    """Pairs a < b of rows (key, fps, n, parities) that share a bucket: at most one for each text.
+
+    Buckets are first counted by number alone; only texts in crowded ones go on. In each bucket
+    every text meets the leader, the first by a hash of the key, and of the leaders that it may be
+    like it is linked to the first. Near copies share the buckets of many tables, so most of a group
+    meet the same few leaders, and there are never more pairs than texts, however large a group is.
+    No bucket is gathered anywhere. What is not linked that way is left to the shingles.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -249,7 +272,7 @@ def _candidates(texts: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"bucket": bucket_keys(fps).reshape(-1).view(np.int64)})
 
     buckets = texts.select("fps").mapInPandas(count, "bucket bigint").groupBy("bucket").count()
-    crowded = stage(buckets.filter("count > 1"))
+    crowded = stage(buckets.filter("count > 1").select("bucket"))
     table = texts.sparkSession.sparkContext.broadcast(_slot_table(crowded, "bucket"))
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -258,37 +281,25 @@ def _candidates(texts: DataFrame) -> DataFrame:
                 part = batch.iloc[low : low + 1000]
                 keys = bucket_keys(np.stack(part["fps"].to_list()))
                 row, place = np.nonzero(table.value[_slot(keys)])
-                yield pd.DataFrame(
-                    {
-                        "bucket": keys[row, place].view(np.int64),
-                        "vote": (place // (keys.shape[1] // VOTES)).astype(np.int32),
-                        "key": part["key"].to_numpy()[row],
-                    }
-                )
-
-    dealt = texts.select("key", "fps").mapInPandas(deal, "bucket bigint, vote int, key bigint")
-    lead = F.min(F.struct(F.xxhash64("key", "vote").alias("order"), F.col("key").alias("leader")))
-    dealt = stage(dealt)
-    leads = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), lead.alias("lead")).filter("n > 1")
-    met = stage(dealt.join(leads, "bucket").select("bucket", "n", "key", F.col("lead.leader").alias("leader")))
-    starred = met.filter(f"n = 2 or n > {PAIRED}").select("key", "leader")
-    small = (
-        met.filter(f"n > 2 and n <= {PAIRED}")
-        .groupBy("bucket")
-        .agg(F.array_sort(F.collect_list("key")).alias("keys"))
-        .select("keys")
-        .distinct()
-    )
-    paired = small.select(F.explode("keys").alias("key"), "keys").select("key", F.explode("keys").alias("leader"))
-    pairs = starred.union(paired).filter("key <> leader")
-    pairs = pairs.select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct()
-    left = texts.select(F.col("key").alias("a"), F.col("fps").alias("x"))
-    right = texts.select(F.col("key").alias("b"), F.col("fps").alias("y"))
-    apart = [F.bit_count(F.col("x")[i].bitwiseXOR(F.col("y")[i])) for i in range(VOTES)]
-    near = F.least(*apart) <= RADIUS
-    # Over all fingerprints four fifths of the shingles leave few bits apart.
-    near &= reduce(lambda p, q: p + q, apart) <= VOTES * BITS // 4
-    return pairs.join(left, "a").join(right, "b").filter(near).select("a", "b")
+                yield pd.DataFrame({"bucket": keys[row, place].view(np.int64), "key": part["key"].to_numpy()[row]})
+
+    dealt = stage(texts.select("key", "fps").mapInPandas(deal, "bucket bigint, key bigint"))
+    return _led(dealt, "bucket", texts)
+
+
+def _led(dealt: DataFrame, place: str, texts: DataFrame) -> DataFrame:
+    """Pairs a < b: each key of `dealt` with one leader of the places that it is in.
+
+    The leader of a place is its first key by a hash. Of those that a text may be like, by the
+    numbers of shingles and the parities of `texts`, it takes the first.
+    """
+    order = F.struct(F.xxhash64("key").alias("order"), F.col("key").alias("leader"))
+    leads = dealt.groupBy(place).agg(F.min(order).alias("lead"))
+    met = dealt.join(leads, place).select("key", "lead").filter("key <> lead.leader").distinct()
+    x, y = texts.select("key", "n", "parities").alias("x"), texts.select("key", "n", "parities").alias("y")
+    close = met.alias("m").join(x, F.expr("m.key = x.key")).join(y, F.expr("m.lead.leader = y.key"))
+    close = close.filter(_may_be_alike("x", "y")).groupBy("m.key").agg(F.min("m.lead")["leader"].alias("leader"))
+    return close.select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct()
 
 
 def _verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -336,14 +347,12 @@ def _common(shingles: DataFrame) -> np.ndarray:
     return ranks
 
 
-def _missed(rows: DataFrame, texts: DataFrame, linked: DataFrame) -> DataFrame:
-    """All pairs of texts that may be alike and are not in one component of `linked` yet.
+def _first_shingles(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """shingle, key and place of those first shingles of each text that another text has, too.
 
-    A prefix filter, which leaves none out: alike texts share one of their first shingles by an
-    order of all shingles. Common ones come last in it, so that a passage that many texts have
-    leads to no pairs unless a fifth of the text is nothing else. Shingles of one component go;
-    for the others, no pair within the largest component of a shingle is looked at. Pairs must fit
-    by their numbers of shingles and by the places of the shared one.
+    Alike texts share one of their first shingles by an order of all shingles. Common ones come
+    last in it, so that a passage that many texts have counts only where a fifth of the text
+    is nothing else.
     """
     context = rows.sparkSession.sparkContext
     own = context.broadcast(_slot_table(texts, "key"))
@@ -371,35 +380,45 @@ def _missed(rows: DataFrame, texts: DataFrame, linked: DataFrame) -> DataFrame:
     table = context.broadcast(_slot_table(crowded, "shingle"))
 
     def deal(keys: np.ndarray, words: list[np.ndarray]) -> pd.DataFrame:
-        found = [rare_first(w, ranks.value) for w in words]
-        sizes = [len(f) for f, _ in found]
-        shingles = np.concatenate([f for f, _ in found])
+        found = [rare_first(w, ranks.value)[0] for w in words]
+        sizes = [len(f) for f in found]
+        shingles = np.concatenate(found)
         met = table.value[_slot(shingles)]
         return pd.DataFrame(
             {
                 "shingle": shingles.view(np.int64),
                 "key": np.repeat(keys, sizes),
-                "n": np.repeat(np.array([k for _, k in found], np.int32), sizes),
                 "place": np.concatenate([np.arange(k, dtype=np.int32) for k in sizes]),
             }
         )[met]
 
-    dealt = cut(deal, "shingle bigint, key bigint, n int, place int").join(crowded, "shingle", "left_semi")
-    dealt = dealt.join(texts, "key", "left_semi").dropDuplicates(["shingle", "key"])
-    group = F.coalesce("component", "key").alias("group")
-    dealt = dealt.join(linked, dealt["key"] == linked["node"], "left").select("shingle", "key", "n", "place", group)
-    dealt = stage(dealt)
+    dealt = cut(deal, "shingle bigint, key bigint, place int").join(crowded, "shingle", "left_semi")
+    dealt = stage(dealt.join(texts, "key", "left_semi").dropDuplicates(["shingle", "key"]))
     for sent in (own, ranks, table):
         sent.destroy()
+    return dealt
+
+
+def _missed(dealt: DataFrame, texts: DataFrame, linked: DataFrame) -> DataFrame:
+    """All pairs of texts that may be alike and are not in one component of `linked` yet.
+
+    `dealt` are the texts' first shingles, of which alike texts share one. Shingles of one component
+    go; for the others, no pair within the largest component of a shingle is looked at. Pairs must
+    fit by their numbers of shingles, the places of the shared one and their parities, which is all
+    necessary for a similarity of SIMILARITY, so none is left out. Texts that share much, but not
+    enough, meet there and are told apart within the join.
+    """
+    group = F.coalesce("component", "key").alias("group")
+    dealt = dealt.join(linked, dealt["key"] == linked["node"], "left").select("shingle", "key", "place", group)
+    dealt = stage(dealt)
     most = F.max(F.struct("count", "group"))["group"].alias("most")
     groups = dealt.groupBy("shingle", "group").count().groupBy("shingle")
     several = groups.agg(F.count(F.lit(1)).alias("groups"), most).filter("groups > 1").select("shingle", "most")
-    met = stage(dealt.join(several, "shingle"))
+    met = stage(dealt.join(several, "shingle").join(texts.select("key", "n", "parities"), "key"))
     x, y = met.filter("group <> most").alias("x"), met.alias("y")
     once = "x.shingle = y.shingle and x.group <> y.group and (y.group = y.most or x.key < y.key)"
-    fits = f"least(x.n, y.n) + 1e-6 >= {SIMILARITY} * greatest(x.n, y.n)"
     placed = f"least(x.n - x.place, y.n - y.place) * {1 + SIMILARITY} + 1e-6 >= {SIMILARITY} * (x.n + y.n)"
-    pairs = x.join(y, F.expr(f"{once} and {fits} and {placed}"))
+    pairs = x.join(y, F.expr(f"{once} and {placed}") & _may_be_alike("x", "y"))
     return pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
 
 
@@ -408,9 +427,9 @@ def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: st
 
     Texts are the same if their words are: letters and digits, lower-cased. Others are near copies
     if their sets of five-word shingles have a Jaccard similarity of 0.8 or more. SimHash
-    fingerprints of their words propose first pairs, by covering tables; a prefix filter over the
-    shingles proposes all pairs between what these link, so none is left out. Groups are what links
-    reach.
+    fingerprints of their words propose first pairs, by covering tables, at most one a text; the
+    first of those with a shingle in common propose as many; a prefix filter over the shingles
+    proposes all pairs between what these link, so none is left out. Groups are what links reach.
     Of a group the row of the least id stays, nulls last, and among equal ids one of its texts; of
     repeated rows one stays. Texts without words, and null, are one group.
     """
@@ -423,9 +442,11 @@ def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: st
     first = F.min(F.struct("rank", "key")).alias("first")
     contents = stage(ranked.groupBy("content").agg(first))
     leads = contents.select(F.col("first.key").alias("key"), "first")
-    texts = stage(sketched.join(leads, "key", "left_semi").select("key", "fps").dropDuplicates(["key"]))
-    close = stage(_verified(rows, _candidates(texts)))
-    rest = _verified(rows, _missed(rows, texts.select("key"), components(close)))
+    texts = sketched.join(leads, "key", "left_semi").select("key", "fps", "n", "parities").dropDuplicates(["key"])
+    texts = stage(texts)
+    shingles = _first_shingles(rows, texts.select("key"))
+    close = stage(_verified(rows, _candidates(texts).union(_led(shingles, "shingle", texts)).distinct()))
+    rest = _verified(rows, _missed(shingles, texts, components(close)))
     linked = components(close.union(rest))
     groups = leads.join(linked, leads["key"] == linked["node"], "left").select(
         "first", F.coalesce("component", "key").alias("component")

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from tablewright.llm import simhash_cover
@@ -184,3 +185,44 @@ def test_groups_of_near_copies_that_share_boilerplate(spark, monkeypatch):
     wanted = brute_kept(texts)
     assert wanted == list(range(0, 120, 2))
     assert sorted(r.doc_id for r in drop_near_copies(docs).collect()) == wanted
+
+
+def test_parities_bound_what_only_one_set_has():
+    rng = np.random.default_rng(3)
+    for size in (0, 1, 30, 900):
+        x = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64) * np.uint64(2))
+        for change in (0, 1, 25):
+            y = np.unique(np.concatenate((x[change:], rng.integers(0, 1 << 63, change).astype(np.uint64))))
+            apart = (simhash_cover.parities(x) ^ simhash_cover.parities(y)).view(np.uint8)
+            assert np.unpackbits(apart).sum() <= len(np.setxor1d(x, y))
+
+
+@pytest.mark.parametrize("kind", ["template", "lines", "group"])
+def test_pairs_do_not_grow_with_groups(spark, monkeypatch, kind):
+    """Texts of one template and texts of common lines share much, but not enough; a group of near
+    copies is linked by about one pair a text."""
+    rng = np.random.default_rng(9)
+    words = [f"word{i}" for i in range(4000)]
+    draw = lambda n: list(rng.choice(words, n))
+    template, lines = draw(150), [" ".join(draw(10)) for _ in range(40)]
+    texts = []
+    for _ in range(300):
+        if kind == "template":
+            texts.append(" ".join(template + draw(30)))
+        elif kind == "lines":
+            texts.append("\n".join(rng.choice(lines, 10, replace=False)))
+        else:
+            edited = list(template)
+            edited[int(rng.integers(150))] = draw(1)[0]
+            texts.append(" ".join(edited))
+    listed = []
+
+    def verified(rows, pairs):
+        listed.append(pairs.count())
+        return own(rows, pairs)
+
+    own = simhash_cover._verified
+    monkeypatch.setattr(simhash_cover, "_verified", verified)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in drop_near_copies(docs).collect()) == brute_kept(texts)
+    assert sum(listed) <= (2 * len(texts) if kind == "group" else 30)
