@@ -35,10 +35,48 @@ LEAST_BITS = 80
 LENGTH_CLASSES = (24, 32, 48, 64, 128, 512)
 #: p-values are counted in bins of equal width in log10, down to 10 to the power -FLOOR.
 BINS_PER_DECADE, FLOOR = 20, 12
+#: Matches of a text that are folded together, see `_running`.
+TOGETHER = 256
 #: Share of random strings among those cleared as ordinary.
 FALSE_DISCOVERIES = 0.05
 
 
+def _running(rows: Column, ahead, step, none: Column) -> Column:
+    """What a fold over `rows` puts out, for arrays of any length.
+
+    `step` takes the state (at, out) and a row, `ahead` the place before a chunk of rows and the
+    chunk, and gives the place after it. A fold copies its output with each row, so rows are folded
+    in chunks of TOGETHER, each from the place that the chunks before it lead to.
+    """
+
+    def chunked(rows: Column) -> Column:
+        cuts = F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / TOGETHER).cast("int"))
+        return _let(F.transform(cuts, lambda i: F.slice(rows, i * TOGETHER + 1, F.lit(TOGETHER))), placed)
+
+    def placed(chunks: Column) -> Column:
+        places = F.aggregate(
+            chunks,
+            F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out")),
+            lambda s, chunk: F.struct(
+                ahead(s["at"], chunk).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")
+            ),
+            lambda s: s["out"],
+        )
+        return _let(
+            places,
+            lambda at: F.flatten(
+                F.transform(
+                    chunks,
+                    lambda chunk, i: F.aggregate(
+                        chunk, F.struct(at[i].alias("at"), none.alias("out")), step, lambda s: s["out"]
+                    ),
+                )
+            ),
+        )
+
+    return _let(rows, lambda held: F.when(F.size(held) > 0, chunked(held)).otherwise(none))
+
+
 def _spans(text: Column, pattern: str, group: int = 0) -> Column:
     """Array of (start, end, part): where the matches are, and what the group holds.
 
@@ -53,9 +91,13 @@ def _spans(text: Column, pattern: str, group: int = 0) -> Column:
     rows = F.arrays_zip(
         matches.alias("whole"), parts.alias("part"), F.slice(pieces, F.lit(1), F.size(matches)).alias("before")
     )
-    found = F.aggregate(
+
+    def length(r: Column) -> Column:
+        return F.length(r["before"]) + F.length(r["whole"])
+
+    found = _running(
         rows,
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
+        lambda at, chunk: F.aggregate(chunk, at, lambda n, r: n + length(r)),
         lambda s, r: F.struct(
             (s["at"] + F.length(r["before"]) + F.length(r["whole"])).alias("at"),
             F.concat(
@@ -69,7 +111,7 @@ def _spans(text: Column, pattern: str, group: int = 0) -> Column:
                 ),
             ).alias("out"),
         ),
-        lambda s: s["out"],
+        none,
     )
     return F.when(F.regexp_like(text, wanted), found).otherwise(none)
 
@@ -290,24 +332,39 @@ def span_text(spans: Column) -> Column:
 
 def redact(text: Column, spans: Column, mask: str = "[secret]") -> Column:
     """The text with every span, overlapping ones together, replaced by the mask. Null stays null."""
-    none = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-    pieces = F.aggregate(
+    none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
+    # What stays: from the furthest end so far to each start beyond it, and the rest.
+    between = _running(
         spans,
-        none,
+        lambda at, chunk: F.greatest(at, F.array_max(F.transform(chunk, lambda x: x["end"]))),
         lambda s, x: F.struct(
             F.greatest(s["at"], x["end"]).alias("at"),
-            F.when(x["end"] <= s["at"], s["out"])
-            .when(x["start"] < s["at"], s["out"])
-            .otherwise(
-                F.concat(s["out"], F.array(F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit(mask)))
-            )
+            F.when((x["end"] <= s["at"]) | (x["start"] < s["at"]), s["out"])
+            .otherwise(F.concat(s["out"], F.array(F.struct(s["at"].alias("start"), x["start"].alias("end")))))
             .alias("out"),
         ),
+        none,
     )
-    done = _let(
-        pieces,
-        lambda p: F.concat(
-            F.array_join(p["out"], ""), F.substring(text, p["at"] + 1, F.length(text))
-        ),
-    )
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+
+    def cut(pieces: Column) -> Column:
+        """Pieces by chunk, from the part of the text that the chunk spans: a place in a text is
+        found by walking there from its start."""
+        cuts = F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / TOGETHER).cast("int"))
+
+        def chunk_text(chunk: Column) -> Column:
+            first, last = chunk[0]["start"], F.element_at(chunk, -1)["end"]
+            return _let(
+                F.substring(text, first + 1, last - first),
+                lambda part: F.transform(
+                    chunk, lambda x: F.concat(F.substring(part, x["start"] - first + 1, x["end"] - x["start"]), F.lit(mask))
+                ),
+            )
+
+        kept = F.flatten(
+            F.transform(cuts, lambda i: _let(F.slice(pieces, i * TOGETHER + 1, F.lit(TOGETHER)), chunk_text))
+        )
+        end = F.array_max(F.transform(spans, lambda x: x["end"]))
+        rest = F.substring(text, end + 1, F.length(text))
+        return F.when(F.size(pieces) > 0, F.concat(F.array_join(kept, ""), rest)).otherwise(rest)
+
+    return F.when(F.size(spans) > 0, _let(between, cut)).otherwise(text)
