@@ -14,7 +14,7 @@ from tablewright.functions.staging import stage
 #: Words of a seed.
 SEED = 3
 #: Seeds of a document this many words apart or closer are one cluster, which is aligned with as
-#: many words around it.
+#: many words around it; more for longer items, see `_reach`.
 REACH = 64
 #: Slots of the table that tells a task which seeds to look for: its size does not depend on the
 #: benchmark. Seeds of several items may share a slot; the join on whole hashes tells them apart.
@@ -134,7 +134,14 @@ def _slot_table(known: DataFrame) -> np.ndarray:
     return table
 
 
-def _clusters(docs: DataFrame, table) -> DataFrame:
+def _reach(known: DataFrame) -> int:
+    """How far apart seeds of one alignment may be: an alignment that scores at all has fewer extra
+    words, and fewer words between two seeds, than its item has words and gaps, MATCH for each."""
+    longest = known.agg(F.max(F.size("words"))).first()[0] or 0
+    return max(REACH, MATCH * longest)
+
+
+def _clusters(docs: DataFrame, table, reach: int) -> DataFrame:
     """key, first (place of its first word), words and distinct seeds of each cluster of seeds."""
 
     def seek(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -148,11 +155,11 @@ def _clusters(docs: DataFrame, table) -> DataFrame:
                 at = np.flatnonzero(kind)
                 if not len(at):
                     continue
-                for run in np.split(at, np.flatnonzero(np.diff(at) > REACH) + 1):
+                for run in np.split(at, np.flatnonzero(np.diff(at) > reach) + 1):
                     distinct = np.unique(seeds[run])
                     if len(distinct) < 2 and kind[run].max() < 2:
                         continue
-                    low, high = max(0, run[0] - REACH), run[-1] + SEED + REACH
+                    low, high = max(0, run[0] - reach), run[-1] + SEED + reach
                     rows.append(
                         (key, int(low), words[low:high].astype(np.uint32).view(np.int32), distinct.view(np.int64))
                     )
@@ -251,7 +258,7 @@ def contaminations(
         row_key(docs, id_column, text_column).alias("key"),
         F.col(f"`{text_column}`").alias("text"),
     )
-    clusters = _clusters(rows.select("key", "text"), table)
+    clusters = _clusters(rows.select("key", "text"), table, _reach(known))
     clusters = stage(clusters.withColumn("cluster", F.monotonically_increasing_id()))
 
     quoted = clusters.select("cluster", F.explode("seeds").alias("seed"))

@@ -133,3 +133,26 @@ def test_edited_copies_beside_exact_ones(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     table = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id bigint, text string")
     assert {(r.doc_id, r.item_id) for r in contaminated_documents(docs, table).collect()} == wanted
+
+
+def test_long_items_with_a_replaced_run(spark):
+    """Seeds of one item lie hundreds of words apart; what counts is the alignment of the whole item."""
+    rng = random.Random(31)
+    words = [f"w{i}" for i in range(5000)]
+    items, docs, wanted = [], [], set()
+    for which, size in enumerate((100, 400, 1000)):
+        item = rng.choices(words, k=size)
+        items.append((which, " ".join(item)))
+        for share in (0.1, 0.2, 0.25, 0.32, 0.5):
+            low = size * 3 // 8
+            run = int(size * share)
+            text = rng.choices(words, k=80) + item[:low] + rng.choices(words, k=run) + item[low + run :] + rng.choices(words, k=80)
+            if brute_align(text, item) >= 0.6 * 2 * size:
+                wanted.add((len(docs), which))
+            docs.append((len(docs), " ".join(text)))
+    assert (7, 1) in wanted and len(wanted) >= 9
+    found = contaminated_documents(
+        spark.createDataFrame(docs, "doc_id bigint, text string"),
+        spark.createDataFrame(items, "item_id bigint, text string"),
+    )
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == wanted
