@@ -8,11 +8,14 @@ position is the earlier match. The order of all suffixes of a corpus is not buil
    suffix takes the one of the smallest hash, its anchor; equal LENGTH-byte strings have equal
    anchors at the same distance. So a bucket is an anchor's hash, and one anchor owns a run of
    suffixes, its context. Buckets of one context lead to no match and are left out.
-2. Contexts that are equal byte for byte are one class, of which one stands for all.
-3. The suffixes of the classes of a bucket are sorted by prefix doubling to depth LENGTH, and their
-   longest previous factors compared with LENGTH. A bucket of very many classes, at the seam of
-   a passage that many documents share, is not sorted in one task; its suffixes meet by the hash
-   of their LENGTH bytes instead, which tells the same.
+2. Contexts of a bucket with the same 64-bit hash of their bytes, and the same distances to the anchor,
+   are one class, of which one stands for all.
+3. The suffixes of the classes of a bucket are sorted by prefix doubling to depth LENGTH. Of each, the
+   nearest suffixes before and after it in that order with a smaller position are found; the longer
+   of the two common prefixes is its longest previous factor, and where it comes from an earlier match.
+   A factor of LENGTH bytes marks a copy. A bucket of very many classes, at the seam of a passage
+   that many documents share, is not sorted in one task; its suffixes meet by two 64-bit hashes of
+   their LENGTH bytes instead, which tells the same.
 """
 
 from __future__ import annotations
@@ -169,32 +172,87 @@ def _class_bytes(texts: DataFrame, buckets, places) -> DataFrame:
     return texts.select("key", "text").mapInPandas(seek, "key bigint, at bigint, h bigint, c bigint, context binary")
 
 
-def suffix_ranks(data: np.ndarray) -> np.ndarray:
-    """The rank of the LENGTH bytes from each place on among all; at the end fewer bytes count.
-
-    Prefix doubling: ranks by 8 bytes, then by 16, 32, ... of pairs of ranks.
-    """
+def suffix_levels(data: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(depth, ranks): the rank of the `depth` bytes from each place on among all, for depths of 8, 16,
+    32, ... and LENGTH; at the end fewer bytes count. Each depth is ranked by pairs of the one before."""
     padded = np.concatenate((data, np.zeros(8, np.uint8)))
     words = np.lib.stride_tricks.sliding_window_view(padded, 8)[: len(data)]
     rank = np.unique(np.ascontiguousarray(words).view(">u8").reshape(-1), return_inverse=True)[1]
-    depth = 8
-    while depth < LENGTH:
+    depth, levels = 8, []
+    while True:
+        levels.append((depth, rank.astype(np.int32)))
+        if depth == LENGTH:
+            return levels
         step = min(depth, LENGTH - depth)
         later = np.full(len(rank), -1, np.int64)
         later[:-step] = rank[step:] if step < len(rank) else []
         rank = np.unique(rank.astype(np.int64) * (len(rank) + 1) + later + 1, return_inverse=True)[1]
         depth += step
-    return rank
 
 
-def previous_factors(rank: np.ndarray, position: np.ndarray) -> np.ndarray:
-    """Whether each suffix has an earlier one of equal rank. In suffix order, ties by position, the
-    suffix before one of the same rank is its previous smaller position, with a factor of at least
-    LENGTH bytes in common; a suffix that follows one of a lower rank has no such factor."""
-    order = np.lexsort((position, rank))
-    found = np.zeros(len(rank), bool)
-    found[order[1:]] = rank[order[1:]] == rank[order[:-1]]
-    return found
+def common_prefixes(levels: list[tuple[int, np.ndarray]], data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many bytes from the places a and from the places b on are the same, LENGTH at most. Both
+    have LENGTH bytes."""
+    size = np.zeros(len(a), np.int64)
+    for depth, rank in levels[-2::-1]:  # each power of two below LENGTH, the largest first
+        x, y = a + size, b + size
+        inside = np.maximum(x, y) + depth <= len(data)
+        same = inside & (rank[np.where(inside, x, 0)] == rank[np.where(inside, y, 0)])
+        size += np.where(same, depth, 0)
+    going = np.flatnonzero(size < LENGTH)
+    for _ in range(levels[0][0] - 1):
+        x, y = a[going] + size[going], b[going] + size[going]
+        inside = np.maximum(x, y) < len(data)
+        going = going[inside]
+        going = going[data[x[inside]] == data[y[inside]]]
+        size[going] += 1
+    return np.minimum(size, LENGTH)
+
+
+def nearest_smaller(value: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of the nearest smaller value before each (-1: none), and the least of `between`, the
+    numbers for each two neighbours, on the way there (0: none).
+
+    All places look back at once; who meets a larger value goes on from where that one looks, for
+    nothing smaller lies between.
+    """
+    to = np.arange(len(value)) - 1
+    least = np.concatenate((np.zeros(1, np.int64), between))[: len(value)]
+    going = np.flatnonzero((to >= 0) & (value[to] > value))
+    while len(going):
+        via = to[going]
+        low, new = np.minimum(least[going], least[via]), to[via]
+        least[going], to[going] = low, new
+        going = going[(new >= 0) & (value[new] > value[going])]
+    return to, np.where(to < 0, 0, least)
+
+
+def previous_factors(
+    levels: list[tuple[int, np.ndarray]], data: np.ndarray, at: np.ndarray, group: np.ndarray, position: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """For the suffixes that start `at` places of the data: the length of the longest previous factor, LENGTH
+    at most, and the index of a suffix it comes from (-1: none). Only suffixes of one group, with a
+    smaller position, count as previous. Positions of a group differ."""
+    rank = levels[-1][1][at].astype(np.int64)
+    order = np.lexsort((position, group.astype(np.int64) * (len(data) + 1) + rank))
+    r, g = rank[order], group[order]
+    # Of suffixes with LENGTH equal bytes, ordered by position, each has the one before as its previous
+    # smaller position. Only the first of them, the heads, look further.
+    head = np.flatnonzero(np.concatenate(([True], (r[1:] != r[:-1]) | (g[1:] != g[:-1]))))
+    heads = order[head]
+    length = np.full(len(order), LENGTH, np.int64)
+    source = np.full(len(order), -1, np.int64)
+    source[order[1:]] = order[:-1]
+    between = common_prefixes(levels, data, at[heads[:-1]], at[heads[1:]])
+    between[g[head[1:]] != g[head[:-1]]] = 0
+    before, ahead = nearest_smaller(position[heads], between)
+    after, behind = nearest_smaller(position[heads][::-1], between[::-1])
+    after, behind = len(heads) - 1 - after[::-1], behind[::-1]
+    longest = np.maximum(ahead, behind)
+    from_head = np.where(ahead >= behind, before, after) % len(heads)
+    length[heads] = longest
+    source[heads] = np.where(longest > 0, heads[from_head], -1)
+    return length, source
 
 
 def _sorted_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -205,18 +263,20 @@ def _sorted_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sizes = rows["context"].map(len).to_numpy()
         starts = np.cumsum(sizes) - sizes
         data = np.frombuffer(b"".join(rows["context"]), np.uint8)
-        rank = suffix_ranks(data)
+        levels = suffix_levels(data)
         owned = rows["more"].to_numpy() + 1
         which = np.repeat(np.arange(len(rows)), owned)
         offset = np.arange(len(which)) - np.repeat(np.cumsum(owned) - owned, owned)
-        mine = rank[starts[which] + offset]
         # Positions: classes by their first occurrence, then the place in the context.
         position = rows["place"].to_numpy()[which] * (LENGTH * 2) + offset
-        earlier = previous_factors(mine, position)
-        later = previous_factors(mine, -position)
+        bucket = np.cumsum(np.concatenate(([0], rows["h"].to_numpy()[1:] != rows["h"].to_numpy()[:-1])))[which]
+        length, source = previous_factors(levels, data, starts[which] + offset, bucket, position)
+        earlier = length >= LENGTH
+        met = earlier.copy()
+        met[source[earlier]] = True  # what an earlier match gives has a later copy
         out = {"h": rows["h"].to_numpy(), "c": rows["c"].to_numpy()}
         bounds = np.cumsum(owned) - owned
-        for name, hit in (("any", earlier | later), ("earlier", earlier)):
+        for name, hit in (("any", met), ("earlier", earlier)):
             low = np.minimum.reduceat(np.where(hit, offset, LENGTH), bounds)
             high = np.maximum.reduceat(np.where(hit, offset, -1), bounds)
             out |= {f"{name}_low": low, f"{name}_high": high}

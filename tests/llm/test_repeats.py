@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tablewright.llm import repeats
-from tablewright.llm.repeats import LENGTH, anchors, previous_factors, remove_repeats, suffix_ranks
+from tablewright.llm.repeats import LENGTH, anchors, nearest_smaller, previous_factors, remove_repeats, suffix_levels
 
 
 def brute(rows, keep):
@@ -73,16 +73,46 @@ def test_every_suffix_has_one_anchor_of_its_content():
 
 def test_suffix_order_and_factors():
     rng = random.Random(2)
-    data = np.array(rng.choices(b"ab", k=900) + [97] * 900 + rng.choices(b"ab", k=50), np.uint8)
+    block = rng.choices(b"abcdef", k=700)
+    data = rng.choices(b"ab", k=900) + [97] * 900 + block + block[:550] + [0] + block[250:] + rng.choices(b"ab", k=50)
+    data = np.array(data, np.uint8)
     raw = data.tobytes()
-    rank = suffix_ranks(data)
+    levels = suffix_levels(data)
+    assert [d for d, _ in levels] == [8, 16, 32, 64, 128, 256, LENGTH]
+    rank = levels[-1][1]
     cut = [raw[i : i + LENGTH] for i in range(len(raw))]
     order = sorted(range(len(raw)), key=lambda i: (rank[i], i))
     assert [cut[i] for i in order] == sorted(cut)
-    position = np.array(rng.sample(range(10_000), len(raw)))
-    earlier = previous_factors(rank, position)
-    for i in range(0, 900 + 900, 7):
-        assert earlier[i] == any(cut[j] == cut[i] and position[j] < position[i] for j in range(len(raw)) if rank[j] == rank[i])
+
+    at = np.arange(len(raw) - LENGTH + 1)
+    group = (at >= 1500).astype(int)
+    position = np.array(rng.sample(range(10_000), len(at)))
+    length, source = previous_factors(levels, data, at, group, position)
+
+    def common(i, j):
+        n = int(np.argmin(data[i : i + LENGTH] == data[j : j + LENGTH]))
+        return LENGTH if cut[i] == cut[j] else n
+
+    for i in range(0, len(at), 7):
+        before = np.flatnonzero((group == group[i]) & (position < position[i]))
+        assert length[i] == max((common(i, j) for j in before), default=0)
+        if length[i]:
+            assert source[i] in before and common(i, source[i]) == length[i]
+        else:
+            assert source[i] == -1
+    assert 0 < (length == LENGTH).sum() < len(at)
+
+
+def test_nearest_smaller_values():
+    rng = random.Random(4)
+    for n in (0, 1, 2, 50):
+        for value in (rng.sample(range(100), n), list(range(n)), list(range(n))[::-1]):
+            between = [rng.randrange(9) for _ in value[1:]]
+            to, least = nearest_smaller(np.array(value, int), np.array(between, int))
+            for i in range(n):
+                expected = next((j for j in range(i - 1, -1, -1) if value[j] < value[i]), -1)
+                assert to[i] == expected
+                assert least[i] == (min(between[expected:i]) if expected >= 0 else 0)
 
 
 def test_place_hash_is_the_one_of_spark(spark):
