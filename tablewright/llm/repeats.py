@@ -16,6 +16,8 @@ position is the earlier match. The order of all suffixes of a corpus is not buil
    A factor of LENGTH bytes marks a copy. A bucket of very many classes, at the seam of a passage
    that many documents share, is not sorted in one task; its suffixes meet by two 64-bit hashes of
    their LENGTH bytes instead, which tells the same.
+4. The spans of a class go to all its contexts. Classes that hold more than one of HEAVY parts of all
+   contexts are HEAVY at most; they are broadcast, so that no task reads all contexts of one class.
 """
 
 from __future__ import annotations
@@ -42,6 +44,8 @@ SLOTS = 1 << 24
 SORTED = 8192
 #: Bytes of contexts that are sorted together.
 TOGETHER = 1 << 18
+#: A key with more than one of so many parts of all rows is joined by broadcast.
+HEAVY = 4096
 
 _BASE = 0x9E3779B97F4A7C15
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -321,6 +325,14 @@ def _window_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             )
 
 
+def _join_counted(rows: DataFrame, counted: DataFrame, on: list[str], total: int) -> DataFrame:
+    """`rows` joined with `counted`, whose n says how many of the `total` rows a key has."""
+    heavy = F.col("n") * HEAVY > total
+    hot = F.broadcast(counted.filter(heavy))  # fewer than HEAVY rows
+    cold = rows.join(F.broadcast(counted.filter(heavy).select(*on)), on, "left_anti")
+    return rows.join(hot, on).unionByName(cold.join(counted.filter(~heavy), on))
+
+
 def _found_in_classes(mixed: DataFrame, contexts: DataFrame) -> DataFrame:
     """h, c, and the first and last suffix of the class that others of its bucket have. `mixed` are
     the classes that share a bucket with others."""
@@ -337,13 +349,13 @@ def _found_in_classes(mixed: DataFrame, contexts: DataFrame) -> DataFrame:
     windows = many.select("h", "c", "context", "more").mapInPandas(
         _window_hashes, "h bigint, c bigint, offset int, v bigint, w bigint"
     )
-    windows = windows.join(many.select("h", "c", "first"), ["h", "c"])
-    shared = (
+    windows = stage(windows.join(many.select("h", "c", "first"), ["h", "c"]))
+    shared = stage(
         windows.groupBy("h", "v", "w")
         .agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("least"))
         .filter("n > 1")
     )
-    met = windows.join(shared, ["h", "v", "w"])
+    met = _join_counted(windows, shared, ["h", "v", "w"], windows.count())
     later = F.when(F.col("first") > F.col("least"), F.col("offset"))
     many = met.groupBy("h", "c").agg(
         F.min("offset").alias("any_low"),
@@ -380,10 +392,10 @@ def repeated_spans(rows: DataFrame, keep: str = "first") -> DataFrame:
     buckets = context.broadcast(_slot_table(mixed, F.col("h")))
     places = context.broadcast(_slot_table(mixed, F.xxhash64("first.key", "first.at")))
     found = stage(_found_in_classes(mixed, _class_bytes(rows, buckets, places)))
-    known = classes.drop("more").join(found, ["h", "c"], "left").filter(
-        (F.col("n") > 1) | (F.col("any_high") >= 0)
+    known = stage(
+        classes.drop("more").join(found, ["h", "c"], "left").filter((F.col("n") > 1) | (F.col("any_high") >= 0))
     )
-    met = spots.join(known, ["h", "c"])
+    met = _join_counted(spots, known, ["h", "c"], spots.count())
     copied = F.col("n") > 1
     if keep == "first":  # all but the first of a class lie in an earlier one
         copied &= place > F.col("first")

@@ -115,6 +115,15 @@ def test_nearest_smaller_values():
                 assert least[i] == (min(between[expected:i]) if expected >= 0 else 0)
 
 
+def test_joins_with_and_without_heavy_keys(spark, monkeypatch):
+    rows = spark.createDataFrame([(0 if i < 40 else i, i) for i in range(60)], "k bigint, v bigint")
+    counted = rows.groupBy("k").count().withColumnRenamed("count", "n").filter("k < 50")
+    for parts in (1, 4, 1000):
+        monkeypatch.setattr(repeats, "HEAVY", parts)
+        got = repeats._join_counted(rows, counted, ["k"], 60).select("k", "n", "v").collect()
+        assert sorted(map(tuple, got)) == [(0 if i < 40 else i, 40 if i < 40 else 1, i) for i in range(50)]
+
+
 def test_place_hash_is_the_one_of_spark(spark):
     from pyspark.sql import functions as F
 
