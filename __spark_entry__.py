@@ -46,6 +46,7 @@ from tablewright import (  # noqa: E402
     profile,
     read,
     schema_report,
+    similar_rows,
     spearman,
     split_counts,
     split_summary,
@@ -482,6 +483,19 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def similar_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of the test part that nearly equal one of train in price and day; one of status and
+    priority may differ."""
+    train, test = (
+        half.withColumn("day", F.unix_date(F.col("o_orderdate").cast("date")))
+        for half in _halves(spark, sf_dir, "orders", RANDOM_PLAN, "o_orderkey")
+    )
+    scales, categories = {"o_totalprice": 2000.0, "day": 20.0}, ["o_orderstatus", "o_orderpriority"]
+    found = similar_rows(test, train, scales, categories, differing=1)
+    strict = similar_rows(found.withColumnRenamed("similar", "loose"), train, scales, categories)
+    return strict.select("o_orderkey", "loose", F.col("similar").alias("strict"))
+
+
 def temporal_leak(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = []
     for plan in (TIME_PLAN, RANDOM_PLAN):
@@ -919,6 +933,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "value_purities": value_purities,
         "row_overlap": row_overlap,
         "near_duplicates": near_duplicates,
+        "similar_orders": similar_orders,
         "temporal_leak": temporal_leak,
         "group_leak": group_leak,
         "audit_report": audit_report,

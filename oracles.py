@@ -809,6 +809,17 @@ ORACLES = {
     "near_duplicates": f"""
         SELECT e.n AS exact_duplicates, greatest(a.n - e.n, 0) AS near_duplicates
         FROM {shared(RANDOM_EVENTS, NOISY)} e, {shared(RANDOM_EVENTS, NOISY_ROUNDED)} a""",
+    "similar_orders": f"""
+        WITH rows AS (
+            SELECT p.o_orderkey, p.split, o.o_totalprice / 2000.0 AS x, datediff('day', DATE '1970-01-01', o.o_orderdate) / 20.0 AS y,
+                   o.o_orderstatus AS s, o.o_orderpriority AS q
+            FROM {RANDOM_ORDERS} p JOIN orders o USING (o_orderkey)),
+        pairs AS (
+            SELECT a.o_orderkey, (a.s <> b.s)::INT + (a.q <> b.q)::INT AS apart
+            FROM rows a JOIN rows b ON b.split = 'train' AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 1
+            WHERE a.split = 'test')
+        SELECT r.o_orderkey, coalesce(min(apart) <= 1, false) AS loose, coalesce(min(apart) = 0, false) AS strict
+        FROM rows r LEFT JOIN pairs USING (o_orderkey) WHERE r.split = 'test' GROUP BY r.o_orderkey""",
     "temporal_leak": union(
         [
             time_edges(TIMED_EVENTS, "time_based", "critical"),

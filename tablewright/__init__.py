@@ -38,6 +38,7 @@ from tablewright.operators.rules import (
     Unique,
     check_rules,
 )
+from tablewright.operators.similar import similar_rows
 from tablewright.operators.split import (
     SPLIT_COLUMN,
     assign,
@@ -95,6 +96,7 @@ __all__ = [
     "profile",
     "read",
     "schema_report",
+    "similar_rows",
     "spearman",
     "split_counts",
     "split_summary",
