@@ -152,11 +152,10 @@ def similar_rows(
 
     groups = [list(range(i, len(categories), differing + 1)) for i in range(differing + 1)]
     cells = _cells(_vectors(len(scales), seed))
-    looks = [
-        _buckets(groups, [cell + F.lit(step) for cell, step in zip(cells, steps)])
-        for steps in product((-1, 0, 1), repeat=len(cells))
-    ]
-    seeking = opened.select("k1", "k2", "x", "c", F.inline(F.flatten(F.array(*looks)))).alias("s")
+    steps = [F.array(*[F.lit(i) for i in ways]) for ways in product((-1, 0, 1), repeat=len(cells))]
+    looking = opened.withColumn("cell", F.array(*cells)).withColumn("step", F.explode(F.array(*steps)))
+    around = [F.get("cell", F.lit(i)) + F.get("step", F.lit(i)) for i in range(len(cells))]
+    seeking = looking.select("k1", "k2", "x", "c", F.inline(_buckets(groups, around))).alias("s")
     offered = known.select(F.col("x").alias("y"), F.col("c").alias("d"), F.inline(_buckets(groups, cells))).alias("o")
     square = F.aggregate(
         F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda total, v: total + v
