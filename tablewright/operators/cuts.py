@@ -29,8 +29,9 @@ SORTED_KEYS = 100_000
 DIGEST_LENGTH = 32
 # Above every hex digest.
 EVERY_KEY = "~"
-# Bytes of text that fit a positive bigint.
+# Bytes of text, and digits of a decimal, that fit a positive bigint.
 TEXT_STEP = 7
+DIGIT_STEP = 18
 
 
 @dataclass(frozen=True)
@@ -179,6 +180,9 @@ def _tied_cut(
     """The cut among the rows that tie on the first level: by further levels, then by key."""
     value = col(field.name)
     levels = _levels(field)
+    if isinstance(field.dataType, (T.DecimalType, T.StringType)):
+        order = value.cast("binary") if isinstance(field.dataType, T.StringType) else value
+        return _ordered_cut(known, order, levels, key, rank, at)
     steps: list[tuple[Column, int | float]] = []
     level, tied, position = next(levels), known, rank
     while True:
@@ -206,11 +210,38 @@ def _tied_cut(
     return inside
 
 
+def _ordered_cut(
+    known: DataFrame, order: Column, levels: Iterator[Column], key: Column, rank: int, at: OrderStatistic
+) -> Column:
+    """The same for values of many levels, compared as they are. Levels never fall as values rise, so
+    the rows that tie lie between two values: no level is read again once it is settled."""
+    level, tied, position = next(levels), known, rank
+    while True:
+        tied = tied.filter(level == F.lit(at.value))
+        position, size = position - at.below, at.equal
+        level = next(levels, level)
+        span = tied.agg(
+            F.min(order).alias("first"),
+            F.max(order).alias("last"),
+            F.min(level).alias("low"),
+            F.max(level).alias("high"),
+        ).first()
+        first, last = F.lit(span["first"]), F.lit(span["last"])
+        if position == size:
+            return order <= last
+        tied = known.filter(order.between(first, last))
+        if span["first"] == span["last"]:
+            cut = exact_key_cuts(tied, key, {position})[position]
+            return (order < last) | ((order == last) & (key <= F.lit(cut)))
+        extent = Extent(span["low"], span["high"], size)
+        at = order_statistics(tied, {"v": level}, {"v": extent}, {"v": {position}})["v", position]
+
+
 def _levels(field: T.StructField) -> Iterator[Column]:
     """Numbers that order like the column, most significant first.
 
-    One is enough for whole numbers, points in time and intervals. Text, and decimals written as
-    text, are read seven bytes at a time, as long as the cut falls among texts that agree so far.
+    One is enough for whole numbers, points in time and intervals. Text is read seven bytes at a
+    time, decimals eighteen digits, as long as the cut falls among values that agree so far.
     """
     data_type = field.dataType
     value = col(field.name)
@@ -225,7 +256,7 @@ def _levels(field: T.StructField) -> Iterator[Column]:
         )
         yield value.cast("double")
     elif isinstance(data_type, T.DecimalType):
-        yield from _text_levels(_decimal_text(value, data_type))
+        yield from _decimal_levels(value, data_type)
     elif isinstance(data_type, T.StringType):
         yield from _text_levels(value)
     elif isinstance(data_type, T.DayTimeIntervalType):
@@ -247,7 +278,7 @@ def _levels(field: T.StructField) -> Iterator[Column]:
 def _text_levels(value: Column) -> Iterator[Column]:
     """Seven bytes of a text at a time, then how many of them it has: a text that ends comes before
     one that goes on, even with bytes of zero."""
-    raw = F.encode(value, "utf-8")
+    raw = value.cast("binary")
     start = 1
     while True:
         piece = F.substring(raw, start, TEXT_STEP)
@@ -256,12 +287,10 @@ def _text_levels(value: Column) -> Iterator[Column]:
         start += TEXT_STEP
 
 
-def _decimal_text(value: Column, data_type: T.DecimalType) -> Column:
-    """A text that sorts as the decimals do: all digits, those of negative numbers complemented."""
-    whole, scale = data_type.precision - data_type.scale, data_type.scale
-    plain = F.abs(value).cast("string")
-    parts = F.split(plain, r"\.")
-    fraction = F.coalesce(F.get(parts, 1), F.lit(""))
-    digits = F.concat(F.lpad(parts[0], max(1, whole), "0"), F.rpad(fraction, max(1, scale), "0"))
-    complement = F.translate(digits, "0123456789", "9876543210")
-    return F.when(value < 0, F.concat(F.lit("-"), complement)).otherwise(F.concat(F.lit("0"), digits))
+def _decimal_levels(value: Column, data_type: T.DecimalType) -> Iterator[Column]:
+    """Eighteen digits at a time, each with the sign of the whole number."""
+    width = -(-data_type.precision // DIGIT_STEP) * DIGIT_STEP
+    digits = F.lpad(F.translate(value.cast("string"), "-.", ""), width, "0")
+    sign = F.when(value < 0, F.lit("-")).otherwise(F.lit(""))
+    for start in range(1, width, DIGIT_STEP):
+        yield F.concat(sign, F.substring(digits, start, DIGIT_STEP)).cast("bigint")
