@@ -1,24 +1,23 @@
 """Scalar statistics of all columns.
 
-The columns are laid out in blocks of BLOCK, one row per block and row of the table, keyed by the
-number of the block and combined before the shuffle: one scan at any width, and generated code of
-one size. One aggregate with some expressions per column is as fast for a dozen columns, but beyond
-that its generated method is too large for the JIT compiler; one row per cell costs three times as
-much per cell.
+The columns go to tasks as Arrow batches, where each is reduced to a few sums and bounds: one scan
+at any width, without generated code per column. Only one row per task and column is shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import UTC, date, datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, types as T
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, types as T
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import (
     as_double,
     col,
     comparable,
-    finite_or_null,
     hash128,
     iso_text,
     ordinal,
@@ -28,9 +27,6 @@ from tablewright.functions.kinds import BOOLEAN, NUMERIC, TEMPORAL, kind_of
 # Relative standard deviation of the HyperLogLog estimates.
 DISTINCT_ERROR = 0.02
 
-# Columns of a block.
-BLOCK = 4
-CELL_TYPE = "struct<filled:boolean,number:double,whole:bigint,truth:boolean>"
 MEASURES = (
     "filled",
     "true_count",
@@ -44,68 +40,109 @@ MEASURES = (
     "below_finite",
 )
 
+# Of one task and column; `sum`, `centre` and `spread` are null without numbers.
+PARTS = (
+    "position int, rows bigint, filled bigint, true_count bigint, first bigint, last bigint, sum double, "
+    "centre double, spread double, finite bigint, low double, high double, below_finite bigint"
+)
+
 ORDINAL_TYPES = (T.IntegralType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 def _cell(field: T.StructField) -> Column:
-    kind = kind_of(field.dataType)
-    number = as_double(field.name) if kind == NUMERIC else F.lit(None).cast("double")
-    whole = (
-        ordinal(field)
-        if isinstance(field.dataType, ORDINAL_TYPES)
-        else F.lit(None)
-    )
-    truth = col(field.name) if kind == BOOLEAN else F.lit(None).cast("boolean")
-    return F.struct(
-        col(field.name).isNotNull().alias("filled"),
-        number.alias("number"),
-        whole.cast("bigint").alias("whole"),
-        truth.alias("truth"),
-    )
-
-
-def _aggregates(i: int) -> list[Column]:
-    """The MEASURES of the cell at place i of a block."""
-    number, whole = F.col(f"c{i}.number"), F.col(f"c{i}.whole")
-    finite = finite_or_null(number)
-    measures = (
-        F.count_if(F.col(f"c{i}.filled")),
-        F.count_if(F.col(f"c{i}.truth")),
-        F.min(whole),
-        F.max(whole),
-        F.avg(number),
-        F.stddev_samp(number),
-        F.count(finite),
-        F.min(finite),
-        F.max(finite),
-        F.count_if(number == F.lit(float("-inf"))),
-    )
-    return [m.alias(f"{name}{i}") for name, m in zip(MEASURES, measures, strict=True)]
+    """What the measures of a column need: its numbers, its truth, or only whether it is there."""
+    if isinstance(field.dataType, ORDINAL_TYPES):
+        return ordinal(field).cast("bigint")
+    if kind_of(field.dataType) == NUMERIC:
+        return as_double(field.name)
+    there = col(field.name).isNotNull()
+    return col(field.name) if kind_of(field.dataType) == BOOLEAN else F.when(there, F.lit(False))
+
+
+def _column_parts(numeric: list[bool]):
+    """The per-task reduction; `numeric` columns have sums. A nested function travels by value."""
+    names = [part.split()[0] for part in PARTS.split(", ")]
+
+    def of_batch(column: pa.Array, summed: bool) -> dict:
+        part = dict.fromkeys(names) | {"rows": len(column), "true_count": 0, "finite": 0, "below_finite": 0}
+        part["filled"] = len(column) - column.null_count
+        values = column.drop_null() if column.null_count else column
+        if pa.types.is_boolean(column.type):
+            part["true_count"] = values.true_count
+            return part
+        values = values.to_numpy(zero_copy_only=False)
+        if not len(values):
+            return part
+        if values.dtype.kind == "i":
+            part["first"], part["last"] = int(values.min()), int(values.max())
+        if not summed:
+            return part
+        numbers = values.astype(np.float64, copy=False)
+        with np.errstate(all="ignore"):
+            part["sum"] = float(numbers.sum())
+            part["centre"] = part["sum"] / len(numbers)
+            off = numbers - part["centre"]
+            part["spread"] = float((off * off).sum())
+        low, high = float(numbers.min()), float(numbers.max())
+        if not (np.isfinite(low) and np.isfinite(high)):  # a NaN is the least and the greatest here
+            part["below_finite"] = int((numbers == -np.inf).sum())
+            numbers = numbers[np.isfinite(numbers)]
+            low, high = (float(numbers.min()), float(numbers.max())) if len(numbers) else (None, None)
+        part["finite"], part["low"], part["high"] = len(numbers), low, high
+        return part
+
+    def merged(p: dict, q: dict) -> dict:
+        out = {n: p[n] + q[n] for n in ("rows", "filled", "true_count", "finite", "below_finite")}
+        for n, pick in (("first", min), ("last", max), ("low", min), ("high", max)):
+            out[n] = q[n] if p[n] is None else p[n] if q[n] is None else pick(p[n], q[n])
+        if p["sum"] is None or q["sum"] is None:
+            return out | {n: q[n] if p["sum"] is None else p[n] for n in ("sum", "centre", "spread")}
+        n, between = out["filled"], q["centre"] - p["centre"]
+        out["sum"] = p["sum"] + q["sum"]
+        out["centre"] = p["centre"] + between * (q["filled"] / n)
+        out["spread"] = p["spread"] + q["spread"] + between * between * (p["filled"] * (q["filled"] / n))
+        return out
+
+    def reduce_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = None
+        for batch in batches:
+            if batch.num_rows:
+                found = [of_batch(c, numbers) for c, numbers in zip(batch.columns, numeric)]
+                totals = found if totals is None else [merged(p, q) for p, q in zip(totals, found)]
+        if totals is None:
+            return
+        types = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}
+        arrays = []
+        for part in PARTS.split(", "):
+            name, kind = part.split()
+            cells = range(len(totals)) if name == "position" else [t[name] for t in totals]
+            arrays.append(pa.array(cells, types[kind]))
+        yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return reduce_batches
 
 
 def scalar_statistics(df: DataFrame, fields: list[T.StructField]) -> tuple[int, list[dict]]:
-    """Row count and, per field, its scalar statistics; one row per block reaches the driver."""
+    """Row count and, per field, its scalar statistics; one row per field reaches the driver."""
     if not fields:
         return df.count(), []
-    cells = [_cell(f) for f in fields]
-    nothing = F.lit(None).cast(CELL_TYPE)
-    cells += [nothing] * (-len(cells) % BLOCK)
-    blocks = [
-        F.struct(
-            F.lit(low).alias("block"), *[cells[low + i].cast(CELL_TYPE).alias(f"c{i}") for i in range(BLOCK)]
-        )
-        for low in range(0, len(cells), BLOCK)
-    ]
-    found = df.select(F.inline(F.array(*blocks))).groupBy("block").agg(
-        F.count(F.lit(1)).alias("rows"), *[a for i in range(BLOCK) for a in _aggregates(i)]
+    cells = [_cell(f).alias(f"c{i}") for i, f in enumerate(fields)]
+    numeric = [kind_of(f.dataType) == NUMERIC for f in fields]
+    parts = df.select(*cells).mapInArrow(_column_parts(numeric), PARTS)
+    # Deviations of a task's mean from the common one are summed up, as for correlations.
+    column = Window.partitionBy("position")
+    known = F.when(F.col("sum").isNotNull(), F.col("filled"))
+    parts = parts.withColumn("mean", F.sum("sum").over(column) / F.sum(known).over(column))
+    off = F.col("centre") - F.col("mean")
+    spread = F.sum(F.col("spread") + F.col("filled") * off * off)
+    found = parts.groupBy("position").agg(
+        *[F.sum(n).alias(n) for n in ("rows", "filled", "true_count", "finite", "below_finite")],
+        *[F.min(n).alias(n) for n in ("first", "low", "mean")],
+        *[F.max(n).alias(n) for n in ("last", "high")],
+        F.when(F.sum(known) > 1, F.sqrt(spread / (F.sum(known) - 1))).alias("stddev"),
     )
-    by_place = {}
-    for row in found.collect():
-        for i in range(BLOCK):
-            place = {name: row[f"{name}{i}"] for name in MEASURES}
-            by_place[row["block"] + i] = place | {"rows": row["rows"]}
-    by_position = {p: s for p, s in by_place.items() if p < len(fields)}
-    rows = next(iter(by_position.values()))["rows"] if by_position else 0
+    by_position = {r["position"]: r.asDict() for r in found.collect()}
+    rows = by_position[0]["rows"] if by_position else 0
     empty = dict.fromkeys(("rows", *MEASURES)) | dict.fromkeys(
         ("rows", "filled", "true_count", "finite", "below_finite"), 0
     )
