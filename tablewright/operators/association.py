@@ -13,10 +13,12 @@ sums are further groupings of the cells, which never leave Spark.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +31,10 @@ from tablewright.operators.scalars import scalar_statistics
 
 #: Values that hold more than a HOT-th of the rows are broadcast with their ranks: HOT per column at most.
 HOT = 1000
+#: Different values of columns, counted by class, whose ranks tasks look up (16 bytes each): those of the fewest values first.
+HELD = 1 << 20
+#: Columns of more values that rows are joined with, one after the other, before they are written.
+TOGETHER = 8
 MATRIX = "row_name string, column_name string, r double"
 
 
@@ -41,11 +47,24 @@ def _numeric(df: DataFrame, columns: list[str] | None) -> list[T.StructField]:
 
 
 def _sortable(field: T.StructField) -> Column:
-    """A number in its order; null where it is null or NaN. Whole numbers that are one double stay apart."""
+    """A number in its order, whole numbers as such and others as double; null where it is null or NaN."""
+    if isinstance(field.dataType, T.IntegralType):
+        return col(field.name).cast("bigint")
     number = as_double(field.name)
-    whole = col(field.name).cast("bigint") if isinstance(field.dataType, T.IntegralType) else F.lit(0).cast("bigint")
-    there = number.isNotNull() & ~F.isnan(number)
-    return F.when(there, F.struct((number + F.lit(0.0)).alias("d"), whole.alias("w")))
+    return F.when(~F.isnan(number), number + F.lit(0.0))
+
+
+def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns of doubles without NaN as 64-bit whole numbers of the same order, one to one."""
+    for batch in batches:
+        columns = []
+        for column in batch.columns:
+            if pa.types.is_floating(column.type):
+                bits = column.fill_null(0.0).to_numpy(zero_copy_only=False).view(np.int64)
+                there = column.is_valid().to_numpy(zero_copy_only=False)
+                column = pa.array(np.where(bits < 0, bits ^ np.int64(2**63 - 1), bits), mask=~there)
+            columns.append(column)
+        yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
 
 def spearman(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -54,54 +73,115 @@ def spearman(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     Ranks are averages over ties and count within the rows that a pair has in common: null and NaN
     are gaps, infinities the first and last values. r is null for pairs with a constant side or
     fewer than two common rows. The frame is written once with a number for each row; work grows
-    with the number of columns times that of different patterns of gaps. Empty below two columns.
+    with the number of columns times that of different patterns of gaps. Tasks look up the ranks of
+    columns with few different values; a column of many takes one equi-join. Empty below two columns.
     """
     fields = _numeric(df, columns)
     spark = df.sparkSession
     if len(fields) < 2:
         return spark.createDataFrame([], MATRIX)
     names = [f"c{i}" for i in range(len(fields))]
-    cells = [_sortable(f).alias(n) for f, n in zip(fields, names)]
-    rows = stage(df.select(*cells).withColumn("id", F.monotonically_increasing_id()))
+    cells = df.select(*[_sortable(f).alias(n) for f, n in zip(fields, names)])
+    cells = cells.mapInArrow(_ordered, ", ".join(f"{n} bigint" for n in names))
+    rows = stage(cells.withColumn("id", F.monotonically_increasing_id()))
     classes = _gap_classes(rows, names)
     count = max(classes) + 1
-    shown = [names[classes.index(k)] for k in range(count)]
+    shown = [classes.index(k) for k in range(count)]
     keyed = F.array(
-        *[F.when(F.col(shown[k]).isNotNull(), F.col(n)) for n in names for k in range(count)]
+        *[F.when(F.col(names[s]).isNotNull(), F.col(n)) for n in names for s in shown]
     )  # column i among the rows of class k at i * count + k
-    long = rows.select("id", F.posexplode(keyed).alias("key", "v")).filter("v IS NOT NULL")
+    long = rows.select(F.posexplode(keyed).alias("key", "v")).filter("v IS NOT NULL")
     ranks = stage(average_ranks(long.groupBy("key", "v").agg(F.count(F.lit(1)).alias("n"))))
-    sizes = {r.key: r.n for r in ranks.groupBy("key").agg(F.sum("n").alias("n")).collect()}
+    found = {r.key: r for r in ranks.groupBy("key").agg(F.sum("n").alias("n"), F.count("v").alias("kinds")).collect()}
+    sizes = {key: r.n for key, r in found.items()}
     centre = F.lit([(sizes.get(k, 0) + 1) / 2 for k in range(len(names) * count)])
     centred = ranks.select("key", "v", "n", (F.col("rank") - F.get(centre, F.col("key"))).alias("d"))
     squares = {r.key: r.q for r in centred.groupBy("key").agg(F.sum(F.col("n") * F.col("d") * F.col("d")).alias("q")).collect()}
-    many = F.col("n") > max(sizes.values(), default=0) / HOT
-    hot, cold = (centred.filter(c).select("key", "v", "d") for c in (many, ~many))
-    held = long.join(F.broadcast(hot), ["key", "v"])
-    rest = long.join(F.broadcast(hot), ["key", "v"], "left_anti").join(cold, ["key", "v"])
-    placed = held.select("id", "key", "d").unionByName(rest.select("id", "key", "d"))
-    by_row = placed.groupBy("id").agg(F.collect_list(F.struct("key", "d")).alias("cells"))
-    products = by_row.select(F.col("cells.key").alias("keys"), F.col("cells.d").alias("ds"))
-    sums = products.mapInArrow(_rank_products(classes), "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
-    found = [(f.name, f.name, 1.0) for f in fields]
+    kinds = [sum(found[k].kinds for k in range(i * count, (i + 1) * count) if k in found) for i in range(len(names))]
+    large, room = [], HELD
+    for i in sorted(range(len(names)), key=lambda i: kinds[i]):
+        room -= kinds[i]
+        if room < 0:
+            large.append(i)
+    # Of all keys of a column, that of its own class has the most rows of a value.
+    own = F.get(F.lit([k % count == classes[k // count] for k in range(len(names) * count)]), F.col("key"))
+    many = own & (F.col("n") > max(sizes.values(), default=0) / HOT)
+    column = F.floor(F.col("key") / count).cast("int").alias("i")
+    hot = stage(centred.filter(many & column.isin(large)).select(column, "v"))
+    each = centred.select("key", "v", "d", column).join(F.broadcast(hot.withColumn("hot", F.lit(True))), ["i", "v"], "left")
+    looked = each.filter(~F.col("i").isin(large) | F.col("hot")).select("key", "v", "d")
+    tables = spark.sparkContext.broadcast(_lookup(looked))
+    cold = each.filter("hot IS NULL")
+    products = _with_ranks(rows, names, large, count, cold, hot).drop("id")
+    multiply = _rank_products(classes, shown, large, tables)
+    sums = products.mapInArrow(multiply, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
     products_of = {(r.i, r.j): r.s for r in sums.collect()}  # one per pair
+    found = [(f.name, f.name, 1.0) for f in fields]
     for i, j in combinations(range(len(fields)), 2):
         spread = (squares.get(i * count + classes[j]) or 0.0) ** 0.5 * (squares.get(j * count + classes[i]) or 0.0) ** 0.5
         r = max(-1.0, min(1.0, products_of.get((i, j), 0.0) / spread)) if spread else None
         found += [(fields[i].name, fields[j].name, r), (fields[j].name, fields[i].name, r)]
-    for table in (ranks, rows):
+    tables.destroy()
+    for table in (ranks, rows, hot):
         drop_table(table)
     return spark.createDataFrame(found, MATRIX)
 
 
+def _lookup(ranks: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each key its values in order and their centred ranks; HELD of them at most, and HOT a key."""
+    found = ranks.toArrow()
+    key, v, d = (found[c].to_numpy() for c in ("key", "v", "d"))
+    order = np.lexsort((v, key))
+    key, v, d = key[order], v[order], d[order]
+    keys, starts = np.unique(key, return_index=True)
+    ends = [*starts[1:], len(key)]
+    return {int(k): (v[a:b], d[a:b]) for k, a, b in zip(keys, starts, ends)}
+
+
+def _with_ranks(rows: DataFrame, names: list[str], large: list[int], count: int, cold: DataFrame, hot: DataFrame) -> DataFrame:
+    """The rows with an array `d{i}`, for each large column i, of its centred ranks by class.
+
+    Rows go from one join to the next, so each moves once for a column and is never put together
+    again; after TOGETHER columns the ranks are written and joined by row. Gaps and frequent values
+    have no partner there: they are spread by row, and looked up later.
+    """
+    frequent = {r.i for r in hot.select("i").distinct().collect()}
+    done: list[DataFrame] = []
+    for low in range(0, len(large), TOGETHER):
+        some = large[low : low + TOGETHER]
+        part = rows if not low else rows.select("id", *[names[i] for i in some])
+        for i in some:
+            by_class = F.array(*[F.max(F.when(F.col("key") == i * count + k, F.col("d"))) for k in range(count)])
+            of = cold.filter(F.col("i") == i)
+            of = of.groupBy("v").agg(by_class.alias(f"d{i}")) if count > 1 else of.select("v", F.array("d").alias(f"d{i}"))
+            spread = F.col(names[i]).isNull()
+            if i in frequent:
+                there = hot.filter(F.col("i") == i).select(F.col("v").alias(names[i]), F.lit(True).alias("held"))
+                part = part.join(F.broadcast(there), names[i], "left")
+                spread = spread | F.col("held").isNotNull()
+            place = F.when(spread, F.col("id").bitwiseAND(F.lit((1 << 20) - 1)) + 1).otherwise(F.lit(0))
+            part = part.withColumns({"v": F.coalesce(names[i], F.lit(0)), "place": place})
+            part = part.join(of.withColumn("place", F.lit(0).cast("bigint")), ["v", "place"], "left").drop("v", "place", "held")
+        done.append(part if not low else part.select("id", *[f"d{i}" for i in some]))
+    if len(done) < 2:
+        return done[0] if done else rows
+    return reduce(lambda x, y: x.join(y, "id"), [stage(part) for part in done])
+
+
 def _gap_classes(rows: DataFrame, names: list[str]) -> list[int]:
     """The class of each column; columns with values in the same rows are of one class."""
-    cells = F.array(*[F.col(n).isNotNull() for n in names])
-    each = rows.select("id", F.posexplode(cells).alias("i", "there")).filter("there")
-    digests = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"x{k}") for k in range(2)]
-    found = {r.i: (r.n, r.x0, r.x1) for r in each.groupBy("i").agg(F.count(F.lit(1)).alias("n"), *digests).collect()}
+    sizes = rows.agg(F.count(F.lit(1)).alias("rows"), *[F.count(n).alias(n) for n in names]).first()
+    full = (sizes["rows"], "all")
+    found = {i: full if sizes[n] == sizes["rows"] else (sizes[n],) for i, n in enumerate(names)}
+    gaps = [i for i, n in enumerate(names) if 0 < sizes[n] < sizes["rows"]]
+    if len(gaps) > 1:
+        cells = F.array(*[F.when(F.col(names[i]).isNotNull(), F.lit(i)) for i in gaps])
+        marks = [F.xxhash64("id", F.lit(k)).alias(f"m{k}") for k in range(2)]
+        each = rows.select(*marks, F.explode(cells).alias("i")).filter("i IS NOT NULL")
+        digests = [F.bit_xor(f"m{k}").alias(f"x{k}") for k in range(2)]
+        found |= {r.i: (sizes[names[r.i]], r.x0, r.x1) for r in each.groupBy("i").agg(*digests).collect()}
     numbers: dict = {}
-    return [numbers.setdefault(found.get(i), len(numbers)) for i in range(len(names))]
+    return [numbers.setdefault(found[i], len(numbers)) for i in range(len(names))]
 
 
 def average_ranks(counts: DataFrame) -> DataFrame:
@@ -121,23 +201,39 @@ def average_ranks(counts: DataFrame) -> DataFrame:
     return found.select(*counts.columns, (F.col("before") + F.col("running") + (F.col("n") + 1) / 2).alias("rank"))
 
 
-def _rank_products(classes: list[int]):
+def _rank_products(classes: list[int], shown: list[int], large: list[int], tables: Broadcast):
     """The per-task sums of products of centred ranks, pairs of columns taken class by class."""
-    count = max(classes) + 1
+    count = len(shown)
     members = [[i for i, c in enumerate(classes) if c == k] for k in range(count)]
 
+    def centred(batch: pa.RecordBatch) -> np.ndarray:
+        ranks = np.zeros((len(classes) * count, batch.num_rows))
+        there = [batch.column(f"c{i}").is_valid().to_numpy(zero_copy_only=False) for i in range(len(classes))]
+        for i in range(len(classes)):
+            cells = batch.column(f"c{i}").fill_null(0).to_numpy(zero_copy_only=False)
+            for k, other in enumerate(shown):
+                values, ds = tables.value.get(i * count + k, (None, None))
+                if values is not None:
+                    at = np.minimum(np.searchsorted(values, cells), len(values) - 1)
+                    ranks[i * count + k] = np.where(there[i] & there[other] & (values[at] == cells), ds[at], 0.0)
+            if i in large:
+                joined = batch.column(f"d{i}")
+                at = np.flatnonzero(joined.is_valid().to_numpy(zero_copy_only=False))
+                ds = joined.flatten().fill_null(0.0).to_numpy(zero_copy_only=False).reshape(-1, count)
+                for k, other in enumerate(shown):
+                    ranks[i * count + k, at] = ds[:, k] * there[other][at]
+        return ranks
+
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(classes), len(classes)))
         for batch in batches:
-            keys, ds = batch.column(0), batch.column(1)
-            lengths = np.diff(keys.offsets.to_numpy())
-            ranks = np.zeros((len(lengths), len(classes) * count))
-            at = np.repeat(np.arange(len(lengths)), lengths)
-            ranks[at, keys.flatten().to_numpy()] = ds.flatten().to_numpy()
+            if not batch.num_rows:
+                continue
+            ranks = centred(batch)
             for k, a in enumerate(members):
                 for m, b in enumerate(members):
                     one, other = ([i * count + c for i in g] for g, c in ((a, m), (b, k)))
-                    total[np.ix_(a, b)] += ranks[:, one].T @ ranks[:, other]
+                    total[np.ix_(a, b)] += ranks[one] @ ranks[other].T
         i, j = np.triu_indices(len(classes), k=1)
         arrays = [pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])]
         yield pa.RecordBatch.from_arrays(arrays, names=["i", "j", "s"])

@@ -72,6 +72,27 @@ def test_many_columns_and_ranges(spark):
     assert all(got[x, y] == pytest.approx(want.loc[x, y], abs=1e-10) for x in want for y in want)
 
 
+@pytest.mark.parametrize("held, hot", [(0, 1000), (0, 4), (25, 20)])
+def test_spearman_of_columns_with_many_values(spark, monkeypatch, held, hot):
+    """Columns whose ranks are joined, two at a time, with gaps and a value that fills half of one."""
+    data = [(None if i % 3 else -i % 50, 7 if i % 2 else i, i * 7 % 101 / -4, None if i % 3 else i % 9 * 0.5, i % 5, NAN, 1.5) for i in range(400)]
+    df = spark.createDataFrame(data, "a int, b bigint, c float, d double, e int, f double, g double").repartition(3)
+    want = {(r.row_name, r.column_name): r.r for r in spearman(df).collect()}
+    monkeypatch.setattr(association, "HELD", held)
+    monkeypatch.setattr(association, "HOT", hot)
+    monkeypatch.setattr(association, "TOGETHER", 2)
+    got = {(r.row_name, r.column_name): r.r for r in spearman(df).collect()}
+    frame = df.toPandas().astype(float).corr("spearman")
+    assert set(got) == set(want) and len(got) == 49
+    for (x, y), r in got.items():
+        if x == y:
+            assert r == 1.0
+        elif "f" in (x, y) or "g" in (x, y):
+            assert r is None and want[x, y] is None
+        else:
+            assert r == pytest.approx(want[x, y], abs=1e-12) and r == pytest.approx(frame.loc[x, y], abs=1e-12), (x, y)
+
+
 def brute(pairs):
     n, cells = len(pairs), Counter(pairs)
     left, right = Counter(p for p, _ in pairs), Counter(q for _, q in pairs)
