@@ -246,13 +246,19 @@ def _slot(keys: np.ndarray) -> np.ndarray:
 
 
 def _slot_table(rows: DataFrame, column: str) -> np.ndarray:
-    """Which slots the numbers of a column fall in; SLOTS bits are collected, as columns."""
+    """Which slots the numbers of a column fall in, eight in a byte; SLOTS bits are collected, as columns."""
     slot = F.shiftrightunsigned(column, 40).bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot")
     bit = F.expr("shiftleft(1L, slot & 63)")
     bits = rows.select(slot).groupBy(F.expr("slot >> 6").alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
     words = np.zeros(SLOTS // 64, np.int64)
     words[bits["word"].to_numpy()] = bits["bits"].to_numpy()
-    return np.unpackbits(words.view(np.uint8), bitorder="little").view(bool)
+    return words.view(np.uint8)
+
+
+def _held(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the slots of the keys are in a table of `_slot_table`."""
+    slot = _slot(keys)
+    return (table[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).view(bool)
 
 
 def _candidates(texts: DataFrame) -> DataFrame:
@@ -280,10 +286,11 @@ def _candidates(texts: DataFrame) -> DataFrame:
             for low in range(0, len(batch), 1000):
                 part = batch.iloc[low : low + 1000]
                 keys = bucket_keys(np.stack(part["fps"].to_list()))
-                row, place = np.nonzero(table.value[_slot(keys)])
+                row, place = np.nonzero(_held(table.value, keys))
                 yield pd.DataFrame({"bucket": keys[row, place].view(np.int64), "key": part["key"].to_numpy()[row]})
 
     dealt = stage(texts.select("key", "fps").mapInPandas(deal, "bucket bigint, key bigint"))
+    table.destroy()
     return _led(dealt, "bucket", texts)
 
 
@@ -295,7 +302,12 @@ def _led(dealt: DataFrame, place: str, texts: DataFrame) -> DataFrame:
     """
     order = F.struct(F.xxhash64("key").alias("order"), F.col("key").alias("leader"))
     leads = dealt.groupBy(place).agg(F.min(order).alias("lead"))
-    met = dealt.join(leads, place).select("key", "lead").filter("key <> lead.leader").distinct()
+    return _first_alike(dealt.join(leads, place).select("key", "lead").filter("key <> lead.leader"), texts)
+
+
+def _first_alike(met: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs a < b: each key of `met` with the first of its leads that it may be like."""
+    met = met.distinct()
     x, y = texts.select("key", "n", "parities").alias("x"), texts.select("key", "n", "parities").alias("y")
     close = met.alias("m").join(x, F.expr("m.key = x.key")).join(y, F.expr("m.lead.leader = y.key"))
     close = close.filter(_may_be_alike("x", "y")).groupBy("m.key").agg(F.min("m.lead")["leader"].alias("leader"))
@@ -305,18 +317,19 @@ def _led(dealt: DataFrame, place: str, texts: DataFrame) -> DataFrame:
 def _verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose shingles have a Jaccard similarity of SIMILARITY or more."""
     pairs = stage(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
     table = rows.sparkSession.sparkContext.broadcast(_slot_table(wanted, "key"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            some = batch[table.value[_slot(batch["key"].to_numpy().view(np.uint64))]]
+            some = batch[_held(table.value, batch["key"].to_numpy().view(np.uint64))]
             if len(some):
                 sets_ = [_shingles(word_hashes(t)) for t in some["text"]]
                 yield pd.DataFrame({"key": some["key"], "shingles": sets_})
 
     sets = rows.mapInPandas(cut, "key bigint, shingles array<int>").dropDuplicates(["key"])
     sets = stage(sets.join(wanted, "key", "left_semi"))
+    table.destroy()
     a = sets.select(F.col("key").alias("a"), F.col("shingles").alias("x"))
     b = sets.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
@@ -360,7 +373,7 @@ def _first_shingles(rows: DataFrame, texts: DataFrame) -> DataFrame:
     def cut(emit, schema: str, source: DataFrame = rows) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                mine = batch[own.value[_slot(batch["key"].to_numpy().view(np.uint64))]]
+                mine = batch[_held(own.value, batch["key"].to_numpy().view(np.uint64))]
                 for low in range(0, len(mine), 500):
                     part = mine.iloc[low : low + 500]
                     yield emit(part["key"].to_numpy(), [word_hashes(t) for t in part["text"]])
@@ -383,7 +396,7 @@ def _first_shingles(rows: DataFrame, texts: DataFrame) -> DataFrame:
         found = [rare_first(w, ranks.value)[0] for w in words]
         sizes = [len(f) for f in found]
         shingles = np.concatenate(found)
-        met = table.value[_slot(shingles)]
+        met = _held(table.value, shingles)
         return pd.DataFrame(
             {
                 "shingle": shingles.view(np.int64),
@@ -399,27 +412,61 @@ def _first_shingles(rows: DataFrame, texts: DataFrame) -> DataFrame:
     return dealt
 
 
-def _missed(dealt: DataFrame, texts: DataFrame, linked: DataFrame) -> DataFrame:
-    """All pairs of texts that may be alike and are not in one component of `linked` yet.
-
-    `dealt` are the texts' first shingles, of which alike texts share one. Shingles of one component
-    go; for the others, no pair within the largest component of a shingle is looked at. Pairs must
-    fit by their numbers of shingles, the places of the shared one and their parities, which is all
-    necessary for a similarity of SIMILARITY, so none is left out. Texts that share much, but not
-    enough, meet there and are told apart within the join.
-    """
+def _between(dealt: DataFrame, texts: DataFrame, linked: DataFrame) -> DataFrame:
+    """`dealt`, the texts' first shingles, where texts of several components of `linked` have one:
+    with the `group` of the text, the largest (`most`) of the shingle, n and parities."""
     group = F.coalesce("component", "key").alias("group")
     dealt = dealt.join(linked, dealt["key"] == linked["node"], "left").select("shingle", "key", "place", group)
     dealt = stage(dealt)
     most = F.max(F.struct("count", "group"))["group"].alias("most")
     groups = dealt.groupBy("shingle", "group").count().groupBy("shingle")
     several = groups.agg(F.count(F.lit(1)).alias("groups"), most).filter("groups > 1").select("shingle", "most")
-    met = stage(dealt.join(several, "shingle").join(texts.select("key", "n", "parities"), "key"))
+    return stage(dealt.join(several, "shingle").join(texts.select("key", "n", "parities"), "key"))
+
+
+def _bridges(met: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs a < b of different groups of `met`: at most one for each text, however large the groups are.
+
+    A shingle's first text, by a hash of the key, meets all of other groups, and the first of the
+    other groups those of its own. Of these a text takes the first it may be like.
+    """
+    order = F.struct(F.xxhash64("key").alias("order"), F.col("key").alias("leader"), "group")
+    led = met.select("shingle", "key", "group").join(met.groupBy("shingle").agg(F.min(order).alias("lead")), "shingle")
+    away = led.filter("group <> lead.group").groupBy("shingle").agg(F.min(order).alias("other"))
+    lead = F.when(F.col("group") == F.col("lead.group"), F.col("other")).otherwise(F.col("lead"))
+    return _first_alike(led.join(away, "shingle").select("key", lead.alias("lead")), texts)
+
+
+def _across(met: DataFrame) -> DataFrame:
+    """All pairs (key, other) of texts that may be alike and are not of one group, as often as they
+    have a first shingle in common.
+
+    `met` is what `_between` gives; alike texts share one of their first shingles. No pair within
+    the largest group of a shingle is looked at. Pairs must fit by their numbers of shingles, the
+    places of the shared one and their parities, which is all necessary for a similarity of
+    SIMILARITY, so none is left out. Texts that share much, but not enough, meet there and are told
+    apart within the join.
+    """
     x, y = met.filter("group <> most").alias("x"), met.alias("y")
     once = "x.shingle = y.shingle and x.group <> y.group and (y.group = y.most or x.key < y.key)"
     placed = f"least(x.n - x.place, y.n - y.place) * {1 + SIMILARITY} + 1e-6 >= {SIMILARITY} * (x.n + y.n)"
     pairs = x.join(y, F.expr(f"{once} and {placed}") & _may_be_alike("x", "y"))
-    return pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+    return pairs.select(F.col("x.key").alias("key"), F.col("y.key").alias("other"))
+
+
+def _partners(met: DataFrame) -> DataFrame:
+    """Pairs a < b of `_across`: for each text the first by a hash, so that a group takes the same few."""
+    first = F.min(F.struct(F.xxhash64("other").alias("order"), "other"))["other"].alias("other")
+    return _ordered(_across(met).groupBy("key").agg(first))
+
+
+def _missed(met: DataFrame) -> DataFrame:
+    """All pairs a < b of `_across`."""
+    return _ordered(_across(met))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
 
 
 def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -428,8 +475,9 @@ def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: st
     Texts are the same if their words are: letters and digits, lower-cased. Others are near copies
     if their sets of five-word shingles have a Jaccard similarity of 0.8 or more. SimHash
     fingerprints of their words propose first pairs, by covering tables, at most one a text; the
-    first of those with a shingle in common propose as many; a prefix filter over the shingles
-    proposes all pairs between what these link, so none is left out. Groups are what links reach.
+    first of those with a shingle in common propose as many, and as many again between what is
+    linked so far. A prefix filter over the shingles then proposes one for each text, and last all
+    pairs between what these link, so none is left out. Groups are what links reach.
     Of a group the row of the least id stays, nulls last, and among equal ids one of its texts; of
     repeated rows one stays. Texts without words, and null, are one group.
     """
@@ -446,8 +494,13 @@ def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: st
     texts = stage(texts)
     shingles = _first_shingles(rows, texts.select("key"))
     close = stage(_verified(rows, _candidates(texts).union(_led(shingles, "shingle", texts)).distinct()))
-    rest = _verified(rows, _missed(shingles, texts, components(close)))
-    linked = components(close.union(rest))
+    met = _between(shingles, texts, components(close))
+    for propose in (lambda: _bridges(met, texts), lambda: _partners(met)):
+        more = stage(_verified(rows, propose()))
+        if not more.isEmpty():
+            close = close.union(more)
+            met = _between(shingles, texts, components(close))
+    linked = components(close.union(_verified(rows, _missed(met))))
     groups = leads.join(linked, leads["key"] == linked["node"], "left").select(
         "first", F.coalesce("component", "key").alias("component")
     )

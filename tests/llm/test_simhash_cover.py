@@ -226,3 +226,22 @@ def test_pairs_do_not_grow_with_groups(spark, monkeypatch, kind):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     assert sorted(r.doc_id for r in drop_near_copies(docs).collect()) == brute_kept(texts)
     assert sum(listed) <= (2 * len(texts) if kind == "group" else 30)
+
+
+def test_a_large_group_lists_no_more_pairs_than_texts(spark, monkeypatch):
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(w if k != i else f"x{i}" for k, w in enumerate(base)) for i in range(0, 160, 4)]
+    texts += [f"another text {i} of other words {i * i}" for i in range(10)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    listed, own = [], simhash_cover._verified
+
+    def verified(rows, pairs):
+        listed.append(pairs.count())
+        return own(rows, pairs)
+
+    none = spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(simhash_cover, "_candidates", lambda _: none)  # all is left to the shingles
+    monkeypatch.setattr(simhash_cover, "_led", lambda *_: none)
+    monkeypatch.setattr(simhash_cover, "_verified", verified)
+    assert sorted(r.doc_id for r in drop_near_copies(docs).collect()) == brute_kept(texts)
+    assert 0 < max(listed) <= len(texts)
