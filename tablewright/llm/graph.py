@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions.staging import stage
+from tablewright.functions.staging import drop_table, stage
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -14,7 +14,8 @@ def components(links: DataFrame) -> DataFrame:
     `links` has two columns of one type that can be ordered. Large-star and small-star steps in
     turn: first every node hands its larger neighbours to its smallest one, then its smaller ones.
     The table of links never grows, and the number of rounds grows with the logarithm of the
-    number of nodes, however long the chains are. Every round is written to the staging folder.
+    number of nodes, however long the chains are. Every round is written to the staging folder, and
+    the one before it goes.
     A node of very many links is a skewed join key, which adaptive execution splits.
     """
     a, b = links.columns[:2]
@@ -38,7 +39,8 @@ def components(links: DataFrame) -> DataFrame:
                 )
             ).alias("e")
         ).select("e.u", "e.v")
-        edges = stage(smaller.filter("u <> v").distinct())
+        before, edges = edges, stage(smaller.filter("u <> v").distinct())
+        drop_table(before)
         now = _state(edges)
         if now == seen:
             break

@@ -16,9 +16,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions.staging import stage
+from tablewright.functions.staging import SMALL_BATCHES, drop_table, settings, stage
 from tablewright.llm.decontaminate import row_key, seed_hashes, word_hashes
 from tablewright.llm.graph import components
+from tablewright.llm.slots import SLOTS, held, slot_table, slots_of
 
 BITS = 64
 #: Shingles hashed at a time, to bound memory for very long texts.
@@ -161,8 +162,6 @@ VOTES, RADIUS = 10, 3
 SHINGLE, SIMILARITY = 5, 0.8
 #: 64-bit words of a text's parities, see `parities`.
 PARITIES = 16
-#: Slots of the table that tells tasks which texts to cut into shingles.
-SLOTS = 1 << 24
 #: About so many texts tell which shingles are common, which are those in at least COMMON of them.
 SAMPLED, COMMON = 20_000, 4
 
@@ -241,26 +240,6 @@ def bucket_keys(fps: np.ndarray) -> np.ndarray:
     return (mixed ^ (mixed >> np.uint64(29))).reshape(len(fps), -1)
 
 
-def _slot(keys: np.ndarray) -> np.ndarray:
-    return (keys >> np.uint64(40)).astype(np.int64) & (SLOTS - 1)
-
-
-def _slot_table(rows: DataFrame, column: str) -> np.ndarray:
-    """Which slots the numbers of a column fall in, eight in a byte; SLOTS bits are collected, as columns."""
-    slot = F.shiftrightunsigned(column, 40).bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot")
-    bit = F.expr("shiftleft(1L, slot & 63)")
-    bits = rows.select(slot).groupBy(F.expr("slot >> 6").alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    words = np.zeros(SLOTS // 64, np.int64)
-    words[bits["word"].to_numpy()] = bits["bits"].to_numpy()
-    return words.view(np.uint8)
-
-
-def _held(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Whether the slots of the keys are in a table of `_slot_table`."""
-    slot = _slot(keys)
-    return (table[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).view(bool)
-
-
 def _candidates(texts: DataFrame) -> DataFrame:
     """Pairs a < b of rows (key, fps, n, parities) that share a bucket: at most one for each text.
 
@@ -279,19 +258,22 @@ def _candidates(texts: DataFrame) -> DataFrame:
 
     buckets = texts.select("fps").mapInPandas(count, "bucket bigint").groupBy("bucket").count()
     crowded = stage(buckets.filter("count > 1").select("bucket"))
-    table = texts.sparkSession.sparkContext.broadcast(_slot_table(crowded, "bucket"))
+    table = texts.sparkSession.sparkContext.broadcast(slot_table(crowded, "bucket"))
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for low in range(0, len(batch), 1000):
                 part = batch.iloc[low : low + 1000]
                 keys = bucket_keys(np.stack(part["fps"].to_list()))
-                row, place = np.nonzero(_held(table.value, keys))
+                row, place = np.nonzero(held(table.value, keys))
                 yield pd.DataFrame({"bucket": keys[row, place].view(np.int64), "key": part["key"].to_numpy()[row]})
 
     dealt = stage(texts.select("key", "fps").mapInPandas(deal, "bucket bigint, key bigint"))
     table.destroy()
-    return _led(dealt, "bucket", texts)
+    pairs = stage(_led(dealt, "bucket", texts))
+    for done in (crowded, dealt):
+        drop_table(done)
+    return pairs
 
 
 def _led(dealt: DataFrame, place: str, texts: DataFrame) -> DataFrame:
@@ -315,14 +297,14 @@ def _first_alike(met: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose shingles have a Jaccard similarity of SIMILARITY or more."""
+    """The pairs whose shingles have a Jaccard similarity of SIMILARITY or more, staged."""
     pairs = stage(pairs)
     wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
-    table = rows.sparkSession.sparkContext.broadcast(_slot_table(wanted, "key"))
+    table = rows.sparkSession.sparkContext.broadcast(slot_table(wanted, "key"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            some = batch[_held(table.value, batch["key"].to_numpy().view(np.uint64))]
+            some = batch[held(table.value, batch["key"].to_numpy().view(np.uint64))]
             if len(some):
                 sets_ = [_shingles(word_hashes(t)) for t in some["text"]]
                 yield pd.DataFrame({"key": some["key"], "shingles": sets_})
@@ -335,7 +317,10 @@ def _verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     shared = F.size(F.array_intersect("x", "y"))
     alike = shared / (F.size("x") + F.size("y") - shared)
     both_empty = (F.size("x") == 0) & (F.size("y") == 0)
-    return pairs.join(a, "a").join(b, "b").filter(both_empty | (alike >= SIMILARITY)).select("a", "b")
+    found = stage(pairs.join(a, "a").join(b, "b").filter(both_empty | (alike >= SIMILARITY)).select("a", "b"))
+    for done in (pairs, wanted, sets):
+        drop_table(done)
+    return found
 
 
 def rare_first(words: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, int]:
@@ -346,7 +331,7 @@ def rare_first(words: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, int]:
     """
     found = np.unique(seed_hashes(words, SHINGLE))
     spare = len(found) - int(np.ceil(SIMILARITY * len(found) - 1e-9))
-    return found[np.lexsort((found, ranks[_slot(found)]))][: spare + 1], len(found)
+    return found[np.lexsort((found, ranks[slots_of(found)]))][: spare + 1], len(found)
 
 
 def _common(shingles: DataFrame) -> np.ndarray:
@@ -368,12 +353,12 @@ def _first_shingles(rows: DataFrame, texts: DataFrame) -> DataFrame:
     is nothing else.
     """
     context = rows.sparkSession.sparkContext
-    own = context.broadcast(_slot_table(texts, "key"))
+    own = context.broadcast(slot_table(texts, "key"))
 
     def cut(emit, schema: str, source: DataFrame = rows) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                mine = batch[_held(own.value, batch["key"].to_numpy().view(np.uint64))]
+                mine = batch[held(own.value, batch["key"].to_numpy().view(np.uint64))]
                 for low in range(0, len(mine), 500):
                     part = mine.iloc[low : low + 500]
                     yield emit(part["key"].to_numpy(), [word_hashes(t) for t in part["text"]])
@@ -390,13 +375,13 @@ def _first_shingles(rows: DataFrame, texts: DataFrame) -> DataFrame:
         return pd.DataFrame({"shingle": np.concatenate([rare_first(w, ranks.value)[0] for w in words]).view(np.int64)})
 
     crowded = stage(cut(first, "shingle bigint").groupBy("shingle").count().filter("count > 1").select("shingle"))
-    table = context.broadcast(_slot_table(crowded, "shingle"))
+    table = context.broadcast(slot_table(crowded, "shingle"))
 
     def deal(keys: np.ndarray, words: list[np.ndarray]) -> pd.DataFrame:
         found = [rare_first(w, ranks.value)[0] for w in words]
         sizes = [len(f) for f in found]
         shingles = np.concatenate(found)
-        met = _held(table.value, shingles)
+        met = held(table.value, shingles)
         return pd.DataFrame(
             {
                 "shingle": shingles.view(np.int64),
@@ -409,6 +394,7 @@ def _first_shingles(rows: DataFrame, texts: DataFrame) -> DataFrame:
     dealt = stage(dealt.join(texts, "key", "left_semi").dropDuplicates(["shingle", "key"]))
     for sent in (own, ranks, table):
         sent.destroy()
+    drop_table(crowded)
     return dealt
 
 
@@ -421,7 +407,9 @@ def _between(dealt: DataFrame, texts: DataFrame, linked: DataFrame) -> DataFrame
     most = F.max(F.struct("count", "group"))["group"].alias("most")
     groups = dealt.groupBy("shingle", "group").count().groupBy("shingle")
     several = groups.agg(F.count(F.lit(1)).alias("groups"), most).filter("groups > 1").select("shingle", "most")
-    return stage(dealt.join(several, "shingle").join(texts.select("key", "n", "parities"), "key"))
+    met = stage(dealt.join(several, "shingle").join(texts.select("key", "n", "parities"), "key"))
+    drop_table(dealt)
+    return met
 
 
 def _bridges(met: DataFrame, texts: DataFrame) -> DataFrame:
@@ -469,22 +457,8 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
 
 
-def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One document of each group of near copies; columns as before.
-
-    Texts are the same if their words are: letters and digits, lower-cased. Others are near copies
-    if their sets of five-word shingles have a Jaccard similarity of 0.8 or more. SimHash
-    fingerprints of their words propose first pairs, by covering tables, at most one a text; the
-    first of those with a shingle in common propose as many, and as many again between what is
-    linked so far. A prefix filter over the shingles then proposes one for each text, and last all
-    pairs between what these link, so none is left out. Groups are what links reach.
-    Of a group the row of the least id stays, nulls last, and among equal ids one of its texts; of
-    repeated rows one stays. Texts without words, and null, are one group.
-    """
-    key = row_key(docs, id_column, text_column)
-    own = F.col(f"`{id_column}`")
-    rows = docs.select(key.alias("key"), F.col(f"`{text_column}`").alias("text"))
-    ids = docs.select(key.alias("key"), F.struct(own.isNull().alias("absent"), own.alias("id")).alias("rank"))
+def _kept(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The key of the row that stays of each group; `rows` are (key, text) and `ids` (key, rank)."""
     sketched = stage(_sketched(rows))
     ranked = sketched.select("key", "content").join(ids, "key").distinct()
     first = F.min(F.struct("rank", "key")).alias("first")
@@ -492,19 +466,46 @@ def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: st
     leads = contents.select(F.col("first.key").alias("key"), "first")
     texts = sketched.join(leads, "key", "left_semi").select("key", "fps", "n", "parities").dropDuplicates(["key"])
     texts = stage(texts)
+    drop_table(sketched)
     shingles = _first_shingles(rows, texts.select("key"))
-    close = stage(_verified(rows, _candidates(texts).union(_led(shingles, "shingle", texts)).distinct()))
+    close = _verified(rows, _candidates(texts).union(_led(shingles, "shingle", texts)).distinct())
     met = _between(shingles, texts, components(close))
-    for propose in (lambda: _bridges(met, texts), lambda: _partners(met)):
-        more = stage(_verified(rows, propose()))
+    for propose in (_bridges, lambda met, _: _partners(met)):
+        more = _verified(rows, propose(met, texts))
         if not more.isEmpty():
             close = close.union(more)
+            drop_table(met)
             met = _between(shingles, texts, components(close))
-    linked = components(close.union(_verified(rows, _missed(met))))
+    more = _verified(rows, _missed(met))
+    for done in (met, shingles, texts):
+        drop_table(done)
+    linked = components(close.union(more))
     groups = leads.join(linked, leads["key"] == linked["node"], "left").select(
         "first", F.coalesce("component", "key").alias("component")
     )
     kept = stage(groups.groupBy("component").agg(F.min("first").alias("first")).select("first.key"))
+    drop_table(contents)
+    return kept
+
+
+def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One document of each group of near copies; columns as before.
+
+    Texts are the same if their words are: letters and digits, lower-cased. Others are near copies
+    if their sets of five-word shingles have a Jaccard similarity of 0.8 or more. SimHash
+    fingerprints of their words propose first pairs, by covering tables, at most one a text; the
+    first of those with a shingle in common propose as many, and as many again between what is
+    linked so far. A prefix filter over the shingles then proposes one for each text, and last all
+    pairs between what these link, so none is left out. Groups are what links reach.
+    Of a group the row of the least id stays, nulls last, and among equal ids one of its texts; of
+    repeated rows one stays. Texts without words, and null, are one group.
+    """
+    key = row_key(docs, id_column, text_column)
+    own = F.col(f"`{id_column}`")
+    rows = docs.select(key.alias("key"), F.col(f"`{text_column}`").alias("text"))
+    ids = docs.select(key.alias("key"), F.struct(own.isNull().alias("absent"), own.alias("id")).alias("rank"))
+    with settings(docs.sparkSession, SMALL_BATCHES):
+        kept = _kept(rows, ids)
     name = "_key_" + "_".join(c for c in docs.columns if c.startswith("_key_"))
     keyed = docs.withColumn(name, key)
     return keyed.join(kept, keyed[name] == kept["key"], "left_semi").dropDuplicates([name]).drop(name)

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from tablewright.functions.staging import staged_count
 from tablewright.llm import simhash_cover
 from tablewright.llm.simhash_cover import (
     covering_masks,
@@ -245,3 +246,12 @@ def test_a_large_group_lists_no_more_pairs_than_texts(spark, monkeypatch):
     monkeypatch.setattr(simhash_cover, "_verified", verified)
     assert sorted(r.doc_id for r in drop_near_copies(docs).collect()) == brute_kept(texts)
     assert 0 < max(listed) <= len(texts)
+
+
+def test_tables_between_go_when_they_are_used(spark):
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words[:i] + [f"x{i}"] + words[i + 1 :]) for i in range(0, 60, 5)] + ["alone", None, ""]
+    before = staged_count()
+    kept = drop_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert staged_count() - before <= 10  # of links and keys; 40 and more before
+    assert sorted(r.doc_id for r in kept.collect()) == [*brute_kept(texts[:13]), 13]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -201,6 +202,21 @@ def test_staged_tables_are_dropped(spark, tmp_path):
     assert list(folder.iterdir()) == [] and staged_count() == before
 
 
+def test_staging_leaves_no_shuffle_files(spark, tmp_path):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return sum(f.getName().startswith("shuffle_") for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(manager.getAllFiles()))
+
+    before = shuffled()
+    frame = stage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), str(tmp_path / "staging"))
+    until = time.time() + 10
+    while shuffled() > before and time.time() < until:
+        time.sleep(0.1)
+    assert shuffled() <= before
+    assert sorted(r["count"] for r in frame.collect()) == [142] * 1 + [143] * 6
+
+
 def test_deep_lineage(spark, tmp_path):
     catalog = Catalog(spark, str(tmp_path / "catalog"))
     now = _now()
