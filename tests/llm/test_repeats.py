@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from tablewright.functions.staging import staged_count
 from tablewright.llm import repeats
 from tablewright.llm.repeats import LENGTH, anchors, nearest_smaller, previous_factors, remove_repeats, suffix_levels
 
@@ -143,3 +144,30 @@ def test_repeated_rows_and_empty_tables(spark):
     assert remove_repeats(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         remove_repeats(docs, "last")
+
+
+def test_tasks_hold_few_bytes_and_tables_go(spark, monkeypatch):
+    """Of texts of 8 MB in one partition a task holds 4 MB at a time; only what is still read stays staged."""
+    rng = random.Random(5)
+    text = "".join(rng.choices("abcdef ", k=1 << 18))
+    rows = [(i, f"{i} {text[i * 5000:]}{i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    held = []
+
+    def sized(batches):
+        for batch in batches:
+            yield batch[["text"]].agg(lambda t: t.str.len().sum()).to_frame("n").reset_index(drop=True)
+
+    def measured(texts):
+        held.extend(r.n for r in texts.select("text").mapInPandas(sized, "n bigint").collect())
+        return own(texts)
+
+    own = repeats._repeated_buckets
+    monkeypatch.setattr(repeats, "_repeated_buckets", measured)
+    before, batches = staged_count(), spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    found = remove_repeats(docs, "first")
+    assert len(held) > 1 and max(held) <= 5 << 20
+    assert staged_count() - before <= 2
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == batches
+    kept = {r.doc_id: len(r.kept) for r in found.collect()}
+    assert kept[0] == len(rows[0][1]) and max(kept[i] for i in range(1, 40)) < 400
